@@ -1,0 +1,17 @@
+"""Join helpers: broadcast only behind a checked size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Broadcast hint only when ``df`` has at most ``max_rows`` rows.
+
+    The count is taken on a bounded probe (``limit(max_rows + 1)``) so the
+    check itself never scans more than the bound.  Beyond it the frame is
+    returned as is and Catalyst/AQE choose a shuffled join.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
