@@ -36,12 +36,11 @@ def _equal_width_index(df: DataFrame, col: str, n: int) -> Column:
     mx = stats.select("mx").scalar()
     v = F.col(col).cast("double")
     step = (mx - mn) / F.lit(float(n))
-    raw = F.ceil((v - mn) / step).cast("int")
-    # repair float error at edges: v must satisfy edge(k-1) < v <= edge(k)
-    k = F.least(F.greatest(raw, F.lit(1)), F.lit(n))
+    # ceil estimate, then one flat repair so that edge(k-1) < v <= edge(k)
+    k = F.least(F.greatest(F.ceil((v - mn) / step).cast("int"), F.lit(1)), F.lit(n))
     edge = lambda i: F.when(i >= F.lit(n), mx).otherwise(mn + step * i)
-    k = F.when((k > 1) & (v <= edge(k - 1)), k - 1).otherwise(k)
-    k = F.when((k < n) & (v > edge(k)), k + 1).otherwise(k)
+    k = (k - F.when((k > 1) & (v <= edge(k - 1)), 1).otherwise(0)
+         + F.when((k < n) & (v > edge(k)), 1).otherwise(0))
     in_range = v.between(mn, mx)
     # constant column: pandas widens the range by 0.1% on each side -> bin 1..n/2
     return F.when(mx == mn, F.lit((n + 1) // 2) if n > 1 else F.lit(1)) \

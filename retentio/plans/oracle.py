@@ -123,3 +123,242 @@ register("customer_360", f"""
 WITH {MART_CTE}
 SELECT * FROM customer_360
 """)
+
+
+# ---------------------------------------------------------------- helpers
+def union_all(parts):
+    return "\nUNION ALL\n".join(parts)
+
+
+def missing_sql(col: str, is_double: bool) -> str:
+    return f"({col} IS NULL OR isnan({col}))" if is_double else f"({col} IS NULL)"
+
+
+PARSED_TYPES = {  # column -> is DOUBLE, in the mart's column order
+    "customer_id": False, "city": False, "tenure_months": False, "monthly_charges": True,
+    "contract": False, "internet_service": False, "payment_method": False,
+    "churn_value": False, "churn_score": False, "cltv": True, "total_charges": True,
+}
+CLEAN_NUMERIC = ("tenure_months", "monthly_charges", "total_charges", "cltv")
+AGG_SQL = {"min": "min({c})", "max": "max({c})", "mean": "avg({c})", "median": "median({c})",
+           "std": "stddev_samp({c})", "sum": "sum({c})", "var": "var_samp({c})",
+           "count": "count({c})", "nunique": "count(DISTINCT {c})"}
+
+
+def agg_matrix_sql(cte: str, src: str, plan: dict, digits: int) -> str:
+    funcs = []
+    for fns in plan.values():
+        for f in fns:
+            if f not in funcs:
+                funcs.append(f)
+    parts = []
+    for f in funcs:
+        cols = []
+        for c, fns in plan.items():
+            e = (f"round(CAST({AGG_SQL[f].format(c=c)} AS DOUBLE), {digits})" if f in fns
+                 else "CAST(NULL AS DOUBLE)")
+            cols.append(f"{e} AS {c}")
+        parts.append(f"SELECT '{f}' AS aggregate, {', '.join(cols)} FROM {src}")
+    return f"WITH {cte}\n" + union_all(parts)
+
+
+def histogram_sql(cte: str, src: str, col: str, n: int, hue: str | None) -> str:
+    h = f"CAST({hue} AS VARCHAR)" if hue else "CAST(NULL AS VARCHAR)"
+    nd = f"CAST({n} AS DOUBLE)"
+
+    def edge(i: str) -> str:
+        return f"(CASE WHEN {i} >= {n} THEN hi ELSE CAST({i} AS DOUBLE) * step + lo END)"
+
+    hues = (f"(SELECT DISTINCT {h} AS h FROM {src})" if hue
+            else "(SELECT CAST(NULL AS VARCHAR) AS h)")
+    return f"""WITH {cte},
+h_src AS (SELECT CAST({col} AS DOUBLE) AS v, {h} AS h FROM {src}
+          WHERE {col} IS NOT NULL AND NOT isnan(CAST({col} AS DOUBLE))),
+h_rng AS (SELECT CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo,
+                 CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi
+          FROM h_src),
+h_par AS (SELECT lo, hi, (hi - lo) / {nd} AS step FROM h_rng),
+h_k0 AS (SELECT v, h, lo, hi, step,
+                CAST(floor((v - lo) * ({nd} / (hi - lo))) AS INTEGER) AS k FROM h_src, h_par),
+h_k1 AS (SELECT *, CASE WHEN k >= {n} THEN {n - 1} ELSE k END AS k1 FROM h_k0),
+h_k2 AS (SELECT *, CASE WHEN v < {edge('k1')} THEN k1 - 1 ELSE k1 END AS k2 FROM h_k1),
+h_k3 AS (SELECT *, CASE WHEN v >= {edge('k2 + 1')} AND k2 <> {n - 1} THEN k2 + 1
+                        ELSE k2 END AS k3 FROM h_k2),
+h_cnt AS (SELECT k3 + 1 AS bin, h, count(*) AS c FROM h_k3 GROUP BY 1, 2),
+h_grid AS (SELECT CAST(g.b AS INTEGER) AS bin, hs.h, lo, hi, step
+           FROM generate_series(1, {n}) g(b) CROSS JOIN {hues} hs CROSS JOIN h_par)
+SELECT h_grid.h AS hue, h_grid.bin,
+       round({edge('h_grid.bin - 1')}, 6) AS bin_lo,
+       round({edge('h_grid.bin')}, 6) AS bin_hi,
+       CAST(coalesce(h_cnt.c, 0) AS BIGINT) AS count
+FROM h_grid LEFT JOIN h_cnt ON h_grid.bin = h_cnt.bin AND h_grid.h IS NOT DISTINCT FROM h_cnt.h"""
+
+
+# ---------------------------------------------------------------- cleaning
+register("trim_to_double", f"""
+WITH {CLEAN_CTE}
+SELECT customer_id, total_charges FROM parsed""")
+
+register("fill_total_charges", f"""
+WITH {CLEAN_CTE}
+SELECT customer_id, coalesce(total_charges, monthly_charges * tenure_months) AS total_charges
+FROM parsed""")
+
+register("null_counts", f"WITH {CLEAN_CTE}\n" + union_all([
+    f"SELECT '{c}' AS \"column\", CAST(count_if({missing_sql(c, d)}) AS BIGINT) AS null_count"
+    f" FROM parsed" for c, d in PARSED_TYPES.items()]))
+
+register("null_mask", f"WITH {CLEAN_CTE}\nSELECT customer_id, " + ", ".join(
+    f"{missing_sql(c, d)} AS {c}" for c, d in PARSED_TYPES.items() if c != "customer_id")
+    + " FROM parsed")
+
+register("replace_values", f"""
+WITH {CLEAN_CTE}
+SELECT customer_id, CASE WHEN contract IN ('One year', 'Two year') THEN 'Long term'
+                         ELSE contract END AS contract FROM clean""")
+
+register("filter_project", f"""
+WITH {CLEAN_CTE}
+SELECT customer_id, city, monthly_charges FROM clean
+WHERE contract = 'Month-to-month' AND tenure_months >= 12""")
+
+register("drop_columns", f"""
+WITH {CLEAN_CTE}
+SELECT * EXCLUDE (payment_method, city) FROM clean""")
+
+register("drop_rows_by_key", f"""
+WITH {CLEAN_CTE}
+SELECT customer_id, churn_score FROM clean
+WHERE customer_id NOT IN (SELECT customer_id FROM clean WHERE churn_score >= 90)""")
+
+register("topk_other", f"""
+WITH {MART_CTE},
+top_city AS (SELECT city FROM customer_360 WHERE city IS NOT NULL GROUP BY city
+             ORDER BY count(*) DESC, city LIMIT 20)
+SELECT customer_id, CASE WHEN city IN (SELECT city FROM top_city) THEN city ELSE 'Other' END
+       AS city FROM customer_360""")
+
+register("topk_isin", f"""
+WITH {CLEAN_CTE},
+top2 AS (SELECT city FROM clean WHERE city IS NOT NULL GROUP BY city
+         ORDER BY count(*) DESC, city LIMIT 20)
+SELECT customer_id, city FROM clean WHERE city IN (SELECT city FROM top2)""")
+
+register("filter_churned", f"""
+WITH {CLEAN_CTE}
+SELECT customer_id, tenure_months, cltv FROM clean
+WHERE churn_value = 1 AND tenure_months >= 60""")
+
+register("coerce_int_float", f"""
+WITH {MART_CTE}
+SELECT customer_id,
+       TRY_CAST(trim(' ' || CAST(tenure_months AS VARCHAR)) AS INTEGER) AS tenure_int,
+       CASE WHEN isnan(TRY_CAST(trim(total_charges_raw) AS DOUBLE)) THEN NULL
+            ELSE TRY_CAST(trim(total_charges_raw) AS DOUBLE) END AS charges_double,
+       CASE WHEN regexp_full_match(trim(total_charges_raw), '[+-]?[0-9]+')
+            THEN TRY_CAST(trim(total_charges_raw) AS INTEGER) END AS charges_int
+FROM customer_360""")
+
+register("clean_customers", f"""
+WITH {CLEAN_CTE}
+SELECT * FROM clean""")
+
+# ---------------------------------------------------------------- profiles
+register("agg_named", f"WITH {CLEAN_CTE}\nSELECT " + ", ".join(
+    f"round(avg({c}), 6) AS {c}" for c in CLEAN_NUMERIC) + " FROM clean")
+
+register("agg_list", agg_matrix_sql(
+    CLEAN_CTE, "clean", {c: ["min", "max", "mean", "median", "std"] for c in CLEAN_NUMERIC}, 6))
+
+register("agg_dict", agg_matrix_sql(
+    CLEAN_CTE, "clean", {"tenure_months": ["min", "max"], "cltv": ["mean"],
+                         "monthly_charges": ["median", "sum"], "city": ["nunique"]}, 4))
+
+register("agg_callable", f"""
+WITH {CLEAN_CTE}
+SELECT CAST(max(monthly_charges) AS DOUBLE) AS monthly_charges,
+       CAST(max(cltv) AS DOUBLE) AS cltv FROM clean""")
+
+register("value_counts", f"""
+WITH {CLEAN_CTE}
+SELECT city, count(*) AS count FROM clean WHERE city IS NOT NULL GROUP BY city""")
+
+register("value_counts_many", f"WITH {BINNED_CTE}\n" + union_all([
+    f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS count "
+    f"FROM binned WHERE {c} IS NOT NULL GROUP BY {c}"
+    for c in ("contract", "internet_service", "payment_method", "tenure_group")]))
+
+register("value_counts_lineitem", union_all([
+    f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS count "
+    f"FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c}"
+    for c in ("l_returnflag", "l_linestatus", "l_linenumber")]))
+
+register("mean_churn", f"""
+WITH {CLEAN_CTE}
+SELECT round(avg(churn_value), 6) AS churn_rate FROM clean""")
+
+register("median_monthly", f"""
+WITH {CLEAN_CTE}
+SELECT round(median(monthly_charges), 6) AS median_monthly_charges FROM clean""")
+
+register("median_cltv_longtenure", f"""
+WITH {CLEAN_CTE}
+SELECT round(median(cltv), 6) AS median_cltv, count(*) AS customers FROM clean
+WHERE churn_value = 1 AND tenure_months >= 60""")
+
+register("count_distinct", f"WITH {CLEAN_CTE}\n" + union_all([
+    f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct FROM clean"
+    for c in PARSED_TYPES]))
+
+register("mode", f"WITH {CLEAN_CTE}\n" + union_all([
+    f"SELECT '{c}' AS \"column\", (SELECT CAST({c} AS VARCHAR) FROM clean WHERE {c} IS NOT NULL"
+    f" GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mode"
+    for c in ("city", "contract", "internet_service", "payment_method", "tenure_months")]))
+
+register("median_where", f"""
+WITH {CLEAN_CTE}
+SELECT internet_service, round(median(monthly_charges), 6) AS median_monthly_charges
+FROM clean GROUP BY internet_service""")
+
+
+def describe_sql(cte: str, src: str, cols, digits: int) -> str:
+    stats = [("count", "CAST(count({c}) AS DOUBLE)"), ("mean", "avg({c})"),
+             ("std", "stddev_samp({c})"), ("min", "CAST(min({c}) AS DOUBLE)"),
+             ("25%", "quantile_cont({c}, 0.25)"), ("50%", "quantile_cont({c}, 0.5)"),
+             ("75%", "quantile_cont({c}, 0.75)"), ("max", "CAST(max({c}) AS DOUBLE)")]
+    head = f"WITH {cte}\n" if cte else ""
+    return head + union_all([
+        f"SELECT '{s}' AS statistic, " + ", ".join(
+            f"round(CAST({e.format(c=f'CAST({c} AS DOUBLE)')} AS DOUBLE), {digits}) AS {c}"
+            for c in cols) + f" FROM {src}" for s, e in stats])
+
+
+register("describe", describe_sql(CLEAN_CTE, "clean", CLEAN_NUMERIC, 6))
+register("describe_lineitem", describe_sql(
+    "", "lineitem", ("l_quantity", "l_extendedprice", "l_discount", "l_tax"), 4))
+
+CLEAN_DTYPES = [("customer_id", "bigint"), ("city", "string"), ("tenure_months", "int"),
+                ("monthly_charges", "double"), ("contract", "string"),
+                ("internet_service", "string"), ("payment_method", "string"),
+                ("churn_value", "int"), ("churn_score", "int"), ("cltv", "double"),
+                ("total_charges", "double")]
+register("info", f"WITH {CLEAN_CTE}\n" + union_all([
+    f"SELECT '{c}' AS \"column\", CAST({i} AS INTEGER) AS position, '{t}' AS dtype, "
+    f"count({c}) AS non_null FROM clean" for i, (c, t) in enumerate(CLEAN_DTYPES)]))
+
+register("histogram", histogram_sql(CLEAN_CTE, "clean", "monthly_charges", 20, None))
+register("histogram_hue", histogram_sql(CLEAN_CTE, "clean", "tenure_months", 20, "churn_value"))
+register("histogram_lineitem", histogram_sql(
+    "li AS (SELECT * FROM lineitem)", "li", "l_extendedprice", 20, "l_returnflag"))
+
+register("count_by", f"""
+WITH {CLEAN_CTE}
+SELECT coalesce(CAST(contract AS VARCHAR), 'nan') AS category,
+       coalesce(CAST(churn_value AS VARCHAR), 'nan') AS hue, count(*) AS count
+FROM clean GROUP BY 1, 2""")
+
+_CORR_COLS = ("tenure_months", "monthly_charges", "churn_value", "churn_score", "cltv",
+              "total_charges")
+register("corr_matrix", f"WITH {CLEAN_CTE}\n" + union_all([
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(CASE WHEN isnan(corr({a}, {b})) THEN NULL "
+    f"ELSE corr({a}, {b}) END, 6) AS r FROM clean" for a in _CORR_COLS for b in _CORR_COLS]))

@@ -43,3 +43,234 @@ def q_churn_by_tenure_group(spark, sf_dir):
 @query
 def q_customer_360(spark, sf_dir):
     return customer_360(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- cleaning
+from ..operators import profile  # noqa: E402
+
+CLEAN_NUMERIC = ("tenure_months", "monthly_charges", "total_charges", "cltv")
+
+
+def parsed_mart(spark, sf_dir):
+    return clean.parse_total_charges(customer_360(spark, sf_dir))
+
+
+@query
+def q_trim_to_double(spark, sf_dir):
+    m = customer_360(spark, sf_dir)
+    return clean.parse_total_charges(m, dst="total_charges").select(
+        "customer_id", "total_charges")
+
+
+@query
+def q_fill_total_charges(spark, sf_dir):
+    return clean.fill_total_charges(parsed_mart(spark, sf_dir)).select(
+        "customer_id", "total_charges")
+
+
+@query
+def q_null_counts(spark, sf_dir):
+    return clean.null_counts(parsed_mart(spark, sf_dir))
+
+
+@query
+def q_null_mask(spark, sf_dir):
+    return clean.null_mask(parsed_mart(spark, sf_dir), keep=["customer_id"])
+
+
+@query
+def q_replace_values(spark, sf_dir):
+    df = clean.replace_values(clean_mart(spark, sf_dir), "contract",
+                              ["One year", "Two year"], "Long term")
+    return df.select("customer_id", "contract")
+
+
+@query
+def q_filter_project(spark, sf_dir):
+    df = clean_mart(spark, sf_dir)
+    cond = (F.col("contract") == "Month-to-month") & (F.col("tenure_months") >= 12)
+    return clean.filter_project(df, cond, ["customer_id", "city", "monthly_charges"])
+
+
+@query
+def q_drop_columns(spark, sf_dir):
+    return clean.drop_columns(clean_mart(spark, sf_dir),
+                              ["payment_method", "city", "not_a_column"])
+
+
+@query
+def q_drop_rows_by_key(spark, sf_dir):
+    df = clean_mart(spark, sf_dir)
+    keys = df.filter(F.col("churn_score") >= 90).select("customer_id")
+    return clean.drop_rows_by_key(df, keys, "customer_id").select(
+        "customer_id", "churn_score")
+
+
+@query
+def q_topk_other(spark, sf_dir):
+    return clean.topk_other(customer_360(spark, sf_dir), "city", 20).select(
+        "customer_id", "city")
+
+
+@query
+def q_topk_isin(spark, sf_dir):
+    return clean.topk_isin(clean_mart(spark, sf_dir), "city", 20).select(
+        "customer_id", "city")
+
+
+@query
+def q_filter_churned(spark, sf_dir):
+    return clean.filter_churned(clean_mart(spark, sf_dir), min_tenure=60).select(
+        "customer_id", "tenure_months", "cltv")
+
+
+@query
+def q_coerce_int_float(spark, sf_dir):
+    from ..functions.columns import coerce_double, coerce_int
+    m = customer_360(spark, sf_dir)
+    tenure_txt = F.concat(F.lit(" "), F.col("tenure_months").cast("string"))
+    return m.select("customer_id",
+                    coerce_int(tenure_txt).alias("tenure_int"),
+                    coerce_double(F.col("total_charges_raw")).alias("charges_double"),
+                    coerce_int(F.col("total_charges_raw")).alias("charges_int"))
+
+
+@query
+def q_clean_customers(spark, sf_dir):
+    return clean_mart(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- profiles
+@query
+def q_agg_named(spark, sf_dir):
+    df = profile.agg_named(clean_mart(spark, sf_dir), "mean", list(CLEAN_NUMERIC))
+    return df.select(*[F.round(c, 6).alias(c) for c in CLEAN_NUMERIC])
+
+
+@query
+def q_agg_list(spark, sf_dir):
+    df = profile.agg_list(clean_mart(spark, sf_dir),
+                          ["min", "max", "mean", "median", "std"], list(CLEAN_NUMERIC))
+    return df.select("aggregate", *[F.round(c, 6).alias(c) for c in CLEAN_NUMERIC])
+
+
+@query
+def q_agg_dict(spark, sf_dir):
+    spec = {"tenure_months": ["min", "max"], "cltv": "mean",
+            "monthly_charges": ["median", "sum"], "city": "nunique"}
+    df = profile.agg_dict(clean_mart(spark, sf_dir), spec)
+    return df.select("aggregate", *[F.round(c, 4).alias(c) for c in spec])
+
+
+@query
+def q_agg_callable(spark, sf_dir):
+    return profile.agg_callable(clean_mart(spark, sf_dir), profile.np_max,
+                                ["monthly_charges", "cltv"])
+
+
+@query
+def q_value_counts(spark, sf_dir):
+    return profile.value_counts(clean_mart(spark, sf_dir), "city")
+
+
+@query
+def q_value_counts_many(spark, sf_dir):
+    return profile.value_counts_many(
+        binned_mart(spark, sf_dir),
+        ["contract", "internet_service", "payment_method", "tenure_group"])
+
+
+@query
+def q_value_counts_lineitem(spark, sf_dir):
+    from ..sources.tables import read_table
+    li = read_table(spark, sf_dir, "lineitem", "l_returnflag", "l_linestatus",
+                    "l_linenumber")
+    return profile.value_counts_many(li, ["l_returnflag", "l_linestatus", "l_linenumber"])
+
+
+@query
+def q_mean_churn(spark, sf_dir):
+    return clean_mart(spark, sf_dir).agg(F.round(F.avg("churn_value"), 6).alias("churn_rate"))
+
+
+@query
+def q_median_monthly(spark, sf_dir):
+    return clean_mart(spark, sf_dir).agg(
+        F.round(F.median("monthly_charges"), 6).alias("median_monthly_charges"))
+
+
+@query
+def q_median_cltv_longtenure(spark, sf_dir):
+    df = clean.filter_churned(clean_mart(spark, sf_dir), min_tenure=60)
+    return df.agg(F.round(F.median("cltv"), 6).alias("median_cltv"),
+                  F.count(F.lit(1)).alias("customers"))
+
+
+@query
+def q_count_distinct(spark, sf_dir):
+    return profile.count_distinct(clean_mart(spark, sf_dir))
+
+
+@query
+def q_mode(spark, sf_dir):
+    return profile.modes(clean_mart(spark, sf_dir),
+                         ["city", "contract", "internet_service", "payment_method",
+                          "tenure_months"])
+
+
+@query
+def q_median_where(spark, sf_dir):
+    return clean_mart(spark, sf_dir).groupBy("internet_service").agg(
+        F.round(F.median("monthly_charges"), 6).alias("median_monthly_charges"))
+
+
+@query
+def q_describe(spark, sf_dir):
+    df = profile.describe(clean_mart(spark, sf_dir), list(CLEAN_NUMERIC))
+    return df.select("statistic", *[F.round(c, 6).alias(c) for c in CLEAN_NUMERIC])
+
+
+LINEITEM_NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query
+def q_describe_lineitem(spark, sf_dir):
+    from ..sources.tables import read_table
+    li = read_table(spark, sf_dir, "lineitem", *LINEITEM_NUMERIC)
+    df = profile.describe(li)
+    return df.select("statistic", *[F.round(c, 4).alias(c) for c in LINEITEM_NUMERIC])
+
+
+@query
+def q_info(spark, sf_dir):
+    return profile.info(clean_mart(spark, sf_dir))
+
+
+@query
+def q_histogram(spark, sf_dir):
+    return profile.histogram(clean_mart(spark, sf_dir), "monthly_charges", 20)
+
+
+@query
+def q_histogram_hue(spark, sf_dir):
+    return profile.histogram(clean_mart(spark, sf_dir), "tenure_months", 20, hue="churn_value")
+
+
+@query
+def q_histogram_lineitem(spark, sf_dir):
+    from ..sources.tables import read_table
+    li = read_table(spark, sf_dir, "lineitem", "l_extendedprice", "l_returnflag")
+    return profile.histogram(li, "l_extendedprice", 20, hue="l_returnflag")
+
+
+@query
+def q_count_by(spark, sf_dir):
+    return profile.count_by(clean_mart(spark, sf_dir), "contract", hue="churn_value")
+
+
+@query
+def q_corr_matrix(spark, sf_dir):
+    return profile.corr_matrix(
+        clean_mart(spark, sf_dir),
+        ["tenure_months", "monthly_charges", "churn_value", "churn_score", "cltv",
+         "total_charges"])
