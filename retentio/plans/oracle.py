@@ -362,3 +362,256 @@ _CORR_COLS = ("tenure_months", "monthly_charges", "churn_value", "churn_score",
 register("corr_matrix", f"WITH {CLEAN_CTE}\n" + union_all([
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(CASE WHEN isnan(corr({a}, {b})) THEN NULL "
     f"ELSE corr({a}, {b}) END, 6) AS r FROM clean" for a in _CORR_COLS for b in _CORR_COLS]))
+
+
+# ---------------------------------------------------------------- binning
+register("bin_tenure", f"""
+WITH {BINNED_CTE}
+SELECT customer_id, tenure_months, tenure_group FROM binned""")
+
+register("bin_score", f"""
+WITH {BINNED_CTE}
+SELECT customer_id, churn_score, churn_score_band FROM binned""")
+
+register("bin_value", f"""
+WITH {BINNED_CTE}
+SELECT customer_id, cltv, customer_value FROM binned""")
+
+register("bin_all", f"""
+WITH {BINNED_CTE}
+SELECT customer_id, tenure_group, churn_score_band, customer_value FROM binned""")
+
+register("bin_tenure_open", f"""
+WITH {MART_CTE}
+SELECT customer_id, CAST(tenure_months AS INTEGER) AS tenure_months,
+       {TENURE_GROUP_SQL} AS tenure_group FROM customer_360""")
+
+register("bin_equal_width", f"""
+WITH {CLEAN_CTE},
+r AS (SELECT min(monthly_charges) AS mn, max(monthly_charges) AS mx FROM clean),
+b0 AS (SELECT customer_id, monthly_charges AS v, mn, mx,
+              (mx - mn) / CAST(4 AS DOUBLE) AS step FROM clean, r),
+b1 AS (SELECT *, least(greatest(CAST(ceil((v - mn) / step) AS INTEGER), 1), 4) AS k FROM b0),
+b2 AS (SELECT *, k
+         - CASE WHEN k > 1 AND v <= (CASE WHEN k - 1 >= 4 THEN mx ELSE mn + step * (k - 1) END)
+                THEN 1 ELSE 0 END
+         + CASE WHEN k < 4 AND v > (CASE WHEN k >= 4 THEN mx ELSE mn + step * k END)
+                THEN 1 ELSE 0 END AS k2 FROM b1)
+SELECT customer_id, v AS monthly_charges,
+       CASE WHEN mx = mn THEN 'Q2' WHEN v BETWEEN mn AND mx
+            THEN (['Q1', 'Q2', 'Q3', 'Q4'])[k2] END AS charge_band FROM b2""")
+
+# ---------------------------------------------------------------- chi-square
+SCAN_FEATURES = ("city", "contract", "internet_service", "payment_method", "tenure_group",
+                 "churn_score_band", "customer_value")
+
+
+def chi2_cte(features, label="churn_value", src="binned") -> str:
+    longs = union_all([
+        f"SELECT '{f}' AS feature, CAST({f} AS VARCHAR) AS value, "
+        f"CAST({label} AS VARCHAR) AS lab FROM {src} WHERE {label} IS NOT NULL" for f in features])
+    return f"""{BINNED_CTE},
+c_long AS ({longs}),
+c_cnt AS (SELECT feature, value, lab, count(*) AS observed FROM c_long
+          WHERE value IS NOT NULL GROUP BY 1, 2, 3),
+c_labs AS (SELECT DISTINCT CAST({label} AS VARCHAR) AS lab FROM {src}
+           WHERE {label} IS NOT NULL),
+c_grid AS (SELECT DISTINCT feature, value FROM c_cnt),
+c_cells AS (SELECT g.feature, g.value, l.lab, coalesce(c.observed, 0) AS observed
+            FROM c_grid g CROSS JOIN c_labs l
+            LEFT JOIN c_cnt c ON c.feature = g.feature AND c.value = g.value AND c.lab = l.lab),
+c_e AS (SELECT *, sum(observed) OVER (PARTITION BY feature, value) AS rt,
+               sum(observed) OVER (PARTITION BY feature, lab) AS ct,
+               sum(observed) OVER (PARTITION BY feature) AS n FROM c_cells),
+c_e2 AS (SELECT *, CAST(rt * ct AS DOUBLE) / n AS expected FROM c_e),
+c_shape AS (SELECT feature, CAST(count(DISTINCT value) AS INTEGER) AS n_rows,
+                   CAST(count(DISTINCT lab) AS INTEGER) AS n_cols FROM c_cells GROUP BY feature),
+c_t AS (SELECT c_e2.*, n_rows, n_cols, (n_rows - 1) * (n_cols - 1) AS dof,
+               CASE WHEN (n_rows - 1) * (n_cols - 1) = 1
+                    THEN observed + 0.5 * sign(expected - observed)
+                    ELSE CAST(observed AS DOUBLE) END AS oadj
+        FROM c_e2 JOIN c_shape USING (feature)),
+c_per AS (SELECT feature, CAST(first(n) AS BIGINT) AS n, first(n_rows) AS n_rows,
+                 first(n_cols) AS n_cols, first(dof) AS dof, count(*) AS cells,
+                 CAST(count_if(expected < 5) AS BIGINT) AS cells_lt5,
+                 sum((oadj - expected) * (oadj - expected) / expected) AS statistic
+          FROM c_t GROUP BY feature)"""
+
+
+register("contingency", f"""
+WITH {chi2_cte(["contract"])}
+SELECT value AS contract, lab AS churn_value, CAST(observed AS BIGINT) AS observed
+FROM c_cells""")
+
+register("chi2_expected", f"""
+WITH {chi2_cte(["contract"])}
+SELECT value AS contract, lab AS churn_value, CAST(observed AS BIGINT) AS observed,
+       round(expected, 6) AS expected FROM c_e2""")
+
+register("chi2_assumption", f"""
+WITH {chi2_cte(SCAN_FEATURES)}
+SELECT feature, cells, cells_lt5, round(CAST(cells_lt5 AS DOUBLE) / cells, 6) AS share_lt5,
+       CAST(cells_lt5 AS DOUBLE) / cells <= 0.2 AS assumption_met FROM c_per""")
+
+register("chi2_scan", f"""
+WITH {chi2_cte(SCAN_FEATURES)}
+SELECT feature, n, dof, round(statistic, 6) AS statistic,
+       round(CASE WHEN least(n_rows, n_cols) - 1 > 0 AND n > 0
+                  THEN sqrt(statistic / (n * (least(n_rows, n_cols) - 1))) END, 6) AS cramers_v
+FROM c_per""")
+
+# ---------------------------------------------------------------- decision
+SCORED_CTE = BINNED_CTE + f""",
+scored AS (SELECT *, {PROB_SQL} AS churn_probability FROM binned)"""
+
+PROFIT_SQL = f"""{SCORED_CTE},
+pv AS (SELECT median(cltv) AS value FROM customer_360),
+grid AS (SELECT CAST(i AS DOUBLE) / 1000 AS threshold FROM generate_series(50, 950) g(i)),
+cm AS (SELECT threshold,
+              count_if(churn_value = 1 AND churn_probability > threshold) AS tp,
+              count_if(churn_value = 0 AND churn_probability > threshold) AS fp,
+              count_if(churn_value = 1 AND NOT (churn_probability > threshold)) AS fn,
+              count_if(churn_value = 0 AND NOT (churn_probability > threshold)) AS tn
+       FROM grid CROSS JOIN scored GROUP BY threshold),
+curve AS (SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+                 CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn,
+                 round(tp * (value * CAST(0.8 AS DOUBLE) - CAST(100 AS DOUBLE))
+                       - fp * CAST(100 AS DOUBLE) - fn * value, 4) AS profit
+          FROM cm, pv)"""
+
+register("profit_curve", f"WITH {PROFIT_SQL}\nSELECT * FROM curve")
+
+register("profit_threshold", f"""
+WITH {PROFIT_SQL}
+SELECT threshold, profit AS best_profit FROM curve ORDER BY profit DESC, threshold LIMIT 1""")
+
+CONFUSION_SQL = """SELECT CAST(count_if(churn_value = 0 AND NOT pred) AS BIGINT) AS tn,
+       CAST(count_if(churn_value = 0 AND pred) AS BIGINT) AS fp,
+       CAST(count_if(churn_value = 1 AND NOT pred) AS BIGINT) AS fn,
+       CAST(count_if(churn_value = 1 AND pred) AS BIGINT) AS tp
+FROM (SELECT churn_value, churn_probability > 0.5 AS pred FROM scored) x"""
+
+register("confusion", f"WITH {SCORED_CTE}\n{CONFUSION_SQL}")
+
+AUC_SQL = """auc_s AS (SELECT churn_probability AS p, sum(churn_value) AS pos,
+                  sum(1 - churn_value) AS neg FROM scored GROUP BY 1),
+auc_c AS (SELECT p, pos, neg, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED
+                 PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM auc_s),
+auc AS (SELECT round(sum(pos * (neg_below + 0.5 * neg)) / (sum(pos) * sum(neg)), 6) AS roc_auc
+        FROM auc_c)"""
+
+register("roc_auc", f"WITH {SCORED_CTE},\n{AUC_SQL}\nSELECT * FROM auc")
+
+
+def _sdiv(a, b):
+    return f"CASE WHEN ({b}) = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE) / ({b}) END"
+
+
+register("eval_metrics", f"""
+WITH {SCORED_CTE},
+{AUC_SQL},
+cm AS ({CONFUSION_SQL}),
+pr AS (SELECT *, {_sdiv('tp', 'tp + fn')} AS recall, {_sdiv('tp', 'tp + fp')} AS precision
+       FROM cm)
+SELECT round(recall, 6) AS recall, round(precision, 6) AS precision,
+       round({_sdiv('tp + tn', 'tp + tn + fp + fn')}, 6) AS accuracy,
+       round({_sdiv('2 * precision * recall', 'precision + recall')}, 6) AS f1, roc_auc
+FROM pr, auc""")
+
+register("score", f"""
+WITH {SCORED_CTE}
+SELECT customer_id, churn_probability,
+       CAST(churn_probability >= 0.5 AS INTEGER) AS intervention_flag FROM scored""")
+
+register("top_n_scored", f"""
+WITH {SCORED_CTE}
+SELECT customer_id, churn_probability,
+       CAST(churn_probability >= 0.5 AS INTEGER) AS intervention_flag FROM scored
+ORDER BY churn_probability DESC, customer_id LIMIT 100""")
+
+register("rank_scored", f"""
+WITH {SCORED_CTE}
+SELECT customer_id, churn_probability FROM scored""")
+
+ASSIGN_SQL = f"""{SCORED_CTE},
+assigned AS (
+  SELECT *, CASE (('0x' || substr(md5(concat_ws('|', CAST(customer_id AS VARCHAR), '123')),
+                                  1, 8))::BIGINT % 3)
+              WHEN 0 THEN 'A (Control)' WHEN 1 THEN 'B (Price Offer)'
+              ELSE 'C (Service Offer)' END AS "group"
+  FROM scored WHERE churn_probability >= 0.5 AND contract = 'Month-to-month'),
+assigned2 AS (
+  SELECT *, CASE "group" WHEN 'A (Control)' THEN 'None (Control)'
+                         WHEN 'B (Price Offer)' THEN '10% Off 1-Year Contract'
+                         ELSE '6 Months Free Tech Support' END AS intervention_details
+  FROM assigned)"""
+
+register("abc_assign", f"""
+WITH {ASSIGN_SQL}
+SELECT customer_id, "group", intervention_details FROM assigned2""")
+
+register("group_summary", f"""
+WITH {ASSIGN_SQL}
+SELECT "group", count(*) AS customer_count FROM assigned2 GROUP BY 1""")
+
+register("abc_readout", f"""
+WITH {ASSIGN_SQL},
+per AS (SELECT "group", count(*) AS customers, CAST(sum(churn_value) AS BIGINT) AS events
+        FROM assigned2 GROUP BY 1),
+ctl AS (SELECT customers AS c_n, events AS c_e FROM per WHERE "group" = 'A (Control)'),
+j AS (SELECT *, CAST(events AS DOUBLE) / customers AS rate,
+             CAST(c_e AS DOUBLE) / c_n AS c_rate,
+             CAST(events + c_e AS DOUBLE) / (customers + c_n) AS pooled FROM per, ctl),
+k AS (SELECT *, sqrt(pooled * (1 - pooled) * (1.0 / customers + 1.0 / c_n)) AS se FROM j)
+SELECT "group", customers, events, round(rate, 6) AS rate, round(c_rate - rate, 6) AS uplift,
+       round(CASE WHEN "group" <> 'A (Control)' AND se > 0 THEN (c_rate - rate) / se END, 6)
+         AS z
+FROM k""")
+
+# ---------------------------------------------------------------- imputation
+register("impute_conditional", f"""
+WITH {CLEAN_CTE},
+inc AS (
+  SELECT customer_id,
+         CASE WHEN customer_id % 19 = 0 THEN NULL ELSE city END AS city,
+         CASE WHEN customer_id % 23 = 0 THEN NULL ELSE contract END AS contract,
+         CASE WHEN customer_id % 13 = 0 THEN NULL ELSE internet_service END AS internet_service,
+         CASE WHEN customer_id % 7 = 0 THEN NULL ELSE payment_method END AS payment_method,
+         CASE WHEN customer_id % 17 = 0 THEN NULL ELSE tenure_months END AS tenure_months,
+         CASE WHEN customer_id % 11 = 0 THEN NULL ELSE monthly_charges END AS monthly_charges,
+         CASE WHEN customer_id % 11 = 0 OR customer_id % 17 = 0 THEN NULL
+              ELSE total_charges END AS total_charges
+  FROM clean),
+gm AS (SELECT
+  (SELECT city FROM clean WHERE city IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+    AS g_city,
+  (SELECT contract FROM clean WHERE contract IS NOT NULL GROUP BY 1
+   ORDER BY count(*) DESC, 1 LIMIT 1) AS g_contract,
+  (SELECT internet_service FROM clean WHERE internet_service IS NOT NULL GROUP BY 1
+   ORDER BY count(*) DESC, 1 LIMIT 1) AS g_internet,
+  (SELECT payment_method FROM clean WHERE payment_method IS NOT NULL GROUP BY 1
+   ORDER BY count(*) DESC, 1 LIMIT 1) AS g_payment,
+  (SELECT CAST(floor(median(tenure_months)) AS INTEGER) FROM clean) AS g_tenure,
+  (SELECT median(CAST(round(monthly_charges * 100) AS BIGINT)) FROM clean) AS g_med_c),
+cm AS (SELECT internet_service, payment_method AS m_pay FROM (
+         SELECT internet_service, payment_method,
+                row_number() OVER (PARTITION BY internet_service
+                                   ORDER BY count(*) DESC, payment_method) AS rn
+         FROM clean WHERE payment_method IS NOT NULL GROUP BY 1, 2) t WHERE rn = 1),
+mm AS (SELECT internet_service, median(CAST(round(monthly_charges * 100) AS BIGINT)) AS med_c
+       FROM clean WHERE monthly_charges IS NOT NULL GROUP BY 1),
+s1 AS (SELECT customer_id, coalesce(city, g_city) AS city,
+              coalesce(contract, g_contract) AS contract,
+              coalesce(internet_service, g_internet) AS internet_service,
+              payment_method, coalesce(tenure_months, g_tenure) AS tenure_months,
+              monthly_charges, total_charges, g_payment, g_med_c
+       FROM inc, gm),
+s2 AS (SELECT s1.*, coalesce(s1.payment_method, cm.m_pay, g_payment) AS pay2,
+              coalesce(s1.monthly_charges,
+                       round_even(coalesce(mm.med_c, g_med_c), 0) / 100) AS monthly2
+       FROM s1 LEFT JOIN cm ON s1.internet_service = cm.internet_service
+       LEFT JOIN mm ON s1.internet_service = mm.internet_service)
+SELECT customer_id, city, contract, internet_service, pay2 AS payment_method, tenure_months,
+       monthly2 AS monthly_charges,
+       coalesce(total_charges, round(monthly2 * tenure_months, 2)) AS total_charges
+FROM s2""")

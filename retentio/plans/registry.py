@@ -274,3 +274,193 @@ def q_corr_matrix(spark, sf_dir):
         clean_mart(spark, sf_dir),
         ["tenure_months", "monthly_charges", "churn_value", "churn_score", "cltv",
          "total_charges"])
+
+
+# ---------------------------------------------------------------- binning
+@query
+def q_bin_tenure(spark, sf_dir):
+    return binning.bin_tenure(clean_mart(spark, sf_dir)).select(
+        "customer_id", "tenure_months", "tenure_group")
+
+
+@query
+def q_bin_score(spark, sf_dir):
+    return binning.bin_score(clean_mart(spark, sf_dir)).select(
+        "customer_id", "churn_score", "churn_score_band")
+
+
+@query
+def q_bin_value(spark, sf_dir):
+    return binning.bin_value(clean_mart(spark, sf_dir)).select(
+        "customer_id", "cltv", "customer_value")
+
+
+@query
+def q_bin_all(spark, sf_dir):
+    return binned_mart(spark, sf_dir).select(
+        "customer_id", "tenure_group", "churn_score_band", "customer_value")
+
+
+@query
+def q_bin_tenure_open(spark, sf_dir):
+    m = customer_360(spark, sf_dir).withColumn(
+        "tenure_months", F.concat(F.lit(" "), F.col("tenure_months").cast("string")))
+    return binning.bin_tenure_open(m).select("customer_id", "tenure_months", "tenure_group")
+
+
+@query
+def q_bin_equal_width(spark, sf_dir):
+    df = binning.bin_column(clean_mart(spark, sf_dir), "monthly_charges", "charge_band", 4,
+                            ["Q1", "Q2", "Q3", "Q4"])
+    return df.select("customer_id", "monthly_charges", "charge_band")
+
+
+# ---------------------------------------------------------------- chi-square
+from ..operators import chisq, decision, impute  # noqa: E402
+from ..functions.columns import reference_probability  # noqa: E402
+
+SCAN_FEATURES = ("city", "contract", "internet_service", "payment_method", "tenure_group",
+                 "churn_score_band", "customer_value")
+
+
+@query
+def q_contingency(spark, sf_dir):
+    return chisq.contingency(clean_mart(spark, sf_dir), "contract", "churn_value")
+
+
+@query
+def q_chi2_expected(spark, sf_dir):
+    df = chisq.chi2_expected(clean_mart(spark, sf_dir), "contract", "churn_value")
+    return df.withColumn("expected", F.round("expected", 6))
+
+
+@query
+def q_chi2_assumption(spark, sf_dir):
+    st = chisq.chi2_statistics(binned_mart(spark, sf_dir), SCAN_FEATURES, "churn_value")
+    return st.select("feature", "cells", "cells_lt5", F.round("share_lt5", 6).alias("share_lt5"),
+                     "assumption_met")
+
+
+@query
+def q_chi2_scan(spark, sf_dir):
+    st = chisq.chi2_statistics(binned_mart(spark, sf_dir), SCAN_FEATURES, "churn_value")
+    return st.select("feature", "n", "dof", F.round("statistic", 6).alias("statistic"),
+                     F.round("cramers_v", 6).alias("cramers_v"))
+
+
+@query
+def q_chi2_tests(spark, sf_dir):
+    """Full tests with p-value, power and verdict (no SQL oracle: p needs the
+    chi-square tail; unit tests check it against known values)."""
+    t = chisq.chi2_tests(binned_mart(spark, sf_dir), SCAN_FEATURES, "churn_value")
+    return t.select("feature", "dof", F.round("statistic", 6).alias("statistic"),
+                    F.round("p_value", 8).alias("p_value"),
+                    F.round("cramers_v", 6).alias("cramers_v"),
+                    F.round("power", 6).alias("power"), "verdict", "strength",
+                    F.round("type_ii_error", 6).alias("type_ii_error"))
+
+
+# ---------------------------------------------------------------- decision
+PROFIT_COST, PROFIT_RETENTION = 100.0, 0.8
+
+
+def scored_mart(spark, sf_dir):
+    return binned_mart(spark, sf_dir).withColumn("churn_probability", reference_probability())
+
+
+def median_cltv(spark, sf_dir):
+    return customer_360(spark, sf_dir).agg(F.median("cltv")).scalar()
+
+
+@query
+def q_profit_curve(spark, sf_dir):
+    return decision.profit_curve(scored_mart(spark, sf_dir), median_cltv(spark, sf_dir),
+                                 PROFIT_COST, PROFIT_RETENTION)
+
+
+@query
+def q_profit_threshold(spark, sf_dir):
+    curve = decision.profit_curve(scored_mart(spark, sf_dir), median_cltv(spark, sf_dir),
+                                  PROFIT_COST, PROFIT_RETENTION)
+    return decision.best_threshold(curve)
+
+
+@query
+def q_confusion(spark, sf_dir):
+    s = scored_mart(spark, sf_dir).withColumn(
+        "prediction", (F.col("churn_probability") > 0.5).cast("int"))
+    return decision.confusion(s)
+
+
+@query
+def q_eval_metrics(spark, sf_dir):
+    return decision.eval_metrics(scored_mart(spark, sf_dir))
+
+
+@query
+def q_roc_auc(spark, sf_dir):
+    return decision.roc_auc(scored_mart(spark, sf_dir))
+
+
+@query
+def q_score(spark, sf_dir):
+    s = decision.score(scored_mart(spark, sf_dir), 0.5)
+    return s.select("customer_id", "churn_probability", "intervention_flag")
+
+
+@query
+def q_top_n_scored(spark, sf_dir):
+    s = decision.score(scored_mart(spark, sf_dir), 0.5)
+    return decision.top_n_scored(s, 100).select("customer_id", "churn_probability",
+                                                "intervention_flag")
+
+
+@query
+def q_rank_scored(spark, sf_dir):
+    return decision.rank_scored(scored_mart(spark, sf_dir)).select(
+        "customer_id", "churn_probability")
+
+
+def assigned_mart(spark, sf_dir):
+    return decision.abc_assign(decision.score(scored_mart(spark, sf_dir), 0.5), seed=123)
+
+
+@query
+def q_abc_assign(spark, sf_dir):
+    return assigned_mart(spark, sf_dir).select("customer_id", "group", "intervention_details")
+
+
+@query
+def q_group_summary(spark, sf_dir):
+    return decision.group_summary(assigned_mart(spark, sf_dir))
+
+
+@query
+def q_abc_readout(spark, sf_dir):
+    return decision.abc_readout(assigned_mart(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- imputation
+def incomplete_customers(spark, sf_dir):
+    """Stand-in input: the clean mart with some fields blanked by a key rule.
+    It only produces rows of the schema the imputation expects."""
+    df = clean_mart(spark, sf_dir)
+    k = F.col("customer_id")
+
+    def hole(c, m):
+        return F.when(F.pmod(k, F.lit(m)) == 0, F.lit(None)).otherwise(F.col(c))
+
+    return df.select("customer_id", hole("city", 19).alias("city"),
+                     hole("contract", 23).alias("contract"),
+                     hole("internet_service", 13).alias("internet_service"),
+                     hole("payment_method", 7).alias("payment_method"),
+                     hole("tenure_months", 17).alias("tenure_months"),
+                     hole("monthly_charges", 11).alias("monthly_charges"),
+                     F.when((F.pmod(k, F.lit(11)) == 0) | (F.pmod(k, F.lit(17)) == 0), None)
+                     .otherwise(F.col("total_charges")).alias("total_charges"))
+
+
+@query
+def q_impute_conditional(spark, sf_dir):
+    return impute.impute_conditional(incomplete_customers(spark, sf_dir),
+                                     clean_mart(spark, sf_dir))
