@@ -615,3 +615,115 @@ SELECT customer_id, city, contract, internet_service, pay2 AS payment_method, te
        monthly2 AS monthly_charges,
        coalesce(total_charges, round(monthly2 * tenure_months, 2)) AS total_charges
 FROM s2""")
+
+
+# ---------------------------------------------------------------- ML
+def md5_unit_sql(key: str, seed) -> str:
+    return (f"CAST(('0x' || substr(md5(concat_ws('|', CAST({key} AS VARCHAR), '{seed}')), 1, 8))"
+            f"::BIGINT AS DOUBLE) / 4294967296")
+
+
+register("split", f"""
+WITH {CLEAN_CTE}
+SELECT customer_id, CASE WHEN {md5_unit_sql('customer_id', 123)} < 0.2 THEN 'test'
+                         ELSE 'train' END AS split FROM clean""")
+
+register("stratified_folds", f"""
+WITH {CLEAN_CTE},
+h AS (SELECT customer_id, churn_value,
+             ('0x' || substr(md5(concat_ws('|', CAST(customer_id AS VARCHAR), 'fold123')),
+                             1, 12))::BIGINT AS hv FROM clean)
+SELECT customer_id, churn_value,
+       CAST((row_number() OVER (PARTITION BY churn_value ORDER BY hv, customer_id) - 1) % 5
+            AS INTEGER) AS fold
+FROM h""")
+
+_ROLE_COLS = [("city", "string"), ("monthly_charges", "double"), ("contract", "string"),
+              ("internet_service", "string"), ("payment_method", "string"),
+              ("tenure_group", "string"), ("tenure_months", "int"),
+              ("total_charges", "double"), ("churn_score", "int")]
+register("select_features", f"WITH {BINNED_CTE},\nroles AS (" + union_all([
+    f"SELECT '{c}' AS \"column\", '{t}' AS dtype, count(DISTINCT {c}) AS n_distinct FROM binned"
+    for c, t in _ROLE_COLS]) + """)
+SELECT "column", dtype, n_distinct,
+       CASE WHEN (dtype IN ('string', 'boolean') AND n_distinct <= 5) OR lower("column") = 'city'
+            THEN 'one_hot'
+            WHEN dtype IN ('int', 'bigint', 'double', 'float', 'smallint', 'tinyint')
+                 AND n_distinct > 5 THEN 'scale'
+            ELSE 'passthrough' END AS role
+FROM roles""")
+
+register("scale", f"""
+WITH {CLEAN_CTE},
+tr AS (SELECT * FROM clean WHERE {md5_unit_sql('customer_id', 123)} >= 0.2),
+st AS (SELECT avg(monthly_charges) AS m1, stddev_pop(monthly_charges) AS s1,
+              avg(CAST(tenure_months AS DOUBLE)) AS m2,
+              stddev_pop(CAST(tenure_months AS DOUBLE)) AS s2 FROM tr)
+SELECT customer_id,
+       round((monthly_charges - m1) / CASE WHEN s1 > 0 THEN s1 ELSE 1.0 END, 6)
+         AS monthly_scaled,
+       round((CAST(tenure_months AS DOUBLE) - m2) / CASE WHEN s2 > 0 THEN s2 ELSE 1.0 END, 6)
+         AS tenure_scaled
+FROM clean, st""")
+
+_VOTE_MODELS = f"""{SCORED_CTE},
+vm AS (SELECT customer_id, churn_value AS label, churn_probability AS m_a,
+              round(1.0 / (1.0 + exp(-(CAST(-1.0 AS DOUBLE) + CAST(0.03 AS DOUBLE) * churn_score
+                    - CAST(0.01 AS DOUBLE) * tenure_months))), 6) AS m_b,
+              round(churn_score / CAST(100.0 AS DOUBLE), 6) AS m_c FROM scored)"""
+
+
+def _vote_sql() -> str:
+    import itertools
+    ws = [(1, 1, 1)] + [w for w in itertools.product((1, 2, 3), repeat=3) if len(set(w)) > 1]
+    parts = []
+    for w in ws:
+        p = (f"(CAST({w[0]} AS DOUBLE) * m_a + CAST({w[1]} AS DOUBLE) * m_b "
+             f"+ CAST({w[2]} AS DOUBLE) * m_c) / CAST({sum(w)} AS DOUBLE)")
+        parts.append(
+            f"SELECT '{w[0]},{w[1]},{w[2]}' AS weights, "
+            f"CAST(count_if(label = 1 AND {p} > 0.5) AS DOUBLE) AS tp, "
+            f"CAST(count_if(label = 0 AND {p} > 0.5) AS DOUBLE) AS fp, "
+            f"CAST(count_if(label = 1 AND NOT ({p} > 0.5)) AS DOUBLE) AS fn, "
+            f"CAST(count_if(label = 0 AND NOT ({p} > 0.5)) AS DOUBLE) AS tn FROM vm")
+    return union_all(parts)
+
+
+register("soft_vote", f"""
+WITH {_VOTE_MODELS},
+c AS ({_vote_sql()}),
+m AS (SELECT weights, {_sdiv('tp', 'tp + fn')} AS recall, {_sdiv('tp', 'tp + fp')} AS precision,
+             {_sdiv('tp + tn', 'tp + tn + fp + fn')} AS accuracy FROM c),
+f AS (SELECT weights, round(recall, 6) AS recall, round(precision, 6) AS precision,
+             round(accuracy, 6) AS accuracy,
+             round({_sdiv('2 * precision * recall', 'precision + recall')}, 6) AS f1 FROM m)
+SELECT *, CAST(row_number() OVER (ORDER BY recall DESC, f1 DESC, weights) AS INTEGER) AS rank
+FROM f""")
+
+
+def knn_sql(k: int, weights: str, p: int) -> str:
+    dist = ("sqrt(sum((CAST(q.x AS DOUBLE) - CAST(r.x AS DOUBLE)) "
+            "* (CAST(q.x AS DOUBLE) - CAST(r.x AS DOUBLE))))" if p == 2
+            else "sum(abs(CAST(q.x AS DOUBLE) - CAST(r.x AS DOUBLE)))")
+    score = ("sum(CASE WHEN rlabel = 1 THEN 1.0 ELSE 0.0 END) / count(*)" if weights == "uniform"
+             else "sum(w * CASE WHEN rlabel = 1 THEN 1.0 ELSE 0.0 END) / sum(w)")
+    return f"""
+WITH tr AS (SELECT vec_id, embedding, label FROM embeddings
+            WHERE {md5_unit_sql('vec_id', 123)} >= 0.2),
+te AS (SELECT vec_id, embedding FROM embeddings WHERE {md5_unit_sql('vec_id', 123)} < 0.2),
+qe AS (SELECT vec_id AS qid, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i
+       FROM te),
+re AS (SELECT vec_id AS rid, label AS rlabel, unnest(embedding) AS x,
+              generate_subscripts(embedding, 1) AS i FROM tr),
+d AS (SELECT q.qid, r.rid, r.rlabel, {dist} AS dist
+      FROM qe q JOIN re r ON q.i = r.i GROUP BY q.qid, r.rid, r.rlabel),
+nn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS rn FROM d),
+top AS (SELECT *, max(CASE WHEN dist = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS has0
+        FROM nn WHERE rn <= {k}),
+tw AS (SELECT *, CASE WHEN has0 = 1 THEN (CASE WHEN dist = 0 THEN 1.0 ELSE 0.0 END)
+                      ELSE 1.0 / dist END AS w FROM top)
+SELECT qid AS vec_id, round({score}, 6) AS knn_score FROM tw GROUP BY qid"""
+
+
+register("knn_score", knn_sql(3, "uniform", 2))
+register("knn_score_distance", knn_sql(4, "distance", 1))

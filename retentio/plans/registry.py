@@ -464,3 +464,183 @@ def incomplete_customers(spark, sf_dir):
 def q_impute_conditional(spark, sf_dir):
     return impute.impute_conditional(incomplete_customers(spark, sf_dir),
                                      clean_mart(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- ML
+from ..operators import ensemble, knn, ml  # noqa: E402
+from ..session import shared_path  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+
+ML_FEATURES = ("city", "monthly_charges", "contract", "internet_service", "payment_method",
+               "tenure_group")
+
+
+def ml_frame(spark, sf_dir):
+    df = binned_mart(spark, sf_dir).withColumn("label", F.col("churn_value").cast("double"))
+    return ml.fill_categoricals(df.select("customer_id", "label", *ML_FEATURES),
+                                [c for c in ML_FEATURES if c != "monthly_charges"])
+
+
+def ml_train_test(spark, sf_dir):
+    df = ml_frame(spark, sf_dir)
+    train, test = ml.split(df, "customer_id", 0.2, 123)
+    return ml.stratified_folds(train, "label", "customer_id", 5, 123), test
+
+
+@query
+def q_split(spark, sf_dir):
+    return ml.split_label(clean_mart(spark, sf_dir)).select("customer_id", "split")
+
+
+@query
+def q_stratified_folds(spark, sf_dir):
+    return ml.stratified_folds(clean_mart(spark, sf_dir), "churn_value").select(
+        "customer_id", "churn_value", "fold")
+
+
+@query
+def q_select_features(spark, sf_dir):
+    return ml.feature_roles_table(binned_mart(spark, sf_dir), list(ML_FEATURES) + [
+        "tenure_months", "total_charges", "churn_score"])
+
+
+@query
+def q_scale(spark, sf_dir):
+    df = clean_mart(spark, sf_dir)
+    train, _ = ml.split(df)
+    model = ml.PopulationScaler(inputCols=["monthly_charges", "tenure_months"],
+                                outputCols=["monthly_scaled", "tenure_scaled"]).fit(train)
+    return model.transform(df).select("customer_id", F.round("monthly_scaled", 6).alias(
+        "monthly_scaled"), F.round("tenure_scaled", 6).alias("tenure_scaled"))
+
+
+@query
+def q_one_hot(spark, sf_dir):
+    """Encoder fitted on train rows, applied to all rows (unseen -> zeros)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    df = ml_frame(spark, sf_dir)
+    train, _ = ml.split(df)
+    roles = ml.FeatureRoles(one_hot=["contract", "internet_service", "tenure_group"])
+    stages, _ = ml.preprocessor_stages(roles)
+    model = Pipeline(stages=stages).fit(train)
+    return model.transform(df).select("customer_id",
+                                      vector_to_array("features").alias("one_hot"))
+
+
+@query
+def q_baseline_cv(spark, sf_dir):
+    """Mean 5-fold recall of untuned logistic regression on all rows."""
+    df = ml.stratified_folds(ml_frame(spark, sf_dir), "label")
+    roles = ml.select_features(df, ML_FEATURES)
+    r = ml.baseline_cv(ml.model_pipelines(roles, names=["LogisticRegression"]), df)
+    return spark.range(1).select(F.lit(round(r, 6)).alias("baseline_recall"))
+
+
+@query
+def q_tune(spark, sf_dir):
+    """Grid search (reduced logistic grid) with stratified 5-fold CV."""
+    train, _ = ml_train_test(spark, sf_dir)
+    roles = ml.select_features(train, ML_FEATURES)
+    pipes = ml.model_pipelines(roles, names=["LogisticRegression"])
+    train = ml.add_class_weights(train)
+    grid = ml.param_grids(pipes, train.count(), full=False)["LogisticRegression"]
+    r = ml.tune("LogisticRegression", pipes["LogisticRegression"], grid, train)
+    import json
+    return spark.createDataFrame([(r.name, json.dumps(r.params, sort_keys=True), r.cv_metric)],
+                                 "model string, params string, cv_recall double")
+
+
+@query
+def q_compare_models(spark, sf_dir):
+    """Tune logistic / random forest / Gaussian NB, evaluate on test, rank."""
+    train, test = ml_train_test(spark, sf_dir)
+    roles = ml.select_features(train, ML_FEATURES)
+    metrics, _, _ = ml.compare_models(train, test, roles, full_grid=False)
+    return metrics
+
+
+@query
+def q_feature_importance(spark, sf_dir):
+    """Top-4 features of a random forest and of a logistic model."""
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from pyspark.ml import Pipeline
+    train, _ = ml_train_test(spark, sf_dir)
+    roles = ml.select_features(train, ML_FEATURES)
+    stages, _ = ml.preprocessor_stages(roles)
+    rows = []
+    for name, clf in (("RandomForest", RandomForestClassifier(numTrees=20, maxDepth=5,
+                                                              seed=123)),
+                      ("LogisticRegression", LogisticRegression(standardization=False))):
+        m = Pipeline(stages=list(stages) + [clf]).fit(train)
+        for rank, (feat, val) in enumerate(ml.feature_importance(m, ml.slot_names(m, roles)), 1):
+            rows.append((name, rank, feat, float(val)))
+    return spark.createDataFrame(rows, "model string, rank int, feature string, "
+                                       "importance double")
+
+
+def _deployed_model(spark, sf_dir, overwrite=False):
+    df = ml_frame(spark, sf_dir)
+    roles = ml.select_features(df, ML_FEATURES)
+    pipe = ml.model_pipelines(roles, names=["LogisticRegression"])["LogisticRegression"]
+    tag = sf_dir.rstrip("/").rsplit("/", 1)[-1]
+    return ml.deploy(pipe, df, shared_path(spark, f"models/logistic_{tag}"), overwrite)
+
+
+@query
+def q_deploy(spark, sf_dir):
+    """Refit on all rows, save, load back and score (artifact round trip)."""
+    from pyspark.ml import PipelineModel
+    tag = sf_dir.rstrip("/").rsplit("/", 1)[-1]
+    _deployed_model(spark, sf_dir, overwrite=True)
+    loaded = PipelineModel.load(shared_path(spark, f"models/logistic_{tag}"))
+    return ml.score_with_model(loaded, ml_frame(spark, sf_dir), 0.5).select(
+        "customer_id", F.round("churn_probability", 6).alias("churn_probability"),
+        "intervention_flag")
+
+
+@query
+def q_score_model(spark, sf_dir):
+    """Load-or-train the deployed model; score, rank and assign test groups."""
+    model = _deployed_model(spark, sf_dir)
+    df = ml_frame(spark, sf_dir).join(clean_mart(spark, sf_dir).select(
+        "customer_id", F.col("contract").alias("contract_raw")), "customer_id")
+    scored = ml.score_with_model(model, df, 0.5).withColumn("contract", F.col("contract_raw"))
+    return decision.abc_assign(scored).select("customer_id", "churn_probability",
+                                              "intervention_flag", "group")
+
+
+def expression_models(spark, sf_dir):
+    """Long prediction table of three fixed-expression scorers (stand-in
+    models whose probabilities an SQL oracle can reproduce)."""
+    s = scored_mart(spark, sf_dir)
+    p_b = F.round(1 / (1 + F.exp(-(F.lit(-1.0) + F.lit(0.03) * F.col("churn_score")
+                                   - F.lit(0.01) * F.col("tenure_months")))), 6)
+    p_c = F.round(F.col("churn_score") / 100.0, 6)
+    base = s.select("customer_id", F.col("churn_value").alias("label"),
+                    F.col("churn_probability").alias("m_a"), p_b.alias("m_b"), p_c.alias("m_c"))
+    return base.unpivot(["customer_id", "label"], ["m_a", "m_b", "m_c"], "model", "proba")
+
+
+@query
+def q_soft_vote(spark, sf_dir):
+    return ensemble.soft_vote(expression_models(spark, sf_dir), ["m_a", "m_b", "m_c"])
+
+
+def embedding_sets(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    from ..functions.columns import md5_unit
+    u = md5_unit("vec_id", 123)
+    return e.filter(u >= 0.2), e.filter(u < 0.2)
+
+
+@query
+def q_knn_score(spark, sf_dir):
+    train, test = embedding_sets(spark, sf_dir)
+    return knn.knn_score(train, test, k=3, weights="uniform", p=2, positive=1)
+
+
+@query
+def q_knn_score_distance(spark, sf_dir):
+    train, test = embedding_sets(spark, sf_dir)
+    return knn.knn_score(train, test, k=4, weights="distance", p=1, positive=1)
