@@ -157,3 +157,11 @@ def clean_customers(df: DataFrame, top_k: int = 20,
     out = fill_total_charges(out)
     out = topk_other(out, "city", top_k)
     return drop_columns(out, drop)
+
+
+def head(df: DataFrame, n=5, order_by: str | None = None) -> DataFrame:
+    """First ``n`` rows (n < 0 or not an int -> 5), in an explicit order."""
+    if not isinstance(n, int) or isinstance(n, bool) or n < 0:
+        n = 5
+    ordered = df.orderBy(order_by) if order_by else df
+    return ordered.limit(n)

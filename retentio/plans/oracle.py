@@ -727,3 +727,20 @@ SELECT qid AS vec_id, round({score}, 6) AS knn_score FROM tw GROUP BY qid"""
 
 register("knn_score", knn_sql(3, "uniform", 2))
 register("knn_score_distance", knn_sql(4, "distance", 1))
+
+
+# ---------------------------------------------------------------- sources / sets
+register("src_table", "SELECT * FROM customer")
+register("src_table_dates", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS order_date "
+                            "FROM orders")
+register("sink_scored", f"""
+WITH {SCORED_CTE}
+SELECT customer_id, churn_probability, 1 AS intervention_flag FROM scored
+WHERE churn_probability >= 0.5""")
+register("head", f"WITH {CLEAN_CTE}\nSELECT * FROM clean ORDER BY customer_id LIMIT 5")
+register("attach_predictions", f"""
+WITH {_VOTE_MODELS}
+SELECT 'm_a' AS model, customer_id, label AS churn_value, m_a AS proba FROM vm
+UNION ALL SELECT 'm_b', customer_id, label, m_b FROM vm
+UNION ALL SELECT 'm_c', customer_id, label, m_c FROM vm""")
+register("profit_sorted", f"WITH {PROFIT_SQL}\nSELECT threshold, profit FROM curve")

@@ -644,3 +644,176 @@ def q_knn_score(spark, sf_dir):
 def q_knn_score_distance(spark, sf_dir):
     train, test = embedding_sets(spark, sf_dir)
     return knn.knn_score(train, test, k=4, weights="distance", p=1, positive=1)
+
+
+# ---------------------------------------------------------------- sources / sinks
+from ..sources import files, synthetic  # noqa: E402
+from ..sources.tables import table_path  # noqa: E402
+
+
+@query
+def q_src_table(spark, sf_dir):
+    """Customer table through the file reader (explicit schema, contract)."""
+    schema = ("c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+              "c_mktsegment string")
+    return files.read_customers(spark, table_path(sf_dir, "customer"), schema)
+
+
+@query
+def q_src_table_dates(spark, sf_dir):
+    """Orders through the file reader with a date column parsed."""
+    schema = ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+              "o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string")
+    df = files.read_customers(spark, table_path(sf_dir, "orders"), schema,
+                              date_cols=["o_orderdate"])
+    return df.select("o_orderkey", F.to_date("o_orderdate").alias("order_date"))
+
+
+@query
+def q_sink_scored(spark, sf_dir):
+    """Scored customers written partitioned by flag, read back (flagged only:
+    partition pruning)."""
+    tag = sf_dir.rstrip("/").rsplit("/", 1)[-1]
+    path = shared_path(spark, f"scored/{tag}")
+    s = decision.score(scored_mart(spark, sf_dir), 0.5).select(
+        "customer_id", "churn_probability", "intervention_flag")
+    files.write_scored(s, path)
+    return files.read_scored(spark, path, flagged_only=True).select(
+        "customer_id", "churn_probability", F.col("intervention_flag").cast("int")
+        .alias("intervention_flag"))
+
+
+@query
+def q_src_synthetic(spark, sf_dir):
+    """Synthetic customers (generator rules), one per customer key."""
+    keys = read_table(spark, sf_dir, "customer", "c_custkey")
+    return synthetic.generate_customers(keys, "c_custkey", seed=123)
+
+
+@query
+def q_src_synthetic_binned(spark, sf_dir):
+    keys = read_table(spark, sf_dir, "customer", "c_custkey")
+    return binning.bin_tenure(synthetic.generate_customers(keys, "c_custkey", seed=123))
+
+
+# ---------------------------------------------------------------- windows / sets
+@query
+def q_head(spark, sf_dir):
+    return clean.head(clean_mart(spark, sf_dir), 5, "customer_id")
+
+
+@query
+def q_union_results(spark, sf_dir):
+    """Model rows and ensemble rows stacked; missing columns -> NULL."""
+    m = decision.eval_metrics(scored_mart(spark, sf_dir)).withColumn("model", F.lit("m_a"))
+    v = ensemble.soft_vote(expression_models(spark, sf_dir), ["m_a", "m_b", "m_c"]).filter(
+        F.col("rank") == 1).select(F.lit("soft_vote").alias("model"), "weights", "recall",
+                                   "precision", "accuracy", "f1")
+    return m.unionByName(v, allowMissingColumns=True)
+
+
+@query
+def q_attach_predictions(spark, sf_dir):
+    """Predictions joined to labels on the customer key (not by position)."""
+    preds = expression_models(spark, sf_dir).drop("label")
+    labels = clean_mart(spark, sf_dir).select("customer_id", "churn_value")
+    return preds.join(labels, "customer_id").select("model", "customer_id", "churn_value",
+                                                    "proba")
+
+
+@query
+def q_profit_sorted(spark, sf_dir):
+    curve = decision.profit_curve(scored_mart(spark, sf_dir), median_cltv(spark, sf_dir),
+                                  PROFIT_COST, PROFIT_RETENTION)
+    return decision.profit_sorted(curve).select("threshold", "profit")
+
+
+# ---------------------------------------------------------------- EDA / jobs
+from ..plans import eda, jobs  # noqa: E402
+from ..operators import explain  # noqa: E402
+
+
+@query
+def q_eda_report(spark, sf_dir):
+    return eda.eda_report(binned_mart(spark, sf_dir))
+
+
+def _logistic_model(spark, sf_dir):
+    train, _ = ml_train_test(spark, sf_dir)
+    roles = ml.select_features(train, ML_FEATURES)
+    pipe = ml.model_pipelines(roles, names=["LogisticRegression"])["LogisticRegression"]
+    return pipe.fit(train), roles
+
+
+@query
+def q_explain_linear(spark, sf_dir):
+    """Exact margin contributions of a logistic model for every test row."""
+    model, roles = _logistic_model(spark, sf_dir)
+    train, test = ml_train_test(spark, sf_dir)
+    ranked, _ = explain.explain_linear(model, test, train, ml.slot_names(model, roles))
+    return ranked.withColumn("phi", F.round("phi", 6))
+
+
+@query
+def q_background_sample(spark, sf_dir):
+    model, _ = _logistic_model(spark, sf_dir)
+    train, _ = ml_train_test(spark, sf_dir)
+    return explain.background_sample(model, train, list(ML_FEATURES))
+
+
+def _shapley(spark, sf_dir, samples=16):
+    model, _ = _logistic_model(spark, sf_dir)
+    train, test = ml_train_test(spark, sf_dir)
+    bg = explain.background_sample(model, train, list(ML_FEATURES))
+    return explain.sampled_shapley(model, test, bg, list(ML_FEATURES), samples=samples)
+
+
+@query
+def q_explain_local(spark, sf_dir):
+    """Sampled-Shapley top-10 contributions for every test row."""
+    return explain.explain_local(_shapley(spark, sf_dir)).select(
+        "customer_id", "rank", "feature", F.round("phi", 6).alias("phi"))
+
+
+@query
+def q_explain_global(spark, sf_dir):
+    return explain.explain_global(_shapley(spark, sf_dir))
+
+
+@query
+def q_train_deploy(spark, sf_dir):
+    """Job B: compare models, refit the best on all rows, save."""
+    return jobs.train_deploy_job(spark, sf_dir).metrics
+
+
+@query
+def q_threshold_score_assign(spark, sf_dir):
+    """Job C: profit-optimal threshold, score, A/B/C groups (load-or-train)."""
+    r = jobs.train_deploy_job(spark, sf_dir, overwrite=False)
+    _, _, assigned = jobs.threshold_score_assign_job(spark, sf_dir, r)
+    return assigned.select("customer_id", F.round("churn_probability", 6)
+                           .alias("churn_probability"), "group", "intervention_details")
+
+
+# ---------------------------------------------------------------- streaming
+from ..streaming import score_stream  # noqa: E402
+
+STREAM_SCHEMA = ("customer_id bigint, city string, contract string, internet_service string, "
+                 "payment_method string, tenure_months int, monthly_charges double, "
+                 "total_charges double")
+
+
+@query
+def q_stream_score(spark, sf_dir):
+    """Incomplete customers arriving as files, scored by a streaming query."""
+    import uuid
+    run = shared_path(spark, f"stream/{uuid.uuid4().hex}")
+    incomplete_customers(spark, sf_dir).repartition(4).write.parquet(f"{run}/in")
+    model, _ = _logistic_model(spark, sf_dir)
+    q = score_stream.start_stream(spark, f"{run}/in", STREAM_SCHEMA, clean_mart(spark, sf_dir),
+                                  model, f"{run}/out", f"{run}/ckpt", threshold=0.5,
+                                  max_files_per_trigger=2)
+    q.awaitTermination()
+    return score_stream.read_sink(spark, f"{run}/out").select(
+        "customer_id", "tenure_group", F.round("churn_probability", 6)
+        .alias("churn_probability"), "intervention_flag")
