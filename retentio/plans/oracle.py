@@ -744,3 +744,25 @@ SELECT 'm_a' AS model, customer_id, label AS churn_value, m_a AS proba FROM vm
 UNION ALL SELECT 'm_b', customer_id, label, m_b FROM vm
 UNION ALL SELECT 'm_c', customer_id, label, m_c FROM vm""")
 register("profit_sorted", f"WITH {PROFIT_SQL}\nSELECT threshold, profit FROM curve")
+
+register("kde", f"""
+WITH {CLEAN_CTE},
+src AS (SELECT monthly_charges AS v FROM clean
+        WHERE monthly_charges IS NOT NULL AND NOT isnan(monthly_charges)),
+st AS (SELECT count(v) AS n, stddev_samp(v) AS sd, min(v) AS mn, max(v) AS mx FROM src),
+bw AS (SELECT n, sd * pow(CAST(n AS DOUBLE), -0.2) AS h, mn, mx FROM st),
+lim AS (SELECT n, h, mn - 3.0 * h AS lo, mx + 3.0 * h AS hi FROM bw),
+grid AS (SELECT CAST(i AS INTEGER) AS point,
+                CASE WHEN i = 199 THEN hi ELSE lo + CAST(i AS DOUBLE) * ((hi - lo) / 199) END
+                  AS x, n, h FROM generate_series(0, 199) g(i), lim)
+SELECT point, round(x, 6) AS x,
+       round(sum(exp(-0.5 * ((x - v) / h) * ((x - v) / h))) / (n * h * sqrt(2 * pi())), 12)
+         AS density
+FROM grid, src GROUP BY point, x, n, h""")
+
+register("chi2_stat", f"""
+WITH {chi2_cte(["contract"], src="clean")}
+SELECT n, dof, round(statistic, 6) AS statistic,
+       round(CASE WHEN least(n_rows, n_cols) - 1 > 0 AND n > 0
+                  THEN sqrt(statistic / (n * (least(n_rows, n_cols) - 1))) END, 6) AS cramers_v
+FROM c_per""")

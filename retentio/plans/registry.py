@@ -263,6 +263,11 @@ def q_histogram_lineitem(spark, sf_dir):
     return profile.histogram(li, "l_extendedprice", 20, hue="l_returnflag")
 
 
+@query
+def q_kde(spark, sf_dir):
+    return profile.kde(clean_mart(spark, sf_dir), "monthly_charges")
+
+
 @query
 def q_count_by(spark, sf_dir):
     return profile.count_by(clean_mart(spark, sf_dir), "contract", hue="churn_value")
@@ -341,6 +346,14 @@ def q_chi2_assumption(spark, sf_dir):
                      "assumption_met")
 
 
+@query
+def q_chi2_stat(spark, sf_dir):
+    """Statistic, dof and Cramer's V for one pair (contract x churn)."""
+    st = chisq.chi2_statistics(clean_mart(spark, sf_dir), ["contract"], "churn_value")
+    return st.select("n", "dof", F.round("statistic", 6).alias("statistic"),
+                     F.round("cramers_v", 6).alias("cramers_v"))
+
+
 @query
 def q_chi2_scan(spark, sf_dir):
     st = chisq.chi2_statistics(binned_mart(spark, sf_dir), SCAN_FEATURES, "churn_value")

@@ -81,3 +81,18 @@ def test_count_by_nan_category(spark):
     assert got == {"a": 2, "nan": 1}
     ordered = profile.count_by(df, "c", order=["a"]).collect()
     assert [(r.category, r.position) for r in ordered] == [("a", 1)]
+
+
+def test_kde_matches_direct_formula(nums):
+    pdf, df = nums
+    out = sorted(profile.kde(df.repartition(3), "a", grid_size=50).collect(),
+                 key=lambda r: r.point)
+    x = pdf["a"].dropna().to_numpy()
+    h = x.std(ddof=1) * len(x) ** (-0.2)
+    grid = np.linspace(x.min() - 3 * h, x.max() + 3 * h, 50)
+    dens = np.exp(-0.5 * ((grid[:, None] - x[None, :]) / h) ** 2).sum(1) / (
+        len(x) * h * np.sqrt(2 * np.pi))
+    assert [r.x for r in out] == pytest.approx(grid.round(6).tolist())
+    assert [r.density for r in out] == pytest.approx(dens.tolist(), abs=1e-11)
+    # a density integrates to ~1 over the extended grid
+    assert np.trapezoid(dens, grid) == pytest.approx(1.0, abs=1e-3)
