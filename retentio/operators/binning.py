@@ -31,9 +31,9 @@ VALUE_LABELS = ("Low Value", "Low/Mid Value", "Mid/High Value", "High Value")
 
 def _equal_width_index(df: DataFrame, col: str, n: int) -> Column:
     """1..n interval of ``col`` among ``n`` equal-width right-closed bins."""
-    stats = df.agg(F.min(col).alias("mn"), F.max(col).alias("mx"))
-    mn = stats.select("mn").scalar()
-    mx = stats.select("mx").scalar()
+    stats = df.agg(F.min(col).cast("double").alias("mn"), F.max(col).cast("double").alias("mx"))
+    rng = stats.select(F.struct("mn", "mx")).scalar()  # ONE scalar subquery
+    mn, mx = rng.getField("mn"), rng.getField("mx")
     v = F.col(col).cast("double")
     step = (mx - mn) / F.lit(float(n))
     # ceil estimate, then one flat repair so that edge(k-1) < v <= edge(k)

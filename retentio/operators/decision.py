@@ -141,7 +141,8 @@ def roc_auc(scored: DataFrame, label: str = "churn_value", score: str = "churn_p
     s = (scored.filter(F.col(score).isNotNull() & y.isNotNull())
          .groupBy(F.col(score).cast("double").alias("s"))
          .agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")))
-    mn, mx = s.agg(F.min("s")).scalar(), s.agg(F.max("s")).scalar()
+    rng = s.agg(F.struct(F.min("s").alias("mn"), F.max("s").alias("mx"))).scalar()
+    mn, mx = rng.getField("mn"), rng.getField("mx")
     width = F.when(mx > mn, mx - mn).otherwise(F.lit(1.0))
     s = s.withColumn("b", F.least(F.floor((F.col("s") - mn) / width * buckets),
                                   F.lit(buckets - 1)).cast("int"))

@@ -191,18 +191,31 @@ def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.unpivot([], list(cols), "column", "mode")
 
 
-def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str] | None = None,
+             quantiles: str = "percentile") -> DataFrame:
     """count, mean, std (n-1), min, 25%, 50%, 75% (interpolated), max.
 
-    Exact percentiles (``percentile``), not ``DataFrame.summary()``'s
-    approximate ones.  One aggregate pass; result is row-per-statistic.
+    Exact percentiles, not ``DataFrame.summary()``'s approximate ones.
+    ``quantiles="percentile"``: one aggregate pass with Spark's exact
+    ``percentile`` (its final merge holds every distinct value of a column in
+    one task - right for bounded-cardinality columns).
+    ``quantiles="refine"``: moments in one pass, quartiles by distributed
+    histogram refinement (``quantiles.exact_quantiles``) - the path for
+    columns with billions of distinct values.  Result is row-per-statistic.
     """
     names = list(cols or numeric_columns(df))
     require_columns(df, *names)
+    refined = {}
+    if quantiles == "refine":
+        from .quantiles import exact_quantiles
+        refined = {c: exact_quantiles(df, c, [0.25, 0.5, 0.75]) for c in names}
+    elif quantiles != "percentile":
+        raise ValueError("quantiles must be 'percentile' or 'refine'")
     exprs = []
     for c in names:
         x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        q = (F.array(*[F.lit(v).cast("double") for v in refined[c]]) if c in refined
+             else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
         exprs += [F.count(x).cast("double").alias(f"count__{c}"), F.avg(x).alias(f"mean__{c}"),
                   F.stddev_samp(x).alias(f"std__{c}"), F.min(x).alias(f"min__{c}"),
                   q.alias(f"q__{c}"), F.max(x).alias(f"max__{c}")]
@@ -256,7 +269,8 @@ def histogram(df: DataFrame, col: str, bins: int = 20, hue: str | None = None,
     else:
         n = bins
         stats = src.agg(F.min(v).alias("mn"), F.max(v).alias("mx"))
-        mn, mx = stats.select("mn").scalar(), stats.select("mx").scalar()
+        rng = stats.select(F.struct("mn", "mx")).scalar()  # ONE scalar subquery
+        mn, mx = rng.getField("mn"), rng.getField("mx")
         # numpy widens a constant range by 0.5 on each side
         binned = (src.withColumn("_lo", F.when(mn == mx, mn - 0.5).otherwise(mn))
                   .withColumn("_hi", F.when(mn == mx, mx + 0.5).otherwise(mx)))

@@ -31,7 +31,8 @@ CATEGORICAL = ("city", "contract", "internet_service", "payment_method", "tenure
 
 
 def clean_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binning.bin_all(clean.clean_customers(customer_360(spark, sf_dir)))
+    # the mart is used twice by the top-k city step: materialise it once
+    return binning.bin_all(clean.clean_customers(cut_lineage(customer_360(spark, sf_dir))))
 
 
 def model_frame(binned: DataFrame) -> DataFrame:

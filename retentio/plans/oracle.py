@@ -336,6 +336,7 @@ def describe_sql(cte: str, src: str, cols, digits: int) -> str:
 register("describe", describe_sql(CLEAN_CTE, "clean", CLEAN_NUMERIC, 6))
 register("describe_lineitem", describe_sql(
     "", "lineitem", ("l_quantity", "l_extendedprice", "l_discount", "l_tax"), 4))
+register("describe_lineitem_refine", SQL["describe_lineitem"])
 
 CLEAN_DTYPES = [("customer_id", "bigint"), ("city", "string"), ("tenure_months", "int"),
                 ("monthly_charges", "double"), ("contract", "string"),
