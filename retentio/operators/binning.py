@@ -5,7 +5,7 @@ outside the edges, or NULL, get NULL.  ``ml.feature.Bucketizer`` is
 left-closed, so bins are ``CASE WHEN`` chains (codegen'd, no shuffle).
 Integer ``bins`` means equal width over the data range, the low edge moved
 down by 0.1% of the range (the public pandas rule); min/max come from one
-scalar-subquery aggregate, so no cross join and no driver round trip.
+aggregate row fetched once (bounded), then act as literals.
 """
 
 from __future__ import annotations
@@ -31,9 +31,12 @@ VALUE_LABELS = ("Low Value", "Low/Mid Value", "Mid/High Value", "High Value")
 
 def _equal_width_index(df: DataFrame, col: str, n: int) -> Column:
     """1..n interval of ``col`` among ``n`` equal-width right-closed bins."""
-    stats = df.agg(F.min(col).cast("double").alias("mn"), F.max(col).cast("double").alias("mx"))
-    rng = stats.select(F.struct("mn", "mx")).scalar()  # ONE scalar subquery
-    mn, mx = rng.getField("mn"), rng.getField("mx")
+    # one bounded row fetched once; literals afterwards
+    st = df.agg(F.min(col).cast("double").alias("mn"), F.max(col).cast("double").alias("mx")
+                ).first()
+    if st["mn"] is None:
+        return F.lit(None).cast("int")
+    mn, mx = F.lit(float(st["mn"])), F.lit(float(st["mx"]))
     v = F.col(col).cast("double")
     step = (mx - mn) / F.lit(float(n))
     # ceil estimate, then one flat repair so that edge(k-1) < v <= edge(k)

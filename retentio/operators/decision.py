@@ -141,8 +141,10 @@ def roc_auc(scored: DataFrame, label: str = "churn_value", score: str = "churn_p
     s = (scored.filter(F.col(score).isNotNull() & y.isNotNull())
          .groupBy(F.col(score).cast("double").alias("s"))
          .agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")))
-    rng = s.agg(F.struct(F.min("s").alias("mn"), F.max("s").alias("mx"))).scalar()
-    mn, mx = rng.getField("mn"), rng.getField("mx")
+    st = s.agg(F.min("s").alias("mn"), F.max("s").alias("mx")).first()  # one row
+    if st["mn"] is None:
+        return scored.sparkSession.createDataFrame([(None,)], "roc_auc double")
+    mn, mx = F.lit(float(st["mn"])), F.lit(float(st["mx"]))
     width = F.when(mx > mn, mx - mn).otherwise(F.lit(1.0))
     s = s.withColumn("b", F.least(F.floor((F.col("s") - mn) / width * buckets),
                                   F.lit(buckets - 1)).cast("int"))
@@ -167,7 +169,8 @@ def eval_metrics(scored: DataFrame, label: str = "churn_value",
     src = scored if pred else scored.withColumn(
         "prediction", (F.col(proba) > 0.5).cast("int"))
     m = metrics_from_confusion(confusion(src, label, pred or "prediction"))
-    return m.crossJoin(roc_auc(scored, label, proba))  # 1 row x 1 row
+    auc = roc_auc(scored, label, proba).first()[0]  # one bounded value
+    return m.withColumn("roc_auc", F.lit(auc).cast("double"))
 
 
 def score(df: DataFrame, threshold: float, proba: str = "churn_probability") -> DataFrame:
@@ -216,9 +219,11 @@ def abc_readout(assigned: DataFrame, outcome: str = "churn_value") -> DataFrame:
     rate minus group rate) and the two-proportion z statistic."""
     per = assigned.groupBy("group").agg(F.count(F.lit(1)).alias("customers"),
                                         F.sum(F.col(outcome).cast("int")).alias("events"))
-    ctl = per.filter(F.col("group") == GROUPS[0]).select(
-        F.col("customers").alias("c_n"), F.col("events").alias("c_e"))
-    j = per.crossJoin(F.broadcast(ctl))  # control side: exactly one row
+    ctl = per.filter(F.col("group") == GROUPS[0]).select("customers", "events").first()
+    if ctl is None:  # no control rows: no uplift to report
+        ctl = (None, None)
+    j = per.withColumn("c_n", F.lit(ctl[0]).cast("bigint")).withColumn(
+        "c_e", F.lit(ctl[1]).cast("bigint"))
     rate = F.col("events") / F.col("customers")
     c_rate = F.col("c_e") / F.col("c_n")
     pooled = (F.col("events") + F.col("c_e")) / (F.col("customers") + F.col("c_n"))

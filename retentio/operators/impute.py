@@ -3,7 +3,8 @@
 The reference fills ONE customer from modes and medians of the full table.
 Here a whole batch of incomplete rows is filled in one job:
 
-* global modes of every categorical column: one aggregate (scalar subqueries);
+* global modes of every categorical column and the whole-table medians: one
+  aggregate pass, one bounded row, used as literals;
 * conditional modes (child column given a parent value): one
   ``groupBy(parent)`` per dependency, bounded by the parent's cardinality;
 * medians of a numeric column per parent value: one ``groupBy(parent)``;
@@ -50,35 +51,43 @@ def impute_conditional(batch: DataFrame, reference: DataFrame,
     def blank(c: str) -> Column:
         return _missing(F.col(c), zero_is_missing, c in num)
 
+    # all whole-table statistics in ONE aggregate pass: one bounded row,
+    # used as literals below
+    cents = F.round(F.col(monthly) * 100).cast("bigint")
+    g = reference.agg(*[F.mode(c, True).alias(f"mode_{c}") for c in categorical],
+                      F.median(tenure).alias("_med_t"), F.median(cents).alias("_med_c")
+                      ).first()
+
+    def lit(name: str) -> Column:
+        return F.lit(g[name])
+
     # 1. independent categoricals (parents first): global mode
     for c in categorical:
         if c in dependencies:
             continue
-        g = reference.agg(F.mode(c, True)).scalar()
-        out = out.withColumn(c, F.when(blank(c), g).otherwise(F.col(c)))
+        out = out.withColumn(c, F.when(blank(c), lit(f"mode_{c}")).otherwise(F.col(c)))
 
     # 2. dependents: mode among reference rows with the same parent value,
     #    the global mode when that parent value has no rows
     for child, parent in dependencies.items():
         cond = (reference.filter(F.col(child).isNotNull()).groupBy(parent)
                 .agg(F.mode(child, True).alias(f"_m_{child}")))
-        g = reference.agg(F.mode(child, True)).scalar()
+        whole = lit(f"mode_{child}") if child in categorical else F.lit(
+            reference.agg(F.mode(child, True)).first()[0])
         out = (out.join(broadcast_if_small(cond, 1_000_000), parent, "left")
-               .withColumn(child, F.when(blank(child), F.coalesce(F.col(f"_m_{child}"), g))
+               .withColumn(child, F.when(blank(child), F.coalesce(F.col(f"_m_{child}"), whole))
                            .otherwise(F.col(child))).drop(f"_m_{child}"))
 
     # 3. tenure: int(median) of the whole reference
-    med_t = reference.agg(F.median(tenure)).scalar()
-    out = out.withColumn(tenure, F.when(blank(tenure), F.floor(med_t).cast("int"))
+    med_t = None if g["_med_t"] is None else int(g["_med_t"] // 1)
+    out = out.withColumn(tenure, F.when(blank(tenure), F.lit(med_t).cast("int"))
                          .otherwise(F.col(tenure)))
 
     # 4. monthly: median per parent value (2 decimals), whole-table median
     #    when the parent value is unknown
-    cents = F.round(F.col(monthly) * 100).cast("bigint")
     med_by = (reference.filter(F.col(monthly).isNotNull()).groupBy(median_parent)
               .agg(F.median(cents).alias("_med_c")))
-    med_all = reference.agg(F.median(cents)).scalar()
-    med_c = F.coalesce(F.col("_med_c"), med_all)
+    med_c = F.coalesce(F.col("_med_c"), lit("_med_c"))
     out = (out.join(broadcast_if_small(med_by, 1_000_000), median_parent, "left")
            .withColumn(monthly, F.when(blank(monthly), F.bround(med_c, 0) / 100.0)
                        .otherwise(F.col(monthly))).drop("_med_c"))

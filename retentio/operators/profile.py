@@ -268,13 +268,16 @@ def histogram(df: DataFrame, col: str, bins: int = 20, hue: str | None = None,
             [(i + 1, e[i], e[i + 1]) for i in range(n)], "bin int, bin_lo double, bin_hi double")
     else:
         n = bins
-        stats = src.agg(F.min(v).alias("mn"), F.max(v).alias("mx"))
-        rng = stats.select(F.struct("mn", "mx")).scalar()  # ONE scalar subquery
-        mn, mx = rng.getField("mn"), rng.getField("mx")
-        # numpy widens a constant range by 0.5 on each side
-        binned = (src.withColumn("_lo", F.when(mn == mx, mn - 0.5).otherwise(mn))
-                  .withColumn("_hi", F.when(mn == mx, mx + 0.5).otherwise(mx)))
-        lo, hi = F.col("_lo"), F.col("_hi")
+        # one bounded row (min, max) fetched once; literals afterwards, so the
+        # range is not re-evaluated by a subquery per reference
+        st = src.agg(F.min(v).alias("mn"), F.max(v).alias("mx")).first()
+        if st["mn"] is None:
+            lo_v, hi_v = 0.0, 1.0
+        elif st["mn"] == st["mx"]:  # numpy widens a constant range by 0.5 per side
+            lo_v, hi_v = float(st["mn"]) - 0.5, float(st["mx"]) + 0.5
+        else:
+            lo_v, hi_v = float(st["mn"]), float(st["mx"])
+        lo, hi = F.lit(lo_v), F.lit(hi_v)
         step = (hi - lo) / F.lit(float(n))
 
         def edge(i: Column) -> Column:
@@ -286,13 +289,9 @@ def histogram(df: DataFrame, col: str, bins: int = 20, hue: str | None = None,
         dec = F.when(v < edge(k0), 1).otherwise(0)
         inc = F.when((v >= edge(k0 + 1)) & (k0 != n - 1), 1).otherwise(0)
         est = F.floor((v - lo) * (F.lit(float(n)) / (hi - lo))).cast("int")
-        binned = (binned.withColumn("_k0", F.least(est, F.lit(n - 1)))
+        binned = (src.withColumn("_k0", F.least(est, F.lit(n - 1)))
                   .withColumn("bin", k0 - dec + inc + 1))
-        grid = (stats.select(F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5)
-                             .otherwise(F.col("mn")).alias("_lo"),
-                             F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5)
-                             .otherwise(F.col("mx")).alias("_hi"))
-                .select("_lo", "_hi", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("bin"))
+        grid = (df.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("bin"))
                 .select("bin", edge(F.col("bin") - 1).alias("bin_lo"),
                         edge(F.col("bin")).alias("bin_hi")))
     keys = ["bin"] + ([hue] if hue else [])

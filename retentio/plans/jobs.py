@@ -79,7 +79,7 @@ def threshold_score_assign_job(spark: SparkSession, sf_dir: str, result: TrainRe
     """Returns ``(curve, scored, assigned)``; the threshold comes from the
     profit curve of the best model's test predictions, the value from the
     median CLTV of the full raw table."""
-    value = customer_360(spark, sf_dir).agg(F.median("cltv")).scalar()
+    value = float(customer_360(spark, sf_dir).agg(F.median("cltv")).first()[0])  # one value
     best_pred = result.predictions.filter(F.col("model") == result.best_name)
     curve = decision.profit_curve(best_pred, value, cost, retention_rate, label="label",
                                   proba="proba")

@@ -427,7 +427,8 @@ def scored_mart(spark, sf_dir):
 
 
 def median_cltv(spark, sf_dir):
-    return mart(spark, sf_dir).agg(F.median("cltv")).scalar()
+    """Median CLTV of the full raw table: one bounded value."""
+    return float(mart(spark, sf_dir).agg(F.median("cltv")).first()[0])
 
 
 @query
