@@ -96,7 +96,8 @@ def agg_dict(df: DataFrame, spec: Mapping[str, str | Sequence[str]]) -> DataFram
 
 def agg_callable(df: DataFrame, fn: Callable[[pd.Series], float],
                  cols: str | Sequence[str], decomposable: bool = True,
-                 salt_buckets: int = 64) -> DataFrame:
+                 salt_buckets: int = 64, max_rows_single_group: int = 5_000_000
+                 ) -> DataFrame:
     """A user function per column via a grouped-aggregate pandas UDF.
 
     Pandas aggregate UDFs have no partial aggregation, so a plain global
@@ -104,11 +105,19 @@ def agg_callable(df: DataFrame, fn: Callable[[pd.Series], float],
     decomposable (``fn`` of partial results equals ``fn`` of the whole, as
     for max/min/sum), rows are first reduced per salt bucket (a hash of the
     row spread over ``salt_buckets`` groups), then ``fn`` runs once more on
-    at most ``salt_buckets`` partials.  Non-decomposable functions fall back
-    to one group: use them only on bounded inputs.
+    at most ``salt_buckets`` partials.  A non-decomposable function needs
+    the whole column in one group, so it is only accepted when the input
+    has at most ``max_rows_single_group`` rows (checked with a bounded
+    count); larger inputs raise ``ValueError``.
     """
     names = [cols] if isinstance(cols, str) else list(cols)
     require_columns(df, *names)
+    if not decomposable:
+        n = df.limit(max_rows_single_group + 1).count()
+        if n > max_rows_single_group:
+            raise ValueError(
+                f"non-decomposable aggregate over more than {max_rows_single_group} rows; "
+                "pass a decomposable function or a built-in aggregate")
 
     @F.pandas_udf(T.DoubleType())
     def udaf(s: pd.Series) -> float:

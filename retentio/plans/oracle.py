@@ -767,3 +767,40 @@ SELECT n, dof, round(statistic, 6) AS statistic,
        round(CASE WHEN least(n_rows, n_cols) - 1 > 0 AND n > 0
                   THEN sqrt(statistic / (n * (least(n_rows, n_cols) - 1))) END, 6) AS cramers_v
 FROM c_per""")
+
+
+def _onehot_part(col: str) -> str:
+    return (f"list_transform((SELECT list(DISTINCT {col} ORDER BY {col}) FROM oh_train), "
+            f"lambda x: CASE WHEN b.{col} = x THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)")
+
+
+register("one_hot", f"""
+WITH {BINNED_CTE},
+oh_train AS (SELECT * FROM binned WHERE {md5_unit_sql('customer_id', 123)} >= 0.2)
+SELECT b.customer_id,
+       list_concat(list_concat({_onehot_part('contract')}, {_onehot_part('internet_service')}),
+                   {_onehot_part('tenure_group')}) AS one_hot
+FROM binned b""")
+
+register("union_results", f"""
+WITH {_VOTE_MODELS},
+{AUC_SQL},
+cm AS ({CONFUSION_SQL}),
+pr AS (SELECT *, {_sdiv('tp', 'tp + fn')} AS recall, {_sdiv('tp', 'tp + fp')} AS precision
+       FROM cm),
+em AS (SELECT round(recall, 6) AS recall, round(precision, 6) AS precision,
+              round({_sdiv('tp + tn', 'tp + tn + fp + fn')}, 6) AS accuracy,
+              round({_sdiv('2 * precision * recall', 'precision + recall')}, 6) AS f1, roc_auc
+       FROM pr, auc),
+vc AS ({_vote_sql()}),
+vm1 AS (SELECT weights, {_sdiv('tp', 'tp + fn')} AS recall, {_sdiv('tp', 'tp + fp')} AS precision,
+               {_sdiv('tp + tn', 'tp + tn + fp + fn')} AS accuracy FROM vc),
+vf AS (SELECT weights, round(recall, 6) AS recall, round(precision, 6) AS precision,
+              round(accuracy, 6) AS accuracy,
+              round({_sdiv('2 * precision * recall', 'precision + recall')}, 6) AS f1 FROM vm1),
+vr AS (SELECT *, row_number() OVER (ORDER BY recall DESC, f1 DESC, weights) AS rnk FROM vf)
+SELECT recall, precision, accuracy, f1, roc_auc, 'm_a' AS model,
+       CAST(NULL AS VARCHAR) AS weights FROM em
+UNION ALL
+SELECT recall, precision, accuracy, f1, CAST(NULL AS DOUBLE) AS roc_auc, 'soft_vote' AS model,
+       weights FROM vr WHERE rnk = 1""")

@@ -132,3 +132,14 @@ def test_knn_matches_brute_force_any_blocking(spark, weights, p, block):
     assert set(got) == set(want)
     for q, v in want.items():
         assert got[q] == pytest.approx(v, abs=1e-6)
+
+
+def test_full_param_grid_sizes(small_fit):
+    roles = ml.FeatureRoles(one_hot=["cat_c"], scale=["num_a", "num_b"])
+    pipes = ml.model_pipelines(roles)
+    full = ml.param_grids(pipes, 80, full=True)
+    assert {k: len(v) for k, v in full.items()} == {
+        "LogisticRegression": 16, "RandomForest": 288, "GaussianNB": 1}
+    lr = pipes["LogisticRegression"].getStages()[-1]
+    regs = sorted({m[lr.regParam] for m in full["LogisticRegression"]})
+    assert regs == pytest.approx(sorted(1 / (c * 80) for c in (0.1, 0.5, 1, 5)))

@@ -96,3 +96,12 @@ def test_kde_matches_direct_formula(nums):
     assert [r.density for r in out] == pytest.approx(dens.tolist(), abs=1e-11)
     # a density integrates to ~1 over the extended grid
     assert np.trapezoid(dens, grid) == pytest.approx(1.0, abs=1e-3)
+
+
+def test_agg_callable_non_decomposable_bounded(spark):
+    df = spark.range(100).selectExpr("cast(id as double) as x")
+    med = profile.agg_callable(df, lambda s: float(s.median()), "x", decomposable=False)
+    assert med.first().x == 49.5
+    with pytest.raises(ValueError):
+        profile.agg_callable(df, lambda s: float(s.median()), "x", decomposable=False,
+                             max_rows_single_group=10)
