@@ -162,7 +162,8 @@ def agg_matrix_sql(cte: str, src: str, plan: dict, digits: int) -> str:
     return f"WITH {cte}\n" + union_all(parts)
 
 
-def histogram_sql(cte: str, src: str, col: str, n: int, hue: str | None) -> str:
+def hist_parts(p: str, src: str, col: str, n: int, hue: str | None) -> tuple[str, str]:
+    """CTEs (names prefixed with ``p``) and the final SELECT of one histogram."""
     h = f"CAST({hue} AS VARCHAR)" if hue else "CAST(NULL AS VARCHAR)"
     nd = f"CAST({n} AS DOUBLE)"
 
@@ -171,27 +172,33 @@ def histogram_sql(cte: str, src: str, col: str, n: int, hue: str | None) -> str:
 
     hues = (f"(SELECT DISTINCT {h} AS h FROM {src})" if hue
             else "(SELECT CAST(NULL AS VARCHAR) AS h)")
-    return f"""WITH {cte},
-h_src AS (SELECT CAST({col} AS DOUBLE) AS v, {h} AS h FROM {src}
+    ctes = f"""{p}src AS (SELECT CAST({col} AS DOUBLE) AS v, {h} AS h FROM {src}
           WHERE {col} IS NOT NULL AND NOT isnan(CAST({col} AS DOUBLE))),
-h_rng AS (SELECT CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo,
+{p}rng AS (SELECT CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo,
                  CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi
-          FROM h_src),
-h_par AS (SELECT lo, hi, (hi - lo) / {nd} AS step FROM h_rng),
-h_k0 AS (SELECT v, h, lo, hi, step,
-                CAST(floor((v - lo) * ({nd} / (hi - lo))) AS INTEGER) AS k FROM h_src, h_par),
-h_k1 AS (SELECT *, CASE WHEN k >= {n} THEN {n - 1} ELSE k END AS k1 FROM h_k0),
-h_k2 AS (SELECT *, CASE WHEN v < {edge('k1')} THEN k1 - 1 ELSE k1 END AS k2 FROM h_k1),
-h_k3 AS (SELECT *, CASE WHEN v >= {edge('k2 + 1')} AND k2 <> {n - 1} THEN k2 + 1
-                        ELSE k2 END AS k3 FROM h_k2),
-h_cnt AS (SELECT k3 + 1 AS bin, h, count(*) AS c FROM h_k3 GROUP BY 1, 2),
-h_grid AS (SELECT CAST(g.b AS INTEGER) AS bin, hs.h, lo, hi, step
-           FROM generate_series(1, {n}) g(b) CROSS JOIN {hues} hs CROSS JOIN h_par)
-SELECT h_grid.h AS hue, h_grid.bin,
-       round({edge('h_grid.bin - 1')}, 6) AS bin_lo,
-       round({edge('h_grid.bin')}, 6) AS bin_hi,
-       CAST(coalesce(h_cnt.c, 0) AS BIGINT) AS count
-FROM h_grid LEFT JOIN h_cnt ON h_grid.bin = h_cnt.bin AND h_grid.h IS NOT DISTINCT FROM h_cnt.h"""
+          FROM {p}src),
+{p}par AS (SELECT lo, hi, (hi - lo) / {nd} AS step FROM {p}rng),
+{p}k0 AS (SELECT v, h, lo, hi, step,
+                CAST(floor((v - lo) * ({nd} / (hi - lo))) AS INTEGER) AS k FROM {p}src, {p}par),
+{p}k1 AS (SELECT *, CASE WHEN k >= {n} THEN {n - 1} ELSE k END AS k1 FROM {p}k0),
+{p}k2 AS (SELECT *, CASE WHEN v < {edge('k1')} THEN k1 - 1 ELSE k1 END AS k2 FROM {p}k1),
+{p}k3 AS (SELECT *, CASE WHEN v >= {edge('k2 + 1')} AND k2 <> {n - 1} THEN k2 + 1
+                        ELSE k2 END AS k3 FROM {p}k2),
+{p}cnt AS (SELECT k3 + 1 AS bin, h, count(*) AS c FROM {p}k3 GROUP BY 1, 2),
+{p}grid AS (SELECT CAST(g.b AS INTEGER) AS bin, hs.h, lo, hi, step
+           FROM generate_series(1, {n}) g(b) CROSS JOIN {hues} hs CROSS JOIN {p}par)"""
+    select = f"""SELECT {p}grid.h AS hue, {p}grid.bin,
+       round({edge(f'{p}grid.bin - 1')}, 6) AS bin_lo,
+       round({edge(f'{p}grid.bin')}, 6) AS bin_hi,
+       CAST(coalesce({p}cnt.c, 0) AS BIGINT) AS count
+FROM {p}grid LEFT JOIN {p}cnt ON {p}grid.bin = {p}cnt.bin
+     AND {p}grid.h IS NOT DISTINCT FROM {p}cnt.h"""
+    return ctes, select
+
+
+def histogram_sql(cte: str, src: str, col: str, n: int, hue: str | None) -> str:
+    ctes, select = hist_parts("h_", src, col, n, hue)
+    return f"WITH {cte},\n{ctes}\n{select}"
 
 
 # ---------------------------------------------------------------- cleaning
@@ -804,3 +811,44 @@ SELECT recall, precision, accuracy, f1, roc_auc, 'm_a' AS model,
 UNION ALL
 SELECT recall, precision, accuracy, f1, CAST(NULL AS DOUBLE) AS roc_auc, 'soft_vote' AS model,
        weights FROM vr WHERE rnk = 1""")
+
+
+def _eda_sql() -> str:
+    from .eda import (BINNED_CHARTS, CHURNED_HIST_CHARTS, CORR_COLS, COUNT_CHARTS,
+                      HIST_CHARTS)
+    ctes, parts = [f"churned AS (SELECT * FROM binned WHERE churn_value = 1)"], []
+
+    def counts(col, hue, chart):
+        h = (f"coalesce(CAST({hue} AS VARCHAR), 'nan')" if hue else "CAST(NULL AS VARCHAR)")
+        return (f"SELECT '{chart}' AS chart, 'count' AS kind, "
+                f"coalesce(CAST({col} AS VARCHAR), 'nan') AS category, {h} AS hue, "
+                f"CAST(NULL AS DOUBLE) AS bin_lo, CAST(NULL AS DOUBLE) AS bin_hi, "
+                f"CAST(count(*) AS DOUBLE) AS value FROM binned GROUP BY 3, 4")
+
+    for c in COUNT_CHARTS:
+        parts.append(counts(c, None, f"count:{c}"))
+        parts.append(counts(c, "churn_value", f"count:{c}|churn"))
+    for c in BINNED_CHARTS:
+        parts.append(counts(c, None, f"count:{c}"))
+    i = 0
+    for src, cols, suffix in (("binned", HIST_CHARTS, ""), ("churned", CHURNED_HIST_CHARTS,
+                                                              "|churned")):
+        for c in cols:
+            p = f"e{i}_"
+            i += 1
+            cte, sel = hist_parts(p, src, c, 20, None)
+            ctes.append(cte)
+            ctes.append(f"{p}out AS ({sel})")
+            parts.append(f"SELECT 'hist:{c}{suffix}' AS chart, 'histogram' AS kind, "
+                         f"CAST(bin AS VARCHAR) AS category, hue, bin_lo, bin_hi, "
+                         f"CAST(count AS DOUBLE) AS value FROM {p}out")
+    for a in CORR_COLS:
+        for b in CORR_COLS:
+            parts.append(f"SELECT 'corr' AS chart, 'corr' AS kind, '{a}' AS category, "
+                         f"'{b}' AS hue, CAST(NULL AS DOUBLE) AS bin_lo, "
+                         f"CAST(NULL AS DOUBLE) AS bin_hi, round(CASE WHEN isnan(corr({a}, {b})) "
+                         f"THEN NULL ELSE corr({a}, {b}) END, 6) AS value FROM binned")
+    return f"WITH {BINNED_CTE},\n" + ",\n".join(ctes) + "\n" + union_all(parts)
+
+
+register("eda_report", _eda_sql())
