@@ -253,14 +253,17 @@ def info(df: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, col: str, bins: int = 20, hue: str | None = None,
-              edges: Sequence[float] | None = None) -> DataFrame:
+              edges: Sequence[float] | None = None,
+              value_range: tuple[float | None, float | None] | None = None) -> DataFrame:
     """Equal-width histogram with empty bins; optional hue split.
 
-    Bins are ``[lo, hi)`` and the last is ``[lo, hi]`` (numpy rule).  Bin
-    number is arithmetic on ``min``/``max`` scalar subqueries, then repaired
-    against the exact edge values, so no sort or range join is needed.
-    Output ``(hue, bin, bin_lo, bin_hi, count)``; ``hue`` is NULL when no
-    split is asked.  All bins x all hue values are emitted.
+    Bins are ``[lo, hi)`` and the last is ``[lo, hi]`` (numpy rule).  The
+    column's (min, max) is one bounded aggregate row (or ``value_range`` when
+    already known, e.g. computed for many charts in one pass); the bin number
+    is arithmetic on those literals, repaired against the exact edge values,
+    so no sort or range join is needed.  Output ``(hue, bin, bin_lo, bin_hi,
+    count)``; ``hue`` is NULL when no split is asked.  All bins x all hue
+    values are emitted.
     """
     require_columns(df, col, *([hue] if hue else []))
     v = F.col(col).cast("double")
@@ -279,7 +282,8 @@ def histogram(df: DataFrame, col: str, bins: int = 20, hue: str | None = None,
         n = bins
         # one bounded row (min, max) fetched once; literals afterwards, so the
         # range is not re-evaluated by a subquery per reference
-        st = src.agg(F.min(v).alias("mn"), F.max(v).alias("mx")).first()
+        st = (dict(zip(("mn", "mx"), value_range)) if value_range is not None
+              else src.agg(F.min(v).alias("mn"), F.max(v).alias("mx")).first())
         if st["mn"] is None:
             lo_v, hi_v = 0.0, 1.0
         elif st["mn"] == st["mx"]:  # numpy widens a constant range by 0.5 per side

@@ -3,9 +3,10 @@
 ``(chart, kind, category, hue, bin_lo, bin_hi, value)`` - category counts
 (optionally split by churn), equal-width histograms (20 bins, churned-only
 variants), counts of the binned columns and the correlation matrix.  The
-cleaned, binned frame is checkpointed once so the ~20 aggregations read it
-instead of recomputing the mart; each chart is one partially-aggregated
-pass and its output is bounded by categories x bins.
+input is expected to sit on a written mart (or ``checkpoint=True`` writes
+it), so the ~20 aggregations read pruned columns instead of recomputing the
+mart; all histogram ranges come from one aggregate pass; each chart is one
+partially-aggregated pass and its output is bounded by categories x bins.
 """
 
 from __future__ import annotations
@@ -34,15 +35,35 @@ def _counts(df: DataFrame, col: str, hue: str | None, chart: str) -> DataFrame:
                     F.col("count").cast("double").alias("value"))
 
 
-def _hist(df: DataFrame, col: str, chart: str) -> DataFrame:
-    h = profile.histogram(df, col, 20)
+def _hist(df: DataFrame, col: str, chart: str, value_range) -> DataFrame:
+    h = profile.histogram(df, col, 20, value_range=value_range)
     return h.select(F.lit(chart).alias("chart"), F.lit("histogram").alias("kind"),
                     F.col("bin").cast("string").alias("category"), "hue", "bin_lo", "bin_hi",
                     F.col("count").cast("double").alias("value"))
 
 
-def eda_report(binned: DataFrame, checkpoint: bool = True) -> DataFrame:
+def _ranges(src: DataFrame) -> dict:
+    """(min, max) of every histogram column, whole and churned-only: ONE
+    aggregate pass, one bounded row."""
+    churned = F.col("churn_value") == 1
+    exprs = []
+    for c in HIST_CHARTS:
+        v = F.col(c).cast("double")
+        v = F.when(~F.isnan(v), v)
+        exprs += [F.min(v).alias(f"mn_{c}"), F.max(v).alias(f"mx_{c}")]
+    for c in CHURNED_HIST_CHARTS:
+        v = F.col(c).cast("double")
+        v = F.when(churned & ~F.isnan(v), v)
+        exprs += [F.min(v).alias(f"cmn_{c}"), F.max(v).alias(f"cmx_{c}")]
+    return src.agg(*exprs).first().asDict()
+
+
+def eda_report(binned: DataFrame, checkpoint: bool = False) -> DataFrame:
+    """``checkpoint=True`` writes ``binned`` first - use it when ``binned``
+    is an expensive lineage (the registered query passes a frame built on
+    the already written mart, so each chart re-reads only its columns)."""
     src = cut_lineage(binned) if checkpoint else binned
+    rng = _ranges(src)
     parts = []
     for c in COUNT_CHARTS:
         parts.append(_counts(src, c, None, f"count:{c}"))
@@ -50,10 +71,11 @@ def eda_report(binned: DataFrame, checkpoint: bool = True) -> DataFrame:
     for c in BINNED_CHARTS:
         parts.append(_counts(src, c, None, f"count:{c}"))
     for c in HIST_CHARTS:
-        parts.append(_hist(src, c, f"hist:{c}"))
+        parts.append(_hist(src, c, f"hist:{c}", (rng[f"mn_{c}"], rng[f"mx_{c}"])))
     churned = src.filter(F.col("churn_value") == 1)
     for c in CHURNED_HIST_CHARTS:
-        parts.append(_hist(churned, c, f"hist:{c}|churned"))
+        parts.append(_hist(churned, c, f"hist:{c}|churned",
+                           (rng[f"cmn_{c}"], rng[f"cmx_{c}"])))
     corr = profile.corr_matrix(src, list(CORR_COLS))
     parts.append(corr.select(F.lit("corr").alias("chart"), F.lit("corr").alias("kind"),
                              F.col("col_a").alias("category"), F.col("col_b").alias("hue"),
