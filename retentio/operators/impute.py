@@ -19,6 +19,7 @@ integer cents so the result does not depend on floating-point formatting.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,62 +39,106 @@ def _missing(c: Column, zero_is_missing: bool, numeric: bool) -> Column:
     return c.isNull()
 
 
-def impute_conditional(batch: DataFrame, reference: DataFrame,
-                       categorical: Sequence[str] = DEFAULT_CATEGORICAL,
-                       dependencies: Mapping[str, str] = DEFAULT_DEPENDENCIES,
-                       tenure: str = "tenure_months", monthly: str = "monthly_charges",
-                       total: str = "total_charges", median_parent: str = "internet_service",
-                       zero_is_missing: bool = False) -> DataFrame:
-    """Fill missing fields of ``batch`` from statistics of ``reference``."""
+@dataclass
+class ImputationModel:
+    """Statistics of a reference table, computed once and reused for any
+    number of batches (e.g. every micro-batch of a stream).
+
+    ``globals`` is one bounded row; ``conditional`` holds, per dependent
+    column, a table with one row per parent value; ``medians`` one row per
+    parent value of the median column.
+    """
+    globals: dict
+    conditional: dict[str, DataFrame]
+    medians: DataFrame
+    categorical: tuple
+    dependencies: dict
+    tenure: str
+    monthly: str
+    total: str
+    median_parent: str
+
+
+def fit_imputation(reference: DataFrame,
+                   categorical: Sequence[str] = DEFAULT_CATEGORICAL,
+                   dependencies: Mapping[str, str] = DEFAULT_DEPENDENCIES,
+                   tenure: str = "tenure_months", monthly: str = "monthly_charges",
+                   total: str = "total_charges", median_parent: str = "internet_service",
+                   materialize: bool = False) -> ImputationModel:
+    """Whole-table modes/medians in ONE aggregate pass, plus the conditional
+    tables (one ``groupBy(parent)`` each).  ``materialize`` writes the
+    conditional tables once (for reuse across many batches)."""
+    cents = F.round(F.col(monthly) * 100).cast("bigint")
+    dep_only = [c for c in dependencies if c not in categorical]
+    g = reference.agg(*[F.mode(c, True).alias(f"mode_{c}") for c in (*categorical, *dep_only)],
+                      F.median(tenure).alias("_med_t"), F.median(cents).alias("_med_c")
+                      ).first().asDict()
+    cond = {child: (reference.filter(F.col(child).isNotNull()).groupBy(parent)
+                    .agg(F.mode(child, True).alias(f"_m_{child}")))
+            for child, parent in dependencies.items()}
+    med_by = (reference.filter(F.col(monthly).isNotNull()).groupBy(median_parent)
+              .agg(F.median(cents).alias("_med_c")))
+    if materialize:
+        from ..session import cut_lineage
+        cond = {k: cut_lineage(v) for k, v in cond.items()}
+        med_by = cut_lineage(med_by)
+    return ImputationModel(g, cond, med_by, tuple(categorical), dict(dependencies), tenure,
+                           monthly, total, median_parent)
+
+
+def apply_imputation(batch: DataFrame, model: ImputationModel,
+                     zero_is_missing: bool = False) -> DataFrame:
+    """Fill missing fields of ``batch`` from a fitted ``ImputationModel``."""
+    m = model
     out = batch
     num = {c for c, t in batch.dtypes if t in ("int", "bigint", "double", "float")}
 
     def blank(c: str) -> Column:
         return _missing(F.col(c), zero_is_missing, c in num)
 
-    # all whole-table statistics in ONE aggregate pass: one bounded row,
-    # used as literals below
-    cents = F.round(F.col(monthly) * 100).cast("bigint")
-    g = reference.agg(*[F.mode(c, True).alias(f"mode_{c}") for c in categorical],
-                      F.median(tenure).alias("_med_t"), F.median(cents).alias("_med_c")
-                      ).first()
-
     def lit(name: str) -> Column:
-        return F.lit(g[name])
+        return F.lit(m.globals[name])
 
     # 1. independent categoricals (parents first): global mode
-    for c in categorical:
-        if c in dependencies:
+    for c in m.categorical:
+        if c in m.dependencies:
             continue
         out = out.withColumn(c, F.when(blank(c), lit(f"mode_{c}")).otherwise(F.col(c)))
 
     # 2. dependents: mode among reference rows with the same parent value,
     #    the global mode when that parent value has no rows
-    for child, parent in dependencies.items():
-        cond = (reference.filter(F.col(child).isNotNull()).groupBy(parent)
-                .agg(F.mode(child, True).alias(f"_m_{child}")))
-        whole = lit(f"mode_{child}") if child in categorical else F.lit(
-            reference.agg(F.mode(child, True)).first()[0])
-        out = (out.join(broadcast_if_small(cond, 1_000_000), parent, "left")
-               .withColumn(child, F.when(blank(child), F.coalesce(F.col(f"_m_{child}"), whole))
+    for child, parent in m.dependencies.items():
+        out = (out.join(broadcast_if_small(m.conditional[child], 1_000_000), parent, "left")
+               .withColumn(child, F.when(blank(child),
+                                         F.coalesce(F.col(f"_m_{child}"), lit(f"mode_{child}")))
                            .otherwise(F.col(child))).drop(f"_m_{child}"))
 
     # 3. tenure: int(median) of the whole reference
-    med_t = None if g["_med_t"] is None else int(g["_med_t"] // 1)
-    out = out.withColumn(tenure, F.when(blank(tenure), F.lit(med_t).cast("int"))
-                         .otherwise(F.col(tenure)))
+    med_t = None if m.globals["_med_t"] is None else int(m.globals["_med_t"] // 1)
+    out = out.withColumn(m.tenure, F.when(blank(m.tenure), F.lit(med_t).cast("int"))
+                         .otherwise(F.col(m.tenure)))
 
     # 4. monthly: median per parent value (2 decimals), whole-table median
     #    when the parent value is unknown
-    med_by = (reference.filter(F.col(monthly).isNotNull()).groupBy(median_parent)
-              .agg(F.median(cents).alias("_med_c")))
     med_c = F.coalesce(F.col("_med_c"), lit("_med_c"))
-    out = (out.join(broadcast_if_small(med_by, 1_000_000), median_parent, "left")
-           .withColumn(monthly, F.when(blank(monthly), F.bround(med_c, 0) / 100.0)
-                       .otherwise(F.col(monthly))).drop("_med_c"))
+    out = (out.join(broadcast_if_small(m.medians, 1_000_000), m.median_parent, "left")
+           .withColumn(m.monthly, F.when(blank(m.monthly), F.bround(med_c, 0) / 100.0)
+                       .otherwise(F.col(m.monthly))).drop("_med_c"))
 
     # 5. total = monthly x tenure, 2 decimals
-    out = out.withColumn(total, F.when(blank(total),
-                                       F.round(F.col(monthly) * F.col(tenure), 2))
-                         .otherwise(F.col(total)))
+    out = out.withColumn(m.total, F.when(blank(m.total),
+                                         F.round(F.col(m.monthly) * F.col(m.tenure), 2))
+                         .otherwise(F.col(m.total)))
     return out.select(*batch.columns)
+
+
+def impute_conditional(batch: DataFrame, reference: DataFrame,
+                       categorical: Sequence[str] = DEFAULT_CATEGORICAL,
+                       dependencies: Mapping[str, str] = DEFAULT_DEPENDENCIES,
+                       tenure: str = "tenure_months", monthly: str = "monthly_charges",
+                       total: str = "total_charges", median_parent: str = "internet_service",
+                       zero_is_missing: bool = False) -> DataFrame:
+    """Fill missing fields of ``batch`` from statistics of ``reference``."""
+    model = fit_imputation(reference, categorical, dependencies, tenure, monthly, total,
+                           median_parent)
+    return apply_imputation(batch, model, zero_is_missing)

@@ -4,8 +4,9 @@ The reference scores one request's rows at a time.  Here customer rows
 arriving as files are scored continuously:
 
 ``readStream`` (parquet, explicit schema) -> ``foreachBatch``: conditional
-imputation against static reference statistics -> tenure bins -> fitted
-``PipelineModel.transform`` -> intervention flag -> parquet sink.
+imputation against reference statistics fitted once at start (one row of
+whole-table values plus small written conditional tables) -> tenure bins ->
+fitted ``PipelineModel.transform`` -> intervention flag -> parquet sink.
 
 It is stateless (no aggregation, so no watermark).  Each micro-batch is
 written to ``<sink>/batch_id=<id>`` with overwrite, so a batch replayed
@@ -25,9 +26,9 @@ from ..operators import binning, decision, impute
 from ..operators.ml import fill_categoricals, with_probability
 
 
-def score_batch(batch: DataFrame, reference: DataFrame, model: PipelineModel,
-                threshold: float, categorical, label_free_cols) -> DataFrame:
-    filled = impute.impute_conditional(batch, reference, categorical=categorical)
+def score_batch(batch: DataFrame, imputer: impute.ImputationModel, model: PipelineModel,
+                threshold: float, label_free_cols) -> DataFrame:
+    filled = impute.apply_imputation(batch, imputer)
     binned = binning.bin_tenure_open(filled)
     ready = fill_categoricals(binned, label_free_cols)
     scored = with_probability(model.transform(ready)).withColumnRenamed(
@@ -45,11 +46,13 @@ def start_stream(spark: SparkSession, source_dir: str, schema: StructType | str,
                                                      max_files_per_trigger)
               .parquet(source_dir))
     cat_cols = list(categorical) + ["tenure_group"]
+    # reference statistics: computed and written ONCE, reused by every batch
+    imputer = impute.fit_imputation(reference, categorical=categorical, materialize=True)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # read several times by the imputation
         try:
-            out = score_batch(batch, reference, model, threshold, categorical, cat_cols)
+            out = score_batch(batch, imputer, model, threshold, cat_cols)
             out.withColumn("scored_batch", F.lit(batch_id)).write.mode("overwrite").parquet(
                 f"{sink_dir}/batch_id={batch_id}")
         finally:
