@@ -54,7 +54,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="retentio-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder "
+                               "(HDFS/S3/...) when running on a cluster")
+        conf_dir = tempfile.mkdtemp(prefix="retentio-ckpt-")  # local runs and tests only
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return conf_dir
@@ -81,3 +84,26 @@ def cut_lineage(df: DataFrame, name: str | None = None) -> DataFrame:
     path = shared_path(spark, f"materialized/{name or uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def scale_conf(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 << 20,
+               min_partitions: int = 200) -> dict[str, str]:
+    """Shuffle/file partition sizes for an input of ``input_bytes``.
+
+    Only keys the cluster has not set are changed.  Shuffle partitions start
+    at input / target (AQE coalesces small ones and splits skewed ones at
+    runtime), files are split at the same target size.
+    """
+    parts = max(min_partitions, -(-input_bytes // target_partition_bytes))
+    wanted = {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+    }
+    applied = {}
+    for k, v in wanted.items():
+        if spark.sparkContext.getConf().get(k, None) is None:
+            spark.conf.set(k, v)
+            applied[k] = v
+    return applied
