@@ -106,10 +106,27 @@ def feature_roles_table(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def select_features(df: DataFrame, features: Sequence[str]) -> FeatureRoles:
-    """Roles for a bounded feature list (the table has one row per feature)."""
+    """Roles for a bounded feature list.
+
+    Only "at most 5 distinct values?" matters, so cardinalities come from a
+    HyperLogLog screen with exact counts only for columns whose estimate is
+    near the cut-off (``profile.count_distinct_screened``); exact distinct
+    counts of continuous columns are never computed.
+    """
+    from .profile import count_distinct_screened
+    require_columns(df, *features)
+    dtypes = dict(df.dtypes)
+    card = {r.column: r.n_distinct for r in count_distinct_screened(
+        df, list(features), limit=max(ONE_HOT_MAX_DISTINCT, SCALE_MIN_DISTINCT)).collect()}
     roles = FeatureRoles()
-    for r in feature_roles_table(df, features).collect():
-        getattr(roles, r.role).append(r.column)
+    for c in features:
+        cat = dtypes[c] in ("string", "boolean")
+        if (cat and card[c] <= ONE_HOT_MAX_DISTINCT) or c.lower() in ALWAYS_ONE_HOT:
+            roles.one_hot.append(c)
+        elif dtypes[c] in NUMERIC and card[c] > SCALE_MIN_DISTINCT:
+            roles.scale.append(c)
+        else:
+            roles.passthrough.append(c)
     order = {c: i for i, c in enumerate(features)}
     for lst in (roles.one_hot, roles.scale, roles.passthrough):
         lst.sort(key=order.get)
