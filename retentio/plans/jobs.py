@@ -54,8 +54,32 @@ class TrainResult:
     roles: ml.FeatureRoles
 
 
+def _load_bundle(spark: SparkSession, path: str) -> TrainResult | None:
+    """Saved results + model, or None when any part is missing."""
+    try:
+        model = PipelineModel.load(f"{path}/model")
+        metrics = spark.read.parquet(f"{path}/metrics")
+        preds = spark.read.parquet(f"{path}/predictions")
+        best = metrics.filter(F.col("rank") == 1).select("model").first()[0]  # one row
+    except Exception:  # noqa: BLE001 - not saved (completely) yet
+        return None
+    roles_row = spark.read.json(f"{path}/roles").first()
+    roles = ml.FeatureRoles(list(roles_row["one_hot"]), list(roles_row["scale"]),
+                            list(roles_row["passthrough"]))
+    return TrainResult(metrics, preds, best, model, roles)
+
+
 def train_deploy_job(spark: SparkSession, sf_dir: str, path: str | None = None,
                      full_grid: bool = False, overwrite: bool = True) -> TrainResult:
+    """Compare models, refit the best on all rows and save the bundle (model,
+    ranked metrics, test predictions, feature roles) under ``path``.  With
+    ``overwrite=False`` a complete saved bundle is loaded instead of training
+    (load-or-train)."""
+    path = path or shared_path(spark, f"models/best_{sf_dir.rstrip('/').rsplit('/', 1)[-1]}")
+    if not overwrite:
+        saved = _load_bundle(spark, path)
+        if saved is not None:
+            return saved
     data = cut_lineage(model_frame(clean_binned(spark, sf_dir)))
     train, test = ml.split(data)
     train = ml.stratified_folds(train, "label")
@@ -68,9 +92,15 @@ def train_deploy_job(spark: SparkSession, sf_dir: str, path: str | None = None,
     for p, v in best_params.items():
         if clf.hasParam(p.name):
             clf.set(clf.getParam(p.name), v)
-    path = path or shared_path(spark, f"models/best_{sf_dir.rstrip('/').rsplit('/', 1)[-1]}")
-    model = ml.deploy(pipe, ml.add_class_weights(data), path, overwrite=overwrite)
-    return TrainResult(metrics, preds, best_name, model, roles)
+    model = ml.deploy(pipe, ml.add_class_weights(data), f"{path}/model", overwrite=True)
+    metrics.write.mode("overwrite").parquet(f"{path}/metrics")
+    preds.write.mode("overwrite").parquet(f"{path}/predictions")
+    spark.createDataFrame([(roles.one_hot, roles.scale, roles.passthrough)],
+                          "one_hot array<string>, scale array<string>, "
+                          "passthrough array<string>").write.mode("overwrite").json(
+        f"{path}/roles")
+    return TrainResult(spark.read.parquet(f"{path}/metrics"),
+                       spark.read.parquet(f"{path}/predictions"), best_name, model, roles)
 
 
 def threshold_score_assign_job(spark: SparkSession, sf_dir: str, result: TrainResult,

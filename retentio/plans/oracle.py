@@ -446,6 +446,17 @@ c_per AS (SELECT feature, CAST(first(n) AS BIGINT) AS n, first(n_rows) AS n_rows
           FROM c_t GROUP BY feature)"""
 
 
+DOCLAB_CTE = """doclab AS (SELECT d.doc_id, d.lang, d.source, l.quality, l.toxic
+                 FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+
+register("chi2_scan_documents", f"""
+WITH {DOCLAB_CTE},
+{chi2_cte(["lang", "source"], label="toxic", src="doclab")}
+SELECT feature, n, dof, round(statistic, 6) AS statistic,
+       round(CASE WHEN least(n_rows, n_cols) - 1 > 0 AND n > 0
+                  THEN sqrt(statistic / (n * (least(n_rows, n_cols) - 1))) END, 6) AS cramers_v
+FROM c_per""")
+
 register("contingency", f"""
 WITH {chi2_cte(["contract"])}
 SELECT value AS contract, lab AS churn_value, CAST(observed AS BIGINT) AS observed

@@ -406,6 +406,29 @@ def q_chi2_scan(spark, sf_dir):
                      F.round("cramers_v", 6).alias("cramers_v"))
 
 
+def documents_labelled(spark, sf_dir):
+    """Documents joined to their labels (the second binary-label set)."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "lang", "source")
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    return docs.join(labels, "doc_id")
+
+
+@query
+def q_chi2_scan_documents(spark, sf_dir):
+    """Chi-square statistics of language and source against toxicity."""
+    st = chisq.chi2_statistics(documents_labelled(spark, sf_dir), ["lang", "source"], "toxic")
+    return st.select("feature", "n", "dof", F.round("statistic", 6).alias("statistic"),
+                     F.round("cramers_v", 6).alias("cramers_v"))
+
+
+@query
+def q_chi2_tests_documents(spark, sf_dir):
+    """Full tests (p, power, verdict) of language and source against quality."""
+    t = chisq.chi2_tests(documents_labelled(spark, sf_dir), ["lang", "source"], "quality")
+    return t.select("feature", "dof", F.round("statistic", 6).alias("statistic"),
+                    F.round("p_value", 8).alias("p_value"), "verdict", "strength")
+
+
 @query
 def q_chi2_tests(spark, sf_dir):
     """Full tests with p-value, power and verdict (no SQL oracle: p needs the
@@ -612,7 +635,8 @@ def q_tune(spark, sf_dir):
 
 @query
 def q_compare_models(spark, sf_dir):
-    """Tune logistic / random forest / Gaussian NB, evaluate on test, rank."""
+    """Tune logistic / random forest / Gaussian NB (reduced grids; the full
+    16/288/1 grids are ``full_grid=True``), evaluate on test, rank."""
     train, test = ml_train_test(spark, sf_dir)
     roles = ml.select_features(train, ML_FEATURES)
     metrics, _, _ = ml.compare_models(train, test, roles, full_grid=False)
@@ -854,6 +878,15 @@ def q_threshold_score_assign(spark, sf_dir):
                            .alias("churn_probability"), "group", "intervention_details")
 
 
+@query
+def q_score_explain(spark, sf_dir):
+    """Job D: score test rows with the deployed model (load-or-train) and
+    explain them: sampled-Shapley top-10 per customer."""
+    r = jobs.train_deploy_job(spark, sf_dir, overwrite=False)
+    _, local, _ = jobs.score_explain_job(spark, sf_dir, r.model, threshold=0.5)
+    return local.select("customer_id", "rank", "feature", F.round("phi", 6).alias("phi"))
+
+
 # ---------------------------------------------------------------- streaming
 from ..streaming import score_stream  # noqa: E402
 

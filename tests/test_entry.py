@@ -16,6 +16,7 @@ def test_every_oracle_has_a_query():
 EAGER = {"baseline_cv", "tune", "compare_models", "feature_importance", "deploy",
          "score_model", "explain_linear", "background_sample", "explain_local",
          "explain_global", "train_deploy", "threshold_score_assign", "stream_score",
+         "score_explain",
          "one_hot", "scale", "sink_scored", "kde", "knn_score", "knn_score_distance",
          "drop_rows_by_key", "impute_conditional"}
 
