@@ -295,8 +295,15 @@ def _param_dict(pmap) -> dict:
             pmap.items()}
 
 
+def default_parallelism(df: DataFrame, cap: int = 4) -> int:
+    """Concurrent fits for tuning: the cluster's default parallelism, capped
+    (each fit is itself a distributed job)."""
+    return max(2, min(cap, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def tune(name: str, pipeline: Pipeline, grid: list, train: DataFrame, label: str = "label",
-         parallelism: int = 4, seed: int = 123, checkpoint: bool = True) -> TuneResult:
+         parallelism: int | None = None, seed: int = 123, checkpoint: bool = True
+         ) -> TuneResult:
     """Grid search with 5 stratified folds (``foldCol``), recall of class 1,
     refit of the best candidate on all training rows.  A failing model is
     recorded and skipped.  The training frame is checkpointed first unless
@@ -306,7 +313,7 @@ def tune(name: str, pipeline: Pipeline, grid: list, train: DataFrame, label: str
             train = cut_lineage(train)
         cv = CrossValidator(estimator=pipeline, estimatorParamMaps=grid or [{}],
                             evaluator=recall_evaluator(label), foldCol="fold", numFolds=5,
-                            parallelism=parallelism, seed=seed)
+                            parallelism=parallelism or default_parallelism(train), seed=seed)
         m = cv.fit(train)
         best = max(range(len(m.avgMetrics)), key=lambda i: m.avgMetrics[i])
         params = _param_dict(grid[best]) if grid else {}
@@ -357,7 +364,7 @@ def feature_importance(model: PipelineModel, names: Sequence[str], top: int = 4
 
 def compare_models(train: DataFrame, test: DataFrame, roles: FeatureRoles,
                    label: str = "label", key: str = "customer_id", full_grid: bool = False,
-                   names: Sequence[str] | None = None, parallelism: int = 4
+                   names: Sequence[str] | None = None, parallelism: int | None = None
                    ) -> tuple[DataFrame, DataFrame, dict[str, TuneResult]]:
     """Tune every candidate, evaluate on test, rank by recall then F1.
 

@@ -34,6 +34,12 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # the driver's status store keeps job/stage/SQL history even with the
+        # UI off; long sessions (tuning, many reports) should not accumulate it
+        .config("spark.sql.ui.retainedExecutions", "50")
+        .config("spark.ui.retainedJobs", "200")
+        .config("spark.ui.retainedStages", "200")
+        .config("spark.ui.retainedTasks", "10000")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
