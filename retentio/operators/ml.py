@@ -364,9 +364,11 @@ def feature_importance(model: PipelineModel, names: Sequence[str], top: int = 4
 
 def compare_models(train: DataFrame, test: DataFrame, roles: FeatureRoles,
                    label: str = "label", key: str = "customer_id", full_grid: bool = False,
-                   names: Sequence[str] | None = None, parallelism: int | None = None
+                   names: Sequence[str] | None = None, parallelism: int | None = None,
+                   metric: str = "recall"
                    ) -> tuple[DataFrame, DataFrame, dict[str, TuneResult]]:
-    """Tune every candidate, evaluate on test, rank by recall then F1.
+    """Tune every candidate, evaluate on test, rank by ``metric`` (recall,
+    precision, accuracy, f1 or roc_auc) then F1.
 
     Returns ``(metrics, predictions, tuned)``: ``metrics`` has one row per
     model with its best parameters (a map) and test metrics, ranked;
@@ -397,7 +399,9 @@ def compare_models(train: DataFrame, test: DataFrame, roles: FeatureRoles,
         rows, "model string, params string, cv_recall double, recall double, "
               "precision double, accuracy double, f1 double, roc_auc double, "
               "top_features string")
-    w = Window.orderBy(F.col("recall").desc_nulls_last(), F.col("f1").desc_nulls_last(),
+    if metric not in ("recall", "precision", "accuracy", "f1", "roc_auc"):
+        raise ValueError("metric must be recall, precision, accuracy, f1 or roc_auc")
+    w = Window.orderBy(F.col(metric).desc_nulls_last(), F.col("f1").desc_nulls_last(),
                        F.col("model"))
     metrics = metrics.withColumn("rank", F.row_number().over(w))  # one row per model
     pred_all = preds[0]

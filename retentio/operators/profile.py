@@ -28,6 +28,21 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if t in NUMERIC or t.startswith("decimal")]
 
 
+NUMERIC_ONLY = ("mean", "median", "sum", "std", "var")
+
+
+def check_aggregates(df: DataFrame, plan: Mapping[str, Sequence[str]]) -> None:
+    """ValueError when a numeric aggregate is asked of a non-numeric column."""
+    dtypes = dict(df.dtypes)
+    for c, fns in plan.items():
+        for f in fns:
+            if f not in AGG_NAMES:
+                raise ValueError(f"unknown aggregate {f!r}; known: {AGG_NAMES}")
+            t = dtypes[c]
+            if f in NUMERIC_ONLY and not (t in NUMERIC or t.startswith("decimal")):
+                raise ValueError(f"aggregate {f!r} is incompatible with {c!r} ({t})")
+
+
 def agg_expr(name: str, col: str) -> Column:
     """Spark aggregate for a pandas-style aggregate name."""
     c = F.col(col)
@@ -57,6 +72,7 @@ def agg_named(df: DataFrame, func: str, cols: str | Sequence[str] | None = None
     """One aggregate over one, several or all (numeric) columns: one row."""
     names = [cols] if isinstance(cols, str) else list(cols or numeric_columns(df))
     require_columns(df, *names)
+    check_aggregates(df, {c: [func] for c in names})
     return df.agg(*[agg_expr(func, c).alias(c) for c in names])
 
 
@@ -84,6 +100,7 @@ def agg_list(df: DataFrame, funcs: Sequence[str], cols: Sequence[str] | None = N
     """Several aggregates x columns -> matrix (row per aggregate)."""
     names = list(cols or numeric_columns(df))
     require_columns(df, *names)
+    check_aggregates(df, {c: list(funcs) for c in names})
     return _stack_aggregates(df, {c: list(funcs) for c in names})
 
 
@@ -91,6 +108,7 @@ def agg_dict(df: DataFrame, spec: Mapping[str, str | Sequence[str]]) -> DataFram
     """Different aggregates per column -> matrix (row per aggregate)."""
     require_columns(df, *spec)
     plan = {c: ([f] if isinstance(f, str) else list(f)) for c, f in spec.items()}
+    check_aggregates(df, plan)
     return _stack_aggregates(df, plan)
 
 

@@ -143,3 +143,14 @@ def test_full_param_grid_sizes(small_fit):
     lr = pipes["LogisticRegression"].getStages()[-1]
     regs = sorted({m[lr.regParam] for m in full["LogisticRegression"]})
     assert regs == pytest.approx(sorted(1 / (c * 80) for c in (0.1, 0.5, 1, 5)))
+
+
+def test_soft_vote_metric_choice(spark):
+    rows = [("a", i, i % 2, 0.9 if i % 2 else 0.6) for i in range(40)] + \
+           [("b", i, i % 2, 0.2) for i in range(40)]
+    pred = spark.createDataFrame(rows, "model string, customer_id long, label int, proba double")
+    by_recall = ensemble.soft_vote(pred, ["a", "b"], metric="recall").filter("rank = 1").first()
+    by_prec = ensemble.soft_vote(pred, ["a", "b"], metric="precision").filter("rank = 1").first()
+    assert by_recall.recall >= by_prec.recall and by_prec.precision >= by_recall.precision
+    with pytest.raises(ValueError):
+        ensemble.soft_vote(pred, ["a", "b"], metric="nope")

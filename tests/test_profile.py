@@ -105,3 +105,14 @@ def test_agg_callable_non_decomposable_bounded(spark):
     with pytest.raises(ValueError):
         profile.agg_callable(df, lambda s: float(s.median()), "x", decomposable=False,
                              max_rows_single_group=10)
+
+
+def test_aggregate_contract(spark):
+    df = spark.createDataFrame([(1.0, "x")], "a double, b string")
+    with pytest.raises(ValueError):
+        profile.agg_named(df, "mean", "b")
+    with pytest.raises(ValueError):
+        profile.agg_list(df, ["nope"], ["a"])
+    with pytest.raises(KeyError):
+        profile.agg_named(df, "mean", "missing")
+    assert profile.agg_dict(df, {"b": "nunique", "a": "max"}).count() == 2
