@@ -35,11 +35,14 @@ def _blocks(n: int, block_rows: int) -> int:
 def knn_candidates(reference: DataFrame, queries: DataFrame, k: int = 3, p: int = 2,
                    id_col: str = "vec_id", vec_col: str = "embedding",
                    label_col: str = "label", block_rows: int = 20_000) -> DataFrame:
-    """``(qid, rid, dist, rlabel)``: the k nearest references of each query."""
+    """``(qrow, qid, rid, dist, rlabel)``: the k nearest references of each
+    query row (``qrow`` is an internal row id; query ids may repeat)."""
     nq, nr = queries.count(), reference.count()
     a, b = _blocks(nq, block_rows), _blocks(nr, block_rows)
+    # _qrow: internal row id, so duplicated query ids are scored separately
     q = (queries.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qvec"))
-         .withColumn("qa", F.pmod(F.xxhash64("qid"), F.lit(a)).cast("int"))
+         .withColumn("_qrow", F.monotonically_increasing_id())
+         .withColumn("qa", F.pmod(F.xxhash64("_qrow"), F.lit(a)).cast("int"))
          .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))))
     r = (reference.select(F.col(id_col).alias("rid"), F.col(vec_col).alias("rvec"),
                           F.col(label_col).cast("int").alias("rlabel"))
@@ -48,7 +51,8 @@ def knn_candidates(reference: DataFrame, queries: DataFrame, k: int = 3, p: int
 
     def block_topk(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if qp.empty or rp.empty:
-            return pd.DataFrame({"qid": pd.Series([], "int64"), "rid": pd.Series([], "int64"),
+            return pd.DataFrame({"qrow": pd.Series([], "int64"), "qid": pd.Series([], "int64"),
+                                 "rid": pd.Series([], "int64"),
                                  "dist": pd.Series([], "float64"),
                                  "rlabel": pd.Series([], "int32")})
         rp = rp.sort_values("rid", kind="stable")
@@ -59,6 +63,7 @@ def knn_candidates(reference: DataFrame, queries: DataFrame, k: int = 3, p: int
         out = []
         qm_all = np.stack(qp["qvec"].to_numpy()).astype(np.float64)
         qids = qp["qid"].to_numpy()
+        qrows = qp["_qrow"].to_numpy()
         # chunk the queries so one difference array stays ~4M doubles (32 MB)
         step = max(1, int(4_000_000 // max(1, rm.shape[0] * rm.shape[1])))
         for s in range(0, len(qp), step):
@@ -68,15 +73,17 @@ def knn_candidates(reference: DataFrame, queries: DataFrame, k: int = 3, p: int
             # stable sort on distance keeps the smaller rid first among ties
             idx = np.argsort(d, axis=1, kind="stable")[:, :kk]
             rows = np.repeat(np.arange(len(qm)), kk)
-            out.append(pd.DataFrame({"qid": np.repeat(qids[s:s + len(qm)], kk),
+            out.append(pd.DataFrame({"qrow": np.repeat(qrows[s:s + len(qm)], kk),
+                                     "qid": np.repeat(qids[s:s + len(qm)], kk),
                                      "rid": rids[idx.ravel()],
                                      "dist": d[rows, idx.ravel()],
                                      "rlabel": rlab[idx.ravel()].astype("int32")}))
         return pd.concat(out, ignore_index=True)
 
     cand = (q.groupBy("qa", "rb").cogroup(r.groupBy("qa", "rb"))
-            .applyInPandas(block_topk, "qid long, rid long, dist double, rlabel int"))
-    w = Window.partitionBy("qid").orderBy("dist", "rid")  # <= k x blocks rows per qid
+            .applyInPandas(block_topk,
+                           "qrow long, qid long, rid long, dist double, rlabel int"))
+    w = Window.partitionBy("qrow").orderBy("dist", "rid")  # <= k x blocks rows per query
     return cand.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
 
 
@@ -91,10 +98,10 @@ def knn_score(reference: DataFrame, queries: DataFrame, k: int = 3, weights: str
     hit = (F.col("rlabel") == positive).cast("double")
     if weights == "uniform":
         score = F.sum(hit) / F.count(F.lit(1))
-        out = c.groupBy("qid").agg(score.alias("knn_score"))
+        out = c.groupBy("qrow", "qid").agg(score.alias("knn_score"))
     else:
         zero = F.col("dist") == 0
-        c = c.withColumn("_has0", F.max(zero.cast("int")).over(Window.partitionBy("qid")))
+        c = c.withColumn("_has0", F.max(zero.cast("int")).over(Window.partitionBy("qrow")))
         wgt = F.when(F.col("_has0") == 1, zero.cast("double")).otherwise(1.0 / F.col("dist"))
-        out = c.groupBy("qid").agg((F.sum(wgt * hit) / F.sum(wgt)).alias("knn_score"))
+        out = c.groupBy("qrow", "qid").agg((F.sum(wgt * hit) / F.sum(wgt)).alias("knn_score"))
     return out.select(F.col("qid").alias(id_col), F.round("knn_score", 6).alias("knn_score"))
