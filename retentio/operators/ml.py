@@ -61,22 +61,57 @@ def split_label(df: DataFrame, key: str = "customer_id", test_size: float = 0.2,
 
 
 def stratified_folds(df: DataFrame, label: str, key: str = "customer_id", k: int = 5,
-                     seed: int = 123, buckets: int = 4096) -> DataFrame:
+                     seed: int = 123, buckets: int = 4096, copies_per_group: int = 1_000_000
+                     ) -> DataFrame:
     """Add ``fold`` in 0..k-1: within each class, rows ordered by a keyed
-    hash (key breaks ties) are dealt round-robin, so every fold holds
-    floor/ceil(n_class / k) rows of each class."""
+    hash (key, then an internal row id, break ties) are dealt round-robin, so
+    every fold holds floor/ceil(n_class / k) rows of each class.
+
+    No window ever covers a whole class or a whole repeated key:
+
+    1. distinct (class, key) groups with their row counts (partial
+       aggregation, so a key repeated in a third of all rows is combined
+       map-side);
+    2. each group's first rank = rows of its class in earlier hash buckets
+       (a window over at most classes x ``buckets`` bucket totals) plus rows
+       of earlier groups in its own bucket (a window per bucket; distinct
+       keys hash uniformly, so buckets stay balanced);
+    3. copies of one key are numbered in salted sub-groups of about
+       ``copies_per_group`` rows (sub-group offsets from a window over at most
+       count / ``copies_per_group`` rows per key).
+    For unique keys this is exactly "row_number by (hash, key) within class".
+    """
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"),
                                               F.lit(f"fold{seed}"))), 1, 12), 16, 10)
-    x = df.withColumn("_h", h.cast("bigint")).withColumn(
+    x = (df.withColumn("_h", h.cast("bigint"))
+         .withColumn("_rid", F.monotonically_increasing_id()))
+    # 1. one row per (class, key) with its number of copies
+    groups = x.groupBy(label, "_h", key).agg(F.count(F.lit(1)).alias("_c"))
+    groups = groups.withColumn(
         "_b", (F.col("_h") * buckets / F.lit(float(1 << 48))).cast("int"))
-    per = x.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    # 2. first rank of every group inside its class
+    per_b = groups.groupBy(label, "_b").agg(F.sum("_c").alias("_n"))
     w_off = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0)))
-    w_in = Window.partitionBy(label, "_b").orderBy("_h", key)
-    ranked = (x.join(F.broadcast(offsets.select(label, "_b", "_off")), [label, "_b"])
-              .withColumn("_rank", F.col("_off") + F.row_number().over(w_in) - 1))
+    offsets = per_b.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0)))
+    w_in = (Window.partitionBy(label, "_b").orderBy("_h", key)
+            .rowsBetween(Window.unboundedPreceding, -1))
+    starts = (groups.join(F.broadcast(offsets.select(label, "_b", "_off")), [label, "_b"])
+              .withColumn("_start", F.col("_off")
+                          + F.coalesce(F.sum("_c").over(w_in), F.lit(0)))
+              .select(label, "_h", key, "_c", "_start"))
+    # 3. number the copies of each key in salted sub-groups
+    rows = x.join(starts, [label, "_h", key]).withColumn(
+        "_s", F.pmod(F.col("_rid"), F.ceil(F.col("_c") / F.lit(copies_per_group))))
+    sub = rows.groupBy(label, key, "_s").agg(F.count(F.lit(1)).alias("_sn"))
+    w_sub = Window.partitionBy(label, key).orderBy("_s").rowsBetween(
+        Window.unboundedPreceding, -1)
+    sub = sub.withColumn("_soff", F.coalesce(F.sum("_sn").over(w_sub), F.lit(0))).drop("_sn")
+    w_copy = Window.partitionBy(label, key, "_s").orderBy("_rid")
+    ranked = (rows.join(sub, [label, key, "_s"])
+              .withColumn("_rank", F.col("_start") + F.col("_soff")
+                          + F.row_number().over(w_copy) - 1))
     return ranked.withColumn("fold", F.pmod(F.col("_rank"), F.lit(k)).cast("int")).drop(
-        "_h", "_b", "_off", "_rank")
+        "_h", "_rid", "_c", "_start", "_s", "_soff", "_rank")
 
 
 # ------------------------------------------------------------------ roles

@@ -154,3 +154,16 @@ def test_soft_vote_metric_choice(spark):
     assert by_recall.recall >= by_prec.recall and by_prec.precision >= by_recall.precision
     with pytest.raises(ValueError):
         ensemble.soft_vote(pred, ["a", "b"], metric="nope")
+
+
+def test_folds_with_a_hot_repeated_key(spark):
+    base = [(i, i % 2) for i in range(600)]
+    hot = [(7, 1)] * 400  # one key repeated in 40% of the rows
+    df = spark.createDataFrame(base + hot, "customer_id long, label int").repartition(5)
+    f = ml.stratified_folds(df, "label", copies_per_group=37)
+    assert f.count() == 1000
+    counts = {}
+    for r in f.groupBy("label", "fold").count().collect():
+        counts.setdefault(r.label, []).append(r["count"])
+    for c in counts.values():
+        assert len(c) == 5 and max(c) - min(c) <= 1
