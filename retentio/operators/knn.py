@@ -9,8 +9,8 @@ k best of the at most k x (reference blocks) candidates.
 
 Block counts come from the input sizes (``block_rows`` rows per block), so
 every group holds about ``block_rows`` rows of each side no matter how large
-the inputs grow, and a hot key cannot concentrate a side in one group
-(blocks are hashes of unique row ids).
+the inputs grow, and a repeated id cannot concentrate a side in one group
+(blocks are hashes of internal row ids, not of the ids).
 
 Scores follow the public k-NN classifier rules: uniform weights -> share
 of positive labels among the k neighbours; distance weights -> 1/d,
@@ -44,9 +44,11 @@ def knn_candidates(reference: DataFrame, queries: DataFrame, k: int = 3, p: int
          .withColumn("_qrow", F.monotonically_increasing_id())
          .withColumn("qa", F.pmod(F.xxhash64("_qrow"), F.lit(a)).cast("int"))
          .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))))
+    # blocks from an internal row id: a repeated reference id cannot load one block
     r = (reference.select(F.col(id_col).alias("rid"), F.col(vec_col).alias("rvec"),
                           F.col(label_col).cast("int").alias("rlabel"))
-         .withColumn("rb", F.pmod(F.xxhash64("rid"), F.lit(b)).cast("int"))
+         .withColumn("rb", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(b))
+                     .cast("int"))
          .withColumn("qa", F.explode(F.sequence(F.lit(0), F.lit(a - 1)))))
 
     def block_topk(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
