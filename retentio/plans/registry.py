@@ -563,10 +563,40 @@ def ml_frame(spark, sf_dir):
                                 [c for c in ML_FEATURES if c != "monthly_charges"])
 
 
+def _scoped(key, build):
+    """Build once per query call (like ``mart``), reuse inside the call."""
+    marts = getattr(_scope, "marts", None)
+    if marts is None:
+        return build()
+    if key not in marts:
+        marts[key] = build()
+    return marts[key]
+
+
+def ml_data(spark, sf_dir):
+    """The model frame with ``split`` and CV ``fold`` columns, written once:
+    fitting reads it many times (cardinalities, class weights, every fold)."""
+    def build():
+        df = ml_frame(spark, sf_dir)
+        tr, te = ml.split(df, "customer_id", 0.2, 123)
+        tr = ml.stratified_folds(tr, "label", "customer_id", 5, 123).withColumn(
+            "split", F.lit("train"))
+        te = te.withColumn("fold", F.lit(-1)).withColumn("split", F.lit("test"))
+        return cut_lineage(tr.unionByName(te))
+    return _scoped(("ml", sf_dir), build)
+
+
 def ml_train_test(spark, sf_dir):
-    df = ml_frame(spark, sf_dir)
-    train, test = ml.split(df, "customer_id", 0.2, 123)
-    return ml.stratified_folds(train, "label", "customer_id", 5, 123), test
+    d = ml_data(spark, sf_dir)
+    return (d.filter(F.col("split") == "train").drop("split"),
+            d.filter(F.col("split") == "test").drop("split", "fold"))
+
+
+def ml_roles(spark, sf_dir):
+    """Feature roles from cardinalities over ALL rows (as the reference does);
+    the encoders themselves are fitted on the training rows only."""
+    return _scoped(("roles", sf_dir),
+                   lambda: ml.select_features(ml_data(spark, sf_dir), ML_FEATURES))
 
 
 @query
@@ -613,9 +643,10 @@ def q_one_hot(spark, sf_dir):
 @query
 def q_baseline_cv(spark, sf_dir):
     """Mean 5-fold recall of untuned logistic regression on all rows."""
-    df = ml.stratified_folds(ml_frame(spark, sf_dir), "label")
+    df = cut_lineage(ml.stratified_folds(ml_frame(spark, sf_dir), "label"))
     roles = ml.select_features(df, ML_FEATURES)
-    r = ml.baseline_cv(ml.model_pipelines(roles, names=["LogisticRegression"]), df)
+    r = ml.baseline_cv(ml.model_pipelines(roles, names=["LogisticRegression"]), df,
+                       checkpoint=False)
     return spark.range(1).select(F.lit(round(r, 6)).alias("baseline_recall"))
 
 
@@ -623,7 +654,7 @@ def q_baseline_cv(spark, sf_dir):
 def q_tune(spark, sf_dir):
     """Grid search (reduced logistic grid) with stratified 5-fold CV."""
     train, _ = ml_train_test(spark, sf_dir)
-    roles = ml.select_features(train, ML_FEATURES)
+    roles = ml_roles(spark, sf_dir)
     pipes = ml.model_pipelines(roles, names=["LogisticRegression"])
     train = ml.add_class_weights(train)
     grid = ml.param_grids(pipes, train.count(), full=False)["LogisticRegression"]
@@ -638,7 +669,7 @@ def q_compare_models(spark, sf_dir):
     """Tune logistic / random forest / Gaussian NB (reduced grids; the full
     16/288/1 grids are ``full_grid=True``), evaluate on test, rank."""
     train, test = ml_train_test(spark, sf_dir)
-    roles = ml.select_features(train, ML_FEATURES)
+    roles = ml_roles(spark, sf_dir)
     metrics, _, _ = ml.compare_models(train, test, roles, full_grid=False)
     return metrics
 
@@ -649,7 +680,7 @@ def q_feature_importance(spark, sf_dir):
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml import Pipeline
     train, _ = ml_train_test(spark, sf_dir)
-    roles = ml.select_features(train, ML_FEATURES)
+    roles = ml_roles(spark, sf_dir)
     stages, _ = ml.preprocessor_stages(roles)
     rows = []
     for name, clf in (("RandomForest", RandomForestClassifier(numTrees=20, maxDepth=5,
@@ -663,7 +694,7 @@ def q_feature_importance(spark, sf_dir):
 
 
 def _deployed_model(spark, sf_dir, overwrite=False):
-    df = ml_frame(spark, sf_dir)
+    df = _scoped(("ml_full", sf_dir), lambda: cut_lineage(ml_frame(spark, sf_dir)))
     roles = ml.select_features(df, ML_FEATURES)
     pipe = ml.model_pipelines(roles, names=["LogisticRegression"])["LogisticRegression"]
     tag = sf_dir.rstrip("/").rsplit("/", 1)[-1]
@@ -823,7 +854,7 @@ def q_eda_report(spark, sf_dir):
 
 def _logistic_model(spark, sf_dir):
     train, _ = ml_train_test(spark, sf_dir)
-    roles = ml.select_features(train, ML_FEATURES)
+    roles = ml_roles(spark, sf_dir)
     pipe = ml.model_pipelines(roles, names=["LogisticRegression"])["LogisticRegression"]
     return pipe.fit(train), roles
 
