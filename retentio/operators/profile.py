@@ -223,7 +223,8 @@ def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None,
-             quantiles: str = "percentile") -> DataFrame:
+             quantiles: str = "auto", max_distinct_for_percentile: int = 2_000_000
+             ) -> DataFrame:
     """count, mean, std (n-1), min, 25%, 50%, 75% (interpolated), max.
 
     Exact percentiles, not ``DataFrame.summary()``'s approximate ones.
@@ -232,16 +233,23 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None,
     one task - right for bounded-cardinality columns).
     ``quantiles="refine"``: moments in one pass, quartiles by distributed
     histogram refinement (``quantiles.exact_quantiles``) - the path for
-    columns with billions of distinct values.  Result is row-per-statistic.
+    columns with billions of distinct values.  ``quantiles="auto"`` (default)
+    estimates each column's distinct count in one HyperLogLog pass and
+    refines only columns above ``max_distinct_for_percentile``.  All paths
+    give the same exact values.  Result is row-per-statistic.
     """
     names = list(cols or numeric_columns(df))
     require_columns(df, *names)
+    if quantiles not in ("auto", "percentile", "refine"):
+        raise ValueError("quantiles must be 'auto', 'percentile' or 'refine'")
+    to_refine = list(names) if quantiles == "refine" else []
+    if quantiles == "auto" and names:
+        est = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in names]).first()
+        to_refine = [c for c in names if est[c] > max_distinct_for_percentile]
     refined = {}
-    if quantiles == "refine":
+    if to_refine:
         from .quantiles import exact_quantiles
-        refined = {c: exact_quantiles(df, c, [0.25, 0.5, 0.75]) for c in names}
-    elif quantiles != "percentile":
-        raise ValueError("quantiles must be 'percentile' or 'refine'")
+        refined = {c: exact_quantiles(df, c, [0.25, 0.5, 0.75]) for c in to_refine}
     exprs = []
     for c in names:
         x = F.col(c).cast("double")

@@ -31,3 +31,16 @@ def test_describe_refine_equals_percentile(spark):
     for s in a:
         for c in ("a", "b"):
             assert b[s][c] == pytest.approx(a[s][c], rel=1e-12, abs=1e-12)
+
+
+def test_describe_auto_refines_high_cardinality_columns(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in
+                                zip(rng.normal(0, 1, 400), rng.integers(0, 3, 400))],
+                               "a double, b double")
+    auto = {r.statistic: r for r in profile.describe(
+        df, quantiles="auto", max_distinct_for_percentile=50).collect()}  # refines "a" only
+    exact = {r.statistic: r for r in profile.describe(df, quantiles="percentile").collect()}
+    for s in exact:
+        for c in ("a", "b"):
+            assert auto[s][c] == pytest.approx(exact[s][c], rel=1e-12, abs=1e-12)
