@@ -2,17 +2,20 @@
 
 Scale notes
 -----------
-* The train/test split and the CV folds are functions of a keyed md5 hash,
-  not ``randomSplit``: they do not change with partitioning or retries.
-* Folds are exactly stratified without a per-class window (which would put
-  a whole class into one task): rows are ranked inside each class by hash
-  via 4,096 hash buckets - bucket offsets come from a tiny grouped table,
-  in-bucket ranks from a window partitioned by (class, bucket).
-* Cardinalities for feature roles come from one aggregate.
+* The train/test split and (for unique keys) the CV folds are functions of
+  a keyed md5 hash, not ``randomSplit``: they do not change with
+  partitioning or retries.  Copies of a repeated key are numbered by an
+  internal row id, stable as long as the input partitioning is.
+* Folds are exactly stratified without a window over a whole class or a
+  whole repeated key: distinct (class, key) groups are ranked through 4,096
+  hash buckets (bucket offsets from a small grouped table, in-bucket ranks
+  from a window per bucket), copies of a key through salted sub-groups.
+* Feature-role cardinalities come from a HyperLogLog screen with exact
+  counts only near the one-hot cut-off.
 * Fits are Spark jobs; ``CrossValidator(parallelism=k)`` runs k fits at a
-  time from driver threads.  The encoded training frame is checkpointed to
-  ``spark.checkpoint.dir`` before tuning so lost executors recompute from
-  there, not from the raw tables.
+  time from driver threads.  The training frame is written as a parquet
+  table under ``spark.checkpoint.dir`` before tuning, so every fold reads it
+  and lost executors re-read files instead of recomputing the raw tables.
 """
 
 from __future__ import annotations
@@ -343,8 +346,8 @@ def tune(name: str, pipeline: Pipeline, grid: list, train: DataFrame, label: str
          ) -> TuneResult:
     """Grid search with 5 stratified folds (``foldCol``), recall of class 1,
     refit of the best candidate on all training rows.  A failing model is
-    recorded and skipped.  The training frame is checkpointed first unless
-    the caller already did (``checkpoint=False``)."""
+    recorded and skipped.  The training frame is written first (``cut_lineage``)
+    unless the caller already did (``checkpoint=False``)."""
     try:
         if checkpoint:
             train = cut_lineage(train)

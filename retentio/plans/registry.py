@@ -43,14 +43,15 @@ def query(fn: Query) -> Query:
 
 
 def mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``customer_360`` mart, checkpointed once per query call.
+    """The ``customer_360`` mart, written once per query call.
 
-    A query that uses the mart more than once (a top-k lookup, scalar
-    subqueries, self-joins) would otherwise rebuild it from ``orders`` for
+    A query that uses the mart more than once (a top-k lookup, single-row
+    statistics, self-joins) would otherwise rebuild it from ``orders`` for
     every use: column pruning makes each use a different plan, so Spark
-    cannot reuse the shuffle.  The reliable checkpoint (into
-    ``spark.checkpoint.dir``) is one write of customer-level rows, about a
-    tenth of ``orders``, and also cuts the lineage for executor loss.
+    cannot reuse the shuffle.  ``cut_lineage`` writes it as a parquet table
+    under ``spark.checkpoint.dir`` (customer-level rows, about a tenth of
+    ``orders``); every use reads that table, and a lost executor re-reads
+    files instead of recomputing the lineage.
     """
     marts = getattr(_scope, "marts", None)
     if marts is None:  # called outside a registered query
