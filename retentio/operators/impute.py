@@ -3,8 +3,9 @@
 The reference fills ONE customer from modes and medians of the full table.
 Here a whole batch of incomplete rows is filled in one job:
 
-* global modes of every categorical column and the whole-table medians: one
-  aggregate pass, one bounded row, used as literals;
+* global modes of every categorical column (two partially aggregated
+  levels, one row per column) and the whole-table medians (one aggregate
+  row), used as literals;
 * conditional modes (child column given a parent value): one
   ``groupBy(parent)`` per dependency, bounded by the parent's cardinality;
 * medians of a numeric column per parent value: one ``groupBy(parent)``;
@@ -68,11 +69,18 @@ def fit_imputation(reference: DataFrame,
     """Whole-table modes/medians in ONE aggregate pass, plus the conditional
     tables (one ``groupBy(parent)`` each).  ``materialize`` writes the
     conditional tables once (for reuse across many batches)."""
+    from .profile import modes
     cents = F.round(F.col(monthly) * 100).cast("bigint")
     dep_only = [c for c in dependencies if c not in categorical]
-    g = reference.agg(*[F.mode(c, True).alias(f"mode_{c}") for c in (*categorical, *dep_only)],
-                      F.median(tenure).alias("_med_t"), F.median(cents).alias("_med_c")
-                      ).first().asDict()
+    mode_cols = [*categorical, *dep_only]
+    # global modes: two-level counts (no single-task map of distinct values);
+    # categorical columns are text, so the text tie rule is the value rule
+    g = {f"mode_{r['column']}": r["mode"]
+         for r in modes(reference, mode_cols).collect()}  # one row per column
+    g.update(reference.agg(F.median(tenure).alias("_med_t"),
+                           F.median(cents).alias("_med_c")).first().asDict())
+    for c in mode_cols:
+        g.setdefault(f"mode_{c}", None)
     cond = {child: (reference.filter(F.col(child).isNotNull()).groupBy(parent)
                     .agg(F.mode(child, True).alias(f"_m_{child}")))
             for child, parent in dependencies.items()}
@@ -100,17 +108,20 @@ def apply_imputation(batch: DataFrame, model: ImputationModel,
         return F.lit(m.globals[name])
 
     # 1. independent categoricals (parents first): global mode
+    dtypes = dict(batch.dtypes)
     for c in m.categorical:
         if c in m.dependencies:
             continue
-        out = out.withColumn(c, F.when(blank(c), lit(f"mode_{c}")).otherwise(F.col(c)))
+        fill = lit(f"mode_{c}").cast(dtypes[c])  # modes are computed as text
+        out = out.withColumn(c, F.when(blank(c), fill).otherwise(F.col(c)))
 
     # 2. dependents: mode among reference rows with the same parent value,
     #    the global mode when that parent value has no rows
     for child, parent in m.dependencies.items():
         out = (out.join(broadcast_if_small(m.conditional[child], 1_000_000), parent, "left")
                .withColumn(child, F.when(blank(child),
-                                         F.coalesce(F.col(f"_m_{child}"), lit(f"mode_{child}")))
+                                         F.coalesce(F.col(f"_m_{child}"),
+                                                    lit(f"mode_{child}").cast(dtypes[child])))
                            .otherwise(F.col(child))).drop(f"_m_{child}"))
 
     # 3. tenure: int(median) of the whole reference

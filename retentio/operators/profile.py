@@ -216,10 +216,23 @@ def mode_of(df: DataFrame, col: str, condition: Column | None = None) -> Column:
 
 
 def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``(column, mode)`` for several columns in one aggregate."""
+    """``(column, mode)`` for several columns (values compared as text;
+    ties -> smallest; NULL ignored).
+
+    Two partially aggregated levels instead of the ``mode`` aggregate, whose
+    global merge holds every distinct value of a column in one task:
+    counts per (column, value) are spread over all tasks, then
+    ``min_by(value, (-count, value))`` reduces each task's candidates to one
+    per column before the final merge.
+    """
     require_columns(df, *cols)
-    wide = df.agg(*[F.mode(F.col(c).cast("string"), True).alias(c) for c in cols])
-    return wide.unpivot([], list(cols), "column", "mode")
+    long = (df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+            .unpivot([], list(cols), "column", "value")
+            .filter(F.col("value").isNotNull()))
+    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.groupBy("column").agg(
+        F.min_by("value", F.struct((-F.col("_n")).alias("neg_n"), F.col("value")))
+        .alias("mode"))
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None,

@@ -46,3 +46,16 @@ def test_zero_is_missing_option(spark, reference):
 def test_unknown_parent_falls_back_to_global(spark, reference):
     r = fill(spark, reference, ("Boston", "F", 5, "Satellite", None, None, None))
     assert r.monthly_charges == 55.25 and r.payment_method == "Mailed check"
+
+
+def test_numeric_categorical_keeps_its_type(spark):
+    ref = spark.createDataFrame([(1, "DSL", 10, 50.0, 500.0), (1, "DSL", 12, 52.0, 624.0),
+                                 (0, "Fiber", 14, 70.0, 980.0)],
+                                "senior int, internet_service string, tenure_months int, "
+                                "monthly_charges double, total_charges double")
+    batch = spark.createDataFrame([(None, None, None, None, None)], ref.schema)
+    out = impute.impute_conditional(batch, ref, categorical=("senior", "internet_service"),
+                                    dependencies={})
+    assert dict(out.dtypes)["senior"] == "int"
+    r = out.first()
+    assert r.senior == 1 and r.internet_service == "DSL" and r.monthly_charges == 51.0
