@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retentio.llm import urls
+from retentio.llm import neardup, urls
 from retentio.sources.tables import read_table
 
 # fixed values: the url rules the task states
@@ -30,13 +30,45 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, _url_rules(spark))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component and kept flag of every document."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return neardup.near_duplicates(docs).drop("set_digest")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_url_filters": op3_url_filters,
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
+_WORDS = r"[^\x20\x09-\x0D]+"
+
 SQL: dict[str, str] = {
+    "op2_minhash_near_dedup": f"""
+        WITH RECURSIVE toks AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                            'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS w
+          FROM documents),
+        shingles AS (
+          SELECT DISTINCT doc_id, sh FROM (
+            SELECT doc_id, unnest([array_to_string(w[i:i + 4], ' ')
+                                   for i in range(1, greatest(len(w) - 4, 1) + 1)]) AS sh
+            FROM toks WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        links AS (
+          SELECT a.doc_id AS u, b.doc_id AS v
+          FROM shingles a JOIN shingles b ON a.sh = b.sh AND a.doc_id <> b.doc_id
+          JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+          GROUP BY a.doc_id, b.doc_id, x.n, y.n
+          HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+        reach(doc_id, other) AS (
+          SELECT doc_id, doc_id FROM documents
+          UNION SELECT r.doc_id, l.v FROM reach r JOIN links l ON l.u = r.other)
+        SELECT r.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.other) AS component_id,
+               r.doc_id = min(r.other) AS kept
+        FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id""",
     "op3_url_filters": f"""
         WITH rules(r_host, r_path, r_verdict) AS (VALUES {_RULE_ROWS}),
         rest AS (
