@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from retentio.llm import neardup, urls
+from retentio.llm import neardup, pii, urls
 from retentio.sources.tables import read_table
 
 # fixed values: the url rules the task states
@@ -30,6 +31,22 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, _url_rules(spark))
 
 
+def _joined_spans(found: Column) -> Column:
+    one = F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return F.array_join(one, ",")
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of personal data in every document."""
+    found = pii.scan(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("found", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    kinds = F.transform("found", lambda s: s["kind"])
+    counts = [(F.size("found") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}")
+              for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined_spans(base), 256).alias("base_sha256"),
+                        _joined_spans(F.col("found")).alias("spans"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component and kept flag of every document."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
@@ -37,6 +54,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_url_filters": op3_url_filters,
 }
