@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import neardup, pii, urls
+from retentio.llm import langid, neardup, pii, quality, quality_rules, urls
 from retentio.sources.tables import read_table
 
 # fixed values: the url rules the task states
@@ -53,10 +53,38 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs).drop("set_digest")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base quality measures and the calibrated verdict of every document."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality_rules.train(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality_rules.judge(docs, model)
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; learned from labels that are not held out."""
+    docs = (read_table(spark, sf_dir, "documents", "doc_id", "text")
+            .withColumn("held_out", langid.held_out(F.col("doc_id"), 5, 0)))
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "quality")
+    model = quality.train(docs, labels.where(~langid.held_out(F.col("doc_id"), 5, 0)))
+    scored = quality.score(docs, model, keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; learned from rows that are not held out."""
+    docs = (read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+            .withColumn("held_out", langid.held_out(F.col("doc_id"), 3, 1)))
+    model = langid.train(docs.where(F.col("doc_id").isNotNull() & ~F.col("held_out")).select("text", "lang"))
+    return langid.identify(docs, model, keep=["doc_id", "held_out"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_url_filters": op3_url_filters,
+    "op4_quality_rules": op4_quality_rules,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op10_language_id": op10_language_id,
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
