@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import langid, neardup, pii, quality, quality_rules, urls
+from retentio.llm import langid, neardup, packing, pii, quality, quality_rules, urls
 from retentio.sources.tables import read_table
 
 # fixed values: the url rules the task states
@@ -70,6 +70,14 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; learned from rows that are not held out."""
     docs = (read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
@@ -84,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
+    "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
 }
 
