@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import langid, neardup, packing, pii, quality, quality_rules, urls
+from retentio.llm import (
+    decontam,
+    langid,
+    linededup,
+    neardup,
+    packing,
+    pii,
+    quality,
+    quality_rules,
+    urls,
+)
 from retentio.sources.tables import read_table
 
 # fixed values: the url rules the task states
@@ -60,6 +70,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, model)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its recurring lines."""
+    return linededup.dedup_lines(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; learned from labels that are not held out."""
     docs = (read_table(spark, sf_dir, "documents", "doc_id", "text")
@@ -70,6 +85,13 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) pair where the document holds the item."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    leaks = decontam.find_leaks(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return leaks.withColumn("contaminated", F.lit(True))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     import public_tokenizers
@@ -91,7 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
+    "op5_line_dedup": op5_line_dedup,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_decontamination": op7_decontamination,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
 }
