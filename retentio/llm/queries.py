@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from retentio.llm import (
     decontam,
     langid,
+    licenses,
     linededup,
     neardup,
     packing,
@@ -92,6 +93,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.withColumn("contaminated", F.lit(True))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence notice in every document."""
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     import public_tokenizers
@@ -116,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_decontamination": op7_decontamination,
+    "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
 }
