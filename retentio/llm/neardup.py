@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): component and kept flag.
 
     Returns ``doc_id``, ``n_shingles``, ``component_id``, ``kept``,
-    ``set_digest``.  Two documents are linked when 100 * |A & B| >= threshold *
+    ``text_hash`` (xxhash64 of the text).  Two documents are linked when 100 * |A & B| >= threshold *
     |A | B| over their distinct lower-cased (A-Z) 5-word shingles.
 
     * NULL, empty or white-space text: no shingles, linked with nothing, its
@@ -203,12 +203,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     smallest = named_classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     component = named_classes.join(smallest, "root").select("digest", "component_id")
     return (
-        signed.select("doc_id", "n_shingles", "digest").join(component, "digest", "left")
-        .select("doc_id", "n_shingles",
-                F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-                F.col("digest").alias("set_digest"))
+        signed.select("doc_id", "n_shingles", "digest", "text_hash").join(component, "digest", "left")
+        .withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
         .withColumn("kept", F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select("doc_id", "n_shingles", "component_id", "kept", "set_digest")
+        .select("doc_id", "n_shingles", "component_id", "kept", "text_hash")
     )
 
 

@@ -61,7 +61,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component and kept flag of every document."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    return neardup.near_duplicates(docs).drop("set_digest")
+    return neardup.near_duplicates(docs).drop("text_hash")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
