@@ -42,8 +42,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, views: Views, train_rows
 
     rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y", "draw")
             .mapInArrow(run, "y int, draw long, k binary, x binary").collect())
-    rows.sort(key=lambda r: (r["draw"], r["y"], bytes(r["k"]), bytes(r["x"])))
-    return (Rows([np.frombuffer(r["k"], np.int32).astype(np.int64) for r in rows],
-                 [np.frombuffer(r["x"], np.float32).astype(np.float64) for r in rows],
+    rows.sort(key=lambda r: (r["draw"], r["y"], r["k"], r["x"]))
+    return (Rows([np.frombuffer(r["k"], np.int32) for r in rows], [np.frombuffer(r["x"], np.float32) for r in rows],
                  np.array([r["y"] for r in rows], dtype=float)),
             np.array([(r["draw"] * 2654435761 % (1 << 32)) / (1 << 32) for r in rows]))
