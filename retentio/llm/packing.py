@@ -59,8 +59,6 @@ class WordEncoder:
         return head, text[len(head):]
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.words) > _CACHE_WORDS:
-            self.words.clear()
         if len(self.parts) > _CACHE_WORDS:
             self.parts.clear()
         split = {w: self._split(w) for w in words}
@@ -72,14 +70,12 @@ class WordEncoder:
             self.words[w] = b"".join(self.parts[keys[p]] for p in two if p)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.words) > _CACHE_WORDS:  # emptied before a group is looked up, never within
+            self.words.clear()
         split = [t.split() for t in texts]
         missing = set().union(*split) - self.words.keys()
         if missing:
             self._learn(missing)
-            if len(missing) < len(self.words):  # the cache may just have been emptied
-                gone = set().union(*split) - self.words.keys()
-                if gone:
-                    self._learn(gone)
         get = self.words.__getitem__
         return [b"".join(map(get, w)) for w in split]
 

@@ -45,6 +45,15 @@ def test_cached_words_encode_like_whole_texts():
             assert np.frombuffer(g, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_cache_may_be_emptied_between_groups(monkeypatch):
+    monkeypatch.setattr(packing, "_CACHE_WORDS", 3)
+    whole, enc = Tokenizer.from_file(PATH), packing.WordEncoder(PATH)
+    for text in ("a b c d e f", "a g h", "b a g", "c, a. h!"):
+        got = enc.encode([text.encode(), text.upper().encode()])
+        want = whole.encode(text, add_special_tokens=False).ids
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [want, want]
+
+
 def check(rows, docs, max_tokens):
     whole = Tokenizer.from_file(PATH)
     ids = {d: [*whole.encode(t or "", add_special_tokens=False).ids, 2] for d, t in docs}
