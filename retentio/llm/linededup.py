@@ -15,8 +15,10 @@ it.  Copies of whole documents repeat a line in one and the same context and
 are left to document dedup; boilerplate and shared passages meet ever new
 neighbours.  Recurring lines are dropped from every document.
 
-Scale: one row of hashes per line is written and shuffled by leaf; token texts
-are fetched once per different line of a leaf that can recur at all.  Counts
+Scale: one row of hashes per line is written and shuffled by leaf.  Tokens are
+only needed where a leaf that can recur holds several different lines; a
+bitmap of such leaves (fixed size, one equi-join with a broadcast of at most
+1 MB) keeps all other lines out of the shuffle, an exact join follows.  Counts
 are of distinct (template, context) pairs, so a line in a third of all
 documents is combined before and after the shuffle and never gathered.
 """
@@ -33,6 +35,7 @@ MIN_TOKENS = 4
 MIN_CONTEXTS = 3
 DIVERSITY = 75
 SIMILARITY = 75
+BITMAP_BITS = 1 << 23
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -40,12 +43,16 @@ def _tokens(line: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(line, "[0-9]+", "<*>"), _SPACE), lambda t: t != "")
 
 
+def _leaf(tokens: Column) -> Column:
+    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH))
+
+
 def _parsed(rows: DataFrame) -> DataFrame:
     """One row per line with a word: place, leaf, literal, context and document sequence (all hashes)."""
     listed = rows.select("doc_id", "text_hash", F.transform(F.split("text", "\n"), _tokens).alias("lines"))
     named = listed.select("doc_id", "text_hash", F.filter(F.transform("lines", lambda t, i: F.struct(
         i.alias("at"), F.size(t).alias("n"),
-        F.xxhash64(F.size(t), F.slice(t, 1, DEPTH)).alias("leaf"), F.xxhash64(t).alias("literal"))),
+        _leaf(t).alias("leaf"), F.xxhash64(t).alias("literal"))),
         lambda x: x["n"] > 0).alias("lines"))
     placed = named.select(
         "doc_id", "text_hash", "lines", F.xxhash64(F.transform("lines", lambda x: x["leaf"])).alias("sequence"))
@@ -57,20 +64,27 @@ def _parsed(rows: DataFrame) -> DataFrame:
             .select("doc_id", "text_hash", "sequence", "x.*").where(F.col("n") >= MIN_TOKENS))
 
 
+def _only_leaves(lines: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``lines`` without most of those whose leaf is not in ``leaves`` (a bitmap of fixed size)."""
+    at = F.pmod("leaf", F.lit(BITMAP_BITS)) + 1
+    bitmap = leaves.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))  # at most 256 rows of 4 KB
+    place = F.bitmap_bit_position(at).cast("int")
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << b) for b in range(8)]), place % 8 + 1))
+    return (lines.withColumn("bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bitmap), "bucket")
+            .where(held != 0).drop("bucket", "bitmap"))
+
+
 def _templates(rows: DataFrame, lines: DataFrame, similarity: int) -> DataFrame:
-    """(leaf, literal) -> template for the different lines among ``lines``."""
-    different = cut_lineage(lines.groupBy("leaf", "literal").agg(
-        F.count("*").alias("weight"), F.min(F.struct("doc_id", "text_hash", "at")).alias("sample")))
-    wanted = (different.groupBy("sample.doc_id", "sample.text_hash")
-              .agg(F.collect_list(F.struct("leaf", "literal", "weight", F.col("sample.at").alias("at"))).alias("want"))
-              .select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), "want"))
-    texts = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.w_id) & (rows.text_hash == wanted.w_hash))
-    tokens = cut_lineage(
-        texts.select("want", F.split("text", "\n").alias("lines"))
-        .select(F.explode(F.transform("want", lambda x: F.struct(
-            x["leaf"].alias("leaf"), x["literal"].alias("literal"), x["weight"].alias("weight"),
-            _tokens(F.get("lines", x["at"])).alias("tokens")))).alias("x")).select("x.*")
-        .dropDuplicates(["leaf", "literal"]))
+    """(leaf, literal) -> template of the lines that fit their leaf's template."""
+    different = cut_lineage(lines.groupBy("leaf", "literal").agg(F.count("*").alias("weight")))
+    several = cut_lineage(different.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf"))
+    texts = (rows.select(F.explode(F.transform(F.split("text", "\n"), _tokens)).alias("tokens"))
+             .where(F.size("tokens") >= MIN_TOKENS)
+             .select(_leaf(F.col("tokens")).alias("leaf"), F.xxhash64("tokens").alias("literal"), "tokens"))
+    tokens = cut_lineage(_only_leaves(texts, several).dropDuplicates(["leaf", "literal"])
+                         .join(different, ["leaf", "literal"]).join(several, "leaf", "left_semi"))
     votes = (tokens.select("leaf", "weight", F.posexplode("tokens").alias("place", "token"))
              .groupBy("leaf", "place", "token").agg(F.sum("weight").alias("votes")))
     agreed = (votes.groupBy("leaf", "place")
@@ -80,9 +94,8 @@ def _templates(rows: DataFrame, lines: DataFrame, similarity: int) -> DataFrame:
     fits = F.size(F.filter(
         F.zip_with("tokens", "template", lambda t, x: (x["place"] >= DEPTH) & t.eqNullSafe(x["token"])), lambda ok: ok))
     behind = F.size("tokens") - DEPTH
-    return tokens.join(leaves, "leaf").select(
-        "leaf", "literal", F.when(fits * 100 >= behind * similarity, F.xxhash64("leaf", F.lit("*")))
-        .otherwise(F.col("literal")).alias("template"))
+    return (tokens.join(leaves, "leaf").where(fits * 100 >= behind * similarity)
+            .select("leaf", "literal", F.xxhash64("leaf", F.lit("*")).alias("general")))
 
 
 def recurring_lines(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, diversity: int = DIVERSITY,
@@ -93,8 +106,8 @@ def recurring_lines(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, diversity
     can_recur = (parsed.select("leaf", "context").distinct().groupBy("leaf").agg(F.count("*").alias("contexts"))
                  .where(F.col("contexts") >= min_contexts).select("leaf"))
     lines = cut_lineage(parsed.join(can_recur, "leaf", "left_semi"))
-    named = cut_lineage(lines.join(_templates(rows, lines, similarity), ["leaf", "literal"]).select(
-        "doc_id", "text_hash", "at", "template", "context", "sequence"))
+    named = cut_lineage(lines.join(_templates(rows, lines, similarity), ["leaf", "literal"], "left").select(
+        "doc_id", "text_hash", "at", F.coalesce("general", "literal").alias("template"), "context", "sequence"))
     contexts = named.select("template", "context").distinct().groupBy("template").agg(F.count("*").alias("contexts"))
     carriers = named.select("template", "sequence").distinct().groupBy("template").agg(F.count("*").alias("carriers"))
     recurring = (contexts.where(F.col("contexts") >= min_contexts).join(carriers, "template")
