@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import right_closed_bin, right_closed_bin_index
+from ..functions.columns import right_closed_bin, right_closed_bin_index, trim_to_double
 from .clean import require_columns
 
 # Edges and labels of the three customer bins.
@@ -83,8 +83,7 @@ def bin_tenure_open(df: DataFrame, col: str = "tenure_months",
                     new_col: str = "tenure_group") -> DataFrame:
     """Tenure groups after coercing tenure to a number (form / raw input)."""
     require_columns(df, col)
-    out = df.withColumn(col, F.trim(F.col(col).cast("string")).try_cast("double")
-                        .cast("int")) if dict(df.dtypes)[col] == "string" else df
+    out = df.withColumn(col, trim_to_double(col)) if dict(df.dtypes)[col] == "string" else df
     return bin_tenure(out, col, new_col)
 
 

@@ -5,9 +5,9 @@ label)`` with map-side partial aggregation, so hot categories are combined
 before the shuffle.  Everything after works on the contingency cells, whose
 number is bounded by the categories' cardinalities, not by the data.
 
-``chi2_scan`` tests many feature columns against one label in ONE job:
+``chi2_scan`` tests many feature columns against one label in ONE pass:
 features are unpivoted to ``(feature, value)`` and all tables are built by
-a single aggregation, with windows partitioned by feature.
+a single aggregation; everything else reads its small result.
 
 Rules (fixed values): expected = row total x column total / n; the test
 stops when more than 20% of cells have expected < 5; Yates' continuity
@@ -21,63 +21,63 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_power, chi2_pvalue
+from ..session import cut_lineage
 from .clean import require_columns
 
+# Verdict texts.
 REJECT = "Reject Null Hypothesis (H0)"
 FAIL_TO_REJECT = "Fail to Reject the Null Hypothesis (H0)"
 NOT_MET = "Assumption Not Met"
 
 
-def _cells(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """``(feature, value, label_value, observed)`` with zero cells filled.
+def _counts(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """``(feature, value, label_value, observed)`` of the cells that occur.
 
-    Zero cells come from exploding, per (feature, value), the sorted array
-    of the label's distinct values (a scalar subquery bounded by the label's
-    cardinality): a generator, not a join.
+    The one pass over the data; written, because totals and cells read it.
     """
     long = (df.select(*[F.col(c).cast("string").alias(c) for c in features],
-                      F.col(label).cast("string").alias("_label"))
-            .filter(F.col("_label").isNotNull())
-            .unpivot(["_label"], list(features), "feature", "value")
+                      F.col(label).cast("string").alias("label_value"))
+            .filter(F.col("label_value").isNotNull())
+            .unpivot(["label_value"], list(features), "feature", "value")
             .filter(F.col("value").isNotNull()))
-    counts = long.groupBy("feature", "value", "_label").agg(
-        F.count(F.lit(1)).alias("observed"))
-    labels = (df.select(F.col(label).cast("string").alias("l")).filter(F.col("l").isNotNull())
-              .agg(F.sort_array(F.collect_set("l"))).scalar())
-    grid = (counts.select("feature", "value").distinct()
-            .select("feature", "value", F.explode(labels).alias("_label")))
-    return (grid.join(counts, ["feature", "value", "_label"], "left")
+    return cut_lineage(long.groupBy("feature", "value", "label_value").agg(
+        F.count(F.lit(1)).alias("observed")))
+
+
+def expected_cells(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """All cells of each feature's table, zero cells included, with row, column
+    and table totals, expected counts and the table's shape.
+
+    Totals are grouped tables joined back on (feature, value), (feature,
+    label) and feature; no window and no collected set spans a feature.
+    """
+    counts = _counts(df, features, label)
+    rows = counts.groupBy("feature", "value").agg(F.sum("observed").alias("row_total"))
+    cols = counts.groupBy("feature", "label_value").agg(F.sum("observed").alias("col_total"))
+    shape = (rows.groupBy("feature").agg(F.sum("row_total").alias("n"),
+                                         F.count(F.lit(1)).cast("int").alias("n_rows"))
+             .join(cols.groupBy("feature").agg(F.count(F.lit(1)).cast("int").alias("n_cols")),
+                   "feature"))
+    # rows x columns of one feature are the cells of its table: the result itself
+    grid = rows.join(cols, "feature").join(shape, "feature")
+    return (grid.join(counts, ["feature", "value", "label_value"], "left")
             .withColumn("observed", F.coalesce(F.col("observed"), F.lit(0)).cast("bigint"))
-            .withColumnRenamed("_label", "label_value"))
+            .withColumn("expected", F.col("row_total").cast("double") * F.col("col_total")
+                        / F.col("n")))
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """Observed counts of two categoricals, zero cells included:
     ``(a, b, observed)``."""
     require_columns(df, a, b)
-    cells = _cells(df, [a], b)
+    cells = expected_cells(df, [a], b)
     return cells.select(F.col("value").alias(a), F.col("label_value").alias(b), "observed")
 
 
-def expected_cells(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """Cells with expected counts and table shape per feature."""
-    cells = _cells(df, features, label)
-    by_f = Window.partitionBy("feature")
-    row = Window.partitionBy("feature", "value")
-    col = Window.partitionBy("feature", "label_value")
-    return (cells
-            .withColumn("row_total", F.sum("observed").over(row))
-            .withColumn("col_total", F.sum("observed").over(col))
-            .withColumn("n", F.sum("observed").over(by_f))
-            .withColumn("expected", F.col("row_total") * F.col("col_total") / F.col("n"))
-            .withColumn("n_rows", F.size(F.collect_set("value").over(by_f)))
-            .withColumn("n_cols", F.size(F.collect_set("label_value").over(by_f))))
-
-
 def chi2_expected(df: DataFrame, a: str, b: str) -> DataFrame:
     """``(a, b, observed, expected)`` for one pair."""
     require_columns(df, a, b)
@@ -111,6 +111,7 @@ def chi2_statistics(df: DataFrame, features: Sequence[str], label: str,
 
 
 def _strength(v: Column) -> Column:
+    # fixed values: limits and names of the strengths
     return (F.when(v <= 0.10, "Weak Association").when(v <= 0.30, "Moderate Association")
             .when(v <= 0.50, "Strong Association").otherwise("Very Strong Association"))
 

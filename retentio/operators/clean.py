@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import trim_to_double
-from .joins import broadcast_if_small
 
 
 def require_columns(df: DataFrame, *cols: str) -> None:
@@ -85,12 +84,12 @@ def drop_columns(df: DataFrame, labels: str | Iterable[str]) -> DataFrame:
 def drop_rows_by_key(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Drop rows whose ``key`` is in ``keys``; unknown keys are ignored.
 
-    A left-anti join.  The key set is broadcast only when its row count is
-    under the bound (checked); otherwise it is a shuffled anti join.
+    A left-anti join; whether the key set is broadcast is Catalyst's byte-size
+    decision (or AQE's, from the measured size).
     """
     require_columns(df, key)
     k = keys.select(F.col(keys.columns[0]).alias(key)).distinct()
-    return df.join(broadcast_if_small(k, max_rows=1_000_000), on=key, how="left_anti")
+    return df.join(k, on=key, how="left_anti")
 
 
 def parse_total_charges(df: DataFrame, src: str = "total_charges_raw",

@@ -8,10 +8,9 @@ Scale notes
   most 902 bucket rows (partial aggregation, one tiny shuffle), and the
   confusion counts for every threshold are suffix sums over those rows.
 * ``roc_auc`` is the Mann-Whitney rank sum with tied scores averaged:
-  scores are aggregated to distinct values, the "negatives below" prefix
-  sums are split into 65,536 value buckets (bucket offsets from a window over
-  the bounded bucket table, in-bucket sums from a window partitioned by
-  bucket), so no single task sorts the whole data.
+  scores are aggregated to distinct values and the "negatives below" prefix
+  sums run over a range partitioning (``quantiles.prefix_sums``), so partitions
+  stay even however the scores pile up.
 * ``abc_assign`` hashes the key with the seed (md5), so groups do not
   depend on partitioning, retries or executor loss.
 """
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import md5_bucket
 from .clean import require_columns
+from .quantiles import prefix_sums
 
 # Threshold grid 0.050 .. 0.950 step 0.001 (901 values).
 GRID_LO, GRID_HI, GRID_STEP_PER_MILLE = 50, 950, 1
@@ -70,11 +70,11 @@ def profit_curve(scored: DataFrame, value, cost: float, retention_rate: float,
     """
     require_columns(scored, label, proba)
     if not isinstance(value, Column) and (value is None or value < 0):
-        raise ValueError("'median_value' must be a non-negative number.")
+        raise ValueError("value of a retained customer must be >= 0")
     if cost < 0:
-        raise ValueError("'cost' must be a non-negative number.")
+        raise ValueError("cost of an offer must be >= 0")
     if not 0 <= retention_rate <= 1:
-        raise ValueError("'retention_rate' must be a float between 0 and 1.")
+        raise ValueError("retention rate must lie in [0, 1]")
     spark = scored.sparkSession
     y = F.col(label).cast("int")
     buckets = (scored.filter(F.col(proba).isNotNull() & y.isNotNull())
@@ -134,30 +134,22 @@ def metrics_from_confusion(cm: DataFrame) -> DataFrame:
         F.round(_safe_div(2 * precision * recall, precision + recall), 6).alias("f1"))
 
 
-def roc_auc(scored: DataFrame, label: str = "churn_value", score: str = "churn_probability",
-            buckets: int = 1 << 16) -> DataFrame:
-    """Area under the ROC curve, tied scores counted one half (one row)."""
+def roc_auc(scored: DataFrame, label: str = "churn_value", score: str = "churn_probability"
+            ) -> DataFrame:
+    """Area under the ROC curve, tied scores counted one half (one row).
+
+    NULL when one of the classes has no row.  Counts are multiplied as doubles:
+    a product of two class sizes does not fit a bigint.
+    """
     y = F.col(label).cast("int")
     s = (scored.filter(F.col(score).isNotNull() & y.isNotNull())
          .groupBy(F.col(score).cast("double").alias("s"))
          .agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")))
-    st = s.agg(F.min("s").alias("mn"), F.max("s").alias("mx")).first()  # one row
-    if st["mn"] is None:
-        return scored.sparkSession.createDataFrame([(None,)], "roc_auc double")
-    mn, mx = F.lit(float(st["mn"])), F.lit(float(st["mx"]))
-    width = F.when(mx > mn, mx - mn).otherwise(F.lit(1.0))
-    s = s.withColumn("b", F.least(F.floor((F.col("s") - mn) / width * buckets),
-                                  F.lit(buckets - 1)).cast("int"))
-    per_b = s.groupBy("b").agg(F.sum("neg").alias("bneg"))
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_b.withColumn("off", F.coalesce(F.sum("bneg").over(before), F.lit(0)))
-    inside = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (s.join(F.broadcast(offsets.select("b", "off")), "b")  # <= 65,536 rows
-              .withColumn("neg_below", F.col("off")
-                          + F.coalesce(F.sum("neg").over(inside), F.lit(0))))
-    return ranked.agg(
-        F.round(F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg")))
-                / (F.sum("pos") * F.sum("neg")), 6).alias("roc_auc"))
+    ranked = prefix_sums(s.withColumn("g", F.lit(0)), ["g"], "s", "neg", before="neg_below")
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    pairs = F.sum(pos) * F.sum(neg)
+    return ranked.agg(F.round(F.when(
+        pairs > 0, F.sum(pos * (F.col("neg_below") + 0.5 * neg)) / pairs), 6).alias("roc_auc"))
 
 
 def eval_metrics(scored: DataFrame, label: str = "churn_value",
@@ -214,9 +206,15 @@ def group_summary(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("group").agg(F.count(F.lit(1)).alias("customer_count"))
 
 
-def abc_readout(assigned: DataFrame, outcome: str = "churn_value") -> DataFrame:
-    """Per group: customers, outcome rate, uplift against control (control
-    rate minus group rate) and the two-proportion z statistic."""
+def abc_readout(assigned: DataFrame, outcome: str = "churn_value", value: float | None = None,
+                costs: dict[str, float] | None = None) -> DataFrame:
+    """Per group: customers, outcome rate, uplift against control (control rate
+    minus group rate), the two-proportion z statistic and the offer's money.
+
+    ``profit`` = customers * (uplift * ``value`` - cost of the group's offer),
+    ``profit_per_customer`` and ``roi`` = profit / money spent; NULL for the
+    control group, without a ``value``, or where nothing is spent.
+    """
     per = assigned.groupBy("group").agg(F.count(F.lit(1)).alias("customers"),
                                         F.sum(F.col(outcome).cast("int")).alias("events"))
     ctl = per.filter(F.col("group") == GROUPS[0]).select("customers", "events").first()
@@ -228,8 +226,15 @@ def abc_readout(assigned: DataFrame, outcome: str = "churn_value") -> DataFrame:
     c_rate = F.col("c_e") / F.col("c_n")
     pooled = (F.col("events") + F.col("c_e")) / (F.col("customers") + F.col("c_n"))
     se = F.sqrt(pooled * (1 - pooled) * (1 / F.col("customers") + 1 / F.col("c_n")))
+    cost = F.lit(0.0)
+    for group, c in (costs or {}).items():
+        cost = F.when(F.col("group") == group, F.lit(float(c))).otherwise(cost)
+    treated = F.col("group") != GROUPS[0]
+    per_customer = F.when(treated, (c_rate - rate) * F.lit(value).cast("double") - cost)
     return j.select("group", "customers", "events",
                     F.round(rate, 6).alias("rate"),
                     F.round(c_rate - rate, 6).alias("uplift"),
-                    F.round(F.when((F.col("group") != GROUPS[0]) & (se > 0),
-                                   (c_rate - rate) / se), 6).alias("z"))
+                    F.round(F.when(treated & (se > 0), (c_rate - rate) / se), 6).alias("z"),
+                    F.round(per_customer * F.col("customers"), 4).alias("profit"),
+                    F.round(per_customer, 6).alias("profit_per_customer"),
+                    F.round(F.when(cost > 0, per_customer / cost), 6).alias("roi"))

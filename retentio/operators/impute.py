@@ -25,10 +25,23 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import broadcast_if_small
+from .profile import modes
+from .quantiles import medians, quantile_table
 
-# Which parent column each dependent column is filled from.
+
+# Which parent column each dependent column of the mart is filled from (the
+# mart has none of the service columns below).
 DEFAULT_DEPENDENCIES = {"payment_method": "internet_service"}
+# The dependencies of a customer table with service columns.
+SERVICE_DEPENDENCIES = {
+    "multiple_lines": "phone_service",
+    "online_security": "internet_service",
+    "online_backup": "internet_service",
+    "device_protection": "internet_service",
+    "tech_support": "internet_service",
+    "streaming_tv": "internet_service",
+    "streaming_movies": "internet_service",
+}
 DEFAULT_CATEGORICAL = ("city", "contract", "internet_service", "payment_method")
 
 
@@ -69,7 +82,6 @@ def fit_imputation(reference: DataFrame,
     """Whole-table modes/medians in ONE aggregate pass, plus the conditional
     tables (one ``groupBy(parent)`` each).  ``materialize`` writes the
     conditional tables once (for reuse across many batches)."""
-    from .profile import modes
     cents = F.round(F.col(monthly) * 100).cast("bigint")
     dep_only = [c for c in dependencies if c not in categorical]
     mode_cols = [*categorical, *dep_only]
@@ -77,15 +89,16 @@ def fit_imputation(reference: DataFrame,
     # categorical columns are text, so the text tie rule is the value rule
     g = {f"mode_{r['column']}": r["mode"]
          for r in modes(reference, mode_cols).collect()}  # one row per column
-    g.update(reference.agg(F.median(tenure).alias("_med_t"),
-                           F.median(cents).alias("_med_c")).first().asDict())
+    priced = reference.select(tenure, median_parent, cents.alias("_cents"))
+    whole = medians(priced, [tenure, "_cents"])
+    g.update({"_med_t": whole[tenure], "_med_c": whole["_cents"]})
     for c in mode_cols:
         g.setdefault(f"mode_{c}", None)
-    cond = {child: (reference.filter(F.col(child).isNotNull()).groupBy(parent)
-                    .agg(F.mode(child, True).alias(f"_m_{child}")))
+    cond = {child: (modes(reference, [child], by=[parent]).select(
+                parent, F.col("mode").cast(dict(reference.dtypes)[child]).alias(f"_m_{child}")))
             for child, parent in dependencies.items()}
-    med_by = (reference.filter(F.col(monthly).isNotNull()).groupBy(median_parent)
-              .agg(F.median(cents).alias("_med_c")))
+    med_by = quantile_table(priced, ["_cents"], [0.5], by=[median_parent]).select(
+        median_parent, F.col("quantile").alias("_med_c"))
     if materialize:
         from ..session import cut_lineage
         cond = {k: cut_lineage(v) for k, v in cond.items()}
@@ -118,7 +131,7 @@ def apply_imputation(batch: DataFrame, model: ImputationModel,
     # 2. dependents: mode among reference rows with the same parent value,
     #    the global mode when that parent value has no rows
     for child, parent in m.dependencies.items():
-        out = (out.join(broadcast_if_small(m.conditional[child], 1_000_000), parent, "left")
+        out = (out.join(m.conditional[child], parent, "left")
                .withColumn(child, F.when(blank(child),
                                          F.coalesce(F.col(f"_m_{child}"),
                                                     lit(f"mode_{child}").cast(dtypes[child])))
@@ -132,7 +145,7 @@ def apply_imputation(batch: DataFrame, model: ImputationModel,
     # 4. monthly: median per parent value (2 decimals), whole-table median
     #    when the parent value is unknown
     med_c = F.coalesce(F.col("_med_c"), lit("_med_c"))
-    out = (out.join(broadcast_if_small(m.medians, 1_000_000), m.median_parent, "left")
+    out = (out.join(m.medians, m.median_parent, "left")
            .withColumn(m.monthly, F.when(blank(m.monthly), F.bround(med_c, 0) / 100.0)
                        .otherwise(F.col(m.monthly))).drop("_med_c"))
 

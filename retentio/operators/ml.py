@@ -10,37 +10,40 @@ Scale notes
   whole repeated key: distinct (class, key) groups are ranked through 4,096
   hash buckets (bucket offsets from a small grouped table, in-bucket ranks
   from a window per bucket), copies of a key through salted sub-groups.
-* Feature-role cardinalities come from a HyperLogLog screen with exact
-  counts only near the one-hot cut-off.
-* Fits are Spark jobs; ``CrossValidator(parallelism=k)`` runs k fits at a
-  time from driver threads.  The training frame is written as a parquet
-  table under ``spark.checkpoint.dir`` before tuning, so every fold reads it
-  and lost executors re-read files instead of recomputing the raw tables.
+* Feature-role cardinalities are exact distinct counts, de-duplicated
+  map-side, in one aggregate.
+* Fits are Spark jobs started side by side from driver threads.  The training
+  frame and the encoded folds are written as parquet tables under
+  ``spark.checkpoint.dir``, so every candidate reads vectors and lost executors
+  re-read files instead of recomputing the raw tables.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark import inheritable_thread_target, keyword_only
+from pyspark.errors import AnalysisException
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (LogisticRegression, NaiveBayes,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import md5_unit
 from ..session import cut_lineage
-from . import decision
+from . import decision, ensemble
 from .clean import require_columns
 
 NUMERIC = ("int", "bigint", "double", "float", "smallint", "tinyint")
@@ -63,6 +66,15 @@ def split_label(df: DataFrame, key: str = "customer_id", test_size: float = 0.2,
                          .otherwise("train"))
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join in which NULL keys meet; the key columns appear once."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+    cond = F.lit(True)
+    for c in on:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(r, cond).drop(*[f"_r_{c}" for c in on])
+
+
 def stratified_folds(df: DataFrame, label: str, key: str = "customer_id", k: int = 5,
                      seed: int = 123, buckets: int = 4096, copies_per_group: int = 1_000_000
                      ) -> DataFrame:
@@ -83,6 +95,7 @@ def stratified_folds(df: DataFrame, label: str, key: str = "customer_id", k: int
        ``copies_per_group`` rows (sub-group offsets from a window over at most
        count / ``copies_per_group`` rows per key).
     For unique keys this is exactly "row_number by (hash, key) within class".
+    A NULL label is a class of its own and a NULL key a key: no row is lost.
     """
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"),
                                               F.lit(f"fold{seed}"))), 1, 12), 16, 10)
@@ -98,19 +111,19 @@ def stratified_folds(df: DataFrame, label: str, key: str = "customer_id", k: int
     offsets = per_b.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0)))
     w_in = (Window.partitionBy(label, "_b").orderBy("_h", key)
             .rowsBetween(Window.unboundedPreceding, -1))
-    starts = (groups.join(F.broadcast(offsets.select(label, "_b", "_off")), [label, "_b"])
+    starts = (_join_null_safe(groups, offsets.select(label, "_b", "_off"), [label, "_b"])
               .withColumn("_start", F.col("_off")
                           + F.coalesce(F.sum("_c").over(w_in), F.lit(0)))
               .select(label, "_h", key, "_c", "_start"))
     # 3. number the copies of each key in salted sub-groups
-    rows = x.join(starts, [label, "_h", key]).withColumn(
+    rows = _join_null_safe(x, starts, [label, "_h", key]).withColumn(
         "_s", F.pmod(F.col("_rid"), F.ceil(F.col("_c") / F.lit(copies_per_group))))
     sub = rows.groupBy(label, key, "_s").agg(F.count(F.lit(1)).alias("_sn"))
     w_sub = Window.partitionBy(label, key).orderBy("_s").rowsBetween(
         Window.unboundedPreceding, -1)
     sub = sub.withColumn("_soff", F.coalesce(F.sum("_sn").over(w_sub), F.lit(0))).drop("_sn")
     w_copy = Window.partitionBy(label, key, "_s").orderBy("_rid")
-    ranked = (rows.join(sub, [label, key, "_s"])
+    ranked = (_join_null_safe(rows, sub, [label, key, "_s"])
               .withColumn("_rank", F.col("_start") + F.col("_soff")
                           + F.row_number().over(w_copy) - 1))
     return ranked.withColumn("fold", F.pmod(F.col("_rank"), F.lit(k)).cast("int")).drop(
@@ -144,31 +157,10 @@ def feature_roles_table(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def select_features(df: DataFrame, features: Sequence[str]) -> FeatureRoles:
-    """Roles for a bounded feature list.
-
-    Only "at most 5 distinct values?" matters, so cardinalities come from a
-    HyperLogLog screen with exact counts only for columns whose estimate is
-    near the cut-off (``profile.count_distinct_screened``); exact distinct
-    counts of continuous columns are never computed.
-    """
-    from .profile import count_distinct_screened
-    require_columns(df, *features)
-    dtypes = dict(df.dtypes)
-    card = {r.column: r.n_distinct for r in count_distinct_screened(
-        df, list(features), limit=max(ONE_HOT_MAX_DISTINCT, SCALE_MIN_DISTINCT)).collect()}
-    roles = FeatureRoles()
-    for c in features:
-        cat = dtypes[c] in ("string", "boolean")
-        if (cat and card[c] <= ONE_HOT_MAX_DISTINCT) or c.lower() in ALWAYS_ONE_HOT:
-            roles.one_hot.append(c)
-        elif dtypes[c] in NUMERIC and card[c] > SCALE_MIN_DISTINCT:
-            roles.scale.append(c)
-        else:
-            roles.passthrough.append(c)
-    order = {c: i for i, c in enumerate(features)}
-    for lst in (roles.one_hot, roles.scale, roles.passthrough):
-        lst.sort(key=order.get)
-    return roles
+    """The roles of ``feature_roles_table`` as lists (one row per feature is collected)."""
+    role = {r["column"]: r["role"] for r in feature_roles_table(df, features).collect()}
+    pick = lambda name: [c for c in features if role[c] == name]
+    return FeatureRoles(pick("one_hot"), pick("scale"), pick("passthrough"))
 
 
 # ------------------------------------------------------------------ scaler
@@ -221,14 +213,30 @@ def fill_categoricals(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.fillna("nan", subset=list(cols)) if cols else df
 
 
+class TextColumns(Transformer, HasInputCols, HasOutputCols, DefaultParamsReadable,
+                  DefaultParamsWritable):
+    """Copies of categorical columns as text (a string indexer takes no booleans)."""
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, outputCols=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset.select("*", *[F.col(c).cast("string").alias(o) for c, o in zip(
+            self.getInputCols(), self.getOutputCols())])
+
+
 def preprocessor_stages(roles: FeatureRoles) -> tuple[list, list[str]]:
     """Stages producing ``features`` and the human-readable slot names."""
     stages: list = []
     vec_inputs: list[str] = []
     if roles.one_hot:
+        text = [f"{c}__text" for c in roles.one_hot]
         idx = [f"{c}__idx" for c in roles.one_hot]
         ohe = [f"{c}__ohe" for c in roles.one_hot]
-        stages += [StringIndexer(inputCols=roles.one_hot, outputCols=idx, handleInvalid="keep",
+        stages += [TextColumns(inputCols=roles.one_hot, outputCols=text),
+                   StringIndexer(inputCols=text, outputCols=idx, handleInvalid="keep",
                                  stringOrderType="alphabetAsc"),
                    OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True)]
         vec_inputs += ohe
@@ -284,7 +292,7 @@ def param_grids(pipelines: Mapping[str, Pipeline], n_train: int, full: bool = Tr
     min_samples_leaf -> minInstancesPerNode, max_features sqrt/log2/None ->
     featureSubsetStrategy sqrt/log2/all, class_weight -> weightCol (288);
     Gaussian NB: Spark has no variance-smoothing parameter: one candidate.
-    ``full=False`` keeps a small sub-grid for tests and quick runs.
+    ``full=False`` keeps a small sub-grid for tests.
     """
     grids = {}
     for name, pipe in pipelines.items():
@@ -310,7 +318,7 @@ def add_class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """``w_balanced = n / (2 n_class)`` and ``w_one = 1`` (class_weight)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     n = df.agg(F.count(F.lit(1))).scalar()
-    return (df.join(F.broadcast(counts), label)  # one row per class
+    return (df.join(counts, label)
             .withColumn("w_balanced", n / (2.0 * F.col("_nc")))
             .withColumn("w_one", F.lit(1.0)).drop("_nc"))
 
@@ -328,6 +336,7 @@ class TuneResult:
     params: dict
     cv_metric: float | None
     error: str | None = None
+    oof: DataFrame | None = None  # (key, label, proba) of the best candidate, out of fold
 
 
 def _param_dict(pmap) -> dict:
@@ -335,29 +344,79 @@ def _param_dict(pmap) -> dict:
             pmap.items()}
 
 
-def default_parallelism(df: DataFrame, cap: int = 4) -> int:
-    """Concurrent fits for tuning: the cluster's default parallelism, capped
-    (each fit is itself a distributed job)."""
-    return max(2, min(cap, df.sparkSession.sparkContext.defaultParallelism))
+PARALLELISM_CONF = "retentio.tuning.parallelism"
+
+
+def default_parallelism(df: DataFrame) -> int:
+    """Concurrent fits while tuning: the setting ``retentio.tuning.parallelism``,
+    else the cluster's default parallelism (each fit is a distributed job)."""
+    spark = df.sparkSession
+    return max(1, int(spark.conf.get(PARALLELISM_CONF, str(spark.sparkContext.defaultParallelism))))
+
+
+@dataclass
+class _Fold:
+    train: DataFrame
+    check: DataFrame
+
+
+def encoded_folds(pipeline: Pipeline, train: DataFrame, label: str, key: str = "customer_id",
+                  folds: int = 5) -> list[_Fold]:
+    """Per fold: encoders fitted on the other folds, both parts encoded and written once."""
+    pre = Pipeline(stages=pipeline.getStages()[:-1])
+    keep = [c for c in (label, "w_balanced", "w_one", key) if c in train.columns]
+    out = []
+    for f in range(folds):
+        model = pre.fit(train.where(F.col("fold") != f))
+        coded = cut_lineage(model.transform(train).select(*keep, "fold", "features"))
+        out.append(_Fold(coded.where(F.col("fold") != f), coded.where(F.col("fold") == f)))
+    return out
+
+
+def cross_validate(clf: Estimator, grid: list, folds: list[_Fold], label: str,
+                   parallelism: int) -> list[float]:
+    """Mean recall of class 1 per candidate; fits of all folds run side by side."""
+    evaluator = recall_evaluator(label)
+
+    def one(task: tuple[_Fold, dict]) -> float:
+        fold, params = task
+        return evaluator.evaluate(clf.fit(fold.train, params).transform(fold.check))
+
+    tasks = [(fold, params) for params in grid for fold in folds]
+    with ThreadPoolExecutor(parallelism) as pool:
+        got = list(pool.map(inheritable_thread_target(one), tasks))
+    return [sum(got[i:i + len(folds)]) / len(folds) for i in range(0, len(got), len(folds))]
+
+
+def out_of_fold(clf: Estimator, params: dict, folds: list[_Fold], label: str, key: str) -> DataFrame:
+    """``(key, label, proba)``: every row judged by a model that has not seen its fold."""
+    parts = [with_probability(clf.fit(f.train, params).transform(f.check)).select(
+        key, F.col(label).cast("int").alias("label"), "proba") for f in folds]
+    return cut_lineage(functools.reduce(DataFrame.unionByName, parts))
 
 
 def tune(name: str, pipeline: Pipeline, grid: list, train: DataFrame, label: str = "label",
-         parallelism: int | None = None, seed: int = 123, checkpoint: bool = True
+         parallelism: int | None = None, checkpoint: bool = True, key: str | None = None
          ) -> TuneResult:
-    """Grid search with 5 stratified folds (``foldCol``), recall of class 1,
-    refit of the best candidate on all training rows.  A failing model is
-    recorded and skipped.  The training frame is written first (``cut_lineage``)
-    unless the caller already did (``checkpoint=False``)."""
+    """Grid search over 5 stratified folds (column ``fold``) by recall of class 1.
+
+    The encoders do not depend on the candidate, so they are fitted and applied
+    once per fold and only the classifier is fitted per candidate.  The best
+    candidate is refitted with its encoders on all training rows.  A failing
+    model is recorded and skipped.  The training frame is written first unless
+    the caller already did (``checkpoint=False``).  With ``key`` the best
+    candidate's out-of-fold predictions are kept (for voting).
+    """
     try:
         if checkpoint:
             train = cut_lineage(train)
-        cv = CrossValidator(estimator=pipeline, estimatorParamMaps=grid or [{}],
-                            evaluator=recall_evaluator(label), foldCol="fold", numFolds=5,
-                            parallelism=parallelism or default_parallelism(train), seed=seed)
-        m = cv.fit(train)
-        best = max(range(len(m.avgMetrics)), key=lambda i: m.avgMetrics[i])
-        params = _param_dict(grid[best]) if grid else {}
-        return TuneResult(name, m.bestModel, params, float(m.avgMetrics[best]))
+        grid = grid or [{}]
+        clf = pipeline.getStages()[-1]
+        folds = encoded_folds(pipeline, train, label, key or "customer_id")
+        scores = cross_validate(clf, grid, folds, label, parallelism or default_parallelism(train))
+        best = max(range(len(grid)), key=lambda i: scores[i])
+        return TuneResult(name, pipeline.fit(train, grid[best]), _param_dict(grid[best]), scores[best],
+                          oof=out_of_fold(clf, grid[best], folds, label, key) if key else None)
     except Exception as e:  # noqa: BLE001 - recorded, model skipped
         return TuneResult(name, None, {}, None, f"{type(e).__name__}: {e}")
 
@@ -366,9 +425,10 @@ def baseline_cv(pipelines: Mapping[str, Pipeline], data: DataFrame, label: str =
                 checkpoint: bool = True) -> float:
     """Mean 5-fold recall of the untuned logistic pipeline on ALL rows
     (``data`` is written first unless ``checkpoint=False``)."""
-    cv = CrossValidator(estimator=pipelines["LogisticRegression"], estimatorParamMaps=[{}],
-                        evaluator=recall_evaluator(label), foldCol="fold", numFolds=5)
-    return float(cv.fit(cut_lineage(data) if checkpoint else data).avgMetrics[0])
+    pipe = pipelines["LogisticRegression"]
+    data = cut_lineage(data) if checkpoint else data
+    return cross_validate(pipe.getStages()[-1], [{}], encoded_folds(pipe, data, label), label,
+                          default_parallelism(data))[0]
 
 
 def with_probability(pred: DataFrame) -> DataFrame:
@@ -404,7 +464,7 @@ def feature_importance(model: PipelineModel, names: Sequence[str], top: int = 4
 
 
 def compare_models(train: DataFrame, test: DataFrame, roles: FeatureRoles,
-                   label: str = "label", key: str = "customer_id", full_grid: bool = False,
+                   label: str = "label", key: str = "customer_id", full_grid: bool = True,
                    names: Sequence[str] | None = None, parallelism: int | None = None,
                    metric: str = "recall"
                    ) -> tuple[DataFrame, DataFrame, dict[str, TuneResult]]:
@@ -421,21 +481,27 @@ def compare_models(train: DataFrame, test: DataFrame, roles: FeatureRoles,
     train = cut_lineage(add_class_weights(train, label))
     n_train = train.count()
     grids = param_grids(pipes, n_train, full=full_grid)
-    tuned = {n: tune(n, p, grids[n], train, label, parallelism, checkpoint=False)
+    tuned = {n: tune(n, p, grids[n], train, label, parallelism, checkpoint=False, key=key)
              for n, p in pipes.items()}
-    preds, rows = [], []
+    fitted = {n: r for n, r in tuned.items() if r.model is not None}
+    if not fitted:
+        raise RuntimeError(f"no model could be fitted: { {n: r.error for n, r in tuned.items()} }")
+    if len(fitted) > 1:
+        fitted[VOTING] = tuned[VOTING] = _tune_voting(fitted, key, metric)
+    # predicted once, written, and evaluated from the table
+    pred_all = cut_lineage(functools.reduce(DataFrame.unionByName, [
+        predictions(r.model, test, n, key, label) for n, r in fitted.items()]))
+    rows = []
     for name, r in tuned.items():
         if r.model is None:
             rows.append((name, json.dumps({"error": r.error}), None, None, None, None, None,
                          None, None))
             continue
-        p = predictions(r.model, test, name, key, label)
-        m = evaluate(p).first()
-        top = feature_importance(r.model, slot_names(r.model, roles))
+        m = evaluate(pred_all.where(F.col("model") == name)).first()
+        top = [] if name == VOTING else feature_importance(r.model, slot_names(r.model, roles))
         rows.append((name, json.dumps(r.params, sort_keys=True), r.cv_metric, m.recall,
                      m.precision, m.accuracy, m.f1, m.roc_auc,
                      json.dumps([[a, round(b, 6)] for a, b in top])))
-        preds.append(p)
     metrics = spark.createDataFrame(
         rows, "model string, params string, cv_recall double, recall double, "
               "precision double, accuracy double, f1 double, roc_auc double, "
@@ -445,20 +511,72 @@ def compare_models(train: DataFrame, test: DataFrame, roles: FeatureRoles,
     w = Window.orderBy(F.col(metric).desc_nulls_last(), F.col("f1").desc_nulls_last(),
                        F.col("model"))
     metrics = metrics.withColumn("rank", F.row_number().over(w))  # one row per model
-    pred_all = preds[0]
-    for p in preds[1:]:
-        pred_all = pred_all.unionByName(p)
     return metrics, pred_all, tuned
 
 
+VOTING = "VotingClassifier"
+
+
+def _tune_voting(fitted: Mapping[str, TuneResult], key: str, metric: str) -> TuneResult:
+    """Soft vote of the tuned models, weighted by what does best on out-of-fold predictions."""
+    names = list(fitted)
+    long = functools.reduce(DataFrame.unionByName, [
+        r.oof.select(F.lit(n).alias("model"), "*") for n, r in fitted.items()])
+    best = ensemble.soft_vote(long, names, key=key, label="label", proba="proba",
+                              metric=metric if metric in ensemble.METRICS else "recall"
+                              ).where("rank = 1").first()
+    weights = [float(w) for w in best["weights"].split(",")]
+    return TuneResult(VOTING, VotingModel({n: r.model for n, r in fitted.items()}, weights),
+                      {"weights": best["weights"], "models": ",".join(names)}, best["recall"])
+
+
+class VotingModel:
+    """Weighted mean of several fitted models' probabilities; saved and loaded as a folder."""
+
+    def __init__(self, models: Mapping[str, PipelineModel], weights: Sequence[float]):
+        self.models, self.weights = dict(models), list(weights)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = df
+        for name, model in self.models.items():
+            out = with_probability(model.transform(out)).select(
+                *out.columns, F.col("proba").alias(name))
+        p = ensemble.weighted_vote(list(self.models), self.weights)
+        return (out.withColumn("_p", p).drop(*self.models)
+                .withColumn("probability", array_to_vector(F.array(1 - F.col("_p"), F.col("_p"))))
+                .withColumn("prediction", (F.col("_p") > 0.5).cast("double")).drop("_p"))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        for name, model in self.models.items():
+            model.write().overwrite().save(f"{path}/members/{name}")
+        spark.createDataFrame([(list(self.models), self.weights)],
+                              "names array<string>, weights array<double>").coalesce(1).write.mode(
+            "overwrite").json(f"{path}/vote")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "VotingModel":
+        row = spark.read.schema("names array<string>, weights array<double>").json(
+            f"{path}/vote").first()  # one row
+        return cls({n: PipelineModel.load(f"{path}/members/{n}") for n in row["names"]}, row["weights"])
+
+
+def is_saved(spark: SparkSession, path: str) -> bool:
+    """Whether a model was saved under ``path``.  Only a missing path counts as
+    not saved; any other error (permissions, network, damage) is raised."""
+    try:
+        spark.read.text(f"{path}/metadata")
+        return True
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
 def deploy(pipeline: Pipeline, data: DataFrame, path: str, overwrite: bool = False
            ) -> PipelineModel:
     """Refit on all rows and save; load the saved model when present."""
-    if not overwrite:
-        try:
-            return PipelineModel.load(path)
-        except Exception:  # noqa: BLE001 - not saved yet
-            pass
+    if not overwrite and is_saved(data.sparkSession, path):
+        return PipelineModel.load(path)
     model = pipeline.fit(data)
     model.write().overwrite().save(path)
     return model

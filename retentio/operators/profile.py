@@ -8,15 +8,17 @@ one-row results are unpivoted to long tables for display/joins.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .clean import require_columns
+from .quantiles import medians, quantile_table
 
 NUMERIC = ("int", "bigint", "double", "float", "smallint", "tinyint")
 
@@ -48,8 +50,6 @@ def agg_expr(name: str, col: str) -> Column:
     c = F.col(col)
     if name == "mean":
         return F.avg(c)
-    if name == "median":
-        return F.median(c)
     if name == "sum":
         return F.sum(c)
     if name == "min":
@@ -67,12 +67,21 @@ def agg_expr(name: str, col: str) -> Column:
     raise ValueError(f"unknown aggregate {name!r}; known: {AGG_NAMES}")
 
 
+def _literals(df: DataFrame, plan: Mapping[str, Sequence[str]]) -> dict[str, Column]:
+    """Medians asked for by ``plan`` as literals (one number per column)."""
+    asked = [c for c, fns in plan.items() if "median" in fns]
+    return {c: F.lit(v).cast("double") for c, v in medians(df, asked).items()} if asked else {}
+
+
 def agg_named(df: DataFrame, func: str, cols: str | Sequence[str] | None = None
               ) -> DataFrame:
     """One aggregate over one, several or all (numeric) columns: one row."""
     names = [cols] if isinstance(cols, str) else list(cols or numeric_columns(df))
     require_columns(df, *names)
     check_aggregates(df, {c: [func] for c in names})
+    if func == "median":
+        ready = _literals(df, {c: [func] for c in names})
+        return df.sparkSession.range(1).select(*[ready[c].alias(c) for c in names])
     return df.agg(*[agg_expr(func, c).alias(c) for c in names])
 
 
@@ -85,12 +94,17 @@ def _stack_aggregates(df: DataFrame, plan: Mapping[str, Sequence[str]]) -> DataF
         for f in fns:
             if f not in funcs:
                 funcs.append(f)
+    ready = _literals(df, plan)
     exprs = [agg_expr(f, c).cast("double").alias(f"{f}__{c}")
-             for c, fns in plan.items() for f in fns]
-    wide = df.agg(*exprs)
-    rows = [F.struct(F.lit(f).alias("aggregate"),
-                     *[(F.col(f"{f}__{c}") if f in plan[c] else F.lit(None).cast("double"))
-                       .alias(c) for c in plan])
+             for c, fns in plan.items() for f in fns if f != "median"]
+    wide = df.agg(*exprs) if exprs else df.sparkSession.range(1)
+
+    def cell(f: str, c: str) -> Column:
+        if f not in plan[c]:
+            return F.lit(None).cast("double")
+        return ready[c] if f == "median" else F.col(f"{f}__{c}")
+
+    rows = [F.struct(F.lit(f).alias("aggregate"), *[cell(f, c).alias(c) for c in plan])
             for f in funcs]
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
@@ -112,43 +126,78 @@ def agg_dict(df: DataFrame, spec: Mapping[str, str | Sequence[str]]) -> DataFram
     return _stack_aggregates(df, plan)
 
 
-def agg_callable(df: DataFrame, fn: Callable[[pd.Series], float],
-                 cols: str | Sequence[str], decomposable: bool = True,
-                 salt_buckets: int = 64, max_rows_single_group: int = 5_000_000
-                 ) -> DataFrame:
-    """A user function per column via a grouped-aggregate pandas UDF.
-
-    Pandas aggregate UDFs have no partial aggregation, so a plain global
-    call would ship the whole column into one task.  When ``fn`` is
-    decomposable (``fn`` of partial results equals ``fn`` of the whole, as
-    for max/min/sum), rows are first reduced per salt bucket (a hash of the
-    row spread over ``salt_buckets`` groups), then ``fn`` runs once more on
-    at most ``salt_buckets`` partials.  A non-decomposable function needs
-    the whole column in one group, so it is only accepted when the input
-    has at most ``max_rows_single_group`` rows (checked with a bounded
-    count); larger inputs raise ``ValueError``.
+@dataclass(frozen=True)
+class Aggregator:
+    """A user aggregate in four steps, so that partial results can be combined.
+
+    ``init()`` gives an empty state, ``update(state, values)`` adds a pandas
+    Series without missing values, ``merge(a, b)`` joins two states and
+    ``finish(state)`` gives the number.  States should stay small: one per task
+    and column is shuffled.
+    """
+
+    init: Callable[[], object]
+    update: Callable[[object, pd.Series], object]
+    merge: Callable[[object, object], object]
+    finish: Callable[[object], float]
+
+
+def _decomposed(fn: Callable[[pd.Series], float]) -> Aggregator:
+    def add(a, b):
+        return b if a is None else a if b is None else float(fn(pd.Series([a, b])))
+
+    return Aggregator(lambda: None, lambda s, v: add(s, float(fn(v))) if len(v) else s, add,
+                      lambda s: float("nan") if s is None else s)
+
+
+def agg_callable(df: DataFrame, fn: Aggregator | Callable[[pd.Series], float],
+                 cols: str | Sequence[str], decomposable: bool = False,
+                 merge_groups: int = 64) -> DataFrame:
+    """A user aggregate per column: one row, DOUBLE columns (NaN without values).
+
+    Every task folds its rows into one state per column; states are merged in
+    ``merge_groups`` groups and those once more, so no task holds a column.
+    A plain function says nothing about how partial results combine, so it is
+    accepted only with ``decomposable=True`` (``fn`` of partial results equals
+    ``fn`` of the whole, as for max, min, sum); anything else - a range, a
+    variance, a count - is an ``Aggregator``.
     """
     names = [cols] if isinstance(cols, str) else list(cols)
     require_columns(df, *names)
-    if not decomposable:
-        n = df.limit(max_rows_single_group + 1).count()
-        if n > max_rows_single_group:
-            raise ValueError(
-                f"non-decomposable aggregate over more than {max_rows_single_group} rows; "
-                "pass a decomposable function or a built-in aggregate")
-
-    @F.pandas_udf(T.DoubleType())
-    def udaf(s: pd.Series) -> float:
-        s = s.dropna()
-        return float(fn(s)) if len(s) else float("nan")
+    if not isinstance(fn, Aggregator):
+        if not decomposable:
+            raise TypeError("pass an Aggregator, or decomposable=True when the function of partial "
+                            "results equals the function of all values")
+        fn = _decomposed(fn)
+
+    def partial(batches):
+        states = {c: fn.init() for c in names}
+        for b in batches:
+            for c in names:
+                values = b[c].dropna()
+                if len(values):
+                    states[c] = fn.update(states[c], values)
+        yield pd.DataFrame({"column": names, "state": [pickle.dumps(states[c]) for c in names]})
+
+    def merged(pdf: pd.DataFrame) -> object:
+        state = fn.init()
+        for raw in pdf["state"]:
+            state = fn.merge(state, pickle.loads(raw))
+        return state
+
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"column": pdf["column"][:1], "state": [pickle.dumps(merged(pdf))]})
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"column": pdf["column"][:1], "value": [float(fn.finish(merged(pdf)))]})
 
     src = df.select(*[F.col(c).cast("double").alias(c) for c in names])
-    if not decomposable:
-        return src.agg(*[udaf(c).alias(c) for c in names])
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in names], F.monotonically_increasing_id()),
-                  F.lit(salt_buckets))
-    partial = src.groupBy(salt.alias("_salt")).agg(*[udaf(c).alias(c) for c in names])
-    return partial.agg(*[udaf(c).alias(c) for c in names])
+    states = src.mapInPandas(partial, "column string, state binary")
+    grouped = states.withColumn("_g", F.pmod(F.xxhash64("state", F.spark_partition_id()),
+                                             F.lit(merge_groups)))
+    halfway = grouped.groupBy("column", "_g").applyInPandas(combine, "column string, state binary")
+    out = halfway.groupBy("column").applyInPandas(finish, "column string, value double")
+    return out.groupBy().pivot("column", names).agg(F.first("value")).select(*names)
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -173,8 +222,7 @@ def count_distinct(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     """Cardinality per column (NULL not counted) as ``(column, n_distinct)``.
 
     Exact distinct counts over many columns in one aggregate plan as an
-    Expand (one copy of each row per column, de-duplicated map-side); for
-    very wide or very large inputs ``count_distinct_screened`` is cheaper.
+    Expand (one copy of each row per column, de-duplicated map-side).
     """
     names = list(cols or df.columns)
     require_columns(df, *names)
@@ -182,26 +230,6 @@ def count_distinct(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     return wide.unpivot([], names, "column", "n_distinct")
 
 
-def count_distinct_screened(df: DataFrame, cols: Sequence[str], limit: int = 5,
-                            margin: int = 50, rsd: float = 0.05) -> DataFrame:
-    """``(column, n_distinct, exact)``: HyperLogLog screen for all columns
-    (one pass), then exact counts only for columns whose estimate is at most
-    ``limit + margin``.
-
-    Only the "is it <= limit" decision needs exactness: with a relative
-    standard deviation of 5%, an estimate above ``limit + margin`` (55 by
-    default) lies many standard errors away from any true count <= ``limit``
-    (a smaller ``rsd`` costs far more: 1% needs 16,384 registers per column).
-    Columns above the screen report the (approximate) estimate.
-    """
-    approx = df.agg(*[F.approx_count_distinct(c, rsd).alias(c) for c in cols]).first()
-    near = [c for c in cols if approx[c] <= limit + margin]
-    exact = df.agg(*[F.count_distinct(c).alias(c) for c in near]).first() if near else {}
-    rows = [(c, int(exact[c]) if c in near else int(approx[c]), c in near) for c in cols]
-    return df.sparkSession.createDataFrame(
-        rows, "column string, n_distinct bigint, exact boolean")
-
-
 def mode_of(df: DataFrame, col: str, condition: Column | None = None) -> Column:
     """Scalar-subquery column: most frequent value (ties -> smallest).
 
@@ -215,70 +243,56 @@ def mode_of(df: DataFrame, col: str, condition: Column | None = None) -> Column:
     return F.coalesce(sub, whole)
 
 
-def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``(column, mode)`` for several columns (values compared as text;
-    ties -> smallest; NULL ignored).
+def modes(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, column, mode)``: the most frequent value as text; NULL ignored.
 
+    Ties go to the smallest value: numbers compare as numbers, text as text.
     Two partially aggregated levels instead of the ``mode`` aggregate, whose
-    global merge holds every distinct value of a column in one task:
-    counts per (column, value) are spread over all tasks, then
-    ``min_by(value, (-count, value))`` reduces each task's candidates to one
-    per column before the final merge.
+    merge holds every distinct value of a group in one task: counts per
+    (group, column, value) are spread over all tasks, then ``min_by`` reduces
+    each task's candidates to one per group and column.
     """
-    require_columns(df, *cols)
-    long = (df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-            .unpivot([], list(cols), "column", "value")
-            .filter(F.col("value").isNotNull()))
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
-    return counts.groupBy("column").agg(
-        F.min_by("value", F.struct((-F.col("_n")).alias("neg_n"), F.col("value")))
-        .alias("mode"))
-
-
-def describe(df: DataFrame, cols: Sequence[str] | None = None,
-             quantiles: str = "auto", max_distinct_for_percentile: int = 2_000_000
-             ) -> DataFrame:
+    require_columns(df, *cols, *by)
+    keys = [f"_k{i}" for i in range(len(by))]
+    numeric = [c for c in cols if c in numeric_columns(df)]
+    entry = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"),
+                      (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double"))
+                      .alias("number")) for c in cols]
+    long = (df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)],
+                      F.explode(F.array(*entry)).alias("e"))
+            .select(*keys, "e.*").where(F.col("value").isNotNull()))
+    counts = long.groupBy(*keys, "column", "value", "number").agg(F.count(F.lit(1)).alias("_n"))
+    best = counts.groupBy(*keys, "column").agg(
+        F.min_by("value", F.struct((-F.col("_n")).alias("neg_n"), "number", "value")).alias("mode"))
+    return best.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], "column", "mode")
+
+
+def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std (n-1), min, 25%, 50%, 75% (interpolated), max.
 
-    Exact percentiles, not ``DataFrame.summary()``'s approximate ones.
-    ``quantiles="percentile"``: one aggregate pass with Spark's exact
-    ``percentile`` (its final merge holds every distinct value of a column in
-    one task - right for bounded-cardinality columns).
-    ``quantiles="refine"``: moments in one pass, quartiles by distributed
-    histogram refinement (``quantiles.exact_quantiles``) - the path for
-    columns with billions of distinct values.  ``quantiles="auto"`` (default)
-    estimates each column's distinct count in one HyperLogLog pass and
-    refines only columns above ``max_distinct_for_percentile``.  All paths
-    give the same exact values.  Result is row-per-statistic.
+    Exact quartiles by ``quantiles.quantile_table`` (three numbers per column
+    become literals), the other statistics in one aggregate pass.  Result is
+    row-per-statistic.
     """
     names = list(cols or numeric_columns(df))
     require_columns(df, *names)
-    if quantiles not in ("auto", "percentile", "refine"):
-        raise ValueError("quantiles must be 'auto', 'percentile' or 'refine'")
-    to_refine = list(names) if quantiles == "refine" else []
-    if quantiles == "auto" and names:
-        est = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in names]).first()
-        to_refine = [c for c in names if est[c] > max_distinct_for_percentile]
-    refined = {}
-    if to_refine:
-        from .quantiles import exact_quantiles
-        refined = {c: exact_quantiles(df, c, [0.25, 0.5, 0.75]) for c in to_refine}
+    quartiles = {(r["column"], r["prob"]): r["quantile"]
+                 for r in quantile_table(df, names, [0.25, 0.5, 0.75]).collect()}
     exprs = []
     for c in names:
         x = F.col(c).cast("double")
-        q = (F.array(*[F.lit(v).cast("double") for v in refined[c]]) if c in refined
-             else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
         exprs += [F.count(x).cast("double").alias(f"count__{c}"), F.avg(x).alias(f"mean__{c}"),
                   F.stddev_samp(x).alias(f"std__{c}"), F.min(x).alias(f"min__{c}"),
-                  q.alias(f"q__{c}"), F.max(x).alias(f"max__{c}")]
+                  F.max(x).alias(f"max__{c}")]
     wide = df.agg(*exprs)
-    stats = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
+    share = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
 
     def val(stat: str, c: str) -> Column:
-        if stat in ("25%", "50%", "75%"):
-            return F.col(f"q__{c}")[("25%", "50%", "75%").index(stat)]
+        if stat in share:
+            return F.lit(quartiles.get((c, share[stat]))).cast("double")
         return F.col(f"{stat}__{c}")
 
+    stats = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
     rows = [F.struct(F.lit(s).alias("statistic"), *[val(s, c).alias(c) for c in names])
             for s in stats]
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
@@ -350,27 +364,34 @@ def histogram(df: DataFrame, col: str, bins: int = 20, hue: str | None = None,
         grid = (df.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("bin"))
                 .select("bin", edge(F.col("bin") - 1).alias("bin_lo"),
                         edge(F.col("bin")).alias("bin_hi")))
-    keys = ["bin"] + ([hue] if hue else [])
-    counts = binned.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
     if hue:
-        # every (hue, bin) cell: a generator per distinct hue value, no join
-        grid = (df.select(F.col(hue)).distinct()
-                .select(hue, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("bin"))
-                .join(F.broadcast(grid), "bin"))  # grid: n rows
-    out = grid.join(counts, keys, "left").withColumn(
-        "count", F.coalesce(F.col("count"), F.lit(0)).cast("bigint"))
-    hue_col = F.col(hue).cast("string") if hue else F.lit(None).cast("string")
-    return out.select(hue_col.alias("hue"), "bin", F.round("bin_lo", 6).alias("bin_lo"),
-                      F.round("bin_hi", 6).alias("bin_hi"), "count")
+        # one pass: per hue value (NULL is one) the counts of its bins, as a
+        # map of at most n entries; rows without a number or outside the edges
+        # fall in bin 0, which keeps their hue value in the result
+        placed = binned if edges is None else src.withColumn("bin", F.coalesce(idx, F.lit(0)))
+        cells = (placed.select(F.col(hue).alias("hue"), "bin")
+                 .union(df.where(v.isNull() | F.isnan(v)).select(F.col(hue), F.lit(0)))
+                 .groupBy("hue", "bin").agg(F.count(F.lit(1)).alias("count")))
+        per_hue = cells.groupBy("hue").agg(F.map_from_entries(F.collect_list(
+            F.struct("bin", "count"))).alias("_c"))
+        out = (per_hue.select("hue", "_c", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("bin"))
+               .withColumn("count", F.coalesce(F.col("_c")[F.col("bin")], F.lit(0)))
+               .join(F.broadcast(grid), "bin"))  # grid: n rows
+    else:
+        counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+        out = grid.join(counts, "bin", "left").withColumn("hue", F.lit(None))
+    return out.select(F.col("hue").cast("string").alias("hue"), "bin",
+                      F.round("bin_lo", 6).alias("bin_lo"), F.round("bin_hi", 6).alias("bin_hi"),
+                      F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"))
 
 
 def count_by(df: DataFrame, col: str, hue: str | None = None,
              order: Sequence[str] | None = None) -> DataFrame:
-    """Bar heights: ``(category, hue, count, position)``.
+    """Bar heights: ``(category, hue, count)``.
 
     Missing values become the category 'nan' (the reference casts to text
-    first).  With ``order``, only those categories are kept and
-    ``position`` follows the list; otherwise position is by count desc.
+    first).  With ``order``, only those categories are kept and a
+    ``position`` column follows the list.
     """
     require_columns(df, col, *([hue] if hue else []))
     cat = F.coalesce(F.col(col).cast("string"), F.lit("nan"))
@@ -410,6 +431,21 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return out.withColumn("r", F.round(F.when(F.isnan("r"), None).otherwise(F.col("r")), 6))
 
 
+def value_range() -> Aggregator:
+    """max - min as an ``Aggregator``."""
+    def add(state, values):
+        lo, hi = float(values.min()), float(values.max())
+        return (lo, hi) if state is None else (min(state[0], lo), max(state[1], hi))
+
+    def merge(a, b):
+        if a is None or b is None:
+            return a or b
+        return min(a[0], b[0]), max(a[1], b[1])
+
+    return Aggregator(lambda: None, add, merge,
+                      lambda s: float("nan") if s is None else s[1] - s[0])
+
+
 def np_max(s: pd.Series) -> float:
     """Example decomposable callable for ``agg_callable``."""
     return float(np.max(s.to_numpy()))
@@ -420,8 +456,8 @@ def kde(df: DataFrame, col: str, grid_size: int = 200, cut: float = 3.0) -> Data
 
     Fixed values (public scipy/seaborn defaults): Scott bandwidth
     ``h = std(ddof=1) * n ** (-1/5)``; grid of ``grid_size`` points from
-    ``min - cut*h`` to ``max + cut*h``.  Each partition adds its points'
-    kernel contributions onto the grid with numpy (``mapInPandas``) and one
+    ``min - cut*h`` to ``max + cut*h``.  Values are counted first; each partition adds
+    its distinct values' weighted kernel contributions onto the grid with numpy (``mapInPandas``) and one
     ``groupBy(grid point)`` sums the partials, so the O(N x grid) work is
     spread over all tasks and only ``grid_size`` rows per task are shuffled.
     Output ``(point, x, density)``.
@@ -429,6 +465,8 @@ def kde(df: DataFrame, col: str, grid_size: int = 200, cut: float = 3.0) -> Data
     require_columns(df, col)
     v = F.col(col).cast("double")
     src = df.select(v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    # kernels are summed over distinct values with their counts
+    weighted = src.groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("w"))
     st = src.agg(F.count("v").alias("n"), F.stddev_samp("v").alias("sd"),
                  F.min("v").alias("mn"), F.max("v").alias("mx")).first()  # one row
     n, sd = int(st["n"]), st["sd"]
@@ -443,13 +481,13 @@ def kde(df: DataFrame, col: str, grid_size: int = 200, cut: float = 3.0) -> Data
     def partial(batches):
         acc = np.zeros(grid_size)
         for b in batches:
-            x = b["v"].to_numpy(dtype=np.float64)
+            x, w = b["v"].to_numpy(dtype=np.float64), b["w"].to_numpy()
             for s in range(0, len(x), 4096):
                 z = (grid[:, None] - x[None, s:s + 4096]) / h
-                acc += np.exp(-0.5 * z * z).sum(axis=1)
+                acc += np.exp(-0.5 * z * z) @ w[s:s + 4096]
         yield pd.DataFrame({"point": np.arange(grid_size, dtype=np.int32), "s": acc})
 
-    sums = src.mapInPandas(partial, "point int, s double").groupBy("point").agg(
+    sums = weighted.mapInPandas(partial, "point int, s double").groupBy("point").agg(
         F.sum("s").alias("s"))
     norm = float(n) * h * float(np.sqrt(2 * np.pi))
     xs = df.sparkSession.createDataFrame(

@@ -1,91 +1,96 @@
-"""Exact quantiles without single-task state (scale path for medians/percentiles).
+"""Exact quantiles and prefix sums without single-task state.
 
 ``percentile``/``median`` merge one map of distinct values per group in one
-task; for a global quantile over billions of distinct doubles that task is
-the bottleneck.  This operator finds the exact order statistics by
-histogram refinement:
-
-1. one aggregate: ``n``, ``min``, ``max``;
-2. for each needed rank r (two per quantile for linear interpolation) keep a
-   bracket ``[lo, hi]`` known to contain the r-th smallest value and the
-   number of rows below the bracket;
-3. one job per round: rows inside any open bracket are counted per
-   (bracket, equal-width bucket) - a partially aggregated ``groupBy`` with at
-   most ``buckets`` rows per bracket - and each bracket shrinks to the bucket
-   holding its rank;
-4. a bracket closes when it holds one distinct value, or at most
-   ``final_rows`` rows, which are then ranked exactly (bounded collect).
-
-Every round reads the column once (the range filter is pushed to the scan)
-and ships at most ``buckets`` small rows per open bracket to the driver.
-Interpolation follows the linear rule of ``percentile``/pandas.
+task.  Here the values of all columns (and groups) are counted first - partial
+aggregation combines repeated values - and only that table of distinct values
+is ordered:
+
+1. counts per (group, column, value);
+2. a range partitioning on (group, column, value), written once: every
+   partition holds a similar number of distinct values, however they are
+   distributed and whatever their range;
+3. partition totals (one row per partition and group) give each partition its
+   offset, a window inside the partition gives the rest;
+4. the rows holding the two order statistics around each quantile are picked
+   and interpolated linearly, as ``percentile`` and pandas do.
+
+The same path serves every size; nothing but the requested numbers is ever
+collected by a caller.
 """
 
 from __future__ import annotations
 
-import math
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
+
+def prefix_sums(df: DataFrame, by: Sequence[str], order: str, value: str,
+                before: str = "before", total: str = "total") -> DataFrame:
+    """Add, per ``by`` group, the sum of ``value`` over rows with a smaller
+    ``order`` and over the whole group.  (``by``, ``order``) must be unique."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(df.repartitionByRange(parts, *by, order)
+                         .withColumn("_part", F.spark_partition_id()))
+    per = placed.groupBy(*by, "_part").agg(F.sum(value).alias("_sum"))
+    # at most one row per partition and group, plus one per group
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(
+        Window.unboundedPreceding, -1)
+    per = per.select(
+        *[F.col(c).alias(f"_o_{i}") for i, c in enumerate((*by, "_part"))],
+        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_off"),
+        F.sum("_sum").over(Window.partitionBy(*by)).alias(total))
+    same = functools.reduce(lambda x, y: x & y, [
+        F.col(c).eqNullSafe(F.col(f"_o_{i}")) for i, c in enumerate((*by, "_part"))])
+    inside = (Window.partitionBy(*by, "_part").orderBy(order)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    earlier_here = F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return placed.join(per, same).withColumn(before, F.col("_off") + earlier_here).select(
+        *df.columns, before, total)
+
+
+def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                   by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, column, prob, quantile)``: exact, linearly interpolated.
+
+    NULL and NaN are ignored, infinities are values, NULL is a group of its
+    own; a (group, column) without a value gives no row.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    long = (df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)],
+                      *[F.col(c).cast("double").alias(c) for c in cols])
+            .unpivot(keys, list(cols), "column", "value")
+            .where(F.col("value").isNotNull() & ~F.isnan("value")))
+    counts = long.groupBy(*keys, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranked = prefix_sums(counts, [*keys, "column"], "value", "n")
+    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
+    at = ranked.select("*", wanted).withColumn("pos", (F.col("total") - 1) * F.col("prob"))
+    end = F.col("before") + F.col("n")
+    holds_lo = (F.floor("pos") >= F.col("before")) & (F.floor("pos") < end)
+    holds_hi = (F.ceil("pos") >= F.col("before")) & (F.ceil("pos") < end)
+    lo = F.max(F.when(holds_lo, F.col("value")))
+    hi = F.max(F.when(holds_hi, F.col("value")))
+    share = F.max(F.col("pos") - F.floor("pos"))
+    got = (at.where(holds_lo | holds_hi).groupBy(*keys, "column", "prob")
+           .agg(lo.alias("lo"), hi.alias("hi"), share.alias("share")))
+    value = F.when((F.col("lo") == F.col("hi")) | (F.col("share") == 0), F.col("lo")).otherwise(
+        F.col("lo") + F.col("share") * (F.col("hi") - F.col("lo")))
+    return got.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], "column", "prob",
+                      value.alias("quantile"))
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float | None]:
+    """The quantiles of one column as numbers (one row per probability is collected)."""
+    got = {r["prob"]: r["quantile"] for r in quantile_table(df, [col], sorted(set(probs))).collect()}
+    return [got.get(float(p)) for p in probs]
+
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], buckets: int = 4096,
-                    final_rows: int = 50_000, max_rounds: int = 64) -> list[float | None]:
-    v = F.col(col).cast("double")
-    src = df.select(v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    st = src.agg(F.count("v").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")).first()
-    n = int(st["n"])
-    if n == 0:
-        return [None for _ in probs]
-    ranks = sorted({r for q in probs for r in (math.floor((n - 1) * q), math.ceil((n - 1) * q))})
-    # bracket per rank: [lo, hi] inclusive, rows strictly below lo, rows inside
-    brackets = {r: [float(st["mn"]), float(st["mx"]), 0, n] for r in ranks}
-    found: dict[int, float] = {}
-    for _ in range(max_rounds):
-        open_ = {r: b for r, b in brackets.items() if r not in found}
-        if not open_:
-            break
-        small = {r: b for r, b in open_.items() if b[0] == b[1] or b[3] <= final_rows}
-        for r, (lo, hi, below, inside) in small.items():
-            if lo == hi:
-                found[r] = lo
-                continue
-            vals = [x[0] for x in src.filter((F.col("v") >= lo) & (F.col("v") <= hi))
-                    .orderBy("v").limit(inside).collect()]  # bounded: <= final_rows
-            found[r] = vals[r - below]
-        refine = {r: b for r, b in open_.items() if r not in found}
-        if not refine:
-            break
-        # one pass for all open brackets; identical brackets share the work
-        uniq = sorted({(b[0], b[1]) for b in refine.values()})
-        parts = []
-        for i, (lo, hi) in enumerate(uniq):
-            w = (hi - lo) / buckets
-            k = F.least(F.floor((F.col("v") - lo) / w).cast("int"), F.lit(buckets - 1))
-            parts.append(src.filter((F.col("v") >= lo) & (F.col("v") <= hi))
-                         .select(F.lit(i).alias("g"), k.alias("k"), F.col("v")))
-        allp = parts[0]
-        for p in parts[1:]:
-            allp = allp.unionByName(p)
-        hist = (allp.groupBy("g", "k").agg(F.count(F.lit(1)).alias("c"),
-                                           F.min("v").alias("bmin"), F.max("v").alias("bmax"))
-                .collect())  # bounded: <= buckets rows per bracket
-        by_g: dict[int, list] = {}
-        for h in hist:
-            by_g.setdefault(h["g"], []).append(h)
-        for r, (lo, hi, below, inside) in refine.items():
-            g = uniq.index((lo, hi))
-            acc = below
-            for h in sorted(by_g[g], key=lambda x: x["k"]):
-                if acc + h["c"] > r:
-                    brackets[r] = [float(h["bmin"]), float(h["bmax"]), acc, int(h["c"])]
-                    break
-                acc += h["c"]
-    out = []
-    for q in probs:
-        pos = (n - 1) * q
-        lo_r, hi_r = math.floor(pos), math.ceil(pos)
-        a, b = found[lo_r], found[hi_r]
-        out.append(a + (pos - lo_r) * (b - a))
-    return out
+def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
+    """The median of each column (one row per column is collected)."""
+    got = {r["column"]: r["quantile"] for r in quantile_table(df, cols, [0.5]).collect()}
+    return {c: got.get(c) for c in cols}

@@ -14,13 +14,16 @@ model); all per-customer work stays in Spark.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import binning, clean, decision, explain, ml
+from ..operators.quantiles import medians
 from ..session import cut_lineage, shared_path
 from ..sources.mart import customer_360
 from .eda import eda_report
@@ -35,9 +38,11 @@ def clean_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binning.bin_all(clean.clean_customers(cut_lineage(customer_360(spark, sf_dir))))
 
 
-def model_frame(binned: DataFrame) -> DataFrame:
+def model_frame(binned: DataFrame, raw_contract: bool = False) -> DataFrame:
+    """Key, label and features; ``raw_contract`` keeps the unfilled contract beside them."""
     df = binned.withColumn("label", F.col("churn_value").cast("double"))
-    return ml.fill_categoricals(df.select("customer_id", "label", *ML_FEATURES),
+    extra = [F.col("contract").alias("contract_raw")] if raw_contract else []
+    return ml.fill_categoricals(df.select("customer_id", "label", *ML_FEATURES, *extra),
                                 list(CATEGORICAL))
 
 
@@ -55,44 +60,69 @@ class TrainResult:
 
 
 def _load_bundle(spark: SparkSession, path: str) -> TrainResult | None:
-    """Saved results + model, or None when any part is missing."""
+    """Saved results + model, or None when nothing (or not everything) was saved:
+    the roles are written last.  Errors other than a missing path are raised."""
     try:
-        model = PipelineModel.load(f"{path}/model")
-        metrics = spark.read.parquet(f"{path}/metrics")
-        preds = spark.read.parquet(f"{path}/predictions")
-        best = metrics.filter(F.col("rank") == 1).select("model").first()[0]  # one row
-    except Exception:  # noqa: BLE001 - not saved (completely) yet
-        return None
+        spark.read.text(f"{path}/roles")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    metrics = spark.read.parquet(f"{path}/metrics")
+    preds = spark.read.parquet(f"{path}/predictions")
+    best = metrics.filter(F.col("rank") == 1).select("model").first()[0]  # one row
+    model = (ml.VotingModel.load(spark, f"{path}/model") if best == ml.VOTING
+             else PipelineModel.load(f"{path}/model"))
     roles_row = spark.read.json(f"{path}/roles").first()
     roles = ml.FeatureRoles(list(roles_row["one_hot"]), list(roles_row["scale"]),
                             list(roles_row["passthrough"]))
     return TrainResult(metrics, preds, best, model, roles)
 
 
+def path_tag(path: str) -> str:
+    """A folder name for results that belong to one input path."""
+    return hashlib.sha1(path.rstrip("/").encode()).hexdigest()[:16]
+
+
+def _refit(name: str, tuned: PipelineModel, roles: ml.FeatureRoles, data, train_share: float
+           ) -> PipelineModel:
+    """The tuned candidate fitted on all rows.  Its C is kept: regParam is 1 / (C rows)."""
+    pipe = ml.model_pipelines(roles, names=[name])[name]
+    clf = pipe.getStages()[-1]
+    for p, v in tuned.stages[-1].extractParamMap().items():
+        if clf.hasParam(p.name):
+            clf.set(clf.getParam(p.name), v * train_share if p.name == "regParam" else v)
+    return pipe.fit(data)
+
+
 def train_deploy_job(spark: SparkSession, sf_dir: str, path: str | None = None,
-                     full_grid: bool = False, overwrite: bool = True) -> TrainResult:
+                     full_grid: bool = True, overwrite: bool = True) -> TrainResult:
     """Compare models, refit the best on all rows and save the bundle (model,
     ranked metrics, test predictions, feature roles) under ``path``.  With
     ``overwrite=False`` a complete saved bundle is loaded instead of training
     (load-or-train)."""
-    path = path or shared_path(spark, f"models/best_{sf_dir.rstrip('/').rsplit('/', 1)[-1]}")
+    path = path or shared_path(spark, f"models/best_{path_tag(sf_dir)}_{'full' if full_grid else 'sub'}")
     if not overwrite:
         saved = _load_bundle(spark, path)
         if saved is not None:
             return saved
     data = cut_lineage(model_frame(clean_binned(spark, sf_dir)))
     train, test = ml.split(data)
-    train = ml.stratified_folds(train, "label")
-    roles = ml.select_features(train, ML_FEATURES)
+    train = cut_lineage(ml.stratified_folds(train, "label"))
+    roles = ml.select_features(data, ML_FEATURES)  # over all rows
     metrics, preds, tuned = ml.compare_models(train, test, roles, full_grid=full_grid)
+    metrics = cut_lineage(metrics)
     best_name = metrics.filter(F.col("rank") == 1).select("model").first()[0]  # one row
-    best_params = tuned[best_name].model.stages[-1].extractParamMap()
-    pipe = ml.model_pipelines(roles, names=[best_name])[best_name]
-    clf = pipe.getStages()[-1]
-    for p, v in best_params.items():
-        if clf.hasParam(p.name):
-            clf.set(clf.getParam(p.name), v)
-    model = ml.deploy(pipe, ml.add_class_weights(data), f"{path}/model", overwrite=True)
+    weighted = cut_lineage(ml.add_class_weights(data))
+    share = train.count() / max(1, data.count())
+    if best_name == ml.VOTING:
+        vote = tuned[best_name].model
+        model = ml.VotingModel({n: _refit(n, tuned[n].model, roles, weighted, share)
+                                for n in vote.models}, vote.weights)
+        model.save(spark, f"{path}/model")
+    else:
+        model = _refit(best_name, tuned[best_name].model, roles, weighted, share)
+        model.write().overwrite().save(f"{path}/model")
     metrics.write.mode("overwrite").parquet(f"{path}/metrics")
     preds.write.mode("overwrite").parquet(f"{path}/predictions")
     spark.createDataFrame([(roles.one_hot, roles.scale, roles.passthrough)],
@@ -109,20 +139,20 @@ def threshold_score_assign_job(spark: SparkSession, sf_dir: str, result: TrainRe
     """Returns ``(curve, scored, assigned)``; the threshold comes from the
     profit curve of the best model's test predictions, the value from the
     median CLTV of the full raw table."""
-    value = float(customer_360(spark, sf_dir).agg(F.median("cltv")).first()[0])  # one value
+    mart = cut_lineage(customer_360(spark, sf_dir))
+    value = medians(mart, ["cltv"])["cltv"]
     best_pred = result.predictions.filter(F.col("model") == result.best_name)
     curve = decision.profit_curve(best_pred, value, cost, retention_rate, label="label",
                                   proba="proba")
     t = decision.best_threshold(curve).first()["threshold"]  # one row
-    binned = clean_binned(spark, sf_dir)
-    scored = ml.score_with_model(result.model, model_frame(binned), t).join(
-        binned.select("customer_id", F.col("contract").alias("contract_raw")), "customer_id")
+    binned = binning.bin_all(clean.clean_customers(mart))
+    scored = ml.score_with_model(result.model, model_frame(binned, raw_contract=True), t)
     scored = scored.withColumn("contract", F.col("contract_raw")).drop("contract_raw")
     return curve, scored, decision.abc_assign(scored)
 
 
 def score_explain_job(spark: SparkSession, sf_dir: str, model: PipelineModel,
-                      threshold: float = 0.5, samples: int = 16
+                      threshold: float = 0.5, samples: int = 32
                       ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Returns ``(scored, local_top10, global_top10)`` for the test rows."""
     data = model_frame(clean_binned(spark, sf_dir))

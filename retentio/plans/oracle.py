@@ -286,6 +286,11 @@ WITH {CLEAN_CTE}
 SELECT CAST(max(monthly_charges) AS DOUBLE) AS monthly_charges,
        CAST(max(cltv) AS DOUBLE) AS cltv FROM clean""")
 
+register("agg_callable_range", f"""
+WITH {CLEAN_CTE}
+SELECT CAST(max(monthly_charges) - min(monthly_charges) AS DOUBLE) AS monthly_charges,
+       CAST(max(cltv) - min(cltv) AS DOUBLE) AS cltv FROM clean""")
+
 register("value_counts", f"""
 WITH {CLEAN_CTE}
 SELECT city, count(*) AS count FROM clean WHERE city IS NOT NULL GROUP BY city""")
@@ -319,7 +324,7 @@ register("count_distinct", f"WITH {CLEAN_CTE}\n" + union_all([
 
 register("mode", f"WITH {CLEAN_CTE}\n" + union_all([
     f"SELECT '{c}' AS \"column\", (SELECT CAST({c} AS VARCHAR) FROM clean WHERE {c} IS NOT NULL"
-    f" GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mode"
+    f" GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS mode"
     for c in ("city", "contract", "internet_service", "payment_method", "tenure_months")]))
 
 register("median_where", f"""
@@ -356,6 +361,10 @@ register("info", f"WITH {CLEAN_CTE}\n" + union_all([
 
 register("histogram", histogram_sql(CLEAN_CTE, "clean", "monthly_charges", 20, None))
 register("histogram_hue", histogram_sql(CLEAN_CTE, "clean", "tenure_months", 20, "churn_value"))
+
+register("histogram_hue_null", histogram_sql(CLEAN_CTE + """,
+planned AS (SELECT *, CASE WHEN customer_id % 7 = 0 THEN NULL ELSE contract END AS plan FROM clean)""",
+                                             "planned", "monthly_charges", 20, "plan"))
 register("histogram_lineitem", histogram_sql(
     "li AS (SELECT * FROM lineitem)", "li", "l_extendedprice", 20, "l_returnflag"))
 
@@ -391,9 +400,16 @@ SELECT customer_id, tenure_group, churn_score_band, customer_value FROM binned""
 
 register("bin_tenure_open", f"""
 WITH {MART_CTE}
-SELECT customer_id, CAST(tenure_months AS INTEGER) AS tenure_months,
+SELECT customer_id, CAST(tenure_months AS DOUBLE) AS tenure_months,
        {TENURE_GROUP_SQL} AS tenure_group FROM customer_360""")
 
+register("bin_tenure_open_text", f"""
+WITH {MART_CTE},
+t AS (SELECT customer_id, CASE customer_id % 6 WHEN 1 THEN tenure_months + 0.5 WHEN 2 THEN -0.5
+                          WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE tenure_months END::DOUBLE
+             AS tenure_months FROM customer_360)
+SELECT customer_id, tenure_months, {TENURE_GROUP_SQL} AS tenure_group FROM t""")
+
 register("bin_equal_width", f"""
 WITH {CLEAN_CTE},
 r AS (SELECT min(monthly_charges) AS mn, max(monthly_charges) AS mx FROM clean),
@@ -584,8 +600,14 @@ j AS (SELECT *, CAST(events AS DOUBLE) / customers AS rate,
 k AS (SELECT *, sqrt(pooled * (1 - pooled) * (1.0 / customers + 1.0 / c_n)) AS se FROM j)
 SELECT "group", customers, events, round(rate, 6) AS rate, round(c_rate - rate, 6) AS uplift,
        round(CASE WHEN "group" <> 'A (Control)' AND se > 0 THEN (c_rate - rate) / se END, 6)
-         AS z
-FROM k""")
+         AS z,
+       round(CASE WHEN "group" <> 'A (Control)'
+             THEN ((c_rate - rate) * v - 100.0::DOUBLE) * customers END, 4) AS profit,
+       round(CASE WHEN "group" <> 'A (Control)' THEN (c_rate - rate) * v - 100.0::DOUBLE END, 6)
+         AS profit_per_customer,
+       round(CASE WHEN "group" <> 'A (Control)'
+             THEN ((c_rate - rate) * v - 100.0::DOUBLE) / 100.0::DOUBLE END, 6) AS roi
+FROM k, (SELECT CAST(median(cltv) AS DOUBLE) AS v FROM customer_360) m""")
 
 # ---------------------------------------------------------------- imputation
 register("impute_conditional", f"""

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import functools
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import binning, clean
+from ..operators.quantiles import medians, quantile_table
 from ..session import cut_lineage
 from ..sources.mart import customer_360
 
@@ -202,6 +204,13 @@ def q_agg_dict(spark, sf_dir):
 @query
 def q_agg_callable(spark, sf_dir):
     return profile.agg_callable(clean_mart(spark, sf_dir), profile.np_max,
+                                ["monthly_charges", "cltv"], decomposable=True)
+
+
+@query
+def q_agg_callable_range(spark, sf_dir):
+    """max - min, which partial results alone do not give."""
+    return profile.agg_callable(clean_mart(spark, sf_dir), profile.value_range(),
                                 ["monthly_charges", "cltv"])
 
 
@@ -232,15 +241,16 @@ def q_mean_churn(spark, sf_dir):
 
 @query
 def q_median_monthly(spark, sf_dir):
-    return clean_mart(spark, sf_dir).agg(
-        F.round(F.median("monthly_charges"), 6).alias("median_monthly_charges"))
+    return profile.agg_named(clean_mart(spark, sf_dir), "median", "monthly_charges").select(
+        F.round("monthly_charges", 6).alias("median_monthly_charges"))
 
 
 @query
 def q_median_cltv_longtenure(spark, sf_dir):
+    # tenure 60: the derived mart has no churned customer at the reference's 70
     df = clean.filter_churned(clean_mart(spark, sf_dir), min_tenure=60)
-    return df.agg(F.round(F.median("cltv"), 6).alias("median_cltv"),
-                  F.count(F.lit(1)).alias("customers"))
+    return df.agg(F.round(F.lit(medians(df, ["cltv"])["cltv"]).cast("double"), 6)
+                  .alias("median_cltv"), F.count(F.lit(1)).alias("customers"))
 
 
 @query
@@ -257,8 +267,9 @@ def q_mode(spark, sf_dir):
 
 @query
 def q_median_where(spark, sf_dir):
-    return clean_mart(spark, sf_dir).groupBy("internet_service").agg(
-        F.round(F.median("monthly_charges"), 6).alias("median_monthly_charges"))
+    m = quantile_table(clean_mart(spark, sf_dir), ["monthly_charges"], [0.5],
+                       by=["internet_service"])
+    return m.select("internet_service", F.round("quantile", 6).alias("median_monthly_charges"))
 
 
 @query
@@ -280,10 +291,10 @@ def q_describe_lineitem(spark, sf_dir):
 
 @query
 def q_describe_lineitem_refine(spark, sf_dir):
-    """describe with quartiles by distributed histogram refinement."""
+    """describe with quartiles by distributed ranks (now the only path of ``describe``)."""
     from ..sources.tables import read_table
     li = read_table(spark, sf_dir, "lineitem", *LINEITEM_NUMERIC)
-    df = profile.describe(li, quantiles="refine")
+    df = profile.describe(li)
     return df.select("statistic", *[F.round(c, 4).alias(c) for c in LINEITEM_NUMERIC])
 
 
@@ -302,6 +313,14 @@ def q_histogram_hue(spark, sf_dir):
     return profile.histogram(clean_mart(spark, sf_dir), "tenure_months", 20, hue="churn_value")
 
 
+@query
+def q_histogram_hue_null(spark, sf_dir):
+    """A split column with missing values: NULL is a split of its own."""
+    df = clean_mart(spark, sf_dir).withColumn("plan", F.when(
+        F.pmod("customer_id", F.lit(7)) == 0, None).otherwise(F.col("contract")))
+    return profile.histogram(df, "monthly_charges", 20, hue="plan")
+
+
 @query
 def q_histogram_lineitem(spark, sf_dir):
     from ..sources.tables import read_table
@@ -359,6 +378,16 @@ def q_bin_tenure_open(spark, sf_dir):
     return binning.bin_tenure_open(m).select("customer_id", "tenure_months", "tenure_group")
 
 
+@query
+def q_bin_tenure_open_text(spark, sf_dir):
+    """Raw text tenure: fractions, negatives, 'nan' and blanks among whole months."""
+    k, t = F.pmod("customer_id", F.lit(6)), F.col("tenure_months").cast("string")
+    m = customer_360(spark, sf_dir).withColumn("tenure_months", F.when(k == 1, F.concat(t, F.lit(".5")))
+                                               .when(k == 2, "-0.5").when(k == 3, "nan").when(k == 4, " ")
+                                               .otherwise(t))
+    return binning.bin_tenure_open(m).select("customer_id", "tenure_months", "tenure_group")
+
+
 @query
 def q_bin_equal_width(spark, sf_dir):
     df = binning.bin_column(clean_mart(spark, sf_dir), "monthly_charges", "charge_band", 4,
@@ -452,7 +481,7 @@ def scored_mart(spark, sf_dir):
 
 def median_cltv(spark, sf_dir):
     """Median CLTV of the full raw table: one bounded value."""
-    return float(mart(spark, sf_dir).agg(F.median("cltv")).first()[0])
+    return medians(mart(spark, sf_dir), ["cltv"])["cltv"]
 
 
 @query
@@ -520,7 +549,8 @@ def q_group_summary(spark, sf_dir):
 
 @query
 def q_abc_readout(spark, sf_dir):
-    return decision.abc_readout(assigned_mart(spark, sf_dir))
+    return decision.abc_readout(assigned_mart(spark, sf_dir), value=median_cltv(spark, sf_dir),
+                                costs={g: PROFIT_COST for g in decision.GROUPS[1:]})
 
 
 # ---------------------------------------------------------------- imputation
@@ -554,14 +584,13 @@ from ..operators import ensemble, knn, ml  # noqa: E402
 from ..session import shared_path  # noqa: E402
 from ..sources.tables import read_table  # noqa: E402
 
-ML_FEATURES = ("city", "monthly_charges", "contract", "internet_service", "payment_method",
-               "tenure_group")
+from . import jobs  # noqa: E402
+
+ML_FEATURES = jobs.ML_FEATURES
 
 
-def ml_frame(spark, sf_dir):
-    df = binned_mart(spark, sf_dir).withColumn("label", F.col("churn_value").cast("double"))
-    return ml.fill_categoricals(df.select("customer_id", "label", *ML_FEATURES),
-                                [c for c in ML_FEATURES if c != "monthly_charges"])
+def ml_frame(spark, sf_dir, raw_contract=False):
+    return jobs.model_frame(binned_mart(spark, sf_dir), raw_contract)
 
 
 def _scoped(key, build):
@@ -653,12 +682,12 @@ def q_baseline_cv(spark, sf_dir):
 
 @query
 def q_tune(spark, sf_dir):
-    """Grid search (reduced logistic grid) with stratified 5-fold CV."""
+    """Grid search (all 16 logistic candidates) with stratified 5-fold CV."""
     train, _ = ml_train_test(spark, sf_dir)
     roles = ml_roles(spark, sf_dir)
     pipes = ml.model_pipelines(roles, names=["LogisticRegression"])
     train = ml.add_class_weights(train)
-    grid = ml.param_grids(pipes, train.count(), full=False)["LogisticRegression"]
+    grid = ml.param_grids(pipes, train.count())["LogisticRegression"]
     r = ml.tune("LogisticRegression", pipes["LogisticRegression"], grid, train)
     import json
     return spark.createDataFrame([(r.name, json.dumps(r.params, sort_keys=True), r.cv_metric)],
@@ -667,8 +696,10 @@ def q_tune(spark, sf_dir):
 
 @query
 def q_compare_models(spark, sf_dir):
-    """Tune logistic / random forest / Gaussian NB (reduced grids; the full
-    16/288/1 grids are ``full_grid=True``), evaluate on test, rank."""
+    """Tune logistic / random forest / Gaussian NB, vote, evaluate on test, rank.
+
+    Grids of 4/2/1 candidates instead of the operator's default 16/288/1:
+    1,440 forest fits take hours on one machine (README, open items)."""
     train, test = ml_train_test(spark, sf_dir)
     roles = ml_roles(spark, sf_dir)
     metrics, _, _ = ml.compare_models(train, test, roles, full_grid=False)
@@ -698,17 +729,16 @@ def _deployed_model(spark, sf_dir, overwrite=False):
     df = _scoped(("ml_full", sf_dir), lambda: cut_lineage(ml_frame(spark, sf_dir)))
     roles = ml.select_features(df, ML_FEATURES)
     pipe = ml.model_pipelines(roles, names=["LogisticRegression"])["LogisticRegression"]
-    tag = sf_dir.rstrip("/").rsplit("/", 1)[-1]
-    return ml.deploy(pipe, df, shared_path(spark, f"models/logistic_{tag}"), overwrite)
+    return ml.deploy(pipe, df, shared_path(spark, f"models/logistic_{jobs.path_tag(sf_dir)}"),
+                     overwrite)
 
 
 @query
 def q_deploy(spark, sf_dir):
     """Refit on all rows, save, load back and score (artifact round trip)."""
     from pyspark.ml import PipelineModel
-    tag = sf_dir.rstrip("/").rsplit("/", 1)[-1]
     _deployed_model(spark, sf_dir, overwrite=True)
-    loaded = PipelineModel.load(shared_path(spark, f"models/logistic_{tag}"))
+    loaded = PipelineModel.load(shared_path(spark, f"models/logistic_{jobs.path_tag(sf_dir)}"))
     return ml.score_with_model(loaded, ml_frame(spark, sf_dir), 0.5).select(
         "customer_id", F.round("churn_probability", 6).alias("churn_probability"),
         "intervention_flag")
@@ -718,8 +748,7 @@ def q_deploy(spark, sf_dir):
 def q_score_model(spark, sf_dir):
     """Load-or-train the deployed model; score, rank and assign test groups."""
     model = _deployed_model(spark, sf_dir)
-    df = ml_frame(spark, sf_dir).join(clean_mart(spark, sf_dir).select(
-        "customer_id", F.col("contract").alias("contract_raw")), "customer_id")
+    df = ml_frame(spark, sf_dir, raw_contract=True)
     scored = ml.score_with_model(model, df, 0.5).withColumn("contract", F.col("contract_raw"))
     return decision.abc_assign(scored).select("customer_id", "churn_probability",
                                               "intervention_flag", "group")
@@ -788,8 +817,7 @@ def q_src_table_dates(spark, sf_dir):
 def q_sink_scored(spark, sf_dir):
     """Scored customers written partitioned by flag, read back (flagged only:
     partition pruning)."""
-    tag = sf_dir.rstrip("/").rsplit("/", 1)[-1]
-    path = shared_path(spark, f"scored/{tag}")
+    path = shared_path(spark, f"scored/{uuid.uuid4().hex}")  # each call its own table
     s = decision.score(scored_mart(spark, sf_dir), 0.5).select(
         "customer_id", "churn_probability", "intervention_flag")
     files.write_scored(s, path)
@@ -844,7 +872,7 @@ def q_profit_sorted(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- EDA / jobs
-from ..plans import eda, jobs  # noqa: E402
+from ..plans import eda  # noqa: E402
 from ..operators import explain  # noqa: E402
 
 
@@ -876,7 +904,7 @@ def q_background_sample(spark, sf_dir):
     return explain.background_sample(model, train, list(ML_FEATURES))
 
 
-def _shapley(spark, sf_dir, samples=16):
+def _shapley(spark, sf_dir, samples=32):
     model, _ = _logistic_model(spark, sf_dir)
     train, test = ml_train_test(spark, sf_dir)
     bg = explain.background_sample(model, train, list(ML_FEATURES))
@@ -898,13 +926,13 @@ def q_explain_global(spark, sf_dir):
 @query
 def q_train_deploy(spark, sf_dir):
     """Job B: compare models, refit the best on all rows, save."""
-    return jobs.train_deploy_job(spark, sf_dir).metrics
+    return jobs.train_deploy_job(spark, sf_dir, full_grid=False).metrics
 
 
 @query
 def q_threshold_score_assign(spark, sf_dir):
     """Job C: profit-optimal threshold, score, A/B/C groups (load-or-train)."""
-    r = jobs.train_deploy_job(spark, sf_dir, overwrite=False)
+    r = jobs.train_deploy_job(spark, sf_dir, full_grid=False, overwrite=False)
     _, _, assigned = jobs.threshold_score_assign_job(spark, sf_dir, r)
     return assigned.select("customer_id", F.round("churn_probability", 6)
                            .alias("churn_probability"), "group", "intervention_details")
@@ -914,7 +942,7 @@ def q_threshold_score_assign(spark, sf_dir):
 def q_score_explain(spark, sf_dir):
     """Job D: score test rows with the deployed model (load-or-train) and
     explain them: sampled-Shapley top-10 per customer."""
-    r = jobs.train_deploy_job(spark, sf_dir, overwrite=False)
+    r = jobs.train_deploy_job(spark, sf_dir, full_grid=False, overwrite=False)
     _, local, _ = jobs.score_explain_job(spark, sf_dir, r.model, threshold=0.5)
     return local.select("customer_id", "rank", "feature", F.round("phi", 6).alias("phi"))
 
@@ -930,7 +958,6 @@ STREAM_SCHEMA = ("customer_id bigint, city string, contract string, internet_ser
 @query
 def q_stream_score(spark, sf_dir):
     """Incomplete customers arriving as files, scored by a streaming query."""
-    import uuid
     run = shared_path(spark, f"stream/{uuid.uuid4().hex}")
     incomplete_customers(spark, sf_dir).repartition(4).write.parquet(f"{run}/in")
     model, _ = _logistic_model(spark, sf_dir)

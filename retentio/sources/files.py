@@ -14,23 +14,15 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
-
-
 def read_customers(spark: SparkSession, path: str, schema: StructType | str | None = None,
                    fmt: str = "parquet", date_cols: Sequence[str] | None = None,
                    date_format: str | None = None) -> DataFrame:
-    if not _exists(spark, path):
-        raise FileNotFoundError(f"File not found: {path}")
     try:
         reader = spark.read.format(fmt)
         if schema is not None:
@@ -41,6 +33,10 @@ def read_customers(spark: SparkSession, path: str, schema: StructType | str | No
         for c in date_cols or ():
             df = df.withColumn(c, F.to_timestamp(F.col(c), date_format) if date_format
                                else F.to_timestamp(F.col(c)))
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"File not found: {path}") from e
+        raise RuntimeError(f"Could not read {path}: {e}") from e
     except Exception as e:  # noqa: BLE001 - contract: anything else is RuntimeError
         raise RuntimeError(f"Could not read {path}: {e}") from e
     if df.isEmpty():

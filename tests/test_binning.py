@@ -34,3 +34,9 @@ def test_tenure_open_coerces_text(spark):
     df = spark.createDataFrame([(" 5",), ("x",), ("60",)], "tenure_months string")
     out = [r.tenure_group for r in binning.bin_tenure_open(df).collect()]
     assert out == ["New Customer", None, "Veteran Customer"]
+
+
+def test_tenure_open_keeps_fractions_and_rejects_nan(spark):
+    df = spark.createDataFrame([("12.5",), ("-0.5",), ("nan",), ("12",), ("",)], "tenure_months string")
+    out = [r.tenure_group for r in binning.bin_tenure_open(df).collect()]
+    assert out == [binning.TENURE_LABELS[1], None, None, binning.TENURE_LABELS[0], None]

@@ -84,3 +84,10 @@ def test_assumption_stop(spark):
     rows = [("a", "y")] * 2 + [("b", "n")] * 1 + [("c", "y")] * 1 + [("a", "n")]
     t = chisq.chi2_tests(spark.createDataFrame(rows, "f string, l string"), ["f"], "l").first()
     assert not t.assumption_met and t.verdict == chisq.NOT_MET and t.p_value is None
+
+
+def test_many_categories_finish(spark):
+    """200,000 categories against two labels: no window, no collected set."""
+    df = spark.range(400_000).selectExpr("concat('v', id % 200000) AS f", "id % 3 = 0 AS y")
+    got = chisq.chi2_statistics(df, ["f"], "y").first()
+    assert (got.n, got.n_rows, got.n_cols, got.cells) == (400_000, 200_000, 2, 400_000)

@@ -111,3 +111,34 @@ def test_abc_assign_stable_and_complete(spark):
     assert c != a
     empty = decision.abc_assign(df.filter("customer_id < 0"))
     assert empty.count() == 0 and "group" in empty.columns
+
+
+def test_roc_auc_of_one_class_is_null_and_large_counts_do_not_overflow(spark):
+    one = spark.createDataFrame([(1, 0.2), (1, 0.7)], "y int, p double")
+    assert decision.roc_auc(one, "y", "p").first().roc_auc is None
+    assert decision.roc_auc(one.limit(0), "y", "p").first().roc_auc is None
+    m = decision.eval_metrics(one, "y", "p").first()
+    assert m.roc_auc is None and m.recall == 0.5
+
+
+def test_roc_auc_of_scores_piled_up_near_zero(spark):
+    import numpy as np
+    rng = np.random.default_rng(0)
+    p = rng.random(400) ** 30
+    y = (rng.random(400) < 0.3).astype(int)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p)], "y int, p double").repartition(5)
+    wins = (p[y == 1][:, None] > p[y == 0]).sum() + 0.5 * (p[y == 1][:, None] == p[y == 0]).sum()
+    assert decision.roc_auc(df, "y", "p").first().roc_auc == pytest.approx(
+        wins / ((y == 1).sum() * (y == 0).sum()), abs=1e-6)
+
+
+def test_readout_profit_and_roi(spark):
+    rows = [(g, int(i < churned)) for g, n, churned in (
+        ("A (Control)", 100, 50), ("B (Price Offer)", 100, 30), ("C (Service Offer)", 50, 25))
+        for i in range(n)]
+    df = spark.createDataFrame(rows, "group string, churn_value int")
+    costs = {"B (Price Offer)": 10.0, "C (Service Offer)": 20.0}
+    got = {r.group: r for r in decision.abc_readout(df, value=100.0, costs=costs).collect()}
+    assert (got["B (Price Offer)"].profit, got["B (Price Offer)"].roi) == (1000.0, 1.0)
+    assert got["C (Service Offer)"].profit_per_customer == -20.0
+    assert got["A (Control)"].profit is None and got["A (Control)"].roi is None

@@ -59,3 +59,21 @@ def test_numeric_categorical_keeps_its_type(spark):
     assert dict(out.dtypes)["senior"] == "int"
     r = out.first()
     assert r.senior == 1 and r.internet_service == "DSL" and r.monthly_charges == 51.0
+
+
+def test_service_dependencies(spark):
+    """Every dependent service is filled from its parent's mode."""
+    children = list(impute.SERVICE_DEPENDENCIES)
+    full = [("a", "Yes", "DSL", 10, 20.0, 200.0, *["Yes"] * 7)] * 3 + [
+        ("a", "No", "No", 10, 20.0, 200.0, "No phone service", *["No internet service"] * 6)] * 4
+    schema = ("city string, phone_service string, internet_service string, tenure_months int, "
+              "monthly_charges double, total_charges double, " + ", ".join(f"{c} string" for c in children))
+    reference = spark.createDataFrame(full, schema)
+    batch = spark.createDataFrame([("a", "Yes", "DSL", 1, 2.0, 3.0, *[None] * 7),
+                                   ("a", "No", "No", 1, 2.0, 3.0, *[None] * 7)], schema)
+    got = {r.internet_service: r for r in impute.impute_conditional(
+        batch, reference, categorical=("city", "phone_service", "internet_service"),
+        dependencies=impute.SERVICE_DEPENDENCIES).collect()}
+    assert all(got["DSL"][c] == "Yes" for c in children)
+    assert got["No"]["multiple_lines"] == "No phone service"
+    assert got["No"]["streaming_tv"] == "No internet service"

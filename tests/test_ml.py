@@ -66,10 +66,33 @@ def test_compare_models_small_fit(small_fit, spark, tmp_path):
     metrics, preds, tuned = ml.compare_models(train, test, roles, full_grid=False,
                                               names=["RandomForest"], parallelism=2)
     rows = {r.model: r for r in metrics.collect()}
-    assert set(rows) == {"LogisticRegression", "RandomForest"}
+    assert set(rows) == {"LogisticRegression", "RandomForest", ml.VOTING}
     assert rows["LogisticRegression"].recall >= 0.6
-    assert preds.count() == 2 * test.count()
-    assert sorted(r.rank for r in rows.values()) == [1, 2]
+    assert preds.count() == 3 * test.count()
+    assert sorted(r.rank for r in rows.values()) == [1, 2, 3]
+    # the vote is the weighted mean of its members, chosen on out-of-fold predictions
+    vote = tuned[ml.VOTING]
+    names, weights = vote.params["models"].split(","), vote.model.weights
+    by = {}
+    for r in preds.collect():
+        by.setdefault(r.customer_id, {})[r.model] = r.proba
+    for p in by.values():
+        assert p[ml.VOTING] == pytest.approx(
+            sum(w * p[n] for n, w in zip(names, weights)) / sum(weights))
+    best = {}
+    oof = {n: {r.customer_id: r for r in tuned[n].oof.collect()} for n in names}
+    assert all(len(o) == train.count() for o in oof.values())
+    for w in ensemble.weight_candidates(len(names)):
+        tp = fn = 0
+        for k, r in oof[names[0]].items():
+            p = sum(x * oof[n][k].proba for x, n in zip(w, names)) / sum(w)
+            tp, fn = tp + (r.label == 1 and p > 0.5), fn + (r.label == 1 and p <= 0.5)
+        best[w] = round(tp / (tp + fn), 6)
+    assert vote.cv_metric == max(best.values())
+    vote.model.save(spark, str(tmp_path / "vote"))
+    again = ml.VotingModel.load(spark, str(tmp_path / "vote"))
+    assert again.transform(test).select("customer_id", "prediction").exceptAll(
+        vote.model.transform(test).select("customer_id", "prediction")).count() == 0
     # artifact round trip
     path = str(tmp_path / "m")
     best = tuned["LogisticRegression"].model
@@ -167,3 +190,54 @@ def test_folds_with_a_hot_repeated_key(spark):
         counts.setdefault(r.label, []).append(r["count"])
     for c in counts.values():
         assert len(c) == 5 and max(c) - min(c) <= 1
+
+
+def test_folds_keep_null_labels_and_keys(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, 0.0), (None, 1.0), (3, None), (None, None)],
+                               "customer_id long, label double")
+    assert ml.stratified_folds(df, "label").count() == 5
+
+
+def test_boolean_feature_is_one_hot(spark):
+    from pyspark.ml import Pipeline
+    df = spark.createDataFrame([(i, bool(i % 2), float(i)) for i in range(12)],
+                               "customer_id long, flag boolean, num double")
+    roles = ml.select_features(df, ["flag", "num"])
+    assert roles.one_hot == ["flag"] and roles.scale == ["num"]
+    stages, _ = ml.preprocessor_stages(roles)
+    out = Pipeline(stages=stages).fit(df).transform(df).select("features").first()[0]
+    assert len(out) == 3  # false, true, scaled
+
+
+def test_vote_without_some_predictions(spark):
+    pred = spark.createDataFrame([(1, "a", 1, 0.9), (1, "b", 1, 0.8), (2, "a", 1, 0.9),
+                                  (3, "a", 0, 0.2), (3, "b", 0, 0.1)],
+                                 "customer_id long, model string, label int, proba double")
+    got = ensemble.soft_vote(pred, ["a", "b"], weights=[(1, 1)]).first()
+    assert got.recall == 1.0 and got.accuracy == 1.0
+    lost = ensemble.soft_vote(pred.where("customer_id <> 2").union(spark.createDataFrame(
+        [(2, "c", 1, 0.9)], pred.schema)), ["a", "b"], weights=[(1, 1)]).first()
+    assert lost.recall == 0.5  # a key no listed model has judged is class 0
+
+
+def test_tuner_equals_cross_validator(small_fit):
+    from pyspark.ml.tuning import CrossValidator
+    data = ml.stratified_folds(ml.add_class_weights(small_fit), "label")
+    roles = ml.select_features(data, ["num_a", "num_b", "cat_c"])
+    pipe = ml.model_pipelines(roles, names=["LogisticRegression"])["LogisticRegression"]
+    grid = ml.param_grids({"LogisticRegression": pipe}, 80, full=False)["LogisticRegression"]
+    want = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ml.recall_evaluator(),
+                          foldCol="fold", numFolds=5).fit(data).avgMetrics
+    got = ml.cross_validate(pipe.getStages()[-1], grid, ml.encoded_folds(pipe, data, "label"), "label", 4)
+    assert got == pytest.approx(want, abs=1e-9)
+    assert ml.tune("LogisticRegression", pipe, grid, data).cv_metric == pytest.approx(max(want))
+
+
+def test_saved_model_is_told_from_a_damaged_one(spark, tmp_path):
+    assert not ml.is_saved(spark, str(tmp_path / "none"))
+    (tmp_path / "bad" / "metadata").mkdir(parents=True)
+    (tmp_path / "bad" / "metadata" / "part-00000").write_text("not json")
+    from pyspark.ml import Pipeline
+    with pytest.raises(Exception):
+        ml.deploy(Pipeline(stages=[]), spark.range(1), str(tmp_path / "bad"))
+    assert (tmp_path / "bad" / "metadata" / "part-00000").read_text() == "not json"

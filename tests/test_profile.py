@@ -71,7 +71,8 @@ def test_agg_list_and_dict(nums):
 
 def test_agg_callable_decomposable(nums):
     pdf, df = nums
-    out = profile.agg_callable(df.repartition(5), profile.np_max, ["a", "b"]).collect()[0]
+    out = profile.agg_callable(df.repartition(5), profile.np_max, ["a", "b"],
+                               decomposable=True).collect()[0]
     assert out["a"] == pytest.approx(pdf["a"].max()) and out["b"] == pdf["b"].max()
 
 
@@ -98,13 +99,42 @@ def test_kde_matches_direct_formula(nums):
     assert np.trapezoid(dens, grid) == pytest.approx(1.0, abs=1e-3)
 
 
-def test_agg_callable_non_decomposable_bounded(spark):
-    df = spark.range(100).selectExpr("cast(id as double) as x")
-    med = profile.agg_callable(df, lambda s: float(s.median()), "x", decomposable=False)
-    assert med.first().x == 49.5
-    with pytest.raises(ValueError):
-        profile.agg_callable(df, lambda s: float(s.median()), "x", decomposable=False,
-                             max_rows_single_group=10)
+def test_agg_callable_needs_a_way_to_combine(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 1.1), (5.0, 3.3), (None, None)],
+                               "A double, C double").repartition(3)
+    with pytest.raises(TypeError):
+        profile.agg_callable(df, lambda s: s.max() - s.min(), ["A", "C"])
+    got = profile.agg_callable(df, profile.value_range(), ["A", "C"]).first()
+    assert got.A == 4.0 and got.C == pytest.approx(2.2)
+    count = profile.Aggregator(lambda: 0, lambda n, v: n + len(v), lambda a, b: a + b, float)
+    big = spark.range(1000).selectExpr("cast(id as double) AS x")
+    assert profile.agg_callable(big.repartition(7), count, "x").first().x == 1000.0
+
+    def moments(state, v):
+        return state[0] + len(v), state[1] + v.sum(), state[2] + (v * v).sum()
+
+    std = profile.Aggregator(
+        lambda: (0, 0.0, 0.0), moments, lambda a, b: tuple(x + y for x, y in zip(a, b)),
+        lambda s: ((s[2] - s[1] ** 2 / s[0]) / (s[0] - 1)) ** 0.5)
+    assert profile.agg_callable(big.repartition(7), std, "x").first().x == pytest.approx(
+        np.arange(1000).std(ddof=1))
+    none = profile.agg_callable(big.limit(0), profile.value_range(), "x").first().x
+    assert none is None or np.isnan(none)
+
+
+def test_numeric_mode_ties_compare_as_numbers(spark):
+    df = spark.createDataFrame([(10, "10"), (9, "9"), (10, "10"), (9, "9"), (7, "x")], "n int, t string")
+    got = {r.column: r.mode for r in profile.modes(df, ["n", "t"]).collect()}
+    assert got == {"n": "9", "t": "10"}
+
+
+def test_histogram_keeps_null_hue_rows(spark):
+    df = spark.createDataFrame([(1.0, "a"), (2.0, None), (3.0, None), (None, "z")], "x double, h string")
+    out = profile.histogram(df, "x", 2, hue="h").collect()
+    assert sum(r["count"] for r in out) == 3
+    assert {r.hue for r in out} == {"a", None, "z"} and len(out) == 6
+    edged = profile.histogram(df, "x", hue="h", edges=[0, 2.5]).collect()
+    assert sum(r["count"] for r in edged) == 2 and {r.hue for r in edged} == {"a", None, "z"}
 
 
 def test_aggregate_contract(spark):

@@ -1,46 +1,66 @@
+import math
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from retentio.operators import profile
-from retentio.operators.quantiles import exact_quantiles
+from retentio.operators.quantiles import exact_quantiles, medians, prefix_sums, quantile_table
+
+PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
 
 
-@pytest.mark.parametrize("buckets,final_rows", [(4096, 50_000), (4, 3), (2, 1)])
-def test_exact_quantiles_match_numpy(spark, buckets, final_rows):
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_exact_quantiles_match_numpy(spark, partitions):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 1, 700), np.full(200, 0.25), rng.integers(0, 5, 100)])
-    df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(4)
-    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = exact_quantiles(df, "x", probs, buckets=buckets, final_rows=final_rows)
-    assert got == pytest.approx(np.percentile(x, [p * 100 for p in probs]), abs=1e-12)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(partitions)
+    assert exact_quantiles(df, "x", PROBS) == pytest.approx(
+        np.percentile(x, [p * 100 for p in PROBS]), abs=1e-12)
 
 
 def test_exact_quantiles_edge_cases(spark):
-    one = spark.createDataFrame([(3.0,), (None,)], "x double")
+    one = spark.createDataFrame([(3.0,), (None,), (float("nan"),)], "x double")
     assert exact_quantiles(one, "x", [0.5]) == [3.0]
     empty = spark.createDataFrame([], "x double")
     assert exact_quantiles(empty, "x", [0.5]) == [None]
 
 
-def test_describe_refine_equals_percentile(spark):
+def test_wide_range_and_infinity(spark):
+    wide = [2.0 ** e for e in range(-1000, 1001)]
+    df = spark.createDataFrame([(v,) for v in wide], "x double")
+    assert exact_quantiles(df, "x", [0.0, 0.25, 0.5, 1.0]) == [wide[0], wide[500], 1.0, wide[-1]]
+    inf = spark.range(999).select(F.col("id").cast("double").alias("x")).union(
+        spark.createDataFrame([(math.inf,)], "x double"))
+    assert exact_quantiles(inf, "x", [0.5, 1.0]) == [499.5, math.inf]
+    assert exact_quantiles(spark.createDataFrame([(math.inf,), (math.inf,)], "x double"),
+                           "x", [0.5]) == [math.inf]
+
+
+def test_grouped_quantiles_with_null_groups(spark):
+    rows = [(g, float(v)) for g, n in (("a", 5), (None, 4), ("b", 1)) for v in range(n)]
+    df = spark.createDataFrame([*rows, ("c", None)], "g string, x double")
+    got = {r.g: r["quantile"] for r in quantile_table(df, ["x"], [0.5], by=["g"]).collect()}
+    assert got == {"a": 2.0, None: 1.5, "b": 0.0}
+    assert medians(df, ["x"]) == {"x": float(np.median([v for _, v in rows]))}
+
+
+def test_prefix_sums(spark):
+    df = spark.createDataFrame([(None, 3, 5), (None, 1, 2), ("k", 2, 7)], "g string, o int, n long")
+    got = {(r.g, r.o): (r.before, r.total) for r in prefix_sums(df, ["g"], "o", "n").collect()}
+    assert got == {(None, 1): (0, 7), (None, 3): (2, 7), ("k", 2): (0, 7)}
+
+
+def test_describe_matches_pandas_and_plans_no_percentile(spark):
     rng = np.random.default_rng(2)
-    df = spark.createDataFrame([(float(a), float(b)) for a, b in
-                                zip(rng.normal(5, 2, 500), rng.integers(0, 9, 500))], "a double, b double")
-    a = {r.statistic: r for r in profile.describe(df).collect()}
-    b = {r.statistic: r for r in profile.describe(df, quantiles="refine").collect()}
-    for s in a:
-        for c in ("a", "b"):
-            assert b[s][c] == pytest.approx(a[s][c], rel=1e-12, abs=1e-12)
-
-
-def test_describe_auto_refines_high_cardinality_columns(spark):
-    rng = np.random.default_rng(4)
-    df = spark.createDataFrame([(float(a), float(b)) for a, b in
-                                zip(rng.normal(0, 1, 400), rng.integers(0, 3, 400))],
-                               "a double, b double")
-    auto = {r.statistic: r for r in profile.describe(
-        df, quantiles="auto", max_distinct_for_percentile=50).collect()}  # refines "a" only
-    exact = {r.statistic: r for r in profile.describe(df, quantiles="percentile").collect()}
-    for s in exact:
-        for c in ("a", "b"):
-            assert auto[s][c] == pytest.approx(exact[s][c], rel=1e-12, abs=1e-12)
+    a, b = rng.normal(5, 2, 500), rng.integers(0, 9, 500).astype(float)
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
+    out = profile.describe(df)
+    got = {r.statistic: r for r in out.collect()}
+    for c, x in (("a", a), ("b", b)):
+        for s, p in (("25%", 25), ("50%", 50), ("75%", 75)):
+            assert got[s][c] == pytest.approx(np.percentile(x, p), rel=1e-12)
+        assert got["std"][c] == pytest.approx(x.std(ddof=1))
+    for frame in (out, profile.agg_list(df, ["median", "max"]), profile.agg_named(df, "median")):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "percentile" not in plan and "median(" not in plan
