@@ -384,7 +384,7 @@ def cross_validate(clf: Estimator, grid: list, folds: list[_Fold], label: str,
 
     tasks = [(fold, params) for params in grid for fold in folds]
     with ThreadPoolExecutor(parallelism) as pool:
-        got = list(pool.map(inheritable_thread_target(one), tasks))
+        got = list(pool.map(inheritable_thread_target(folds[0].train.sparkSession)(one), tasks))
     return [sum(got[i:i + len(folds)]) / len(folds) for i in range(0, len(got), len(folds))]
 
 

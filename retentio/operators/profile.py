@@ -309,6 +309,37 @@ def info(df: DataFrame) -> DataFrame:
     return meta.join(F.broadcast(long), "column")  # both sides: one row per column
 
 
+def bin_range(lo: float | None, hi: float | None) -> tuple[float, float]:
+    """Histogram range: (0, 1) without values, a constant widened by 0.5 per side."""
+    if lo is None or hi is None:
+        return 0.0, 1.0
+    return (float(lo) - 0.5, float(hi) + 0.5) if lo == hi else (float(lo), float(hi))
+
+
+def bin_edges(lo: float, hi: float, n: int, i: int) -> tuple[float, float]:
+    """Edges of the 0-based bin ``i`` of ``n``."""
+    step = (hi - lo) / float(n)
+    return float(i) * step + lo, hi if i + 1 >= n else float(i + 1) * step + lo
+
+
+def equal_width_bin(v: Column, lo: float, hi: float, n: int) -> Column:
+    """1-based number of the bin holding ``v`` (``[lo, hi)``, the last closed).
+
+    A floor estimate, then one flat repair against the exact edge values (the
+    estimate is off by at most one bin, in one direction).
+    """
+    low, high = F.lit(lo), F.lit(hi)
+    step = (high - low) / F.lit(float(n))
+
+    def edge(i: Column) -> Column:
+        return F.when(i >= n, high).otherwise(i.cast("double") * step + low)
+
+    k0 = F.least(F.floor((v - low) * (F.lit(float(n)) / (high - low))).cast("int"), F.lit(n - 1))
+    down = F.when(v < edge(k0), 1).otherwise(0)
+    up = F.when((v >= edge(k0 + 1)) & (k0 != n - 1), 1).otherwise(0)
+    return k0 - down + up + 1
+
+
 def histogram(df: DataFrame, col: str, bins: int = 20, hue: str | None = None,
               edges: Sequence[float] | None = None,
               value_range: tuple[float | None, float | None] | None = None) -> DataFrame:
@@ -341,29 +372,11 @@ def histogram(df: DataFrame, col: str, bins: int = 20, hue: str | None = None,
         # range is not re-evaluated by a subquery per reference
         st = (dict(zip(("mn", "mx"), value_range)) if value_range is not None
               else src.agg(F.min(v).alias("mn"), F.max(v).alias("mx")).first())
-        if st["mn"] is None:
-            lo_v, hi_v = 0.0, 1.0
-        elif st["mn"] == st["mx"]:  # numpy widens a constant range by 0.5 per side
-            lo_v, hi_v = float(st["mn"]) - 0.5, float(st["mx"]) + 0.5
-        else:
-            lo_v, hi_v = float(st["mn"]), float(st["mx"])
-        lo, hi = F.lit(lo_v), F.lit(hi_v)
-        step = (hi - lo) / F.lit(float(n))
-
-        def edge(i: Column) -> Column:
-            return F.when(i >= n, hi).otherwise(i.cast("double") * step + lo)
-
-        # floor estimate, then one flat repair against the exact edge values
-        # (the estimate is off by at most one bin, in one direction)
-        k0 = F.col("_k0")
-        dec = F.when(v < edge(k0), 1).otherwise(0)
-        inc = F.when((v >= edge(k0 + 1)) & (k0 != n - 1), 1).otherwise(0)
-        est = F.floor((v - lo) * (F.lit(float(n)) / (hi - lo))).cast("int")
-        binned = (src.withColumn("_k0", F.least(est, F.lit(n - 1)))
-                  .withColumn("bin", k0 - dec + inc + 1))
-        grid = (df.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("bin"))
-                .select("bin", edge(F.col("bin") - 1).alias("bin_lo"),
-                        edge(F.col("bin")).alias("bin_hi")))
+        lo, hi = bin_range(st["mn"], st["mx"])
+        binned = src.withColumn("bin", equal_width_bin(v, lo, hi, n))
+        grid = df.sparkSession.createDataFrame(
+            [(i + 1, *bin_edges(lo, hi, n, i)) for i in range(n)],
+            "bin int, bin_lo double, bin_hi double")
     if hue:
         # one pass: per hue value (NULL is one) the counts of its bins, as a
         # map of at most n entries; rows without a number or outside the edges

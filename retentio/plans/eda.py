@@ -2,87 +2,88 @@
 
 ``(chart, kind, category, hue, bin_lo, bin_hi, value)`` - category counts
 (optionally split by churn), equal-width histograms (20 bins, churned-only
-variants), counts of the binned columns and the correlation matrix.  The
-input is expected to sit on a written mart (or ``checkpoint=True`` writes
-it), so the ~20 aggregations read pruned columns instead of recomputing the
-mart; all histogram ranges come from one aggregate pass; each chart is one
-partially-aggregated pass and its output is bounded by categories x bins.
+variants), counts of the binned columns and the correlation matrix.
+
+Two passes over the frame: one aggregate row with every histogram's range and
+every correlation, then one long aggregate - each row becomes an array of
+(chart, category, hue, bin) entries and a single partially aggregated
+``groupBy`` counts them all.  Empty bins enter as entries of weight 0.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import profile
 from ..session import cut_lineage
 
 COUNT_CHARTS = ("city", "contract", "internet_service", "payment_method")
-BINNED_CHARTS = ("tenure_group", "churn_score_band", "customer_value")
+PLAIN_COUNT_CHARTS = ("churn_value", "tenure_group", "churn_score_band", "customer_value")
 HIST_CHARTS = ("tenure_months", "monthly_charges", "total_charges", "cltv", "churn_score")
-CHURNED_HIST_CHARTS = ("tenure_months", "monthly_charges", "total_charges", "cltv")
+CHURNED_HIST_CHARTS = ("tenure_months", "monthly_charges", "churn_score", "cltv")
 CORR_COLS = ("tenure_months", "monthly_charges", "total_charges", "cltv", "churn_score",
              "churn_value")
-
-SCHEMA_COLS = ("chart", "kind", "category", "hue", "bin_lo", "bin_hi", "value")
+BINS = 20
 
 
-def _counts(df: DataFrame, col: str, hue: str | None, chart: str) -> DataFrame:
-    c = profile.count_by(df, col, hue)
-    return c.select(F.lit(chart).alias("chart"), F.lit("count").alias("kind"), "category",
-                    "hue", F.lit(None).cast("double").alias("bin_lo"),
-                    F.lit(None).cast("double").alias("bin_hi"),
-                    F.col("count").cast("double").alias("value"))
+def _text(col: str) -> Column:
+    return F.coalesce(F.col(col).cast("string"), F.lit("nan"))
 
 
-def _hist(df: DataFrame, col: str, chart: str, value_range) -> DataFrame:
-    h = profile.histogram(df, col, 20, value_range=value_range)
-    return h.select(F.lit(chart).alias("chart"), F.lit("histogram").alias("kind"),
-                    F.col("bin").cast("string").alias("category"), "hue", "bin_lo", "bin_hi",
-                    F.col("count").cast("double").alias("value"))
+def _entry(chart: str, kind: str, category: Column, hue: Column | None = None) -> Column:
+    return F.struct(F.lit(chart).alias("chart"), F.lit(kind).alias("kind"), category.alias("category"),
+                    (hue if hue is not None else F.lit(None).cast("string")).alias("hue"))
 
 
-def _ranges(src: DataFrame) -> dict:
-    """(min, max) of every histogram column, whole and churned-only: ONE
-    aggregate pass, one bounded row."""
+def _first_pass(src: DataFrame) -> dict:
+    """Ranges of every histogram (whole and churned-only) and all correlations: one row."""
     churned = F.col("churn_value") == 1
     exprs = []
-    for c in HIST_CHARTS:
+    for c, keep, tag in [(c, F.lit(True), "") for c in HIST_CHARTS] + [
+            (c, churned, "|churned") for c in CHURNED_HIST_CHARTS]:
         v = F.col(c).cast("double")
-        v = F.when(~F.isnan(v), v)
-        exprs += [F.min(v).alias(f"mn_{c}"), F.max(v).alias(f"mx_{c}")]
-    for c in CHURNED_HIST_CHARTS:
-        v = F.col(c).cast("double")
-        v = F.when(churned & ~F.isnan(v), v)
-        exprs += [F.min(v).alias(f"cmn_{c}"), F.max(v).alias(f"cmx_{c}")]
+        v = F.when(keep & ~F.isnan(v), v)
+        exprs += [F.min(v).alias(f"mn_{c}{tag}"), F.max(v).alias(f"mx_{c}{tag}")]
+    for i, a in enumerate(CORR_COLS):
+        for b in CORR_COLS[i:]:
+            r = F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
+            exprs.append(F.round(F.when(~F.isnan(r), r), 6).alias(f"r_{a}_{b}"))
     return src.agg(*exprs).first().asDict()
 
 
 def eda_report(binned: DataFrame, checkpoint: bool = False) -> DataFrame:
-    """``checkpoint=True`` writes ``binned`` first - use it when ``binned``
-    is an expensive lineage (the registered query passes a frame built on
-    the already written mart, so each chart re-reads only its columns)."""
+    """The chart table of ``binned``; ``checkpoint=True`` writes ``binned`` first
+    (use it when it is an expensive lineage)."""
     src = cut_lineage(binned) if checkpoint else binned
-    rng = _ranges(src)
-    parts = []
+    spark = src.sparkSession
+    got = _first_pass(src)
+    entries = []
     for c in COUNT_CHARTS:
-        parts.append(_counts(src, c, None, f"count:{c}"))
-        parts.append(_counts(src, c, "churn_value", f"count:{c}|churn"))
-    for c in BINNED_CHARTS:
-        parts.append(_counts(src, c, None, f"count:{c}"))
-    for c in HIST_CHARTS:
-        parts.append(_hist(src, c, f"hist:{c}", (rng[f"mn_{c}"], rng[f"mx_{c}"])))
-    churned = src.filter(F.col("churn_value") == 1)
-    for c in CHURNED_HIST_CHARTS:
-        parts.append(_hist(churned, c, f"hist:{c}|churned",
-                           (rng[f"cmn_{c}"], rng[f"cmx_{c}"])))
-    corr = profile.corr_matrix(src, list(CORR_COLS))
-    parts.append(corr.select(F.lit("corr").alias("chart"), F.lit("corr").alias("kind"),
-                             F.col("col_a").alias("category"), F.col("col_b").alias("hue"),
-                             F.lit(None).cast("double").alias("bin_lo"),
-                             F.lit(None).cast("double").alias("bin_hi"),
-                             F.col("r").alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        entries.append(_entry(f"count:{c}", "count", _text(c)))
+        entries.append(_entry(f"count:{c}|churn", "count", _text(c), _text("churn_value")))
+    entries += [_entry(f"count:{c}", "count", _text(c)) for c in PLAIN_COUNT_CHARTS]
+    edges = []
+    for c, tag in [(c, "") for c in HIST_CHARTS] + [(c, "|churned") for c in CHURNED_HIST_CHARTS]:
+        v = F.col(c).cast("double")
+        lo, hi = profile.bin_range(got[f"mn_{c}{tag}"], got[f"mx_{c}{tag}"])
+        known = v.isNotNull() & ~F.isnan(v)
+        if tag:
+            known = known & (F.col("churn_value") == 1)
+        bin_no = profile.equal_width_bin(v, lo, hi, BINS).cast("string")
+        entries.append(F.when(known, _entry(f"hist:{c}{tag}", "histogram", bin_no)))
+        edges += [(f"hist:{c}{tag}", "histogram", str(i + 1), *profile.bin_edges(lo, hi, BINS, i))
+                  for i in range(BINS)]
+    grid = spark.createDataFrame(  # charts x bins rows
+        edges, "chart string, kind string, category string, bin_lo double, bin_hi double")
+    long = (src.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
+            .select("e.*", F.lit(1).alias("w"))
+            .union(grid.select("chart", "kind", "category", F.lit(None).cast("string"), F.lit(0))))
+    counts = long.groupBy("chart", "kind", "category", "hue").agg(F.sum("w").cast("double").alias("value"))
+    charts = counts.join(F.broadcast(grid), ["chart", "kind", "category"], "left").select(
+        "chart", "kind", "category", "hue", F.round("bin_lo", 6).alias("bin_lo"),
+        F.round("bin_hi", 6).alias("bin_hi"), "value")
+    pairs = [("corr", "corr", a, b, got.get(f"r_{a}_{b}", got.get(f"r_{b}_{a}")))
+             for a in CORR_COLS for b in CORR_COLS]
+    corr = spark.createDataFrame(pairs, "chart string, kind string, category string, hue string, value double")
+    return charts.unionByName(corr, allowMissingColumns=True)

@@ -473,6 +473,56 @@ SELECT feature, n, dof, round(statistic, 6) AS statistic,
                   THEN sqrt(statistic / (n * (least(n_rows, n_cols) - 1))) END, 6) AS cramers_v
 FROM c_per""")
 
+def _gamma_p(a: str, x: str, terms: int) -> str:
+    """Regularised lower incomplete gamma function as its power series."""
+    return (f"(CASE WHEN {x} <= 0 THEN 0.0 WHEN {x} > {terms * 0.6} THEN 1.0 ELSE "
+            f"list_sum(list_transform(range(0, {terms}), lambda k: exp(-({x}) + ({a} + k) * ln({x}) "
+            f"- lgamma({a} + k + 1)))) END)")
+
+
+def chi2_tests_sql(head: str, features, label: str, src: str, power: bool) -> str:
+    """The full tests: p by the series; the critical value by bisection and the
+    power as a Poisson mixture when ``power`` is asked."""
+    cte = f"""WITH RECURSIVE {head}
+{chi2_cte(features, label=label, src=src)},
+st AS (SELECT c_per.*, cells_lt5 / CAST(cells AS DOUBLE) <= 0.2 AS met,
+              CASE WHEN least(n_rows, n_cols) - 1 > 0 AND n > 0
+                   THEN sqrt(statistic / (n * (least(n_rows, n_cols) - 1))) END AS v FROM c_per),
+pv AS (SELECT *, CASE WHEN met AND dof > 0
+                 THEN 1.0 - {_gamma_p('dof / 2.0', '(statistic / 2.0)', 4000)} END AS p FROM st),
+j AS (SELECT *, coalesce(p <= 0.05, false) AS reject FROM pv)"""
+    verdict = ("CASE WHEN NOT met THEN 'Assumption Not Met' WHEN reject "
+               "THEN 'Reject Null Hypothesis (H0)' "
+               "ELSE 'Fail to Reject the Null Hypothesis (H0)' END AS verdict")
+    strength = ("CASE WHEN met AND reject THEN CASE WHEN v <= 0.10 THEN 'Weak Association' "
+                "WHEN v <= 0.30 THEN 'Moderate Association' WHEN v <= 0.50 "
+                "THEN 'Strong Association' ELSE 'Very Strong Association' END END AS strength")
+    base = "feature, dof, round(statistic, 6) AS statistic, round(p, 8) AS p_value"
+    if not power:
+        return f"{cte}\nSELECT {base}, {verdict}, {strength} FROM j"
+    return f"""{cte},
+crit AS (SELECT dof, 0.0::DOUBLE AS lo, (dof + 20 * sqrt(dof) + 50)::DOUBLE AS hi, 0 AS i
+         FROM (SELECT DISTINCT dof FROM j WHERE dof > 0)
+         UNION ALL
+         SELECT dof, CASE WHEN {_gamma_p('dof / 2.0', '((lo + hi) / 4.0)', 600)} < 0.95
+                          THEN (lo + hi) / 2 ELSE lo END,
+                CASE WHEN {_gamma_p('dof / 2.0', '((lo + hi) / 4.0)', 600)} < 0.95
+                     THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM crit WHERE i < 60),
+mix AS (SELECT feature, n * v * v / 2.0 AS half, (lo + hi) / 4.0 AS x, dof, unnest(range(0, 4000)) AS m
+        FROM j JOIN crit USING (dof) WHERE i = 60 AND met AND dof > 0),
+pw AS (SELECT feature, sum(exp(-half + m * ln(half) - lgamma(m + 1))
+              * (1.0 - {_gamma_p('(dof / 2.0 + m)', 'x', 200)})) AS power
+       FROM mix WHERE abs(m - half) <= 40 + 12 * sqrt(half) GROUP BY feature)
+SELECT {base}, round(v, 6) AS cramers_v, round(power, 6) AS power, {verdict}, {strength},
+       round(CASE WHEN met AND reject THEN 1 - power END, 6) AS type_ii_error
+FROM j LEFT JOIN pw USING (feature)"""
+
+
+register("chi2_tests_documents", chi2_tests_sql(DOCLAB_CTE + ",", ["lang", "source"], "quality", "doclab", False))
+register("chi2_tests", chi2_tests_sql(
+    "", ["city", "contract", "internet_service", "payment_method", "tenure_group",
+                 "churn_score_band", "customer_value"], "churn_value", "binned", True))
+
 register("contingency", f"""
 WITH {chi2_cte(["contract"])}
 SELECT value AS contract, lab AS churn_value, CAST(observed AS BIGINT) AS observed
@@ -847,8 +897,8 @@ SELECT recall, precision, accuracy, f1, CAST(NULL AS DOUBLE) AS roc_auc, 'soft_v
 
 
 def _eda_sql() -> str:
-    from .eda import (BINNED_CHARTS, CHURNED_HIST_CHARTS, CORR_COLS, COUNT_CHARTS,
-                      HIST_CHARTS)
+    from .eda import (CHURNED_HIST_CHARTS, CORR_COLS, COUNT_CHARTS, HIST_CHARTS,
+                      PLAIN_COUNT_CHARTS)
     ctes, parts = [f"churned AS (SELECT * FROM binned WHERE churn_value = 1)"], []
 
     def counts(col, hue, chart):
@@ -861,7 +911,7 @@ def _eda_sql() -> str:
     for c in COUNT_CHARTS:
         parts.append(counts(c, None, f"count:{c}"))
         parts.append(counts(c, "churn_value", f"count:{c}|churn"))
-    for c in BINNED_CHARTS:
+    for c in PLAIN_COUNT_CHARTS:
         parts.append(counts(c, None, f"count:{c}"))
     i = 0
     for src, cols, suffix in (("binned", HIST_CHARTS, ""), ("churned", CHURNED_HIST_CHARTS,
