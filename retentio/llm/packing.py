@@ -14,7 +14,9 @@
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,50 +36,82 @@ _CACHE_WORDS = 400_000
 _TAIL = ".,!?;:#$%&*|"
 
 
+class _Recent(dict):
+    """A bounded memo of ``compute`` in two generations: what is in use survives a turnover."""
+
+    def __init__(self, compute, limit: int):
+        super().__init__()
+        self.compute, self.limit, self.older = compute, limit, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def _byte_letters() -> list[str]:
+    """The letter a byte-level vocabulary writes for each byte (a rule of such tokenizers):
+    printable Latin-1 bytes are themselves, the others follow from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
 class WordEncoder:
     """Token ids (little-endian uint32 bytes) of texts, word by word with a bounded cache.
 
     Only for tokenizers whose pieces never span white space (checked by tests
     against encoding whole texts): then a text's ids are its words' ids.  A
     word's trailing punctuation is looked up apart from its letters, because
-    such a tokenizer separates letters from signs before it merges.
+    such a tokenizer separates letters from signs before it merges.  Runs of
+    Latin letters go straight to the tokenizer's merge model; that short cut is
+    tried on probe words first and left out if it does not give equal ids.
     """
 
+    PROBES = ("a", "Zebra", "naïve", "Straße", "ÉTÉ", "mañana", "Œuvre", "x" * 40, "the", "ÿŸ")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _split(self, word: bytes) -> tuple[str, str]:
+        self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.words = _Recent(self._word, _CACHE_WORDS)
+        self.parts = _Recent(self._part, _CACHE_WORDS)
+        self.short_cut = all(self._merged(p) == self._encoded(p) for p in self.PROBES)
+
+    def _encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _merged(self, letters: str) -> bytes:
+        low = letters.lower()
+        if not low.isascii():
+            low = "".join([self.letters[b] for b in low.encode()])
+        ids = array("I", [t.id for t in self.merge(low)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def _part(self, text: str) -> bytes:
+        latin = text.isalpha() and max(text) < "\u0180" and "\u0130" not in text  # U+0130 lowers to two
+        return self._merged(text) if latin and self.short_cut else self._encoded(text)
+
+    def _word(self, word: bytes) -> bytes:
         text = word.decode()
         head = text.rstrip(_TAIL)
-        if not head or head == text or not head[-1].isalpha():
-            head = text
-        return head, text[len(head):]
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.parts) > _CACHE_WORDS:
-            self.parts.clear()
-        split = {w: self._split(w) for w in words}
-        keys = {p: p.lower() if p.isascii() and "<|" not in p else p for two in split.values() for p in two if p}
-        new = [p for p in set(keys.values()) if p not in self.parts]
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.parts[p] = np.array(e.ids, dtype="<u4").tobytes()
-        for w, two in split.items():
-            self.words[w] = b"".join(self.parts[keys[p]] for p in two if p)
+        if not head or not head[-1].isalpha():
+            return self.parts[text]
+        key = head.lower() if head.isascii() and "<|" not in head else head
+        return self.parts[key] + self.parts[text[len(head):]] if len(head) < len(text) else self.parts[key]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.words) > _CACHE_WORDS:  # emptied before a group is looked up, never within
-            self.words.clear()
-        split = [t.split() for t in texts]
-        missing = set().union(*split) - self.words.keys()
-        if missing:
-            self._learn(missing)
         get = self.words.__getitem__
-        return [b"".join(map(get, w)) for w in split]
+        return [b"".join(map(get, t.split())) for t in texts]
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
