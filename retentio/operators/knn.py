@@ -7,8 +7,9 @@ whose distances are computed with numpy inside the task, and only the k
 best candidates per query leave it.  A final window per query key keeps the
 k best of the at most k x (reference blocks) candidates.
 
-Block counts come from the input sizes (``block_rows`` rows per block), so
-every group holds about ``block_rows`` rows of each side no matter how large
+Block counts come from the input sizes (``block_rows`` rows per block at most, and
+at least as many reference blocks as the cluster has task slots), so
+every group holds at most about ``block_rows`` rows of each side no matter how large
 the inputs grow, and a repeated id cannot concentrate a side in one group
 (blocks are hashes of internal row ids, not of the ids).
 
@@ -38,7 +39,9 @@ def knn_candidates(reference: DataFrame, queries: DataFrame, k: int = 3, p: int
     """``(qrow, qid, rid, dist, rlabel)``: the k nearest references of each
     query row (``qrow`` is an internal row id; query ids may repeat)."""
     nq, nr = queries.count(), reference.count()
-    a, b = _blocks(nq, block_rows), _blocks(nr, block_rows)
+    # at least one reference block per task slot, so small inputs spread too
+    slots = reference.sparkSession.sparkContext.defaultParallelism
+    a, b = _blocks(nq, block_rows), max(_blocks(nr, block_rows), min(slots, max(1, nr)))
     # _qrow: internal row id, so duplicated query ids are scored separately
     q = (queries.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qvec"))
          .withColumn("_qrow", F.monotonically_increasing_id())
