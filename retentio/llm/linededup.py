@@ -8,7 +8,8 @@ that agrees with the template in at least ``similarity`` percent of the tokens
 behind the leading ones belongs to it, any other line is a template of its
 own.
 
-A template *recurs* when it stands in at least ``min_contexts`` different
+Lines of fewer than ``MIN_TOKENS`` tokens recur by chance and take no part.  A
+template *recurs* when it stands in at least ``min_contexts`` different
 contexts (the leaves before and after it in the document) and its contexts
 number at least ``diversity`` percent of the different documents that carry
 it.  Copies of whole documents repeat a line in one and the same context and
@@ -48,12 +49,12 @@ def _leaf(tokens: Column) -> Column:
 
 
 def _parsed(rows: DataFrame) -> DataFrame:
-    """One row per line with a word: place, leaf, literal, context and document sequence (all hashes)."""
+    """One row per line of ``MIN_TOKENS`` tokens or more: place, leaf, literal, context and document sequence (all hashes)."""
     listed = rows.select("doc_id", "text_hash", F.transform(F.split("text", "\n"), _tokens).alias("lines"))
     named = listed.select("doc_id", "text_hash", F.filter(F.transform("lines", lambda t, i: F.struct(
         i.alias("at"), F.size(t).alias("n"),
         _leaf(t).alias("leaf"), F.xxhash64(t).alias("literal"))),
-        lambda x: x["n"] > 0).alias("lines"))
+        lambda x: x["n"] >= MIN_TOKENS).alias("lines"))
     placed = named.select(
         "doc_id", "text_hash", "lines", F.xxhash64(F.transform("lines", lambda x: x["leaf"])).alias("sequence"))
     around = F.transform("lines", lambda x, i: F.struct(
@@ -61,7 +62,7 @@ def _parsed(rows: DataFrame) -> DataFrame:
         F.xxhash64(F.when(i > 0, F.get("lines", i - 1)["leaf"]), F.lit(0), F.get("lines", i + 1)["leaf"])
         .alias("context")))
     return (placed.select("doc_id", "text_hash", "sequence", F.explode(around).alias("x"))
-            .select("doc_id", "text_hash", "sequence", "x.*").where(F.col("n") >= MIN_TOKENS))
+            .select("doc_id", "text_hash", "sequence", "x.*"))
 
 
 def _only_leaves(lines: DataFrame, leaves: DataFrame) -> DataFrame:

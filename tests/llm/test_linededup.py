@@ -15,7 +15,7 @@ def brute(docs):
         lines = []
         for at, line in enumerate(text.split("\n")):
             t = tuple(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[0-9]+", "<*>", line)))
-            if t:
+            if len(t) >= ld.MIN_TOKENS:
                 lines.append((at, t, (len(t), t[: ld.DEPTH])))
         seq = tuple(x[2] for x in lines)
         seen[d, text] = [(at, t, leaf, (seq[i - 1] if i else None, seq[i + 1] if i + 1 < len(seq) else None), seq)
@@ -45,7 +45,7 @@ def brute(docs):
             and 100 * len(contexts[x]) >= ld.DIVERSITY * len(carriers[x])}
     out = {}
     for (d, text), lines in seen.items():
-        gone = {at for at, t, leaf, _, _ in lines if leaf[0] >= ld.MIN_TOKENS and templates[t] in drop}
+        gone = {at for at, t, _, _, _ in lines if templates[t] in drop}
         out[d, text] = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
     return out
 
