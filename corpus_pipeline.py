@@ -32,13 +32,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without recurring lines; a document that held nothing else goes, ``n_chars`` follows the text."""
-    cleaned = linededup.dedup_lines(docs)
+    """Texts without recurring lines; one that holds nothing else stays whole, ``n_chars`` follows the text."""
+    cleaned = linededup.dedup_lines(docs, spare_emptied=True)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn(
             "n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    has_word = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return cleaned.where((F.col("n_dropped") == 0) | has_word).select(*docs.columns)
+    return cleaned.select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

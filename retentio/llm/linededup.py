@@ -117,14 +117,16 @@ def recurring_lines(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, diversity
             .groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("places")))
 
 
-def dedup_lines(docs: DataFrame, **options: int) -> DataFrame:
+def dedup_lines(docs: DataFrame, spare_emptied: bool = False, **options: int) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``; adds ``n_lines`` and ``n_dropped`` (long).
 
     NULL text stays NULL with 0 lines; an empty text is one empty line; lines
     of fewer than four tokens are never dropped (short lines recur by chance);
     repeated rows lose the same lines and count as one document; rows with a
     NULL id are treated like others; an empty table gives an empty result;
-    columns of ``docs`` named like the added ones are replaced.
+    columns of ``docs`` named like the added ones are replaced.  With
+    ``spare_emptied`` a document that would be left without a word keeps its
+    whole text (``n_dropped`` 0): it is one for document dedup to judge.
     """
     places = recurring_lines(docs, **options).select(
         F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash"), "places")
@@ -134,6 +136,8 @@ def dedup_lines(docs: DataFrame, **options: int) -> DataFrame:
     joined = base.join(places, F.col("d_id").eqNullSafe(F.col("p_id")) & (F.col("d_hash") == F.col("p_hash")), "left")
     lines = F.split("d_text", "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("places", i)), "\n")
+    if spare_emptied:
+        joined = joined.withColumn("places", F.when(left.rlike(r"[^\x20\x09-\x0D]"), F.col("places")))
     order = [F.when(F.col("places").isNull(), F.col("d_text")).otherwise(left).alias("text") if c == "text"
              else F.col(f"c_{rest.index(c)}").alias(c) for c in docs.columns if c == "text" or c in rest]
     return joined.select(

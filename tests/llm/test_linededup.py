@@ -85,6 +85,18 @@ def test_against_brute_force(spark):
     assert got.where("doc_id BETWEEN 200 AND 211 AND n_dropped > 0").count() == 0  # whole copies stay whole
 
 
+def test_documents_that_would_be_emptied_can_be_spared(spark):
+    line = "all rights are reserved here"
+    docs = [(i, f"{c} begins this little text\n{line}\n{c * 2} and then it ends") for i, c in enumerate("abcdef")]
+    docs += [(9, line), (8, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in ld.dedup_lines(df).collect()}
+    spared = {r.doc_id: r for r in ld.dedup_lines(df, spare_emptied=True).collect()}
+    assert got[9].text == "" and got[9].n_dropped == 1
+    assert spared[9].text == line and spared[9].n_dropped == 0
+    assert all(line not in spared[i].text for i in range(6)) and spared[8].text is None
+
+
 def test_empty(spark):
     assert compare(spark, []).count() == 0
 
