@@ -1,4 +1,71 @@
-"""Public licence notices, word for word."""
+"""Public licences and notices, word for word.
+
+An ``-opening`` is the beginning that stands alone in some files; where the
+whole wording follows, that is reported instead.  An opening several licences
+share names their family only.
+"""
+
+_BSD_OPENING = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+    "the following conditions are met:")
+_BSD_1_2 = (
+    " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+    "conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution.")
+
+
+def _bsd_disclaimer(by: str, liable: str) -> str:
+    return (
+        f" THIS SOFTWARE IS PROVIDED BY {by} \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN "
+        f"NO EVENT SHALL {liable} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+        "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+        "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+        "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+        "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+
+
+_HOLDERS = _bsd_disclaimer("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE COPYRIGHT HOLDER OR CONTRIBUTORS")
+_MIT_OPENING = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
+    "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+    "Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+    "conditions: The above copyright notice and this permission notice shall be included in all copies or "
+    "substantial portions of the Software.")
+_ISC_OPENING = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+    "granted, provided that the above copyright notice and this permission notice appear in all copies.")
+_APACHE_OPENING = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+    "compliance with the License. You may obtain a copy of the License at "
+    "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
+    "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY "
+    "KIND, either express or implied.")
+
+
+def _gnu(what: str, name: str, version: str, mark: str) -> str:
+    return (
+        f"This {what} is free software{mark[0]} you can redistribute it and/or modify it under the terms of the GNU "
+        f"{name} as published by the Free Software Foundation{mark[1]} either version {version} of the License, or (at "
+        "your option) any later version.")
+
+
+def _gnu_whole(what: str, name: str, version: str, mark: str) -> str:
+    return _gnu(what, name, version, mark) + (
+        f" This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        f"implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more "
+        "details.")
+
+
+_GNU = {
+    "GPL-3.0-or-later": ("program", "General Public License", "3", ":,"),
+    "GPL-2.0-or-later": ("program", "General Public License", "2", ";;"),
+    "AGPL-3.0-or-later": ("program", "Affero General Public License", "3", ":,"),
+    "LGPL-3.0-or-later": ("library", "Lesser General Public License", "3", ":,"),
+    "LGPL-2.1-or-later": ("library", "Lesser General Public License", "2.1", ";;"),
+}
 
 TEMPLATES: dict[str, str] = {
     "MIT-notice": "Released under the MIT License.",
@@ -12,39 +79,104 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    "MIT": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
-        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
-        "Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
-        "conditions: The above copyright notice and this permission notice shall be included in all copies or "
-        "substantial portions of the Software."),
-    "ISC": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-        "granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
-        "compliance with the License. You may obtain a copy of the License at "
-        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
-        "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY "
-        "KIND, either express or implied."),
-    "BSD-2-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-        "the following conditions are met:"),
-    "GPL-3.0-or-later": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version."),
-    "GPL-2.0-or-later": (
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
-        "option) any later version."),
-    "LGPL-3.0-or-later": (
-        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
-        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
-        "your option) any later version."),
+    "MIT": _MIT_OPENING + (
+        " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO "
+        "EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN "
+        "AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE "
+        "OR OTHER DEALINGS IN THE SOFTWARE."),
+    "MIT-opening": _MIT_OPENING,
+    "ISC": _ISC_OPENING + (
+        " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR "
+        "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, "
+        "DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    "ISC-opening": _ISC_OPENING,
+    "Apache-2.0": _APACHE_OPENING + (
+        " See the License for the specific language governing permissions and limitations under the License."),
+    "Apache-2.0-opening": _APACHE_OPENING,
+    "Apache-2.0-title": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    "Apache-1.1": _BSD_OPENING + _BSD_1_2 + (
+        " 3. The end-user documentation included with the redistribution, if any, must include the following "
+        "acknowledgment: \"This product includes software developed by the Apache Software Foundation "
+        "(http://www.apache.org/).\" Alternately, this acknowledgment may appear in the software itself, if and "
+        "wherever such third-party acknowledgments normally appear. 4. The names \"Apache\" and \"Apache Software "
+        "Foundation\" must not be used to endorse or promote products derived from this software without prior "
+        "written permission. For written permission, please contact apache@apache.org. 5. Products derived from this "
+        "software may not be called \"Apache\", nor may \"Apache\" appear in their name, without prior written "
+        "permission of the Apache Software Foundation.") + _bsd_disclaimer("", "THE APACHE SOFTWARE FOUNDATION OR ITS CONTRIBUTORS").replace(
+            "PROVIDED BY  \"AS IS\" AND ANY EXPRESS", "PROVIDED \"AS IS\" AND ANY EXPRESSED"),
+    "BSD-2-Clause": _BSD_OPENING + _BSD_1_2 + _HOLDERS,
+    "BSD-3-Clause": _BSD_OPENING + _BSD_1_2 + (
+        " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission.") + _HOLDERS,
+    "BSD-4-Clause": _BSD_OPENING + _BSD_1_2 + (
+        " 3. All advertising materials mentioning features or use of this software must display the following "
+        "acknowledgement: This product includes software developed by the organization. 4. Neither the name of the "
+        "copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission.") + _bsd_disclaimer(
+            "COPYRIGHT HOLDER", "COPYRIGHT HOLDER"),
+    "BSD-family-opening": _BSD_OPENING,
+    **{k: _gnu_whole(*v) for k, v in _GNU.items()},
+    **{f"{k}-opening": _gnu(*v) for k, v in _GNU.items()},
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "GPL-3.0-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "GPL-2.0-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "AGPL-3.0-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "LGPL-3.0-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2.1-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
         "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+        "2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    "EPL-1.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+        "v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    "CC0-1.0": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring "
+        "rights to this software to the public domain worldwide. This software is distributed without any warranty. "
+        "You should have received a copy of the CC0 Public Domain Dedication along with this software. If not, see "
+        "http://creativecommons.org/publicdomain/zero/1.0/."),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software "
+        "and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, "
+        "distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to "
+        "permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright "
+        "notices in the Software and this entire statement, including the above license grant, this restriction and "
+        "the following disclaimer, must be included in all copies of the Software, in whole or in part, and all "
+        "derivative works of the Software, unless such copies or derivative works are solely in the form of "
+        "machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED \"AS IS\", "
+        "WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE "
+        "COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER "
+        "IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE."),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be "
+        "held liable for any damages arising from the use of this software. Permission is granted to anyone to use "
+        "this software for any purpose, including commercial applications, and to alter it and redistribute it "
+        "freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; "
+        "you must not claim that you wrote the original software. If you use this software in a product, an "
+        "acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source "
+        "versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. "
+        "This notice may not be removed or altered from any source distribution."),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+        "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+        "for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright "
+        "laws, the author or authors of this software dedicate any and all copyright interest in the software to the "
+        "public domain. We make this dedication for the benefit of the public at large and to the detriment of our "
+        "heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all "
+        "present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT "
+        "WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, "
+        "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer "
+        "to <https://unlicense.org>"),
+    "Unlicense-opening": "This is free and unencumbered software released into the public domain.",
 }

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +26,7 @@ CUES = ("licens", "licenc", "rights reserved", "copyright", "permission is hereb
         "free software", "public domain", "creative commons", "redistribut")
 MIN_SAVED = 0.15       # of the template's own compressed size; a three-word notice in prose saves about 0.25
 MAX_DIFFERENT = 0.10   # of the template's words
+SHORT = 90             # words; longer templates look at blocks of their own, wide ones hide what a short one saves
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _CUE = re.compile("|".join(map(re.escape, CUES)))
 
@@ -38,7 +40,10 @@ class Scanner:
 
     def __init__(self, templates: dict[str, str], level: int = 9):
         self.words = {k: [w for w in map(_fold, _WORD.findall(t)) if w] for k, t in templates.items()}
-        self.longest = max(map(len, self.words.values()), default=0)
+        self.counts = {k: Counter(w) for k, w in self.words.items()}
+        short = [k for k, w in self.words.items() if len(w) <= SHORT]
+        self.classes = [(max(len(self.words[k]) for k in names), names)
+                        for names in (short, [k for k in self.words if k not in short]) if names]
         plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
         self.size = lambda text: len(plain.compress(text))
         self.own = {k: self.size(" ".join(w).encode()) for k, w in self.words.items()}
@@ -47,8 +52,8 @@ class Scanner:
                 " ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             for k, w in self.words.items()}
 
-    def blocks(self, text: str) -> Iterator[list[tuple[str, int, int]]]:
-        """Stretches of (folded word, start, end) that reach one template length around each cue."""
+    def blocks(self, text: str, reach: int) -> Iterator[list[tuple[str, int, int]]]:
+        """Stretches of (folded word, start, end) that reach ``reach`` words around each cue."""
         lower = text.lower()
         if not any(c in lower for c in CUES):
             return
@@ -63,18 +68,19 @@ class Scanner:
         for cue in _CUE.finditer(" ".join(folded)):
             while ends[at] <= cue.start():
                 at += 1
-            if first is not None and at - self.longest > last + self.longest:
-                yield words[max(0, first - self.longest): last + self.longest + 1]
+            if first is not None and at - reach > last + reach:
+                yield words[max(0, first - reach): last + reach + 1]
                 first = None
             first, last = at if first is None else first, at
         if first is not None:
-            yield words[max(0, first - self.longest): last + self.longest + 1]
+            yield words[max(0, first - reach): last + reach + 1]
 
-    def ranked(self, block: list[str]) -> list[tuple[float, str]]:
+    def ranked(self, block: list[str], names: list[str]) -> list[tuple[float, str]]:
         """(saved share, template) from the largest size reduction down."""
         data = " ".join(block).encode()
         alone = self.size(data)
-        saved = ((max(0, alone - len(c.compress(data))) / max(1, self.own[k]), k) for k, c in self.primed.items())
+        saved = ((max(0, alone - len(c.compress(data))) / max(1, self.own[k]), k)
+                 for k, c in ((k, self.primed[k]) for k in names))
         return sorted((x for x in saved if x[0] >= MIN_SAVED), key=lambda x: (-x[0], x[1]))
 
     def confirm(self, name: str, block: list[str]) -> Iterator[tuple[int, int, int, list[str]]]:
@@ -88,7 +94,18 @@ class Scanner:
                 at += 1
                 continue
             piece = block[at: at + n + allowed]
+            if (Counter(piece) & self.counts[name]).total() < n - allowed:  # no alignment matches more words
+                at += 1
+                continue
             ops = difflib.SequenceMatcher(None, want, piece, autojunk=False).get_opcodes()
+            begin = next((j1 for tag, _, _, j1, _ in ops if tag == "equal"), 0)
+            if begin:  # words before the wording are none of its own
+                piece = block[at + begin: at + begin + n + allowed]
+                again = difflib.SequenceMatcher(None, want, piece, autojunk=False).get_opcodes()
+                if sum(x[2] - x[1] for x in again if x[0] == "equal") >= n - allowed:
+                    at, ops = at + begin, again
+                else:
+                    piece = block[at: at + n + allowed]
             used = max((j2 for tag, _, _, _, j2 in ops if tag == "equal"), default=0)
             differences, matched = [], 0
             for tag, i1, i2, j1, j2 in ops:
@@ -104,20 +121,20 @@ class Scanner:
                 at += 1
 
     def scan(self, text: str | None) -> list[dict]:
-        out = []
-        for block in self.blocks(text or ""):
-            folded = [w[0] for w in block]
-            found = []
-            for rank, (saved, name) in enumerate(self.ranked(folded), 1):
-                for a, b, matched, differences in self.confirm(name, folded):
-                    found.append((matched, -len(differences), -rank, a, b, name, saved, rank, differences))
-            taken: list[tuple[int, int]] = []
-            for matched, _, _, a, b, name, saved, rank, differences in sorted(found, reverse=True, key=lambda x: x[:6]):
-                if all(b <= x or a >= y for x, y in taken):
-                    taken.append((a, b))
-                    out.append({"license_id": name, "start": block[a][1], "end": block[b - 1][2], "saved": saved,
-                                "rank": rank, "n_words": matched, "exact": not differences,
-                                "differences": differences})
+        out, found = [], []
+        for reach, names in self.classes:
+            for block in self.blocks(text or "", reach):
+                folded = [w[0] for w in block]
+                for rank, (saved, name) in enumerate(self.ranked(folded, names), 1):
+                    for a, b, matched, differences in self.confirm(name, folded):
+                        found.append((matched, -len(differences), -rank, block[a][1], block[b - 1][2], name, saved, rank,
+                                      differences))
+        taken: list[tuple[int, int]] = []
+        for matched, _, _, a, b, name, saved, rank, differences in sorted(found, reverse=True, key=lambda x: x[:6]):
+            if all(b <= x or a >= y for x, y in taken):
+                taken.append((a, b))
+                out.append({"license_id": name, "start": a, "end": b, "saved": saved, "rank": rank, "n_words": matched,
+                            "exact": not differences, "differences": differences})
         return sorted(out, key=lambda x: (x["start"], x["license_id"]))
 
 
@@ -131,7 +148,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
 
     ``start`` / ``end`` are code points, ``saved`` the share of the template's
     compressed size it saves on the block, ``rank`` its place among the
-    templates, ``differences`` the words left out (-) or put in (+).  NULL or
+    templates of its length class, ``differences`` the words left out (-) or put in (+).  NULL or
     empty texts give no rows; repeated rows give repeated rows; a NULL id stays
     NULL; an empty table or no templates give an empty result; other columns
     are ignored.  ``templates`` is a small fixed table carried to the tasks.

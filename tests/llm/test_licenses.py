@@ -61,3 +61,17 @@ def test_nulls_repeats_long_and_empty(spark):
     assert got == {None: 1, 3: 2, 5: 1}
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
     assert licenses.scan_licenses(docs, {}).count() == 0
+
+
+def test_licences_that_share_wording_get_their_own_ids():
+    names = ("MIT", "ISC", "Apache-2.0", "Apache-1.1", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause",
+             "GPL-2.0-or-later", "GPL-3.0-or-later", "AGPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later",
+             "MPL-2.0", "EPL-2.0", "CC0-1.0", "BSL-1.0", "Zlib", "GPL-3.0-title", "AGPL-3.0-title", "LGPL-2.1-title")
+    for name in names:
+        lead = "we wrote in the past and for the fun of it and in the end the whole of the work is for the reader"
+        found = SCANNER.scan(f"{lead}\n{TEMPLATES[name]}\n{lead}")
+        assert [(f["license_id"], f["exact"]) for f in found] == [(name, True)], name
+    opening = TEMPLATES["BSD-2-Clause"].split(" 1. ")[0]
+    assert [f["license_id"] for f in SCANNER.scan(opening)] == ["BSD-family-opening"]
+    lgpl = TEMPLATES["LGPL-2.1-or-later"].split(" This library is distributed")[0]
+    assert [f["license_id"] for f in SCANNER.scan(lgpl)] == ["LGPL-2.1-or-later-opening"]
