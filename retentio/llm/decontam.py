@@ -1,13 +1,18 @@
 """Benchmark decontamination with SimHash over item-sized windows (SQL functions only).
 
 A document holds a benchmark item when some window of exactly the item's
-number of words is similar to it: weighted Jaccard of 5-word shingles, a
-shingle weighing as often as it occurs, at ``threshold`` or more.
-
-1. Windows.  A window that shares no shingle with any item has similarity 0
-   and is never built: every document shingle found among the items' shingles
-   places windows of the sizes, at the offsets, at which items hold that
-   shingle.  From there on a window no longer knows any item.
+number of words (the whole text, if that is shorter) is similar to it: weighted
+Jaccard of 5-word shingles, a shingle weighing as often as it occurs, at
+``threshold`` or more.
+
+1. Windows.  Every document shingle found among the items' shingles (a hit)
+   places windows of the sizes at which items hold that shingle: at the offset
+   at which the item holds it, and beginning with the hit where enough hits
+   follow to reach the threshold.  A window that overhangs an edge is moved
+   inside.  No other window is more similar: one that does not begin with a hit
+   loses nothing by moving to the right, up to the next hit or the last window,
+   and one that does not end with a hit nothing by moving to the left.
+   From there on a window no longer knows any item.
 2. SimHash.  Each window and each item gets a 64-bit fingerprint of its words,
    summed bit by bit in 16 packed counters.
 3. Candidates.  Fingerprints are cut into ``RADIUS + 1`` blocks; two within
@@ -95,10 +100,34 @@ def _per_size(w: str, sizes: list[int], size: Column) -> Column:
     return out
 
 
+def _window_starts(n_words: Column, m: Column, threshold: int) -> Column:
+    """Starts of the windows to build in a document from ``ats`` (sorted hits) and ``starts`` (offsets of items)."""
+    last = F.greatest(n_words - m, F.lit(0))
+    per_item = m - F.least(m, F.lit(SHINGLE)) + 1
+    per_window = F.least(m, n_words) - F.least(m, F.lit(SHINGLE)) + 1
+    need = F.greatest(F.ceil((per_item + per_window) * threshold / (100 + threshold)).cast("int"), F.lit(1))
+    none = F.array().cast("array<int>")
+
+    def worth(a: Column, i: Column) -> Column:
+        # Without a hit at its end, a window loses nothing by moving left to a hit next to it.
+        enough = F.get("ats", i + need - 1) - a < per_window
+        ends = F.array_contains(F.slice(F.col("ats"), i + need, F.greatest(per_window - need + 1, F.lit(0))), a + per_window - 1)
+        return (a <= last) & enough & (ends | ~F.coalesce(F.get("ats", i - 1) == a - 1, F.lit(False)))
+
+    begun = F.transform(F.filter(F.transform("ats", lambda a, i: F.struct(a.alias("a"), worth(a, i).alias("worth"))),
+                                 lambda x: x["worth"]), lambda x: x["a"])
+    ends = F.get("ats", F.size("ats") - 1) == last + per_window - 1
+    at_end = F.when((F.get("ats", F.size("ats") - need) >= last) & (ends | ~F.array_contains("ats", last - 1)),
+                    F.array(last)).otherwise(none)
+    return F.array_distinct(F.concat(F.transform("starts", lambda s: F.greatest(F.least(s, last), F.lit(0))),
+                                     begun, at_end))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: int = 75) -> DataFrame:
     """One row per (document, item) held: ``doc_id, item_id, start_word, n_words, similarity``.
 
-    The best window is reported (highest similarity, then the first).  NULL or
+    The best window is reported (highest similarity, then the first); a text
+    shorter than an item is one window, ``n_words`` its length.  NULL or
     empty documents and items hold and are nothing; items of fewer than five
     words are one shingle of all their words; repeated rows give one row per
     (doc_id, item_id); rows with a NULL id are judged and reported with a NULL
@@ -120,18 +149,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: int = 75) -> Da
     listed = rows.select("doc_id", "text_hash", words(F.col("text")).alias("w"))
     found = None
     for n in sizes:
-        here = listed.select("doc_id", "text_hash", F.posexplode(_shingles(F.col("w"), n)).alias("at", "shingle"))
+        here = listed.select(
+            "doc_id", "text_hash", F.size("w").alias("n_words"), F.posexplode(_shingles(F.col("w"), n)).alias("at", "shingle"))
         of_size = anchors.where(F.least("m", F.lit(SHINGLE)) == n)
         hits = here.join(F.broadcast(of_size) if small else of_size, "shingle").select(
-            "doc_id", "text_hash", (F.col("at") - F.col("q")).alias("start"), "m")
+            "doc_id", "text_hash", "n_words", "m", "at", (F.col("at") - F.col("q")).alias("start"))
         found = hits if found is None else found.union(hits)
     if found is None:  # no item, nothing to find
         ids = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
         return docs.sparkSession.createDataFrame([], "doc_id {}, item_id {}, start_word int, n_words int, "
                                                      "similarity double".format(*ids))
     places = cut_lineage(
-        found.where("start >= 0").groupBy("doc_id", "text_hash")
-        .agg(F.collect_set(F.struct("start", "m")).alias("places")))
+        found.groupBy("doc_id", "text_hash", "n_words", "m")
+        .agg(F.sort_array(F.collect_set("at")).alias("ats"), F.collect_set("start").alias("starts"))
+        .select("doc_id", "text_hash", "m", F.explode(
+            _window_starts(F.col("n_words"), F.col("m"), threshold)).alias("start"))
+        .groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "m")).alias("places")))
 
     p = places.select(F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash"), "places")
     held = (
@@ -140,13 +173,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: int = 75) -> Da
         .select("doc_id", F.explode(F.transform("places", lambda x: F.struct(
             x["start"].alias("start"), x["m"].alias("m"),
             F.slice(F.col("w"), x["start"] + 1, x["m"]).alias("w")))).alias("x"))
-        .select("doc_id", "x.*").where(F.size("w") == F.col("m")))
+        .select("doc_id", "x.*"))
     windows = cut_lineage(
         held.withColumn("hashes", F.transform("w", lambda x: F.xxhash64(x)))
-        .select("doc_id", "start", "m", "w", simhash(F.col("hashes")).alias("fingerprint")))
+        .select("doc_id", "start", "m", F.size("w").alias("n"), _per_size("w", sizes, F.col("m")).alias("own_shingles"),
+                simhash(F.col("hashes")).alias("fingerprint")))
 
     keyed = windows.withColumn("b", F.explode(_blocks(F.col("fingerprint")))).select(
-        "doc_id", "start", "m", "w", "fingerprint", "b.block", "b.value")
+        "doc_id", "start", "m", "n", "own_shingles", "fingerprint", "b.block", "b.value")
     item_keys = items.withColumn("b", F.explode(_blocks(F.col("fingerprint")))).select(
         "item_id", "m", F.col("shingles").alias("item_shingles"), F.col("fingerprint").alias("item_fingerprint"),
         "b.block", "b.value")
@@ -157,7 +191,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: int = 75) -> Da
     near = (
         keyed.join(item_keys, ["m", "block", "value"])
         .where((apart <= RADIUS) & (F.col("block") == first_block))  # each pair once
-        .withColumn("own_shingles", _per_size("w", sizes, F.col("m")))
         .withColumn("own", _numbered(F.col("own_shingles")))
         .withColumn("theirs", _numbered(F.col("item_shingles"))))
     both = F.size(F.array_intersect("own", "theirs"))
@@ -167,7 +200,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: int = 75) -> Da
     return (
         hit.groupBy("doc_id", "item_id")
         .agg(F.max(F.struct((F.col("both") / F.col("either")).alias("similarity"), (-F.col("start")).alias("first"),
-                            F.col("m").alias("m"))).alias("best"))
-        .select("doc_id", "item_id", (-F.col("best.first")).alias("start_word"), F.col("best.m").alias("n_words"),
+                            F.col("n").alias("n"))).alias("best"))
+        .select("doc_id", "item_id", (-F.col("best.first")).alias("start_word"), F.col("best.n").alias("n_words"),
                 F.col("best.similarity").alias("similarity")))
 

@@ -114,3 +114,16 @@ def test_query_finds_planted_items(spark):
         close = set().union(*(grams.get(s, set()) for s in shingles(split(t)))) if t else set()
         cand |= {(x[0], x[1]) for x in brute([(d, t)], [(i, by_id[i]) for i in close])} if len(t) < 20000 else set()
     assert cand and cand <= got
+
+
+def test_windows_at_the_edges_and_in_short_documents(spark):
+    item = [f"i{k}" for k in range(50)]
+    prose = [f"p{k}" for k in range(120)]
+    docs = {1: prose + item[:45], 2: item[5:] + prose, 3: item[:-1], 4: item[2:-1], 5: prose + item,
+            6: prose + item[25:] + item[:25] + prose, 7: item[25:] + item[:25], 8: prose + item[:40], 9: item[:30]}
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: (r.start_word, r.n_words, round(r.similarity, 3)) for r in decontam.find_leaks(d, b).collect()}
+    assert got == {1: (115, 50, round(41 / 51, 3)), 2: (0, 50, round(41 / 51, 3)), 3: (0, 49, round(45 / 46, 3)),
+                   4: (0, 47, round(43 / 46, 3)), 5: (120, 50, 1.0), 6: (120, 50, round(42 / 50, 3)),
+                   7: (0, 50, round(42 / 50, 3))}
