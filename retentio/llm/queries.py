@@ -14,6 +14,7 @@ from retentio.llm import (
     linededup,
     neardup,
     packing,
+    periodic,
     pii,
     quality,
     quality_rules,
@@ -31,6 +32,9 @@ URL_RULES = (
 )
 
 
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+
 def _url_rules(spark: SparkSession) -> DataFrame:
     rows = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
     return spark.sql(f"SELECT * FROM VALUES {rows} AS rules(host, path, verdict)")
@@ -114,6 +118,31 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=["doc_id", "held_out"])
 
 
+def _with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """Every tenth document (by crc32 of its id) with its words from a chosen place on replaced by a repeated block."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    listed = docs.select("doc_id", "text", h.alias("h"), F.when(
+        h % 10 == 0, F.regexp_extract_all("text", F.lit(_WORDS), F.lit(0))).alias("w"))
+    placed = (listed.withColumn("n", F.size("w")).withColumn("g", F.floor(F.col("h") / 10))
+              .withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+              .withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)")))
+    tail = F.flatten(F.array_repeat(F.expr("slice(w, int(a + 1), int(p))"), F.expr("int((n - a) div p + 1)")))
+    words = F.slice(F.concat(F.expr("slice(w, 1, int(a))"), tail), F.lit(1), F.col("n"))
+    return placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document: their number, the strongest, and digests of all runs and of the collapsed text."""
+    found = periodic.find_runs(_with_periodic_tails(read_table(spark, sf_dir, "documents", "doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(
+        ",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    best = found.withColumn("best", periodic.strongest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -125,12 +154,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
-_WORDS = r"[^\x20\x09-\x0D]+"
-
 SQL: dict[str, str] = {
     "op2_minhash_near_dedup": f"""
         WITH RECURSIVE toks AS (
