@@ -18,6 +18,8 @@ from retentio.llm import (
     pii,
     quality,
     quality_rules,
+    ranked,
+    toxicity,
     urls,
 )
 from retentio.sources.tables import read_table
@@ -118,6 +120,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=["doc_id", "held_out"])
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every benchmark item."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return ranked.search(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"), k=20)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; learned from labels that are not held out."""
+    docs = (read_table(spark, sf_dir, "documents", "doc_id", "text")
+            .withColumn("held_out", langid.held_out(F.col("doc_id"), 4, 2)))
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "toxic")
+    model = toxicity.train(docs, labels.where(~langid.held_out(F.col("doc_id"), 4, 2)))
+    scored = toxicity.detect(docs, model, keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def _with_periodic_tails(docs: DataFrame) -> DataFrame:
     """Every tenth document (by crc32 of its id) with its words from a chosen place on replaced by a repeated block."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -154,11 +172,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_toxicity": op12_toxicity,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
 SQL: dict[str, str] = {
     "op2_minhash_near_dedup": f"""
         WITH RECURSIVE toks AS (
@@ -203,4 +226,32 @@ SQL: dict[str, str] = {
             ON (p.host = r_host OR ends_with(p.host, '.' || r_host)) AND starts_with(p.path, r_path))
         SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.r_verdict, 'allow') AS verdict
         FROM parts p LEFT JOIN fit f ON f.rid = p.rid AND f.rn = 1""",
+    "op11_ranked_search": f"""
+        WITH listed AS (
+          SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+        totals AS (
+          SELECT count(*) FILTER (WHERE len(w) > 0) AS docs, coalesce(sum(len(w)), 0)::BIGINT AS terms FROM listed),
+        asked AS (
+          SELECT i, item_id, t, count(*) AS times
+          FROM (SELECT i, item_id, unnest(w) AS t
+                FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS w FROM benchmark))
+          GROUP BY i, item_id, t),
+        found AS (
+          SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM listed)
+          WHERE t IN (SELECT t FROM asked) GROUP BY r, t),
+        weights AS (
+          SELECT t, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+          FROM found, totals GROUP BY t, docs),
+        lengths AS (
+          SELECT r, doc_id, 100 - 25 + ((25 * len(w) * docs) // terms) AS m FROM listed, totals WHERE len(w) > 0),
+        scored AS (
+          SELECT a.i, a.item_id, l.doc_id, l.r,
+                 sum(a.times * x.w * ((1000000000 * f.tf) // (1000 * f.tf + 12 * l.m)))::BIGINT AS score
+          FROM asked a JOIN found f ON f.t = a.t JOIN weights x ON x.t = a.t JOIN lengths l ON l.r = f.r
+          GROUP BY a.i, a.item_id, l.doc_id, l.r),
+        ranked AS (
+          SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank,
+                 doc_id, score
+          FROM scored WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20""",
 }
