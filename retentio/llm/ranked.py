@@ -38,13 +38,22 @@ _OTHER[ord("0"): ord("9") + 1] = _OTHER[ord("A"): ord("Z") + 1] = _OTHER[ord("a"
 _OTHER[0x80:] = False
 
 
-def term_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all terms (ASCII letters, digits and everything beyond ASCII, A-Z lower-cased), first of each text."""
+def term_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased (A-Z) bytes of a group of texts, start and end of each term, first term of each text.
+
+    Terms are runs of ASCII letters, digits and everything beyond ASCII.
+    """
     buf = np.frombuffer((b"\n".join(texts) + b"\n").lower(), dtype=np.uint8)
     edge = np.flatnonzero(np.diff(_OTHER[buf].view(np.int8), prepend=np.int8(1)))
     starts, ends = edge[0::2], edge[1::2]
     offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return tf.span_hashes(buf, starts, ends).view(np.int64), np.searchsorted(starts, offsets)
+    return buf, starts, ends, np.searchsorted(starts, offsets)
+
+
+def term_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all terms, first of each text."""
+    buf, starts, ends, first = term_spans(texts)
+    return tf.span_hashes(buf, starts, ends).view(np.int64), first
 
 
 def _counted(vocabulary: np.ndarray | None):
