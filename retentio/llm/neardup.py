@@ -9,9 +9,14 @@
    band bucket, every class is first compared with one *centre*: among the
    centres of its buckets the one that meets most other classes.  Confirmed
    links are closed to components.
-4. The exact rest: only buckets that still hold several components compare
-   classes across components.
-5. Both rounds estimate the similarity from the packed bits (bit counts,
+4. While buckets hold more pairs across components than a small multiple of
+   their rows, and the last round made fewer, another round compares the classes
+   outside a bucket's largest component with a member of it, drawn anew in every
+   bucket, and closes the links again.  A round is linear in the rows of buckets.
+5. The exact rest: in buckets that still hold several components, classes
+   outside the largest one meet all classes of other components.  A pair is
+   looked at in the first band it shares only, and sizes too far apart are left.
+6. All rounds estimate the similarity from the packed bits (bit counts,
    corrected for chance agreement) before the full sets are fetched, and a
    link counts only when the full sets reach the threshold.
 """
@@ -36,6 +41,7 @@ ROWS_PER_BAND = 4   # a pair at similarity 0.75 shares none of 32 bands with pro
 BITS = 4
 LONGS = N_MINIMA * BITS // 64
 MARGIN = 0.08       # four standard errors
+ENOUGH = 4          # pairs across components per row of open buckets that the exact rest may start with
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 32, N_MINIMA, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -162,7 +168,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     # one signature row per class
     chosen = classes.select("digest", "sample.doc_id", "sample.text_hash")
     reps = cut_lineage(
-        signed.where("digest IS NOT NULL").select("digest", "bands", "bits").dropDuplicates(["digest"]))
+        signed.where("digest IS NOT NULL").select("digest", F.col("n_shingles").alias("n"), "bands", "bits")
+        .dropDuplicates(["digest"]))
 
     probes = reps.select("digest", F.explode("bands").alias("band"))
     shared = probes.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
@@ -184,19 +191,20 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     links = cut_lineage(_verified(_estimated(star, bits, threshold), sets, threshold))
     labels = connected_components(links)
 
-    # the rest: buckets whose members are not one component yet
-    named = (members.select("band", "digest")
-             .join(labels.select(F.col("node").alias("digest"), "root"), "digest", "left")
-             .withColumn("root", F.coalesce("root", "digest")))
-    open_bands = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    rest = cut_lineage(named.join(open_bands.select("band"), "band").join(bits, "digest"))
-    a = rest.select("band", F.col("digest").alias("u"), F.col("root").alias("root_u"), F.col("bits").alias("bits_u"))
-    b = rest.select("band", F.col("digest").alias("v"), F.col("root").alias("root_v"), F.col("bits").alias("bits_v"))
-    across = (a.join(b, (a.band == b.band) & (F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v"))
-                     & (estimate("bits_u", "bits_v") >= threshold / 100 - MARGIN))
-              .select("u", "v").distinct())
-    more = _verified(across, sets, threshold)
-    final = connected_components(links.union(more))
+    before, turn = None, 0
+    while True:
+        named = _named(members, labels)
+        open_bands = cut_lineage(_open(named))
+        across, held = open_bands.agg(F.sum("across"), F.sum("held")).first()
+        if not across or across <= ENOUGH * held or (before is not None and 8 * across > 7 * before):
+            break
+        before, turn = across, turn + 1
+        labels = cut_lineage(_joined(labels, _verified(
+            _estimated(_drawn(named, open_bands, turn), bits, threshold), sets, threshold)))
+    if across:
+        more = _verified(_rest(named, open_bands, reps, threshold), sets, threshold)
+        labels = _joined(labels, more)
+    final = labels
 
     named_classes = classes.join(final.withColumnRenamed("node", "digest"), "digest", "left").select(
         "digest", "first_id", F.coalesce("root", "digest").alias("root"))
@@ -210,6 +218,60 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     )
 
 
+def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, digest, root) of every class in a bucket; a class without a link is its own root."""
+    return (members.select("band", "digest")
+            .join(labels.select(F.col("node").alias("digest"), "root"), "digest", "left")
+            .withColumn("root", F.coalesce("root", "digest")))
+
+
+def _open(named: DataFrame) -> DataFrame:
+    """Buckets of several components: rows, pairs across components and the largest component."""
+    parts = named.groupBy("band", "root").agg(F.count("*").alias("n"))
+    return (parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("held"),
+                                      F.sum(F.col("n") * F.col("n")).alias("squares"), F.max(F.struct("n", "root")).alias("m"))
+            .where("parts > 1")
+            .select("band", "held", F.expr("(held * held - squares) div 2").alias("across"), F.col("m.root").alias("main")))
+
+
+def _drawn(named: DataFrame, open_bands: DataFrame, turn: int) -> DataFrame:
+    """(u, v): every class outside its bucket's largest component with one member of that, drawn by the turn."""
+    inside = named.join(open_bands.select("band", "main"), "band")
+    drawn = (inside.where("root = main").groupBy("band")
+             .agg(F.min(F.struct(F.xxhash64("digest", "band", F.lit(turn)).alias("h"), "digest")).alias("c")))
+    return (inside.where("root <> main").join(drawn, "band")
+            .select(F.col("digest").alias("u"), F.col("c.digest").alias("v")).distinct())
+
+
+def _rest(named: DataFrame, open_bands: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
+    """(u, v): all pairs of a bucket from different components that the packed estimate lets through, once each."""
+    held = cut_lineage(named.join(open_bands.select("band", "main"), "band").join(reps, "digest"))
+    a = held.where("root <> main").select("band", *(F.col(c).alias(f"{c}_u") for c in ("digest", "root", "n", "bands", "bits")))
+    b = held.select(F.col("band").alias("band_v"), "main", *(F.col(c).alias(f"{c}_v") for c in ("digest", "root", "n", "bands", "bits")))
+    at = F.array_position("bands_u", F.col("band")).cast("int")
+    first = ~F.arrays_overlap(F.slice("bands_u", F.lit(1), at - 1), F.slice("bands_v", F.lit(1), at - 1))
+    near = (100 * F.least("n_u", "n_v") >= threshold * F.greatest("n_u", "n_v")) & (
+        estimate("bits_u", "bits_v") >= threshold / 100 - MARGIN)
+    # two classes outside the largest component meet twice; the smaller digest leads
+    once = (F.col("root_v") == F.col("main")) | (F.col("digest_u") < F.col("digest_v"))
+    pairs = a.join(b, (F.col("band") == F.col("band_v")) & (F.col("root_u") != F.col("root_v")) & once & near & first)
+    return pairs.select(F.col("digest_u").alias("u"), F.col("digest_v").alias("v"))
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, root) after further links (u, v) between their components."""
+    def root(end: str) -> DataFrame:
+        return labels.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+
+    edges = (links.join(root("u"), "u", "left").join(root("v"), "v", "left")
+             .select("u", "v", F.coalesce("root_u", "u").alias("root_u"), F.coalesce("root_v", "v").alias("root_v")))
+    edges = cut_lineage(edges)
+    over = connected_components(edges.select(F.col("root_u").alias("u"), F.col("root_v").alias("v")))
+    nodes = (labels.union(edges.select("u", "root_u")).union(edges.select("v", "root_v"))).distinct()
+    return (nodes.join(over.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+            .select("node", F.coalesce("top", "root").alias("root")))
+
+
 def _estimated(pairs: DataFrame, bits: DataFrame, threshold: int) -> DataFrame:
     both = (pairs.join(bits.select(F.col("digest").alias("u"), F.col("bits").alias("bits_u")), "u")
             .join(bits.select(F.col("digest").alias("v"), F.col("bits").alias("bits_v")), "v"))

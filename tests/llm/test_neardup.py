@@ -83,3 +83,32 @@ def test_components_chain_and_hub(spark):
     assert all(got[f"{i:03}"] == "000" for i in range(41))
     assert all(got[f"{i}"] == "900" for i in range(900, 960))
     assert got["b"] == got["a"] == "a" and "c" not in got and "d" not in got
+
+
+def test_large_group_of_near_copies_is_compared_in_linear_work(spark, monkeypatch):
+    from retentio.llm import neardup
+
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    docs = []
+    for i in range(500):  # pairwise similarity 0.5 to 0.95, about half of the pairs linked
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4])):
+            w[rng.randrange(len(w))] = f"x{rng.random()}"
+        docs.append((i, " ".join(w)))
+    compared = []
+
+    def counting(pairs, sets, threshold, inner=neardup._verified):
+        pairs = neardup.cut_lineage(pairs)
+        compared.append(pairs.count())
+        return inner(pairs, sets, threshold)
+
+    monkeypatch.setattr(neardup, "_verified", counting)
+    assert run(spark, docs) == brute(docs)
+    assert len(compared) >= 2 and sum(compared) < 20 * len(docs), compared
+
+
+def test_components_of_long_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5), (None, 7), (2000, 2001), (2001, 2000)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(200)}, 2000: 2000, 2001: 2000}
