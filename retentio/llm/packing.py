@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import sys
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -62,13 +63,23 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+def _stays_letter(c: str) -> bool:
+    """Whether a character is one letter before and after normalisation and lower-casing."""
+    if c.isascii():
+        return c.isalpha()
+    low = unicodedata.normalize("NFC", unicodedata.normalize("NFC", c).lower())
+    return c.isalpha() and len(low) == 1 and low.isalpha()
+
+
 class WordEncoder:
     """Token ids (little-endian uint32 bytes) of texts, word by word with a bounded cache.
 
     Only for tokenizers whose pieces never span white space (checked by tests
     against encoding whole texts): then a text's ids are its words' ids.  A
     word's trailing punctuation is looked up apart from its letters, because
-    such a tokenizer separates letters from signs before it merges.  Runs of
+    such a tokenizer separates letters from signs before it merges; not after a
+    letter that normalisation turns into several signs (a letter and a mark),
+    since such a mark joins the punctuation.  Runs of
     Latin letters go straight to the tokenizer's merge model; that short cut is
     tried on probe words first and left out if it does not give equal ids.
     """
@@ -104,7 +115,7 @@ class WordEncoder:
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
         head = text.rstrip(_TAIL)
-        if not head or not head[-1].isalpha():
+        if not head or not _stays_letter(head[-1]):
             return self.parts[text]
         key = head.lower() if head.isascii() and "<|" not in head else head
         return self.parts[key] + self.parts[text[len(head):]] if len(head) < len(text) else self.parts[key]

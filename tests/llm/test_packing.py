@@ -45,6 +45,19 @@ def test_cached_words_encode_like_whole_texts():
             assert np.frombuffer(g, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_every_letter_before_every_tail_sign():
+    whole, enc = Tokenizer.from_file(PATH), packing.WordEncoder(PATH)
+    letters = [c for c in map(chr, range(0x30000)) if c.isalpha() and not "\ud800" <= c <= "\udfff"]
+    for at in range(0, len(letters), 500):
+        for form in ("{}{}", "a{}{}b{}"):
+            words = [form.format(c, t, c) for c in letters[at: at + 500] for t in packing._TAIL]
+            got = np.frombuffer(enc.encode([" ".join(words).encode()])[0], "<u4").tolist()
+            if got != whole.encode(" ".join(words), add_special_tokens=False).ids:
+                wrong = [w for w in words if np.frombuffer(enc.encode([w.encode()])[0], "<u4").tolist()
+                         != whole.encode(w, add_special_tokens=False).ids]
+                raise AssertionError(wrong[:20])
+
+
 def test_cache_may_be_emptied_between_groups(monkeypatch):
     monkeypatch.setattr(packing, "_CACHE_WORDS", 3)
     whole, enc = Tokenizer.from_file(PATH), packing.WordEncoder(PATH)
