@@ -29,8 +29,7 @@ from dataclasses import dataclass, field
 from pyspark import inheritable_thread_target, keyword_only
 from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (LogisticRegression, NaiveBayes,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -43,7 +42,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import md5_unit
 from ..session import cut_lineage
-from . import decision, ensemble
+from . import decision, ensemble, forest
+from .bayes import GaussianBayes
 from .clean import require_columns
 
 NUMERIC = ("int", "bigint", "double", "float", "smallint", "tinyint")
@@ -270,7 +270,7 @@ def classifiers(label: str = "label", seed: int = 123) -> dict[str, object]:
         "LogisticRegression": LogisticRegression(standardization=False, maxIter=100,
                                                  tol=1e-4, **common),
         "RandomForest": RandomForestClassifier(seed=seed, **common),
-        "GaussianNB": NaiveBayes(modelType="gaussian", **common),
+        "GaussianNB": GaussianBayes(**common),
     }
 
 
@@ -291,7 +291,7 @@ def param_grids(pipelines: Mapping[str, Pipeline], n_train: int, full: bool = Tr
     random forest: n_estimators -> numTrees, max_depth -> maxDepth,
     min_samples_leaf -> minInstancesPerNode, max_features sqrt/log2/None ->
     featureSubsetStrategy sqrt/log2/all, class_weight -> weightCol (288);
-    Gaussian NB: Spark has no variance-smoothing parameter: one candidate.
+    Gaussian NB: var_smoothing -> varSmoothing (4).
     ``full=False`` keeps a small sub-grid for tests.
     """
     grids = {}
@@ -310,6 +310,8 @@ def param_grids(pipelines: Mapping[str, Pipeline], n_train: int, full: bool = Tr
                  .addGrid(clf.featureSubsetStrategy, ["sqrt", "log2", "all"] if full
                           else ["sqrt"])
                  .addGrid(clf.weightCol, list(weight_cols)))
+        elif isinstance(clf, GaussianBayes):
+            b = b.addGrid(clf.varSmoothing, [1e-9, 1e-7, 1e-5, 1e-3] if full else [1e-9])
         grids[name] = b.build()
     return grids
 
@@ -358,6 +360,11 @@ def default_parallelism(df: DataFrame) -> int:
 class _Fold:
     train: DataFrame
     check: DataFrame
+    share: float  # of all rows that the fold's training part has
+
+    def params(self, params: dict) -> dict:
+        """A candidate's parameters for this fold: regParam is 1 / (C rows), so fewer rows need more of it."""
+        return {p: v / self.share if p.name == "regParam" else v for p, v in params.items()}
 
 
 def encoded_folds(pipeline: Pipeline, train: DataFrame, label: str, key: str = "customer_id",
@@ -369,18 +376,33 @@ def encoded_folds(pipeline: Pipeline, train: DataFrame, label: str, key: str = "
     for f in range(folds):
         model = pre.fit(train.where(F.col("fold") != f))
         coded = cut_lineage(model.transform(train).select(*keep, "fold", "features"))
-        out.append(_Fold(coded.where(F.col("fold") != f), coded.where(F.col("fold") == f)))
+        n, rows = coded.agg(F.count_if(F.col("fold") != f), F.count("*")).first()
+        out.append(_Fold(coded.where(F.col("fold") != f), coded.where(F.col("fold") == f), max(1, n) / max(1, rows)))
     return out
 
 
 def cross_validate(clf: Estimator, grid: list, folds: list[_Fold], label: str,
                    parallelism: int) -> list[float]:
-    """Mean recall of class 1 per candidate; fits of all folds run side by side."""
+    """Mean recall of class 1 per candidate; fits of all folds run side by side.
+
+    Candidates that one fit can judge share it: forests by :func:`forest.nested_cv`,
+    Gaussian Bayes models by their class moments.
+    """
+    if isinstance(clf, RandomForestClassifier):
+        return forest.nested_cv(clf, grid, folds, label, parallelism)
     evaluator = recall_evaluator(label)
+    if isinstance(clf, GaussianBayes):
+        def all_smoothings(fold: _Fold) -> list[float]:
+            moments = clf.moments(fold.train)
+            return [evaluator.evaluate(clf.smoothed(moments, params.get(clf.varSmoothing, clf.getOrDefault(clf.varSmoothing)))
+                                       .transform(fold.check)) for params in grid]
+        with ThreadPoolExecutor(parallelism) as pool:
+            got = list(pool.map(inheritable_thread_target(folds[0].train.sparkSession)(all_smoothings), folds))
+        return [sum(scores) / len(folds) for scores in zip(*got)]
 
     def one(task: tuple[_Fold, dict]) -> float:
         fold, params = task
-        return evaluator.evaluate(clf.fit(fold.train, params).transform(fold.check))
+        return evaluator.evaluate(clf.fit(fold.train, fold.params(params)).transform(fold.check))
 
     tasks = [(fold, params) for params in grid for fold in folds]
     with ThreadPoolExecutor(parallelism) as pool:
@@ -390,7 +412,7 @@ def cross_validate(clf: Estimator, grid: list, folds: list[_Fold], label: str,
 
 def out_of_fold(clf: Estimator, params: dict, folds: list[_Fold], label: str, key: str) -> DataFrame:
     """``(key, label, proba)``: every row judged by a model that has not seen its fold."""
-    parts = [with_probability(clf.fit(f.train, params).transform(f.check)).select(
+    parts = [with_probability(clf.fit(f.train, f.params(params)).transform(f.check)).select(
         key, F.col(label).cast("int").alias("label"), "proba") for f in folds]
     return cut_lineage(functools.reduce(DataFrame.unionByName, parts))
 

@@ -5,7 +5,7 @@ B. ``train_deploy_job`` clean -> bin -> split/folds -> compare models -> refit
                         best on all rows -> save
 C. ``threshold_score_assign_job``  profit-optimal threshold on the best
                         model's test predictions -> score -> A/B/C groups
-D. ``score_explain_job`` score with a given threshold -> sampled Shapley
+D. ``score_explain_job`` score with a given threshold -> Shapley
                         contributions (local top-10 and global top-10)
 
 Only bounded results reach the driver (one best threshold, one row per
@@ -15,6 +15,7 @@ model); all per-customer work stays in Spark.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -59,24 +60,52 @@ class TrainResult:
     roles: ml.FeatureRoles
 
 
+MARKER = "version string, saved_at timestamp"
+
+
 def _load_bundle(spark: SparkSession, path: str) -> TrainResult | None:
-    """Saved results + model, or None when nothing (or not everything) was saved:
-    the roles are written last.  Errors other than a missing path are raised."""
+    """The bundle that the newest marker names, or None when none was ever completed.
+
+    Errors other than a missing path are raised.
+    """
     try:
-        spark.read.text(f"{path}/roles")
+        marker = (spark.read.schema(MARKER).json(f"{path}/markers")
+                  .orderBy(F.desc("saved_at"), F.desc("version")).first())  # one row per training
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    metrics = spark.read.parquet(f"{path}/metrics")
-    preds = spark.read.parquet(f"{path}/predictions")
+    if marker is None:
+        return None
+    at = f"{path}/versions/{marker['version']}"
+    metrics = spark.read.parquet(f"{at}/metrics")
     best = metrics.filter(F.col("rank") == 1).select("model").first()[0]  # one row
-    model = (ml.VotingModel.load(spark, f"{path}/model") if best == ml.VOTING
-             else PipelineModel.load(f"{path}/model"))
-    roles_row = spark.read.json(f"{path}/roles").first()
-    roles = ml.FeatureRoles(list(roles_row["one_hot"]), list(roles_row["scale"]),
-                            list(roles_row["passthrough"]))
-    return TrainResult(metrics, preds, best, model, roles)
+    model = (ml.VotingModel.load(spark, f"{at}/model") if best == ml.VOTING
+             else PipelineModel.load(f"{at}/model"))
+    roles_row = spark.read.json(f"{at}/roles").first()
+    roles = ml.FeatureRoles(*(list(roles_row[c] or []) for c in ("one_hot", "scale", "passthrough")))
+    return TrainResult(metrics, spark.read.parquet(f"{at}/predictions"), best, model, roles)
+
+
+def _save_bundle(spark: SparkSession, path: str, result: TrainResult) -> None:
+    """Write everything into a folder of its own, then one small marker that names it.
+
+    Readers only follow markers: whatever stops a save leaves the bundle before
+    it in force, and a load during a save gets one bundle or the other, whole.
+    """
+    version = uuid.uuid4().hex
+    at = f"{path}/versions/{version}"
+    if isinstance(result.model, ml.VotingModel):
+        result.model.save(spark, f"{at}/model")
+    else:
+        result.model.write().save(f"{at}/model")
+    result.metrics.write.parquet(f"{at}/metrics")
+    result.predictions.write.parquet(f"{at}/predictions")
+    r = result.roles
+    spark.createDataFrame([(r.one_hot, r.scale, r.passthrough)],
+                          "one_hot array<string>, scale array<string>, passthrough array<string>").write.json(f"{at}/roles")
+    (spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("saved_at"))
+     .coalesce(1).write.mode("append").json(f"{path}/markers"))
 
 
 def path_tag(path: str) -> str:
@@ -119,18 +148,10 @@ def train_deploy_job(spark: SparkSession, sf_dir: str, path: str | None = None,
         vote = tuned[best_name].model
         model = ml.VotingModel({n: _refit(n, tuned[n].model, roles, weighted, share)
                                 for n in vote.models}, vote.weights)
-        model.save(spark, f"{path}/model")
     else:
         model = _refit(best_name, tuned[best_name].model, roles, weighted, share)
-        model.write().overwrite().save(f"{path}/model")
-    metrics.write.mode("overwrite").parquet(f"{path}/metrics")
-    preds.write.mode("overwrite").parquet(f"{path}/predictions")
-    spark.createDataFrame([(roles.one_hot, roles.scale, roles.passthrough)],
-                          "one_hot array<string>, scale array<string>, "
-                          "passthrough array<string>").write.mode("overwrite").json(
-        f"{path}/roles")
-    return TrainResult(spark.read.parquet(f"{path}/metrics"),
-                       spark.read.parquet(f"{path}/predictions"), best_name, model, roles)
+    _save_bundle(spark, path, TrainResult(metrics, preds, best_name, model, roles))
+    return _load_bundle(spark, path)
 
 
 def threshold_score_assign_job(spark: SparkSession, sf_dir: str, result: TrainResult,
@@ -152,12 +173,16 @@ def threshold_score_assign_job(spark: SparkSession, sf_dir: str, result: TrainRe
 
 
 def score_explain_job(spark: SparkSession, sf_dir: str, model: PipelineModel,
-                      threshold: float = 0.5, samples: int = 32
+                      threshold: float = 0.5, samples: int = 32, roles: ml.FeatureRoles | None = None
                       ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Returns ``(scored, local_top10, global_top10)`` for the test rows."""
+    """Returns ``(scored, local_top10, global_top10)`` for the test rows.
+
+    A forest (with its ``roles``) is explained by its trees, any other single
+    model by weighted coalitions, a vote by sampled orders.
+    """
     data = model_frame(clean_binned(spark, sf_dir))
     train, test = ml.split(data)
     scored = ml.score_with_model(model, test, threshold)
-    bg = explain.background_sample(model, train, list(ML_FEATURES))
-    phi = explain.sampled_shapley(model, test, bg, list(ML_FEATURES), samples=samples)
+    bg = explain.background_sample(model, train, list(ML_FEATURES)) if not explain.is_tree(model) else None
+    phi = explain.contributions(model, test, bg, list(ML_FEATURES), roles, samples=samples)
     return scored, explain.explain_local(phi), explain.explain_global(phi)

@@ -757,6 +757,28 @@ SELECT customer_id,
          AS tenure_scaled
 FROM clean, st""")
 
+_NB_COLUMNS = ("monthly_charges", "tenure_months", "cltv")
+
+
+def _nb_ll(c: int) -> str:
+    terms = " + ".join(f"ln(2 * pi() * (c{c}.v_{x} + added)) + (d.{x} - c{c}.m_{x}) ** 2 / (c{c}.v_{x} + added)"
+                       for x in _NB_COLUMNS)
+    return f"round(ln(c{c}.n / total.n) - 0.5 * ({terms}), 4) AS ll_{c}"
+
+
+register("gaussian_nb", f"""
+WITH {CLEAN_CTE},
+d AS (SELECT customer_id, churn_value, {", ".join(f"CAST({x} AS DOUBLE) AS {x}" for x in _NB_COLUMNS)} FROM clean),
+tr AS (SELECT * FROM d WHERE {md5_unit_sql('customer_id', 123)} >= 0.2),
+cls AS (SELECT churn_value AS y, CAST(count(*) AS DOUBLE) AS n,
+               {", ".join(f"avg({x}) AS m_{x}, var_pop({x}) AS v_{x}" for x in _NB_COLUMNS)}
+        FROM tr GROUP BY churn_value),
+c0 AS (SELECT * FROM cls WHERE y = 0), c1 AS (SELECT * FROM cls WHERE y = 1),
+total AS (SELECT CAST(count(*) AS DOUBLE) AS n, greatest({", ".join(f"var_pop({x})" for x in _NB_COLUMNS)}) AS top FROM tr),
+s AS (SELECT smoothing, share * top AS added
+      FROM (VALUES ('1e-09', 1e-9), ('1e-07', 1e-7), ('1e-05', 1e-5), ('1e-03', 1e-3)) AS t(smoothing, share), total)
+SELECT s.smoothing, d.customer_id, {_nb_ll(0)}, {_nb_ll(1)} FROM d, s, c0, c1, total""")
+
 _VOTE_MODELS = f"""{SCORED_CTE},
 vm AS (SELECT customer_id, churn_value AS label, churn_probability AS m_a,
               round(1.0 / (1.0 + exp(-(CAST(-1.0 AS DOUBLE) + CAST(0.03 AS DOUBLE) * churn_score

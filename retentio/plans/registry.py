@@ -696,16 +696,33 @@ def q_tune(spark, sf_dir):
 
 @query
 def q_compare_models(spark, sf_dir):
-    """Tune logistic / random forest / Gaussian NB, vote, evaluate on test, rank.
-
-    Grids of 4/2/1 candidates instead of the operator's default 16/288/1:
-    1,440 forest fits take hours on one machine (README, open items)."""
+    """Tune logistic / random forest / Gaussian NB (16/288/4 candidates), vote, evaluate on test, rank."""
     train, test = ml_train_test(spark, sf_dir)
     roles = ml_roles(spark, sf_dir)
-    metrics, _, _ = ml.compare_models(train, test, roles, full_grid=False)
+    metrics, _, _ = ml.compare_models(train, test, roles)
     return metrics
 
 
+@query
+def q_gaussian_nb(spark, sf_dir):
+    """Joint log-likelihoods of every customer under four smoothing values, one training pass."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from ..operators.bayes import GaussianBayes
+    columns = ["monthly_charges", "tenure_months", "cltv"]
+    df = VectorAssembler(inputCols=columns, outputCol="features").transform(clean_mart(spark, sf_dir))
+    train, _ = ml.split(df)
+    clf = GaussianBayes(labelCol="churn_value")
+    moments = clf.moments(train)
+    parts = []
+    for smoothing in (1e-9, 1e-7, 1e-5, 1e-3):
+        l0, l1 = clf.smoothed(moments, smoothing).log_likelihoods(vector_to_array("features"))
+        parts.append(df.select(F.lit(f"{smoothing:.0e}").alias("smoothing"), "customer_id",
+                               F.round(l0, 4).alias("ll_0"), F.round(l1, 4).alias("ll_1")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 @query
 def q_feature_importance(spark, sf_dir):
     """Top-4 features of a random forest and of a logistic model."""
@@ -923,16 +940,50 @@ def q_explain_global(spark, sf_dir):
     return explain.explain_global(_shapley(spark, sf_dir))
 
 
+def _forest_model(spark, sf_dir):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    train, test = ml_train_test(spark, sf_dir)
+    roles = ml_roles(spark, sf_dir)
+    stages, _ = ml.preprocessor_stages(roles)
+    return Pipeline(stages=[*stages, RandomForestClassifier(numTrees=20, maxDepth=5, seed=123)]).fit(train), roles, train, test
+
+
+@query
+def q_explain_tree(spark, sf_dir):
+    """Exact Shapley values of a forest over its paths: top-10 for every test row."""
+    model, roles, _, test = _forest_model(spark, sf_dir)
+    phi = explain.contributions(model, test, None, list(ML_FEATURES), roles)
+    return explain.explain_local(phi).select("customer_id", "rank", "feature", F.round("phi", 6).alias("phi"))
+
+
+@query
+def q_explain_tree_global(spark, sf_dir):
+    """Mean absolute contribution per encoded feature of a forest over all test rows."""
+    model, roles, _, test = _forest_model(spark, sf_dir)
+    return explain.explain_global(explain.contributions(model, test, None, list(ML_FEATURES), roles))
+
+
+@query
+def q_explain_kernel(spark, sf_dir):
+    """Weighted least squares over all coalitions of the raw features: top-10 for every test row."""
+    model, _ = _logistic_model(spark, sf_dir)
+    train, test = ml_train_test(spark, sf_dir)
+    bg = explain.background_sample(model, train, list(ML_FEATURES))
+    phi = explain.contributions(model, test, bg, list(ML_FEATURES))
+    return explain.explain_local(phi).select("customer_id", "rank", "feature", F.round("phi", 6).alias("phi"))
+
+
 @query
 def q_train_deploy(spark, sf_dir):
     """Job B: compare models, refit the best on all rows, save."""
-    return jobs.train_deploy_job(spark, sf_dir, full_grid=False).metrics
+    return jobs.train_deploy_job(spark, sf_dir).metrics
 
 
 @query
 def q_threshold_score_assign(spark, sf_dir):
     """Job C: profit-optimal threshold, score, A/B/C groups (load-or-train)."""
-    r = jobs.train_deploy_job(spark, sf_dir, full_grid=False, overwrite=False)
+    r = jobs.train_deploy_job(spark, sf_dir, overwrite=False)
     _, _, assigned = jobs.threshold_score_assign_job(spark, sf_dir, r)
     return assigned.select("customer_id", F.round("churn_probability", 6)
                            .alias("churn_probability"), "group", "intervention_details")
@@ -941,9 +992,9 @@ def q_threshold_score_assign(spark, sf_dir):
 @query
 def q_score_explain(spark, sf_dir):
     """Job D: score test rows with the deployed model (load-or-train) and
-    explain them: sampled-Shapley top-10 per customer."""
-    r = jobs.train_deploy_job(spark, sf_dir, full_grid=False, overwrite=False)
-    _, local, _ = jobs.score_explain_job(spark, sf_dir, r.model, threshold=0.5)
+    explain them by the model's explainer: top-10 per customer."""
+    r = jobs.train_deploy_job(spark, sf_dir, overwrite=False)
+    _, local, _ = jobs.score_explain_job(spark, sf_dir, r.model, threshold=0.5, roles=r.roles)
     return local.select("customer_id", "rank", "feature", F.round("phi", 6).alias("phi"))
 
 
