@@ -78,7 +78,7 @@ def fit_imputation(reference: DataFrame,
                    dependencies: Mapping[str, str] = DEFAULT_DEPENDENCIES,
                    tenure: str = "tenure_months", monthly: str = "monthly_charges",
                    total: str = "total_charges", median_parent: str = "internet_service",
-                   materialize: bool = False) -> ImputationModel:
+                   materialize: bool = True) -> ImputationModel:
     """Whole-table modes/medians in ONE aggregate pass, plus the conditional
     tables (one ``groupBy(parent)`` each).  ``materialize`` writes the
     conditional tables once (for reuse across many batches)."""

@@ -37,12 +37,12 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import md5_unit
 from ..session import cut_lineage
-from . import decision, ensemble, forest
+from . import decision, ensemble, forest, profile
 from .bayes import GaussianBayes
 from .clean import require_columns
 
@@ -147,18 +147,26 @@ def feature_roles_table(df: DataFrame, features: Sequence[str]) -> DataFrame:
     meta = df.sparkSession.createDataFrame([(c, dtypes[c]) for c in features],
                                            "column string, dtype string")
     t = meta.join(F.broadcast(long), "column")
-    is_cat = F.col("dtype").isin("string", "boolean")
-    is_num = F.col("dtype").isin(*NUMERIC)
-    role = (F.when((is_cat & (F.col("n_distinct") <= ONE_HOT_MAX_DISTINCT))
-                   | F.lower("column").isin(*ALWAYS_ONE_HOT), "one_hot")
-            .when(is_num & (F.col("n_distinct") > SCALE_MIN_DISTINCT), "scale")
-            .otherwise("passthrough"))
-    return t.withColumn("role", role)
+    return t.withColumn("role", _role(F.col("column"), F.col("dtype"), F.col("n_distinct")))
+
+
+def _role(column: Column, dtype: Column, n_distinct: Column) -> Column:
+    is_cat = dtype.isin("string", "boolean")
+    is_num = dtype.isin(*NUMERIC)
+    return (F.when((is_cat & (n_distinct <= ONE_HOT_MAX_DISTINCT)) | F.lower(column).isin(*ALWAYS_ONE_HOT), "one_hot")
+            .when(is_num & (n_distinct > SCALE_MIN_DISTINCT), "scale").otherwise("passthrough"))
 
 
 def select_features(df: DataFrame, features: Sequence[str]) -> FeatureRoles:
-    """The roles of ``feature_roles_table`` as lists (one row per feature is collected)."""
-    role = {r["column"]: r["role"] for r in feature_roles_table(df, features).collect()}
+    """The roles of ``feature_roles_table`` as lists.
+
+    Only whether a column has more than five values matters, so its distinct
+    values are counted up to six (``profile.few_distinct``).
+    """
+    few = profile.few_distinct(df, features, max(ONE_HOT_MAX_DISTINCT, SCALE_MIN_DISTINCT) + 1)
+    dtypes = dict(df.dtypes)
+    rows = df.sparkSession.createDataFrame([(c, dtypes[c], few[c]) for c in few], "c string, t string, n int")
+    role = {r["c"]: r["r"] for r in rows.select("c", _role(F.col("c"), F.col("t"), F.col("n")).alias("r")).collect()}
     pick = lambda name: [c for c in features if role[c] == name]
     return FeatureRoles(pick("one_hot"), pick("scale"), pick("passthrough"))
 

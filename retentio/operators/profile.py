@@ -14,11 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .clean import require_columns
-from .quantiles import medians, quantile_table
+from .quantiles import medians, quantile_values
 
 NUMERIC = ("int", "bigint", "double", "float", "smallint", "tinyint")
 
@@ -218,6 +219,32 @@ def value_counts_many(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("count")))
 
 
+def few_distinct(df: DataFrame, cols: Sequence[str], limit: int) -> dict[str, int]:
+    """Distinct non-NULL values of each column, counted exactly up to ``limit`` (which then means "or more").
+
+    Every task keeps the ``limit`` smallest values of a column and lets go of
+    the rest, so a state never grows and no row is copied per column; the
+    smallest values of all tasks together decide (at most ``limit`` rows per
+    column and task are shuffled).
+    """
+    require_columns(df, *cols)
+    names = list(dict.fromkeys(cols))
+
+    def smallest(batches):
+        kept: list[set] = [set() for _ in names]
+        for b in batches:
+            for i, c in enumerate(b.columns):
+                kept[i] = set(sorted(kept[i].union(v for v in c.unique().to_pylist() if v is not None))[:limit])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([i for i, k in enumerate(kept) for _ in k], pa.int32()),
+             pa.array([v for k in kept for v in sorted(k)], pa.string())], names=["i", "v"])
+
+    rows = (df.select(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(names)])
+            .mapInArrow(smallest, "i int, v string").distinct().groupBy("i").count().collect())  # one row per column
+    got = {r["i"]: min(limit, r["count"]) for r in rows}
+    return {c: got.get(i, 0) for i, c in enumerate(names)}
+
+
 def count_distinct(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Cardinality per column (NULL not counted) as ``(column, n_distinct)``.
 
@@ -230,19 +257,6 @@ def count_distinct(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     return wide.unpivot([], names, "column", "n_distinct")
 
 
-def mode_of(df: DataFrame, col: str, condition: Column | None = None) -> Column:
-    """Scalar-subquery column: most frequent value (ties -> smallest).
-
-    With a ``condition`` the mode is taken over the matching rows; when none
-    match, over the whole table.
-    """
-    whole = df.agg(F.mode(col, True)).scalar()
-    if condition is None:
-        return whole
-    sub = df.filter(condition).agg(F.mode(col, True)).scalar()
-    return F.coalesce(sub, whole)
-
-
 def modes(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``(*by, column, mode)``: the most frequent value as text; NULL ignored.
 
@@ -270,14 +284,13 @@ def modes(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFra
 def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std (n-1), min, 25%, 50%, 75% (interpolated), max.
 
-    Exact quartiles by ``quantiles.quantile_table`` (three numbers per column
+    Exact quartiles by ``quantiles.quantile_values`` (three numbers per column
     become literals), the other statistics in one aggregate pass.  Result is
     row-per-statistic.
     """
     names = list(cols or numeric_columns(df))
     require_columns(df, *names)
-    quartiles = {(r["column"], r["prob"]): r["quantile"]
-                 for r in quantile_table(df, names, [0.25, 0.5, 0.75]).collect()}
+    quartiles = quantile_values(df, names, [0.25, 0.5, 0.75])
     exprs = []
     for c in names:
         x = F.col(c).cast("double")
@@ -381,9 +394,9 @@ def histogram(df: DataFrame, col: str, bins: int = 20, hue: str | None = None,
         # one pass: per hue value (NULL is one) the counts of its bins, as a
         # map of at most n entries; rows without a number or outside the edges
         # fall in bin 0, which keeps their hue value in the result
-        placed = binned if edges is None else src.withColumn("bin", F.coalesce(idx, F.lit(0)))
-        cells = (placed.select(F.col(hue).alias("hue"), "bin")
-                 .union(df.where(v.isNull() | F.isnan(v)).select(F.col(hue), F.lit(0)))
+        place = idx if edges is not None else equal_width_bin(v, lo, hi, n)
+        cells = (df.select(F.col(hue).alias("hue"),
+                           F.coalesce(F.when(v.isNotNull() & ~F.isnan(v), place), F.lit(0)).alias("bin"))
                  .groupBy("hue", "bin").agg(F.count(F.lit(1)).alias("count")))
         per_hue = cells.groupBy("hue").agg(F.map_from_entries(F.collect_list(
             F.struct("bin", "count"))).alias("_c"))
@@ -422,26 +435,79 @@ def count_by(df: DataFrame, col: str, hue: str | None = None,
 def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every numeric pair, pairwise complete.
 
-    One aggregate with ``corr(a, b)`` per unordered pair (each skips rows
-    where either side is NULL), unpivoted to ``(col_a, col_b, r)`` and
-    mirrored.  Raises when there is no numeric column.
+    Every task reduces its rows to one block of co-moments per pair (count,
+    means, squares and product about the means, over the rows where both sides
+    are present) by a few matrix products; blocks are merged by the exact
+    formula for joined samples.  One scan, d * d rows per task, whatever the
+    number of columns.  Output ``(col_a, col_b, r)`` in both orders; NULL where
+    a side does not vary.  Raises when there is no numeric column.
     """
     names = list(cols or numeric_columns(df))
     if not names:
         raise ValueError("no numeric column to correlate")
     require_columns(df, *names)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    exprs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}")
-             for i, (a, b) in enumerate(pairs)]
-    wide = df.agg(*exprs)
-    rows = []
-    for i, (a, b) in enumerate(pairs):
-        r = F.col(f"{i}")
-        rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("r")))
-        if a != b:
-            rows.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), r.alias("r")))
-    out = wide.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
-    return out.withColumn("r", F.round(F.when(F.isnan("r"), None).otherwise(F.col("r")), 6))
+    d = len(names)
+
+    def blocks(batches):
+        total = None
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]) if b.num_rows else None
+            if x is None:
+                continue
+            one = co_moments(x, np.column_stack([~np.asarray(c.is_null()) for c in b.columns]))
+            total = one if total is None else joined_moments(total, one)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.arange(d), d), pa.int32()), pa.array(np.tile(np.arange(d), d), pa.int32()),
+                 *(pa.array(m.ravel(), pa.float64()) for m in total)], names=["a", "b", *MOMENTS])
+
+    parts = (df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+             .mapInArrow(blocks, "a int, b int, " + ", ".join(f"{m} double" for m in MOMENTS)))
+    whole = parts.groupBy("a", "b").agg(F.collect_list(F.struct(*MOMENTS)).alias("p"))  # one row per task and pair
+    whole = whole.withColumn("n", F.aggregate("p", F.lit(0.0), lambda s, x: s + x["n"]))
+
+    def mean(m: str) -> Column:
+        return F.aggregate("p", F.lit(0.0), lambda s, x: s + F.when(x["n"] > 0, x["n"] * x[m]).otherwise(0.0)) / F.col("n")
+
+    def about(c: str, m1: str, m2: str) -> Column:
+        return F.aggregate("p", F.lit(0.0), lambda s, x: s + F.when(
+            x["n"] > 0, x[c] + x["n"] * (x[m1] - F.col(f"_{m1}")) * (x[m2] - F.col(f"_{m2}"))).otherwise(0.0))
+
+    merged = whole.withColumn("_ma", mean("ma")).withColumn("_mb", mean("mb"))
+    xx, yy, xy = about("xx", "ma", "ma"), about("yy", "mb", "mb"), about("xy", "ma", "mb")
+    label = F.array(*[F.lit(c) for c in names])
+    r = F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
+    got = (merged.where("n > 0").select("a", "b", xx.alias("xx"), yy.alias("yy"), xy.alias("xy"))
+           .select("a", "b", F.when(F.isnan(r), None).otherwise(r).alias("r")))
+    pairs = (df.sparkSession.range(d * d).select((F.col("id") / d).cast("int").alias("a"), (F.col("id") % d).cast("int").alias("b")))
+    return (pairs.join(got, ["a", "b"], "left")
+            .select(label[F.col("a")].alias("col_a"), label[F.col("b")].alias("col_b"), F.round("r", 6).alias("r")))
+
+
+MOMENTS = ("n", "ma", "mb", "xx", "yy", "xy")  # of a pair (a, b): rows, means, squares and product about the means
+
+
+def co_moments(x: np.ndarray, present: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``MOMENTS`` of every pair of columns over the rows where both are present."""
+    m = present.astype(float)
+    # about a value of each column, so large means do not cancel
+    shift = np.array([x[p, i][0] if p.any() else 0.0 for i, p in enumerate(present.T)])
+    z = np.where(present, x - shift, 0.0)
+    n = m.T @ m
+    some = np.maximum(n, 1)
+    sa, sb = z.T @ m, m.T @ z
+    squares = (z * z).T @ m
+    return (n, sa / some + shift[:, None], sb / some + shift[None, :], squares - sa * sa / some,
+            squares.T - sb * sb / some, z.T @ z - sa * sb / some)
+
+
+def joined_moments(p: tuple[np.ndarray, ...], q: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Co-moments of two samples together."""
+    n = p[0] + q[0]
+    some = np.maximum(n, 1)
+    da, db, w = q[1] - p[1], q[2] - p[2], p[0] * q[0] / some
+    return (n, p[1] + da * q[0] / some, p[2] + db * q[0] / some, p[3] + q[3] + da * da * w, p[4] + q[4] + db * db * w,
+            p[5] + q[5] + da * db * w)
 
 
 def value_range() -> Aggregator:
