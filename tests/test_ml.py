@@ -162,7 +162,7 @@ def test_full_param_grid_sizes(small_fit):
     pipes = ml.model_pipelines(roles)
     full = ml.param_grids(pipes, 80, full=True)
     assert {k: len(v) for k, v in full.items()} == {
-        "LogisticRegression": 16, "RandomForest": 288, "GaussianNB": 1}
+        "LogisticRegression": 16, "RandomForest": 288, "GaussianNB": 4}
     lr = pipes["LogisticRegression"].getStages()[-1]
     regs = sorted({m[lr.regParam] for m in full["LogisticRegression"]})
     assert regs == pytest.approx(sorted(1 / (c * 80) for c in (0.1, 0.5, 1, 5)))
