@@ -20,29 +20,47 @@ def brute(docs):
         seq = tuple(x[2] for x in lines)
         seen[d, text] = [(at, t, leaf, (seq[i - 1] if i else None, seq[i + 1] if i + 1 < len(seq) else None), seq)
                          for i, (at, t, leaf) in enumerate(lines)]
-    weight = defaultdict(Counter)
+    leaves = defaultdict(Counter)
     for lines in seen.values():
         for _, t, leaf, _, _ in lines:
-            weight[leaf][t] += 1
-    templates = {}
-    for leaf, different in weight.items():
-        agreed = []
-        for p in range(leaf[0]):
-            c = Counter()
+            leaves[leaf][t] += 1
+    templates = {t: t for different in leaves.values() for t in different}
+    nodes = dict(leaves)
+    while nodes:
+        parts = defaultdict(Counter)
+        for node, different in nodes.items():
+            if len(different) == 1 and node in leaves:
+                continue
+            n = len(next(iter(different)))
+            agreed, squares = [], {}
+            for p in range(n):
+                c = Counter()
+                for t, w in different.items():
+                    c[t[p]] += w
+                top = max(c.items(), key=lambda x: (x[1], x[0].encode()))
+                agreed.append(top[0] if 2 * top[1] > sum(c.values()) else None)
+                if p >= ld.DEPTH and len(c) > 1:
+                    squares[p] = sum(x * x for x in c.values())
+            split = max(squares, key=lambda p: (squares[p], -p))
             for t, w in different.items():
-                c[t[p]] += w
-            top = max(c.items(), key=lambda x: (x[1], x[0].encode()))
-            agreed.append(top[0] if 2 * top[1] > sum(c.values()) else None)
-        for t in different:
-            fits = sum(a == b for a, b in zip(t[ld.DEPTH:], agreed[ld.DEPTH:]))
-            templates[t] = ("*", leaf) if 100 * fits >= ld.SIMILARITY * (leaf[0] - ld.DEPTH) else t
-    contexts, carriers = defaultdict(set), defaultdict(set)
+                fits = sum(a == b for a, b in zip(t[ld.DEPTH:], agreed[ld.DEPTH:]))
+                if 100 * fits >= ld.SIMILARITY * (n - ld.DEPTH):
+                    templates[t] = ("*", node)
+                else:
+                    parts[node, split, t[split]][t] += w
+        nodes = {k: v for k, v in parts.items() if len(v) > 1}
+    contexts, carriers, independent = defaultdict(set), defaultdict(set), defaultdict(set)
     for lines in seen.values():
         for _, t, leaf, context, seq in lines:
             contexts[templates[t]].add(context)
             carriers[templates[t]].add(seq)
-    drop = {x for x in contexts if len(contexts[x]) >= ld.MIN_CONTEXTS
-            and 100 * len(contexts[x]) >= ld.DIVERSITY * len(carriers[x])}
+    for lines in seen.values():
+        own = sum(len(t) for _, t, _, _, _ in lines if len(carriers[templates[t]]) < ld.MIN_CONTEXTS)
+        if 100 * own >= ld.OWN_SHARE * sum(len(t) for _, t, _, _, _ in lines):
+            for _, t, _, _, seq in lines:
+                independent[templates[t]].add(seq)
+    drop = {x for x in contexts if len(independent[x]) >= ld.MIN_CONTEXTS
+            or len(contexts[x]) >= ld.MIN_CONTEXTS and 100 * len(contexts[x]) >= ld.DIVERSITY * len(carriers[x])}
     out = {}
     for (d, text), lines in seen.items():
         gone = {at for at, t, _, _, _ in lines if templates[t] in drop}
@@ -85,6 +103,55 @@ def test_against_brute_force(spark):
     assert got.where("doc_id BETWEEN 200 AND 211 AND n_dropped > 0").count() == 0  # whole copies stay whole
 
 
+def words_of(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n))
+
+
+def test_all_lines_of_a_passage_go_from_unrelated_documents(spark):
+    rng = random.Random(1)
+    passage = "\n".join(words_of(rng, 14) for _ in range(4))
+    docs = [(k, "\n".join([words_of(rng, 20), passage, words_of(rng, 18 + k % 5), words_of(rng, 11)])) for k in range(60)]
+    docs += [(100, passage), (101, passage + "\n" + words_of(rng, 9))]
+    got = {r.doc_id: r for r in compare(spark, docs).collect()}
+    assert all(r.n_dropped == 4 for r in got.values()) and got[100].text == ""
+
+
+def test_a_line_goes_though_many_edited_copies_carry_it(spark):
+    rng = random.Random(2)
+    line = words_of(rng, 12)
+    docs = [(k, "\n".join([words_of(rng, 15), line, words_of(rng, 15)])) for k in range(10)]
+    base = [words_of(rng, 12 + i) for i in range(9)]
+    for k in range(120):
+        copy = list(base)
+        copy[k % 9] = words_of(rng, 12 + k % 9)  # edited: another line
+        docs.append((1000 + k, "\n".join([*copy[:5], line, *copy[5:]])))
+    got = {r.doc_id: r for r in compare(spark, docs).collect()}
+    assert all(r.n_dropped == 1 and line not in r.text for r in got.values())  # the copies keep all else
+
+
+def test_edited_copies_alone_stay_whole(spark):
+    rng = random.Random(3)
+    base = [words_of(rng, 12 + i) for i in range(9)]
+    docs = []
+    for k in range(90):
+        copy = list(base)
+        copy[k % 9] = words_of(rng, 12 + k % 9)
+        docs.append((k, "\n".join(copy)))
+    assert all(r.n_dropped == 0 for r in compare(spark, docs).collect())
+
+
+def test_several_formats_in_one_leaf(spark):
+    rng = random.Random(4)
+    formats = ["note to all {} users stay away until noon", "note to all {} guests please come back soon",
+               "note to all {} staff doors open again later"]
+    docs = [(k, "\n".join([words_of(rng, 15), formats[k % 3].format(words_of(rng, 1)), words_of(rng, 15)]))
+            for k in range(60)]
+    docs += [(100 + k, "\n".join([words_of(rng, 15), f"note to all {words_of(rng, 6)}", words_of(rng, 16)]))
+             for k in range(12)]  # other lines of the same leaf
+    got = {r.doc_id: r.n_dropped for r in compare(spark, docs).collect()}
+    assert all(got[k] == 1 for k in range(60)) and all(got[100 + k] == 0 for k in range(12))
+
+
 def test_documents_that_would_be_emptied_can_be_spared(spark):
     line = "all rights are reserved here"
     docs = [(i, f"{c} begins this little text\n{line}\n{c * 2} and then it ends") for i, c in enumerate("abcdef")]
