@@ -6,9 +6,11 @@ its first ``DEPTH`` tokens.  Inside a leaf the tokens most of its lines agree
 on form the leaf's template, every other place is a variable field; a line
 that agrees with the template in at least ``similarity`` percent of the tokens
 behind the leading ones belongs to it.  The lines that do not fit are parted by
-their token at the place where they vary least, and every part that holds
-several wordings votes again, until none is left: a leaf holds as many
-templates as it has formats.  A line that fits none is a template of its own.
+the token with which they first differ from the template (if they do not, by
+the token at the variable place where the leaf varies least), and every part
+that holds several wordings votes again, until none is left: a leaf holds as
+many templates as it has formats.  A line that fits none is a template of its
+own.
 
 Lines of fewer than ``MIN_TOKENS`` tokens recur by chance and take no part.  A
 template *recurs* when either holds:
@@ -35,9 +37,9 @@ bitmap of such leaves (fixed size, one equi-join with a broadcast of at most
 1 MB) keeps all other lines out of the shuffle, an exact join follows.  Counts
 are of distinct (template, context) and (template, document) pairs, so a line in
 a third of all documents is combined before and after the shuffle and never
-gathered.  Every further vote covers only lines that fitted no template so far
-and splits each of their groups, so the rounds end; they are as many as formats
-have places that tell them apart.
+gathered.  A further vote covers only lines that fitted no template so far, and
+a part has at most half of the votes of the group it came from, so the rounds
+grow with the logarithm of the largest leaf.
 """
 
 from __future__ import annotations
@@ -97,23 +99,28 @@ def _only_leaves(lines: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def _vote(lines: DataFrame, similarity: int) -> DataFrame:
-    """``lines`` with ``fits`` (the template of its ``node``) and ``split`` (the place where the node varies least)."""
+    """``lines`` with ``fits`` (the template of its ``node``) and ``split``: where a line that does not fit first
+    differs from the template, or else the variable place where the node varies least."""
     votes = (lines.select("node", "weight", F.posexplode("tokens").alias("place", "token"))
              .groupBy("node", "place", "token").agg(F.sum("weight").alias("votes")))
     squares = F.sum(F.col("votes").cast("double") * F.col("votes"))
     places = (votes.groupBy("node", "place")
               .agg(F.max(F.struct("votes", "token")).alias("top"), F.sum("votes").alias("all"),
-                   F.when((F.count("*") > 1) & (F.col("place") >= DEPTH), squares).alias("squares"))
+                   squares.alias("squares"))
               .select("node", "place", "squares",
                       F.when(F.col("top.votes") * 2 > F.col("all"), F.col("top.token")).alias("token")))
     nodes = places.groupBy("node").agg(
         F.array_sort(F.collect_list(F.struct("place", "token"))).alias("template"),
-        F.max(F.when(F.col("squares").isNotNull(), F.struct("squares", (-F.col("place")).alias("before")))).alias("least"))
+        F.max(F.when(F.col("token").isNull() & (F.col("place") >= DEPTH),
+                     F.struct("squares", (-F.col("place")).alias("before")))).alias("least"))
     agreed = F.size(F.filter(
         F.zip_with("tokens", "template", lambda t, x: (x["place"] >= DEPTH) & t.eqNullSafe(x["token"])), lambda ok: ok))
+    differ = F.filter(F.zip_with("tokens", "template", lambda t, x: F.when(
+        (x["place"] >= DEPTH) & (t != x["token"]), x["place"])), lambda place: place.isNotNull())
     behind = F.size("tokens") - DEPTH
     return lines.join(nodes, "node").select(
-        *lines.columns, (agreed * 100 >= behind * similarity).alias("fits"), (-F.col("least.before")).alias("split"))
+        *lines.columns, (agreed * 100 >= behind * similarity).alias("fits"),
+        F.coalesce(F.get(differ, 0), -F.col("least.before")).alias("split"))
 
 
 def _templates(rows: DataFrame, lines: DataFrame, similarity: int) -> DataFrame:
@@ -131,7 +138,7 @@ def _templates(rows: DataFrame, lines: DataFrame, similarity: int) -> DataFrame:
         judged = cut_lineage(_vote(left, similarity))
         named = judged.where("fits").select("leaf", "literal", F.xxhash64("node", F.lit("*")).alias("general"))
         general = named if general is None else general.union(named)
-        parted = (judged.where(~F.col("fits") & F.col("split").isNotNull()).drop("fits").withColumn(
+        parted = (judged.where(~F.col("fits")).drop("fits").withColumn(
             "node", F.xxhash64("node", "split", F.get("tokens", F.col("split")))).drop("split"))
         open_nodes = parted.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
         left = cut_lineage(parted.join(open_nodes, "node", "left_semi"))

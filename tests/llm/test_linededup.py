@@ -39,14 +39,15 @@ def brute(docs):
                     c[t[p]] += w
                 top = max(c.items(), key=lambda x: (x[1], x[0].encode()))
                 agreed.append(top[0] if 2 * top[1] > sum(c.values()) else None)
-                if p >= ld.DEPTH and len(c) > 1:
+                if p >= ld.DEPTH and agreed[p] is None:
                     squares[p] = sum(x * x for x in c.values())
-            split = max(squares, key=lambda p: (squares[p], -p))
             for t, w in different.items():
                 fits = sum(a == b for a, b in zip(t[ld.DEPTH:], agreed[ld.DEPTH:]))
                 if 100 * fits >= ld.SIMILARITY * (n - ld.DEPTH):
                     templates[t] = ("*", node)
                 else:
+                    differ = [p for p in range(ld.DEPTH, n) if agreed[p] not in (None, t[p])]
+                    split = differ[0] if differ else max(squares, key=lambda p: (squares[p], -p))
                     parts[node, split, t[split]][t] += w
         nodes = {k: v for k, v in parts.items() if len(v) > 1}
     contexts, carriers, independent = defaultdict(set), defaultdict(set), defaultdict(set)
