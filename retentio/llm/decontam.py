@@ -123,16 +123,8 @@ def _window_starts(n_words: Column, m: Column, threshold: int) -> Column:
                                      begun, at_end))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: int = 75) -> DataFrame:
-    """One row per (document, item) held: ``doc_id, item_id, start_word, n_words, similarity``.
-
-    The best window is reported (highest similarity, then the first); a text
-    shorter than an item is one window, ``n_words`` its length.  NULL or
-    empty documents and items hold and are nothing; items of fewer than five
-    words are one shingle of all their words; repeated rows give one row per
-    (doc_id, item_id); rows with a NULL id are judged and reported with a NULL
-    id; empty tables give an empty result; other columns are ignored.
-    """
+def _held(docs: DataFrame, benchmark: DataFrame, threshold: int) -> DataFrame | None:
+    """``doc_id, text_hash, item_id, start, n, both, either`` of every window that holds an item; None without items."""
     items = cut_lineage(
         benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
         .withColumn("m", F.size("w")).distinct())
@@ -156,9 +148,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: int = 75) -> Da
             "doc_id", "text_hash", "n_words", "m", "at", (F.col("at") - F.col("q")).alias("start"))
         found = hits if found is None else found.union(hits)
     if found is None:  # no item, nothing to find
-        ids = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-        return docs.sparkSession.createDataFrame([], "doc_id {}, item_id {}, start_word int, n_words int, "
-                                                     "similarity double".format(*ids))
+        return None
     places = cut_lineage(
         found.groupBy("doc_id", "text_hash", "n_words", "m")
         .agg(F.sort_array(F.collect_set("at")).alias("ats"), F.collect_set("start").alias("starts"))
@@ -169,18 +159,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: int = 75) -> Da
     p = places.select(F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash"), "places")
     held = (
         rows.join(p, rows.doc_id.eqNullSafe(p.p_id) & (rows.text_hash == p.p_hash))
-        .select("doc_id", "places", words(F.col("text")).alias("w"))
-        .select("doc_id", F.explode(F.transform("places", lambda x: F.struct(
+        .select("doc_id", "text_hash", "places", words(F.col("text")).alias("w"))
+        .select("doc_id", "text_hash", F.explode(F.transform("places", lambda x: F.struct(
             x["start"].alias("start"), x["m"].alias("m"),
             F.slice(F.col("w"), x["start"] + 1, x["m"]).alias("w")))).alias("x"))
-        .select("doc_id", "x.*"))
+        .select("doc_id", "text_hash", "x.*"))
     windows = cut_lineage(
         held.withColumn("hashes", F.transform("w", lambda x: F.xxhash64(x)))
-        .select("doc_id", "start", "m", F.size("w").alias("n"), _per_size("w", sizes, F.col("m")).alias("own_shingles"),
+        .select("doc_id", "text_hash", "start", "m", F.size("w").alias("n"), _per_size("w", sizes, F.col("m")).alias("own_shingles"),
                 simhash(F.col("hashes")).alias("fingerprint")))
 
     keyed = windows.withColumn("b", F.explode(_blocks(F.col("fingerprint")))).select(
-        "doc_id", "start", "m", "n", "own_shingles", "fingerprint", "b.block", "b.value")
+        "doc_id", "text_hash", "start", "m", "n", "own_shingles", "fingerprint", "b.block", "b.value")
     item_keys = items.withColumn("b", F.explode(_blocks(F.col("fingerprint")))).select(
         "item_id", "m", F.col("shingles").alias("item_shingles"), F.col("fingerprint").alias("item_fingerprint"),
         "b.block", "b.value")
@@ -195,8 +185,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: int = 75) -> Da
         .withColumn("theirs", _numbered(F.col("item_shingles"))))
     both = F.size(F.array_intersect("own", "theirs"))
     either = F.size("own") + F.size("theirs") - both
-    hit = near.withColumn("both", both).withColumn("either", either).where(
+    return near.withColumn("both", both).withColumn("either", either).where(
         F.col("both") * 100 >= F.col("either") * threshold)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: int = 75) -> DataFrame:
+    """One row per (document, item) held: ``doc_id, item_id, start_word, n_words, similarity``.
+
+    The best window is reported (highest similarity, then the first); a text
+    shorter than an item is one window, ``n_words`` its length.  NULL or
+    empty documents and items hold and are nothing; items of fewer than five
+    words are one shingle of all their words; repeated rows give one row per
+    (doc_id, item_id); rows with a NULL id are judged and reported with a NULL
+    id; empty tables give an empty result; other columns are ignored.
+    """
+    hit = _held(docs, benchmark, threshold)
+    if hit is None:
+        ids = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
+        return docs.sparkSession.createDataFrame([], "doc_id {}, item_id {}, start_word int, n_words int, "
+                                                     "similarity double".format(*ids))
     return (
         hit.groupBy("doc_id", "item_id")
         .agg(F.max(F.struct((F.col("both") / F.col("either")).alias("similarity"), (-F.col("start")).alias("first"),
@@ -204,3 +211,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: int = 75) -> Da
         .select("doc_id", "item_id", (-F.col("best.first")).alias("start_word"), F.col("best.n").alias("n_words"),
                 F.col("best.similarity").alias("similarity")))
 
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: int = 75) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item, judged row by row.
+
+    Of rows that share an id only those that hold an item go, and rows with a
+    NULL id go like others; NULL and empty texts stay; without items all stay.
+    """
+    hit = _held(docs, benchmark, threshold)
+    if hit is None:
+        return docs
+    gone = hit.select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")).distinct()
+    return docs.join(gone, docs.doc_id.eqNullSafe(gone.g_id) & (F.xxhash64(docs.text) == gone.g_hash), "left_anti")

@@ -40,3 +40,16 @@ def test_clashing_columns_nulls_repeats_and_empty(spark):
         ids = sorted((r.doc_id for r in left.collect()), key=repr)
         assert ids == ([1, None] if frame is docs else [])
         assert cp.STAGES[-1][1](spark, left, SF).count() == len(ids)
+
+
+def test_rows_without_id_and_shared_ids_are_judged_by_their_text(spark):
+    item = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("text").collect()), key=len)
+    copy = " ".join(f"alpha{i} beta{i}" for i in range(40))
+    rows = [(1, copy), (None, copy), (None, copy + " end"), (2, "quite another clean text stands here"),
+            (3, item), (3, "the same id holds a clean text too"), (None, item), (None, "no id and nothing wrong here"),
+            (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    deduped = {(r.doc_id, r.text) for r in cp.drop_near_duplicates(spark, docs, SF).collect()}
+    assert deduped == set(rows) - {(None, copy), (None, copy + " end"), (None, item)}
+    clean = {(r.doc_id, r.text) for r in cp.drop_contaminated(spark, docs, SF).collect()}
+    assert clean == set(rows) - {(3, item), (None, item)}
