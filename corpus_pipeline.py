@@ -5,9 +5,9 @@ predecessor kept.  A stage's result is written as Parquet in the shared
 checkpoint folder and read back as the next one's ``docs``, so a lost executor
 re-reads files instead of recomputing the stages before.
 
-Rows without a doc_id take part in every stage; the stages that drop documents
-by id (near-dedup, decontamination) leave them in, because they cannot be
-named.
+Rows without a doc_id take part in every stage and are judged by their text;
+near-dedup leaves a group in which no row has an id whole, because no row of
+it can be named.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each near-duplicate component stays; of repeated rows one stays."""
     judged = neardup.near_duplicates(docs)
     gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")).distinct()
-    left = docs.join(gone, (docs.doc_id == gone.g_id) & (F.xxhash64(docs.text) == gone.g_hash), "left_anti")
+    left = docs.join(gone, docs.doc_id.eqNullSafe(gone.g_id) & (F.xxhash64(docs.text) == gone.g_hash), "left_anti")
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id", F.xxhash64("text").alias("h")).count().where("count > 1")
     if repeated.isEmpty():
         return left
@@ -54,9 +54,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item (an id that holds one goes with all its rows)."""
-    leaks = decontam.find_leaks(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item."""
+    return decontam.without_leaks(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
