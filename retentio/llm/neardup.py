@@ -41,6 +41,7 @@ ROWS_PER_BAND = 4   # a pair at similarity 0.75 shares none of 32 bands with pro
 BITS = 4
 LONGS = N_MINIMA * BITS // 64
 MARGIN = 0.08       # four standard errors
+BATCH_BYTES = 8 << 20  # of Arrow data: pairs carry two full sets each
 ENOUGH = 4          # pairs across components per row of open buckets that the exact rest may start with
 
 _rng = np.random.default_rng(20240229)
@@ -157,6 +158,22 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
       component has none, ``component_id`` is NULL and the row is kept;
     * an empty table gives an empty result; other columns are ignored.
     """
+    with tf.arrow_batches(docs.sparkSession, BATCH_BYTES):
+        signed, classes, labels = _classes(docs, threshold)
+    named_classes = classes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select(
+        "digest", "first_id", F.coalesce("root", "digest").alias("root"))
+    smallest = named_classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    component = named_classes.join(smallest, "root").select("digest", "component_id")
+    return (
+        signed.select("doc_id", "n_shingles", "digest", "text_hash").join(component, "digest", "left")
+        .withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+        .withColumn("kept", F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select("doc_id", "n_shingles", "component_id", "kept", "text_hash")
+    )
+
+
+def _classes(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signature rows, classes of equal sets and (node, root) of the linked classes, all written."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     signed = cut_lineage(rows.mapInArrow(
         _signatures, "doc_id long, text_hash long, n_shingles long, digest string, "
@@ -203,19 +220,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
             _estimated(_drawn(named, open_bands, turn), bits, threshold), sets, threshold)))
     if across:
         more = _verified(_rest(named, open_bands, reps, threshold), sets, threshold)
-        labels = _joined(labels, more)
-    final = labels
-
-    named_classes = classes.join(final.withColumnRenamed("node", "digest"), "digest", "left").select(
-        "digest", "first_id", F.coalesce("root", "digest").alias("root"))
-    smallest = named_classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    component = named_classes.join(smallest, "root").select("digest", "component_id")
-    return (
-        signed.select("doc_id", "n_shingles", "digest", "text_hash").join(component, "digest", "left")
-        .withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-        .withColumn("kept", F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select("doc_id", "n_shingles", "component_id", "kept", "text_hash")
-    )
+        labels = cut_lineage(_joined(labels, more))
+    return signed, classes, labels
 
 
 def _named(members: DataFrame, labels: DataFrame) -> DataFrame:

@@ -9,9 +9,11 @@ Python.  Batches are cut by bytes, never by truncating a text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import SparkSession
 
 CHUNK_BYTES = 1 << 20  # texts are hashed in groups of about this many bytes
 
@@ -108,6 +110,18 @@ def groups(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         yield at, texts[at:]
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Arrow batches of about ``size`` bytes for the jobs run inside (a task holds a batch several times over)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def utf8(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes; NULL is empty."""
     import pyarrow as pa
