@@ -85,9 +85,15 @@ def test_blocks_guarantee_the_radius(spark):
         for bit in rng.sample(range(64), decontam.RADIUS):
             b ^= 1 << bit
         rows.append((a - (1 << 63), b - (1 << 63)))
-    df = spark.createDataFrame(rows, "a long, b long")
-    both = F.arrays_overlap(decontam._blocks(F.col("a")), decontam._blocks(F.col("b")))
-    assert df.where(~both).count() == 0
+    rows = [(i, 9, [a, 0], [b, -1]) for i, (a, b) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "item_key long, m int, a array<bigint>, b array<bigint>")
+    got = decontam._candidates(df.select("m", F.col("a").alias("prints")),
+                               df.select("item_key", "m", F.col("b").alias("prints"))).collect()
+    found = {(tuple(r.prints), r.item_key) for r in got}
+    assert len(found) == len(got) and {(tuple(a), i) for i, _, a, _ in rows} <= found
+    close = {(tuple(a), i) for _, _, a, _ in rows for i, _, _, b in rows
+             if ((a[0] ^ b[0]) & (1 << 64) - 1).bit_count() <= decontam.RADIUS}
+    assert found == close
 
 
 def test_simhash_is_the_bit_majority(spark):
@@ -99,6 +105,37 @@ def test_simhash_is_the_bit_majority(spark):
         assert r.s & (1 << 64) - 1 == want
 
 
+def test_few_pairs_of_a_size_meet(spark):
+    rng = random.Random(8)
+    some = [[(i, 9, [rng.getrandbits(64) - (1 << 63) for _ in range(decontam.PRINTS)]) for i in range(400)] for _ in "ab"]
+    a, b = (spark.createDataFrame(x, "item_key long, m int, prints array<bigint>") for x in some)
+    keys = a.select(F.explode(decontam._parts(F.col("prints"))).alias("x")).select("x.part", "x.value")
+    probes = b.select(F.explode(decontam._parts(F.col("prints"))).alias("x")).select(
+        "x.part", F.explode(decontam._close_values(F.col("x.value"))).alias("value"))
+    assert keys.join(probes, ["part", "value"]).count() < 0.1 * 400 * 400
+
+
+def test_recall_close_to_the_threshold(spark):
+    rng = random.Random(9)
+    items, docs = [], []
+    for k in range(400):
+        w = [f"u{rng.getrandbits(40)}" for _ in range(rng.randint(25, 60))]
+        grams = len(w) - 4
+        cut = next(c for c in range(len(w)) if 100 * (grams - c - 1) < 75 * (grams + c + 1))
+        items.append((k, " ".join(w)))
+        docs.append((k, " ".join(w[:len(w) - cut] + [f"u{rng.getrandbits(40)}" for _ in range(cut)])))
+    got = run(spark, docs, items)
+    want = {k for k in range(400) if brute([docs[k]], [items[k]])}
+    found = {d for d, i, _ in got if d == i}
+    assert found <= want and len(want) > 380
+    assert len(found) >= 0.99 * len(want)
+
+
+def test_simhash_of_more_words_than_a_16_bit_count(spark):
+    df = spark.range(1).select(F.array_repeat(F.lit(-1).cast("long"), 70_000).alias("h"))
+    assert df.select(decontam.simhash(F.col("h"))).first()[0] == -1
+
+
 def test_query_finds_planted_items(spark):
     sf = "/root/testdata/sf0.01"
     got = {(r.doc_id, r.item_id) for r in op7_decontamination(spark, sf).collect()}
