@@ -116,7 +116,8 @@ def _candidates(windows: DataFrame, items: DataFrame) -> DataFrame:
     own = (windows.select("m", "prints").distinct()
            .select("m", "prints", F.explode(_parts(F.col("prints"))).alias("x")).select("m", "prints", "x.*"))
     apart = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint")))
-    return own.join(theirs, ["m", "part", "value"]).where(apart <= RADIUS).select("m", "prints", "item_key").distinct()
+    # merged: Catalyst cannot see how many rows the listing makes, and they grow with the benchmark
+    return own.join(theirs.hint("merge"), ["m", "part", "value"]).where(apart <= RADIUS).select("m", "prints", "item_key").distinct()
 
 
 def _per_size(w: str, sizes: list[int], size: Column) -> Column:
