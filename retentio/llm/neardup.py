@@ -23,8 +23,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +72,7 @@ def packed_bits(m: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in tf.handed_back(batches):
         texts = tf.utf8(batch.column("text"))
         ids, hashes = batch.column("doc_id"), batch.column("text_hash")
         for at, group in tf.groups([t.lower() for t in texts]):
@@ -97,7 +98,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in tf.handed_back(batches):
         texts, digests = tf.utf8(batch.column("text")), batch.column("digest")
         for at, group in tf.groups([t.lower() for t in texts]):
             w = tf.words(group)
@@ -109,7 +110,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tf.handed_back(batches):
             keep = []
             for a, b in zip(batch.column("set_u"), batch.column("set_v")):
                 x = np.frombuffer(a.as_buffer(), dtype=np.uint64)
@@ -134,8 +135,19 @@ def estimate(a: str, b: str) -> Column:
     return (1 - differ / N_MINIMA - chance) / (1 - chance)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The (u, v) pairs whose full sets reach the threshold."""
+def _full_sets(rows: DataFrame, chosen: DataFrame, digests: DataFrame) -> DataFrame:
+    """(digest, shingles) of the classes in ``digests``; ``chosen`` names a row (doc_id, text_hash) of each class."""
+    wanted = digests.join(chosen, "digest")
+    return cut_lineage(
+        rows.join(wanted, rows.doc_id.eqNullSafe(wanted.doc_id) & (rows.text_hash == wanted.text_hash))
+        .select("digest", "text").mapInArrow(_sets, "digest string, shingles binary")
+        .dropDuplicates(["digest"]))
+
+
+def _verified(pairs: DataFrame, full_sets: Callable[[DataFrame], DataFrame], threshold: int) -> DataFrame:
+    """The (u, v) pairs whose full sets reach the threshold; only classes in a pair have their sets made."""
+    pairs = cut_lineage(pairs)
+    sets = full_sets(pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct())
     full = (
         pairs.join(sets.select(F.col("digest").alias("v"), F.col("shingles").alias("set_v")), "v")
         .join(sets.select(F.col("digest").alias("u"), F.col("shingles").alias("set_u")), "u")
@@ -183,7 +195,7 @@ def _classes(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, Dat
         .agg(F.min("doc_id").alias("first_id"), F.min(F.struct(
             F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("sample")))
     # one signature row per class
-    chosen = classes.select("digest", "sample.doc_id", "sample.text_hash")
+    full_sets = functools.partial(_full_sets, rows, classes.select("digest", "sample.doc_id", "sample.text_hash"))
     reps = cut_lineage(
         signed.where("digest IS NOT NULL").select("digest", F.col("n_shingles").alias("n"), "bands", "bits")
         .dropDuplicates(["digest"]))
@@ -192,20 +204,13 @@ def _classes(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, Dat
     shared = probes.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     members = cut_lineage(probes.join(shared, "band"))
     weight = members.groupBy("digest").agg(F.sum("size").alias("weight"))
-    nodes = members.select("digest").distinct()
-
-    wanted = nodes.join(chosen, "digest")
-    sets = cut_lineage(
-        rows.join(wanted, rows.doc_id.eqNullSafe(wanted.doc_id) & (rows.text_hash == wanted.text_hash))
-        .select("digest", "text").mapInArrow(_sets, "digest string, shingles binary")
-        .dropDuplicates(["digest"]))
     bits = reps.select("digest", "bits")
 
     centres = (members.join(weight, "digest").groupBy("band")
                .agg(F.max(F.struct("weight", "digest")).alias("c")))
     star = (members.join(centres, "band").groupBy("digest").agg(F.max("c").alias("c"))
             .select(F.col("digest").alias("u"), F.col("c.digest").alias("v")).where("u <> v"))
-    links = cut_lineage(_verified(_estimated(star, bits, threshold), sets, threshold))
+    links = cut_lineage(_verified(_estimated(star, bits, threshold), full_sets, threshold))
     labels = connected_components(links)
 
     before, turn = None, 0
@@ -217,9 +222,9 @@ def _classes(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, Dat
             break
         before, turn = across, turn + 1
         labels = cut_lineage(_joined(labels, _verified(
-            _estimated(_drawn(named, open_bands, turn), bits, threshold), sets, threshold)))
+            _estimated(_drawn(named, open_bands, turn), bits, threshold), full_sets, threshold)))
     if across:
-        more = _verified(_rest(named, open_bands, reps, threshold), sets, threshold)
+        more = _verified(_rest(named, open_bands, reps, threshold), full_sets, threshold)
         labels = cut_lineage(_joined(labels, more))
     return signed, classes, labels
 

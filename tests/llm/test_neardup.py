@@ -109,6 +109,27 @@ def test_large_group_of_near_copies_is_compared_in_linear_work(spark, monkeypatc
     assert len(compared) >= 2 and sum(compared) < 20 * len(docs), compared
 
 
+def test_only_classes_in_pairs_have_their_sets_made(spark, monkeypatch):
+    from retentio.llm import neardup
+
+    rng = random.Random(4)
+    frame = [f"f{i}" for i in range(40)]  # shared by all, so all meet in buckets
+    docs = [(i, " ".join([*frame, *(f"own{rng.random()}" for _ in range(80))])) for i in range(60)]
+    copy = [f"c{i}" for i in range(80)]
+    docs += [(100, " ".join(copy)), (101, " ".join([*copy, "end"]))]
+    made, inner = [], neardup.cut_lineage
+
+    def written(df, *a):
+        out = inner(df, *a)
+        if "shingles" in out.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "cut_lineage", written)
+    assert run(spark, docs) == brute(docs)
+    assert made and max(made) <= 4, made
+
+
 def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5), (None, 7), (2000, 2001), (2001, 2000)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
