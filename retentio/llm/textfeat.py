@@ -122,6 +122,20 @@ def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def handed_back(batches: Iterator) -> Iterator:
+    """The batches; after each, memory that Arrow no longer uses goes back to the system.
+
+    A Python worker lives on after its task and would keep the largest task's
+    memory beside the executor's heap through all later stages.
+    """
+    import pyarrow as pa
+
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def utf8(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes; NULL is empty."""
     import pyarrow as pa

@@ -110,3 +110,18 @@ def test_nulls_repeats_long_and_empty(spark, monkeypatch):
     assert len(twice) == 2 * len(packing.pack(df, PATH).collect())
     assert sum(r["doc_id"] is None for r in twice) == 2
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_workers_hand_memory_back_after_every_batch(monkeypatch):
+    import pyarrow as pa
+
+    given = []
+
+    class Pool:
+        release_unused = staticmethod(lambda: given.append(1))
+
+    batches = [pa.RecordBatch.from_pydict({"uid": [i], "doc_id": [i], "text": ["a b c"]}) for i in range(3)]
+    run = packing._pieces(public_tokenizers.path("word_bpe_49k.json"), 4096, 2, False)
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    assert sum(b.num_rows for b in run(iter(batches))) == 3
+    assert len(given) == 3
