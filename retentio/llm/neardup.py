@@ -16,6 +16,10 @@
 5. The exact rest: in buckets that still hold several components, classes
    outside the largest one meet all classes of other components.  A pair is
    looked at in the first band it shares only, and sizes too far apart are left.
+   Two classes measured against one centre share at most the smaller of their
+   overlaps with it, and what both have outside it; pairs that this bound keeps
+   below the threshold are no candidates, so of many edited copies of one text
+   only those meet that share an edit.
 6. All rounds estimate the similarity from the packed bits (bit counts,
    corrected for chance agreement) before the full sets are fetched, and a
    link counts only when the full sets reach the threshold.
@@ -43,6 +47,7 @@ BITS = 4
 LONGS = N_MINIMA * BITS // 64
 MARGIN = 0.08       # four standard errors
 BATCH_BYTES = 8 << 20  # of Arrow data: pairs carry two full sets each
+BITMAP_WORDS = 1 << 18  # of 64 bits, broadcast: 4 MB at most
 ENOUGH = 4          # pairs across components per row of open buckets that the exact rest may start with
 
 _rng = np.random.default_rng(20240229)
@@ -111,48 +116,71 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirm(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tf.handed_back(batches):
-            keep = []
+            linked, shared, outside = [], [], []
             for a, b in zip(batch.column("set_u"), batch.column("set_v")):
                 x = np.frombuffer(a.as_buffer(), dtype=np.uint64)
                 y = np.frombuffer(b.as_buffer(), dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= threshold * (len(x) + len(y) - both))
+                common = np.intersect1d(x, y, assume_unique=True)
+                both = len(common)
+                linked.append(100 * both >= threshold * (len(x) + len(y) - both))
+                shared.append(both)
+                outside.append(np.setdiff1d(x, common, assume_unique=True).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                [batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_()), pa.array(shared, pa.int64()),
+                 pa.array(outside, pa.list_(pa.int64()))], names=["u", "v", "linked", "both", "outside"])
     return run
 
 
 def estimate(a: str, b: str) -> Column:
     """Similarity estimate of two packed signatures, corrected for agreement by chance."""
-    nibble = int("1" * 16, 16)
-    differ = F.lit(0)
-    for i in range(LONGS):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+    nibble = F.lit(int("1" * 16, 16))
+
+    def differing(x: Column, y: Column) -> Column:
+        z = x.bitwiseXOR(y)
         for j in (1, 2):  # fold every 4-bit lane into its lowest bit
-            x = x.bitwiseOR(F.shiftrightunsigned(x, j))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(nibble)))
+            z = z.bitwiseOR(F.shiftrightunsigned(z, j))
+        return F.bit_count(z.bitwiseAND(nibble))
+
+    differ = F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda total, x: total + x)
     chance = 1 / (1 << BITS)
     return (1 - differ / N_MINIMA - chance) / (1 - chance)
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text_hash, ...) with the key columns ``no_id``, ``id`` and a place in the bitmap of keys."""
+    at = F.pmod(F.xxhash64("text_hash", "doc_id"), F.lit(64 * BITMAP_WORDS))
+    return rows.select(
+        F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash",
+        F.shiftright(at, 6).alias("word"), (at % 64).cast("int").alias("bit"), *(c for c in rows.columns if c not in ("doc_id", "text_hash")))
+
+
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows with a wanted key and few others, without a shuffle: a bitmap of the keys, bounded in size, goes to all tasks."""
+    bitmap = wanted.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("set"))
+    return (_keyed(rows).join(F.broadcast(bitmap), "word")
+            .where(F.call_function("shiftrightunsigned", "set", "bit").bitwiseAND(F.lit(1)) == 1))
+
+
 def _full_sets(rows: DataFrame, chosen: DataFrame, digests: DataFrame) -> DataFrame:
     """(digest, shingles) of the classes in ``digests``; ``chosen`` names a row (doc_id, text_hash) of each class."""
-    wanted = digests.join(chosen, "digest")
+    wanted = cut_lineage(_keyed(chosen.join(digests, "digest")))
+    key = ["no_id", "id", "text_hash"]
     return cut_lineage(
-        rows.join(wanted, rows.doc_id.eqNullSafe(wanted.doc_id) & (rows.text_hash == wanted.text_hash))
-        .select("digest", "text").mapInArrow(_sets, "digest string, shingles binary")
-        .dropDuplicates(["digest"]))
+        _likely(rows, wanted).select(*key, "text").join(wanted.select(*key, "digest"), key).dropDuplicates(key)
+        .select("digest", "text").mapInArrow(_sets, "digest string, shingles binary"))
 
 
 def _verified(pairs: DataFrame, full_sets: Callable[[DataFrame], DataFrame], threshold: int) -> DataFrame:
-    """The (u, v) pairs whose full sets reach the threshold; only classes in a pair have their sets made."""
+    """The (u, v) pairs by their full sets: ``linked`` (the threshold is reached), ``both`` (shared shingles) and
+    ``outside`` (those of u that v lacks); only classes in a pair have their sets made."""
     pairs = cut_lineage(pairs)
     sets = full_sets(pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct())
     full = (
         pairs.join(sets.select(F.col("digest").alias("v"), F.col("shingles").alias("set_v")), "v")
         .join(sets.select(F.col("digest").alias("u"), F.col("shingles").alias("set_u")), "u")
     )
-    return full.select("u", "v", "set_u", "set_v").mapInArrow(_confirm(threshold), "u string, v string")
+    return full.select("u", "v", "set_u", "set_v").mapInArrow(
+        _confirm(threshold), "u string, v string, linked boolean, both long, outside array<long>")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
@@ -210,8 +238,8 @@ def _classes(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, Dat
                .agg(F.max(F.struct("weight", "digest")).alias("c")))
     star = (members.join(centres, "band").groupBy("digest").agg(F.max("c").alias("c"))
             .select(F.col("digest").alias("u"), F.col("c.digest").alias("v")).where("u <> v"))
-    links = cut_lineage(_verified(_estimated(star, bits, threshold), full_sets, threshold))
-    labels = connected_components(links)
+    measured = cut_lineage(_verified(_estimated(star, bits, threshold), full_sets, threshold))
+    labels = connected_components(measured.where("linked").select("u", "v"))
 
     before, turn = None, 0
     while True:
@@ -222,9 +250,9 @@ def _classes(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, Dat
             break
         before, turn = across, turn + 1
         labels = cut_lineage(_joined(labels, _verified(
-            _estimated(_drawn(named, open_bands, turn), bits, threshold), full_sets, threshold)))
+            _estimated(_drawn(named, open_bands, turn), bits, threshold), full_sets, threshold).where("linked")))
     if across:
-        more = _verified(_rest(named, open_bands, reps, threshold), full_sets, threshold)
+        more = _verified(_rest(named, open_bands, reps, measured, threshold), full_sets, threshold).where("linked")
         labels = cut_lineage(_joined(labels, more))
     return signed, classes, labels
 
@@ -254,19 +282,47 @@ def _drawn(named: DataFrame, open_bands: DataFrame, turn: int) -> DataFrame:
             .select(F.col("digest").alias("u"), F.col("c.digest").alias("v")).distinct())
 
 
-def _rest(named: DataFrame, open_bands: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
-    """(u, v): all pairs of a bucket from different components that the packed estimate lets through, once each."""
-    held = cut_lineage(named.join(open_bands.select("band", "main"), "band").join(reps, "digest"))
-    a = held.where("root <> main").select("band", *(F.col(c).alias(f"{c}_u") for c in ("digest", "root", "n", "bands", "bits")))
-    b = held.select(F.col("band").alias("band_v"), "main", *(F.col(c).alias(f"{c}_v") for c in ("digest", "root", "n", "bands", "bits")))
+def _reaches(both: Column, n_u: str, n_v: str, threshold: int) -> Column:
+    """Whether sets of these sizes that share ``both`` elements reach the threshold."""
+    return 100 * both >= threshold * (F.col(n_u) + F.col(n_v) - both)
+
+
+def _rest(named: DataFrame, open_bands: DataFrame, reps: DataFrame, measured: DataFrame, threshold: int) -> DataFrame:
+    """(u, v): all pairs of a bucket from different components that may be linked, once each.
+
+    ``measured`` has the overlap of a class u with one centre v, and u's
+    shingles outside of it.  Where both classes have the same centre, their sets
+    share at most the smaller overlap and the shingles that both have outside.
+    """
+    known = measured.select(F.col("u").alias("digest"), F.col("v").alias("centre"), "both")
+    held = cut_lineage(named.join(open_bands.select("band", "main"), "band").join(reps, "digest").join(known, "digest", "left"))
+    columns = ("digest", "root", "n", "centre", "both", "bands", "bits")
+    a = held.where("root <> main").select("band", *(F.col(c).alias(f"{c}_u") for c in columns))
+    b = held.select(F.col("band").alias("band_v"), "main", *(F.col(c).alias(f"{c}_v") for c in columns))
     at = F.array_position("bands_u", F.col("band")).cast("int")
     first = ~F.arrays_overlap(F.slice("bands_u", F.lit(1), at - 1), F.slice("bands_v", F.lit(1), at - 1))
-    near = (100 * F.least("n_u", "n_v") >= threshold * F.greatest("n_u", "n_v")) & (
-        estimate("bits_u", "bits_v") >= threshold / 100 - MARGIN)
+    sizes = 100 * F.least("n_u", "n_v") >= threshold * F.greatest("n_u", "n_v")
+    # a class and its centre were measured already; two classes of one centre need the overlaps alone or meet below
+    settled = F.coalesce(F.col("centre_u") == F.col("digest_v"), F.lit(False)) | F.coalesce(
+        F.col("centre_v") == F.col("digest_u"), F.lit(False)) | F.coalesce(
+        (F.col("centre_u") == F.col("centre_v")) & ~_reaches(F.least("both_u", "both_v"), "n_u", "n_v", threshold), F.lit(False))
     # two classes outside the largest component meet twice; the smaller digest leads
     once = (F.col("root_v") == F.col("main")) | (F.col("digest_u") < F.col("digest_v"))
-    pairs = a.join(b, (F.col("band") == F.col("band_v")) & (F.col("root_u") != F.col("root_v")) & once & near & first)
-    return pairs.select(F.col("digest_u").alias("u"), F.col("digest_v").alias("v"))
+    pairs = a.join(b, (F.col("band") == F.col("band_v")) & (F.col("root_u") != F.col("root_v")) & once & sizes & ~settled
+                   & (estimate("bits_u", "bits_v") >= threshold / 100 - MARGIN) & first)
+
+    marks = (held.where("centre IS NOT NULL").select("digest", "root", "n", "both").distinct()
+             .join(measured.select(F.col("u").alias("digest"), F.col("v").alias("centre"), "outside"), "digest")
+             .select("digest", "root", "n", "both", "centre", F.explode("outside").alias("mark")))
+    mixed = marks.groupBy("centre", "mark").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    marks = cut_lineage(marks.join(mixed.select("centre", "mark"), ["centre", "mark"]))
+    u, v = (marks.select("centre", "mark", *(F.col(c).alias(f"{c}_{end}") for c in ("digest", "root", "n", "both"))) for end in "uv")
+    sharing = (
+        u.join(v, ["centre", "mark"]).where((F.col("root_u") != F.col("root_v")) & (F.col("digest_u") < F.col("digest_v")) & sizes)
+        .groupBy("digest_u", "digest_v", "n_u", "n_v", "both_u", "both_v").agg(F.count("*").alias("shared"))
+        .where(_reaches(F.least("both_u", "both_v") + F.col("shared"), "n_u", "n_v", threshold)))
+    ends = F.col("digest_u").alias("u"), F.col("digest_v").alias("v")
+    return pairs.select(*ends).union(_estimated(sharing.select(*ends), reps, threshold)).distinct()
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
