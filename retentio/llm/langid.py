@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retentio.llm import textfeat as tf
+
 UNDETERMINED = "und"
 DIMS = 4096
 NGRAMS = (1, 2, 3)
@@ -183,10 +185,9 @@ def identify(docs: DataFrame, model: Model, min_score: float = 0.5, keep: list[s
     kept = [c for c in keep or docs.columns if c not in ("lang_pred", "score", "ambiguous")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for at in range(0, len(texts), 256):
-                part = texts[at: at + 256]
+        for batch in tf.handed_back(batches):
+            for at in range(0, batch.num_rows, 256):
+                part = batch.column("text").slice(at, 256).to_pylist()
                 known = [i for i, t in enumerate(part) if t and model.languages and has_letter(t)]
                 lang, score = [UNDETERMINED] * len(part), np.zeros(len(part))
                 if known:

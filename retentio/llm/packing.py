@@ -33,6 +33,7 @@ MAX_TOKENS = 4096
 END_ID = 2
 GROUP_TOKENS = MAX_TOKENS * 512
 GROUP_PIECES = 50_000
+BATCH_BYTES = 8 << 20  # of Arrow data
 _CACHE_WORDS = 400_000
 _TAIL = ".,!?;:#$%&*|"
 
@@ -120,6 +121,10 @@ class WordEncoder:
         key = head.lower() if head.isascii() and "<|" not in head else head
         return self.parts[key] + self.parts[text[len(head):]] if len(head) < len(text) else self.parts[key]
 
+    def close(self) -> None:
+        """Gives the caches back at once: they and the encoder hold one another, so they would outlive its last use."""
+        self.words = self.parts = None
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         get = self.words.__getitem__
         return [b"".join(map(get, t.split())) for t in texts]
@@ -158,15 +163,13 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 def _pieces(path: str, max_tokens: int, end_id: int, with_ids: bool):
     end = np.array([end_id], dtype="<u4").tobytes()
-    held: list[WordEncoder] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.append(WordEncoder(path))
+        encoder = WordEncoder(path)
         for batch in tf.handed_back(batches):
             for at, group in tf.groups(tf.utf8(batch.column("text"))):
                 rows, starts, lengths, crcs, totals, ids = [], [], [], [], [], []
-                for i, code in enumerate(held[0].encode(group)):
+                for i, code in enumerate(encoder.encode(group)):
                     code += end
                     total = len(code) // 4
                     for start in range(0, total, max_tokens):
@@ -183,6 +186,7 @@ def _pieces(path: str, max_tokens: int, end_id: int, with_ids: bool):
                      pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64()), pa.array(totals, pa.int64()),
                      pa.array(ids, pa.list_(pa.int32()))],
                     names=["uid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+        encoder.close()
 
     return run
 
@@ -200,10 +204,11 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, end
     ignored.  ``tokenizer_path`` must exist on every executor.
     """
     id_type = dict(docs.dtypes)["doc_id"]
-    pieces = cut_lineage(
-        docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(
-            _pieces(tokenizer_path, max_tokens, end_id, with_ids),
-            f"uid long, doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"))
+    with tf.arrow_batches(docs.sparkSession, BATCH_BYTES):
+        pieces = cut_lineage(
+            docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(
+                _pieces(tokenizer_path, max_tokens, end_id, with_ids),
+                f"uid long, doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"))
     total, count = pieces.agg(F.sum("length"), F.count("*")).first()
     groups = max(1, -(-(total or 0) // (GROUP_TOKENS * max_tokens // MAX_TOKENS or 1)), -(-count // GROUP_PIECES))
 

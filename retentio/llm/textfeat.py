@@ -29,7 +29,7 @@ _POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of the hash base and of its inverse, kept between calls."""
     if len(_POWERS[0]) < n:
-        size = max(n, 2 * CHUNK_BYTES)
+        size = max(n, 2 * len(_POWERS[0]))
         for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             p = np.full(size, base, dtype=np.uint64)
             p[0] = 1
