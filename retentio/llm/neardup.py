@@ -4,7 +4,8 @@
    512 minima, one key per band of 4 of the first 128 of them, and the 4 low
    bits of every (scrambled) minimum packed into 32 longs.
 2. Rows with the same digest collapse to one *class* before anything is
-   compared, so thousands of exact copies cost one node.
+   compared, so thousands of exact copies cost one node.  From here on a class is
+   a number, and only classes that share a bucket carry their packed bits.
 3. Classes that share a band key are candidates.  Instead of all pairs of a
    band bucket, every class is first compared with one *centre*: among the
    centres of its buckets the one that meets most other classes.  Confirmed
@@ -47,6 +48,7 @@ BITS = 4
 LONGS = N_MINIMA * BITS // 64
 MARGIN = 0.08       # four standard errors
 BATCH_BYTES = 8 << 20  # of Arrow data: pairs carry two full sets each
+GROUP_BYTES = 1 << 18  # texts are hashed in groups of about this many bytes; a group's arrays take 30 times that
 BITMAP_WORDS = 1 << 18  # of 64 bits, broadcast: 4 MB at most
 ENOUGH = 4          # pairs across components per row of open buckets that the exact rest may start with
 
@@ -80,7 +82,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in tf.handed_back(batches):
         texts = tf.utf8(batch.column("text"))
         ids, hashes = batch.column("doc_id"), batch.column("text_hash")
-        for at, group in tf.groups([t.lower() for t in texts]):
+        for at, group in tf.groups([t.lower() for t in texts], GROUP_BYTES):
             w = tf.words(group)
             sizes, digests, bands, packs = [], [], [], []
             for i in range(len(group)):
@@ -102,15 +104,17 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "text_hash", "n_shingles", "digest", "bands", "bits"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in tf.handed_back(batches):
-        texts, digests = tf.utf8(batch.column("text")), batch.column("digest")
-        for at, group in tf.groups([t.lower() for t in texts]):
-            w = tf.words(group)
-            yield pa.RecordBatch.from_arrays(
-                [digests.slice(at, len(group)),
-                 pa.array([tf.shingles(w, i).tobytes() for i in range(len(group))], pa.binary())],
-                names=["digest", "shingles"])
+def _sets(key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tf.handed_back(batches):
+            texts, keys = tf.utf8(batch.column("text")), batch.column(key)
+            for at, group in tf.groups([t.lower() for t in texts], GROUP_BYTES):
+                w = tf.words(group)
+                yield pa.RecordBatch.from_arrays(
+                    [keys.slice(at, len(group)),
+                     pa.array([tf.shingles(w, i).tobytes() for i in range(len(group))], pa.binary())],
+                    names=[key, "shingles"])
+    return run
 
 
 def _confirm(threshold: int):
@@ -161,26 +165,27 @@ def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             .where(F.call_function("shiftrightunsigned", "set", "bit").bitwiseAND(F.lit(1)) == 1))
 
 
-def _full_sets(rows: DataFrame, chosen: DataFrame, digests: DataFrame) -> DataFrame:
-    """(digest, shingles) of the classes in ``digests``; ``chosen`` names a row (doc_id, text_hash) of each class."""
-    wanted = cut_lineage(_keyed(chosen.join(digests, "digest")))
+def _full_sets(rows: DataFrame, chosen: DataFrame, classes: DataFrame) -> DataFrame:
+    """The key of ``classes`` and the ``shingles`` of each; ``chosen`` names a row (doc_id, text_hash) of every class."""
+    (name, kind), = classes.dtypes
+    wanted = cut_lineage(_keyed(chosen.join(classes, name)))
     key = ["no_id", "id", "text_hash"]
     return cut_lineage(
-        _likely(rows, wanted).select(*key, "text").join(wanted.select(*key, "digest"), key).dropDuplicates(key)
-        .select("digest", "text").mapInArrow(_sets, "digest string, shingles binary"))
+        _likely(rows, wanted).select(*key, "text").join(wanted.select(*key, name), key).dropDuplicates(key)
+        .select(name, "text").mapInArrow(_sets(name), f"{name} {kind}, shingles binary"))
 
 
 def _verified(pairs: DataFrame, full_sets: Callable[[DataFrame], DataFrame], threshold: int) -> DataFrame:
     """The (u, v) pairs by their full sets: ``linked`` (the threshold is reached), ``both`` (shared shingles) and
     ``outside`` (those of u that v lacks); only classes in a pair have their sets made."""
     pairs = cut_lineage(pairs)
-    sets = full_sets(pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct())
+    sets = full_sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     full = (
-        pairs.join(sets.select(F.col("digest").alias("v"), F.col("shingles").alias("set_v")), "v")
-        .join(sets.select(F.col("digest").alias("u"), F.col("shingles").alias("set_u")), "u")
+        pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("set_v")), "v")
+        .join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("set_u")), "u")
     )
     return full.select("u", "v", "set_u", "set_v").mapInArrow(
-        _confirm(threshold), "u string, v string, linked boolean, both long, outside array<long>")
+        _confirm(threshold), "u long, v long, linked boolean, both long, outside array<long>")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
@@ -200,10 +205,11 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """
     with tf.arrow_batches(docs.sparkSession, BATCH_BYTES):
         signed, classes, labels = _classes(docs, threshold)
-    named_classes = classes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select(
-        "digest", "first_id", F.coalesce("root", "digest").alias("root"))
-    smallest = named_classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    component = named_classes.join(smallest, "root").select("digest", "component_id")
+    linked = labels.join(classes.select("node", "first_id"), "node")
+    smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    component = (classes.select("digest", "node", "first_id")
+                 .join(linked.join(smallest, "root").select("node", "component_id"), "node", "left")
+                 .select("digest", F.coalesce("component_id", "first_id").alias("component_id")))
     return (
         signed.select("doc_id", "n_shingles", "digest", "text_hash").join(component, "digest", "left")
         .withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
@@ -218,26 +224,25 @@ def _classes(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, Dat
     signed = cut_lineage(rows.mapInArrow(
         _signatures, "doc_id long, text_hash long, n_shingles long, digest string, "
                      "bands array<long>, bits array<long>"))
+    sets = signed.where("digest IS NOT NULL")
     classes = cut_lineage(
-        signed.where("digest IS NOT NULL").groupBy("digest")
+        sets.groupBy("digest")
         .agg(F.min("doc_id").alias("first_id"), F.min(F.struct(
-            F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("sample")))
-    # one signature row per class
-    full_sets = functools.partial(_full_sets, rows, classes.select("digest", "sample.doc_id", "sample.text_hash"))
-    reps = cut_lineage(
-        signed.where("digest IS NOT NULL").select("digest", F.col("n_shingles").alias("n"), "bands", "bits")
-        .dropDuplicates(["digest"]))
-
-    probes = reps.select("digest", F.explode("bands").alias("band"))
+            F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("sample"),
+            F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        .withColumn("node", F.monotonically_increasing_id()))
+    full_sets = functools.partial(_full_sets, rows, classes.select("node", "sample.doc_id", "sample.text_hash"))
+
+    probes = classes.select("node", F.explode("bands").alias("band"))
     shared = probes.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     members = cut_lineage(probes.join(shared, "band"))
-    weight = members.groupBy("digest").agg(F.sum("size").alias("weight"))
-    bits = reps.select("digest", "bits")
+    reps = cut_lineage(_signed_members(sets, classes, members))
+    weight, bits = reps.select("node", "weight"), reps.select("node", "bits")
 
-    centres = (members.join(weight, "digest").groupBy("band")
-               .agg(F.max(F.struct("weight", "digest")).alias("c")))
-    star = (members.join(centres, "band").groupBy("digest").agg(F.max("c").alias("c"))
-            .select(F.col("digest").alias("u"), F.col("c.digest").alias("v")).where("u <> v"))
+    centres = (members.join(weight, "node").groupBy("band")
+               .agg(F.max(F.struct("weight", "node")).alias("c")))
+    star = (members.join(centres, "band").groupBy("node").agg(F.max("c").alias("c"))
+            .select(F.col("node").alias("u"), F.col("c.node").alias("v")).where("u <> v"))
     measured = cut_lineage(_verified(_estimated(star, bits, threshold), full_sets, threshold))
     labels = connected_components(measured.where("linked").select("u", "v"))
 
@@ -257,11 +262,18 @@ def _classes(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, Dat
     return signed, classes, labels
 
 
+def _signed_members(sets: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, n, weight, bands, bits) of every class in ``members``: the rows of its buckets together, the buckets in
+    order, and from the signature rows ``sets`` the packed bits."""
+    held = members.groupBy("node").agg(F.sum("size").alias("weight"), F.sort_array(F.collect_list("band")).alias("bands"))
+    known = classes.select("node", "digest", "n").join(held, "node")
+    return sets.select("digest", "bits").dropDuplicates(["digest"]).join(known, "digest").drop("digest")
+
+
 def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(band, digest, root) of every class in a bucket; a class without a link is its own root."""
-    return (members.select("band", "digest")
-            .join(labels.select(F.col("node").alias("digest"), "root"), "digest", "left")
-            .withColumn("root", F.coalesce("root", "digest")))
+    """(band, node, root) of every class in a bucket; a class without a link is its own root."""
+    return (members.select("band", "node").join(labels, "node", "left")
+            .withColumn("root", F.coalesce("root", "node")))
 
 
 def _open(named: DataFrame) -> DataFrame:
@@ -277,9 +289,9 @@ def _drawn(named: DataFrame, open_bands: DataFrame, turn: int) -> DataFrame:
     """(u, v): every class outside its bucket's largest component with one member of that, drawn by the turn."""
     inside = named.join(open_bands.select("band", "main"), "band")
     drawn = (inside.where("root = main").groupBy("band")
-             .agg(F.min(F.struct(F.xxhash64("digest", "band", F.lit(turn)).alias("h"), "digest")).alias("c")))
+             .agg(F.min(F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("h"), "node")).alias("c")))
     return (inside.where("root <> main").join(drawn, "band")
-            .select(F.col("digest").alias("u"), F.col("c.digest").alias("v")).distinct())
+            .select(F.col("node").alias("u"), F.col("c.node").alias("v")).distinct())
 
 
 def _reaches(both: Column, n_u: str, n_v: str, threshold: int) -> Column:
@@ -294,34 +306,36 @@ def _rest(named: DataFrame, open_bands: DataFrame, reps: DataFrame, measured: Da
     shingles outside of it.  Where both classes have the same centre, their sets
     share at most the smaller overlap and the shingles that both have outside.
     """
-    known = measured.select(F.col("u").alias("digest"), F.col("v").alias("centre"), "both")
-    held = cut_lineage(named.join(open_bands.select("band", "main"), "band").join(reps, "digest").join(known, "digest", "left"))
-    columns = ("digest", "root", "n", "centre", "both", "bands", "bits")
+    known = measured.select(F.col("u").alias("node"), F.col("v").alias("centre"), "both")
+    before = F.slice("bands", F.lit(1), F.array_position("bands", F.col("band")).cast("int") - 1)
+    held = cut_lineage(
+        named.join(open_bands.select("band", "main"), "band").join(reps, "node").join(known, "node", "left")
+        .select("band", "main", "node", "root", "n", "centre", "both", before.alias("before"), "bits"))
+    columns = ("node", "root", "n", "centre", "both", "before", "bits")
     a = held.where("root <> main").select("band", *(F.col(c).alias(f"{c}_u") for c in columns))
     b = held.select(F.col("band").alias("band_v"), "main", *(F.col(c).alias(f"{c}_v") for c in columns))
-    at = F.array_position("bands_u", F.col("band")).cast("int")
-    first = ~F.arrays_overlap(F.slice("bands_u", F.lit(1), at - 1), F.slice("bands_v", F.lit(1), at - 1))
+    first = ~F.arrays_overlap("before_u", "before_v")
     sizes = 100 * F.least("n_u", "n_v") >= threshold * F.greatest("n_u", "n_v")
     # a class and its centre were measured already; two classes of one centre need the overlaps alone or meet below
-    settled = F.coalesce(F.col("centre_u") == F.col("digest_v"), F.lit(False)) | F.coalesce(
-        F.col("centre_v") == F.col("digest_u"), F.lit(False)) | F.coalesce(
+    settled = F.coalesce(F.col("centre_u") == F.col("node_v"), F.lit(False)) | F.coalesce(
+        F.col("centre_v") == F.col("node_u"), F.lit(False)) | F.coalesce(
         (F.col("centre_u") == F.col("centre_v")) & ~_reaches(F.least("both_u", "both_v"), "n_u", "n_v", threshold), F.lit(False))
-    # two classes outside the largest component meet twice; the smaller digest leads
-    once = (F.col("root_v") == F.col("main")) | (F.col("digest_u") < F.col("digest_v"))
+    # two classes outside the largest component meet twice; the smaller node leads
+    once = (F.col("root_v") == F.col("main")) | (F.col("node_u") < F.col("node_v"))
     pairs = a.join(b, (F.col("band") == F.col("band_v")) & (F.col("root_u") != F.col("root_v")) & once & sizes & ~settled
                    & (estimate("bits_u", "bits_v") >= threshold / 100 - MARGIN) & first)
 
-    marks = (held.where("centre IS NOT NULL").select("digest", "root", "n", "both").distinct()
-             .join(measured.select(F.col("u").alias("digest"), F.col("v").alias("centre"), "outside"), "digest")
-             .select("digest", "root", "n", "both", "centre", F.explode("outside").alias("mark")))
+    marks = (held.where("centre IS NOT NULL").select("node", "root", "n", "both").distinct()
+             .join(measured.select(F.col("u").alias("node"), F.col("v").alias("centre"), "outside"), "node")
+             .select("node", "root", "n", "both", "centre", F.explode("outside").alias("mark")))
     mixed = marks.groupBy("centre", "mark").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     marks = cut_lineage(marks.join(mixed.select("centre", "mark"), ["centre", "mark"]))
-    u, v = (marks.select("centre", "mark", *(F.col(c).alias(f"{c}_{end}") for c in ("digest", "root", "n", "both"))) for end in "uv")
+    u, v = (marks.select("centre", "mark", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "root", "n", "both"))) for end in "uv")
     sharing = (
-        u.join(v, ["centre", "mark"]).where((F.col("root_u") != F.col("root_v")) & (F.col("digest_u") < F.col("digest_v")) & sizes)
-        .groupBy("digest_u", "digest_v", "n_u", "n_v", "both_u", "both_v").agg(F.count("*").alias("shared"))
+        u.join(v, ["centre", "mark"]).where((F.col("root_u") != F.col("root_v")) & (F.col("node_u") < F.col("node_v")) & sizes)
+        .groupBy("node_u", "node_v", "n_u", "n_v", "both_u", "both_v").agg(F.count("*").alias("shared"))
         .where(_reaches(F.least("both_u", "both_v") + F.col("shared"), "n_u", "n_v", threshold)))
-    ends = F.col("digest_u").alias("u"), F.col("digest_v").alias("v")
+    ends = F.col("node_u").alias("u"), F.col("node_v").alias("v")
     return pairs.select(*ends).union(_estimated(sharing.select(*ends), reps, threshold)).distinct()
 
 
@@ -340,6 +354,6 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _estimated(pairs: DataFrame, bits: DataFrame, threshold: int) -> DataFrame:
-    both = (pairs.join(bits.select(F.col("digest").alias("u"), F.col("bits").alias("bits_u")), "u")
-            .join(bits.select(F.col("digest").alias("v"), F.col("bits").alias("bits_v")), "v"))
+    both = (pairs.join(bits.select(F.col("node").alias("u"), F.col("bits").alias("bits_u")), "u")
+            .join(bits.select(F.col("node").alias("v"), F.col("bits").alias("bits_v")), "v"))
     return both.where(estimate("bits_u", "bits_v") >= threshold / 100 - MARGIN).select("u", "v")
